@@ -1,0 +1 @@
+"""Section trees over corpora of paged documents, as Spark jobs."""

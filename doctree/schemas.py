@@ -1,0 +1,9 @@
+"""Fixed schemas of the tables that the operators pass on."""
+
+PAGES = "doc_id string, page int, text string, token_length int"
+ITEMS = "doc_id string, pos int, structure string, title string, page int, physical_index int, appear_start boolean"
+CHECKS = "doc_id string, pos int, title string, physical_index int, appears boolean, at_start boolean"
+NODES = "doc_id string, node_id string, node_seq int, parent_seq int, depth int, path array<int>, title string, start_index int, end_index int, is_leaf boolean, summary string, text string"
+INDEX_DOCS = "doc_id string, doc_name string, doc_description string, structure_json string"
+CATALOG = "doc_id string, type string, doc_name string, doc_description string, path string, page_count int"
+REQUESTS = "request_id string, doc_id string, stage string, prompt string, est_tokens int"
