@@ -14,7 +14,7 @@ PERCENT = 85
 #: Counters of the frequency sketch. Its size is fixed, so it can be broadcast; any counts give a valid order.
 COUNTERS = 1 << 20
 _CHUNK = 1 << 12
-#: Buckets of at most so many members are compared pair by pair once the star round has joined what it can.
+#: Buckets of at most so many members are compared pair by pair once their hub has joined what it can.
 SMALL = 64
 _ORDERS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
@@ -155,6 +155,12 @@ def _sharing(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def least_overlap(n_a, n_b, percent: int):
+    """The smallest intersection of linked sets of these sizes (a column, for columns)."""
+    total = percent * (n_a + n_b)
+    return F.ceil(total / F.lit(100 + percent)).cast("long")
+
+
 def _verified(pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b, linked) for pairs (a, b, set_a, set_b)."""
 
@@ -172,6 +178,32 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long, linked boolean")
 
 
+_AGAINST = "hub long, node long, n int, central double, common int, linked boolean, rest array<bigint>"
+
+
+def _against_hubs(pairs: DataFrame, percent: int) -> DataFrame:
+    """Members (hub, node, n, central, set_hub, set_node) with the size of what they share with their hub, and their other tokens."""
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, 64):
+                rows = batch.slice(low, 64)
+                common, linked, rest = [], [], []
+                for h, x in zip(rows.column("set_hub").to_pylist(), rows.column("set_node").to_pylist()):
+                    h, x = np.frombuffer(h, "<u8"), np.frombuffer(x, "<u8")
+                    own = np.setdiff1d(x, h, assume_unique=True)
+                    both = len(x) - len(own)
+                    common.append(both)
+                    linked.append(100 * both >= percent * (len(h) + len(x) - both))
+                    rest.append(own.view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [*(rows.column(c) for c in ("hub", "node", "n", "central")), pa.array(common, pa.int32()), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))],
+                    names=["hub", "node", "n", "central", "common", "linked", "rest"],
+                )
+
+    return pairs.mapInArrow(run, _AGAINST)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, shingles) for wanted (node, doc_id, text_key): the set of one text of each node, packed."""
 
@@ -186,12 +218,6 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, shingles binary")
 
 
-def _close(percent: int):
-    """Sizes that let a pair link at all."""
-    low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return 100 * low.cast("long") >= percent * high.cast("long")
-
-
 def linked_roots(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text_key, n_shingles, root) for each row of docs; rows of one component have one root, empty sets none.
 
@@ -202,71 +228,145 @@ def linked_roots(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
 
     Equal sets are one node. A linked pair shares a token in the prefixes of both sets under any order of all
     tokens: postings of the rarest-first prefixes give candidates, which must also meet under each of the other
-    orders before they are verified. A bucket of postings is first compared with one member only, its most
-    central one. What that leaves unlinked is compared in rounds, in small buckets by pairs, in larger ones
-    through several members at a time, until every two members of a bucket are in one component or have been
-    compared: no bucket is cut short, and a group of near copies costs its size, not its square.
+    orders before they are verified.
+
+    A bucket of postings is first compared with one member only, its hub, the one that shares most with others.
+    In a small bucket the pairs of different components that remain are verified in the next round. A large
+    one is refined: members x and y of a hub h that share nothing outside h share at most the smaller of what
+    each shares with h, so they can only link if they meet in a token outside h or if both hold enough of h.
+    The bucket is replaced by one for each such token, and one for those that hold enough, in which only pairs
+    that both hold enough for their two sizes count. So no bucket is cut short, and a group of near copies
+    costs its size, not its square. After ROUNDS rounds what is still open is compared pair by pair.
     """
     sketches = cut(_sketches(docs, size, percent))
     nodes = cut(sketches.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("rare").alias("rare"), F.first("orders").alias("orders"), F.min(F.struct("doc_id", "text_key")).alias("at")))
-    raw = nodes.select("node", "n", F.explode("rare").alias("token"))
-    shared = raw.groupBy("token").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high")).filter("members > 1")
-    postings = raw.join(shared.select("token", "members"), "token")
+    raw = nodes.select("node", F.explode("rare").alias("token"))
+    shared = raw.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = cut(raw.join(shared, "token"))
     # The most central member of a bucket has the most tokens that others have too.
-    central = postings.groupBy("node").agg(F.sum(F.log2(F.col("members").cast("double"))).alias("central"))
-    postings = cut(postings.join(central, "node").select("token", "node", "n", F.round("central", 3).alias("central")))
-
-    narrow = nodes.select("node", "orders")
-    located = nodes.select("node", "at.doc_id", "at.text_key")
-    sets = seen = links = roots = None
+    central = shared.groupBy("node").agg(F.round(F.sum(F.log2(F.col("members").cast("double"))), 3).alias("central"))
+    members = central.join(nodes.select("node", "n", "orders", F.col("at.doc_id").alias("doc_id"), "at.text_key"), "node")
+    members = cut(members)
+    postings = shared.select("token", "node").join(members.select("node", "n", "central"), "node").withColumn("held", F.lit(None).cast("int"))
+    state = _State(docs, members, size, percent)
     rounds = 0
     while True:
-        if roots is None:
-            hubs = postings.groupBy("token").agg(F.max(F.struct("central", "node", "n")).alias("hub"))
-            pairs = postings.join(hubs, "token").select(F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"), F.col("node").alias("b"), F.col("n").alias("n_b")).filter("a <> b")
-            rest = postings.join(hubs.select("token", F.col("hub.node").alias("node")), ["token", "node"], "left_anti")
-        else:
-            open_ = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            bucket = open_.groupBy("token").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("n_low"), F.max("n").alias("n_high")).filter("low <> high")
-            open_ = cut(open_.join(bucket.select("token", "members"), "token"))
-            if open_.isEmpty():
-                break
-            few = open_.filter(F.col("members") <= SMALL)
-            one = few.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-            two = few.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-            pairs = one.join(two, "token").filter("a < b and root_a <> root_b").select("a", "n_a", "b", "n_b")
-            many = open_.filter(F.col("members") > SMALL)
-            slot = F.pmod(F.xxhash64("root", F.lit(rounds)), F.lit(16 << min(rounds, 8)))
-            hubs = many.groupBy("token", slot.alias("slot")).agg(F.max(F.struct("central", "node", "n", "root")).alias("hub")).select("token", "hub")
-            more = many.join(hubs, "token").filter((F.col("hub.root") != F.col("root")))
-            pairs = pairs.union(more.select(F.col("hub.node"), F.col("hub.n"), "node", "n"))
-            rest = many.join(hubs.select("token", F.col("hub.node").alias("node")), ["token", "node"], "left_anti")
-        pairs = pairs.filter(_close(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = pairs.join(narrow.select(F.col("node").alias("a"), F.col("orders").alias("orders_a")), "a").join(narrow.select(F.col("node").alias("b"), F.col("orders").alias("orders_b")), "b")
-        pairs = cut(_sharing(pairs))
-        postings = rest.select("token", "node", "n", "central")
+        postings = cut(state.open(postings, rounds))
+        if postings.isEmpty():
+            break
+        direct = postings.filter("direct")
+        state.compare(_across(direct, percent) if rounds else _with_hubs(direct))
+        left = direct.select(*_POSTING) if not rounds else direct.select(*_POSTING).limit(0)
+        postings = state.refine(postings.filter("not direct")).unionByName(left)
         rounds += 1
-        if pairs.isEmpty():
-            roots = components(pairs) if roots is None else roots
-            continue
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("node"), "node", "left_anti")
-        more = cut(_sets(docs, located.join(wanted, "node"), size))
-        sets = more if sets is None else sets.unionByName(more)
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-        done = cut(_verified(both, percent))
-        seen = done.select("a", "b") if seen is None else seen.union(done.select("a", "b"))
-        fresh = done.filter("linked")
-        links = fresh if links is None else links.unionByName(fresh)
-        if roots is None or not fresh.isEmpty():
-            roots = components(links)
-    ends = sketches.join(roots, "node", "left")
+    ends = sketches.join(state.roots, "node", "left") if state.roots is not None else sketches.withColumn("root", F.lit(None).cast("long"))
     return ends.select("doc_id", "text_key", F.col("n_shingles").cast("long"), F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).alias("root"))
 
 
+#: Rounds after which open buckets are compared pair by pair, whatever their size.
+ROUNDS = 6
+#: A large bucket with at most so many members outside its largest component is compared directly too, and one
+#: of members that hold enough of a hub if that takes at most so many tests of two numbers.
+FEW = 16
+TESTS = 1 << 22
+
+
+def _hubs(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("token").agg(F.max(F.struct("central", "node", "n")).alias("hub"))
+
+
+def _with_hubs(postings: DataFrame) -> DataFrame:
+    """(a, n_a, b, n_b): each member with the hub of its bucket."""
+    return postings.join(_hubs(postings), "token").filter("hub.node <> node").select(F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"), F.col("node").alias("b"), F.col("n").alias("n_b"))
+
+
+_POSTING = ("token", "node", "n", "central", "held")
+
+
+def _across(postings: DataFrame, percent: int) -> DataFrame:
+    """(a, n_a, b, n_b): pairs of different components in a bucket that their sizes, and what they hold of a hub, let link."""
+    one = postings.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), "largest", F.col("held").alias("held_a"))
+    two = postings.filter("root <> largest").select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("held").alias("held_b"))
+    enough = F.col("held_a").isNull() | (least_overlap(F.col("n_a"), F.col("n_b"), percent) <= F.least("held_a", "held_b"))
+    close = 100 * F.least("n_a", "n_b").cast("long") >= percent * F.greatest("n_a", "n_b").cast("long")
+    # Of two members outside the largest component each is b once; the smaller node counts.
+    return two.join(one, "token").filter((F.col("root_a") != F.col("root_b")) & ((F.col("root_a") == F.col("largest")) | (F.col("a") < F.col("b"))) & close & enough).select("a", "n_a", "b", "n_b")
+
+
+class _State:
+    """Links found so far, their components, and the sets that comparisons have needed."""
+
+    def __init__(self, docs: DataFrame, members: DataFrame, size: int, percent: int):
+        self.docs, self.members, self.size, self.percent = docs, members, size, percent
+        self.roots = self.links = self.sets = self.seen = None
+
+    def _rooted(self, df: DataFrame) -> DataFrame:
+        if self.roots is None:
+            return df.withColumn("root", F.col("node"))
+        return df.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def open(self, postings: DataFrame, rounds: int) -> DataFrame:
+        """Postings of buckets with several components, with root, the largest component, and whether to compare them directly."""
+        rooted = self._rooted(postings)
+        parts = rooted.groupBy("token", "root").agg(F.count("*").alias("k"))
+        buckets = parts.groupBy("token").agg(F.sum("k").alias("members"), F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
+        outside = F.col("members") - F.col("top.k")
+        direct = (F.col("members") <= SMALL) | (F.lit(rounds > 0) & (outside <= FEW)) | F.lit(rounds >= ROUNDS)
+        buckets = buckets.select("token", F.col("top.root").alias("largest"), direct.alias("direct"), (outside * F.col("members")).alias("tests"))
+        direct = F.col("direct") | (F.col("held").isNotNull() & (F.col("tests") <= TESTS))
+        return rooted.join(buckets, "token").select(*_POSTING, "root", "largest", direct.alias("direct"))
+
+    def _with_sets(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
+        wanted = pairs.select(F.col(a).alias("node")).union(pairs.select(b)).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
+        more = cut(_sets(self.docs, self.members.join(wanted, "node"), self.size))
+        self.sets = more if self.sets is None else self.sets.unionByName(more)
+        named = lambda c: self.sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
+        return pairs.join(named(a), a).join(named(b), b)
+
+    def _link(self, links: DataFrame) -> None:
+        if self.roots is not None:
+            # Links inside one component change nothing.
+            at = lambda c: self.roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+            links = links.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).select("a", "b")
+            links = cut(links)
+        if links.isEmpty():
+            return
+        self.links = links if self.links is None else self.links.unionByName(links)
+        self.roots = components(self.links)
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Verifies the pairs that pass the filters of sizes and of the other orders."""
+        low, high = F.least("n_a", "n_b").cast("long"), F.greatest("n_a", "n_b").cast("long")
+        pairs = pairs.filter(100 * low >= self.percent * high).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if self.seen is not None:
+            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
+        orders = lambda c: self.members.select(F.col("node").alias(c), F.col("orders").alias(f"orders_{c}"))
+        pairs = cut(_sharing(pairs.join(orders("a"), "a").join(orders("b"), "b")))
+        if pairs.isEmpty():
+            return
+        done = cut(_verified(self._with_sets(pairs, "a", "b"), self.percent))
+        self.seen = done.select("a", "b") if self.seen is None else self.seen.unionByName(done.select("a", "b"))
+        self._link(done.filter("linked").select("a", "b"))
+
+    def refine(self, postings: DataFrame) -> DataFrame:
+        """Compares the members of large buckets with their hub, and gives the buckets that take their place."""
+        members = postings.join(_hubs(postings), "token").filter("hub.node <> node").select(F.col("hub.node").alias("hub"), "node", "n", "central").distinct()
+        members = cut(members)
+        if members.isEmpty():
+            return postings.select(*_POSTING).limit(0)
+        against = cut(_against_hubs(self._with_sets(members, "hub", "node"), self.percent))
+        self._link(against.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+        # Only hubs with members of several components go on.
+        rooted = self._rooted(against.select("hub", "node", "n"))
+        still = rooted.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least")).filter("low <> high").select("hub", "least")
+        against = against.join(still, "hub")
+        outside = against.select("hub", "node", "n", "central", F.explode("rest").alias("_t")).select(F.xxhash64("hub", "_t").alias("token"), "node", "n", "central", F.lit(None).cast("int").alias("held"))
+        enough = against.filter(F.col("common") >= least_overlap(F.col("n"), F.col("least"), self.percent)).select(F.xxhash64("hub", F.lit("enough")).alias("token"), "node", "n", "central", F.col("common").alias("held"))
+        return outside.unionByName(enough)
+
+
 def linked_components(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: the smallest doc_id of its component (see linked_roots).
 
