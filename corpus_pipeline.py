@@ -7,15 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from doctree.llm import bpe, decontaminate, jaccard, pii, quality
-from doctree.llm.shared import shared_dir
+from doctree.llm.shared import set_aside, shared_dir
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labelled documents, does not reject."""
     given = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = quality.fit(given, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score(docs.select(F.struct(*docs.columns).alias("_row"), "text"), model)
-    return scored.filter(F.col("score") >= quality.THRESHOLD).select("_row.*")
+    docs, restored = set_aside(docs, "score")
+    return restored(quality.score(docs, model).filter(F.col("score") >= quality.THRESHOLD))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

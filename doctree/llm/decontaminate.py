@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .shared import WORD, Words, blocks, buffers, char_offsets, cut
+from .shared import WORD, Words, blocks, buffers, char_offsets, cut, set_aside
 
 SIZE = 10
 #: Benchmark text beyond this many bytes is joined by shuffle instead of being broadcast.
@@ -97,7 +95,8 @@ def _joined(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     grams = items.select("_item", "_n", F.explode(F.transform(F.sequence(F.lit(1), F.size("_w") - F.col("_n") + 1), lambda i: window(F.col("_w"), F.col("_n"), i))).alias("_g"))
     grams = cut(grams.groupBy("_n", "_g").agg(F.collect_set("_item").alias("_items")))
     lengths = [r[0] for r in grams.select("_n").distinct().collect()]  # at most `size` of them
-    keyed = docs.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    kept = [c for c in docs.columns if c != "text"]
+    keyed = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("_key"), F.struct(*kept).alias("_row"), "text") if kept else docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("_key"), "text")
     texts = keyed.select("_key", F.coalesce("text", F.lit("")).alias("_t")).dropDuplicates(["_key"]).withColumn("_w", words(F.col("_t")))
     places = texts.select(
         "_key",
@@ -128,7 +127,7 @@ def _joined(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     ).otherwise(F.concat(acc, F.array(x)))
     places = places.select("_key", "hit_items", F.size("_hit").cast("long").alias("n_hit"), F.transform(F.aggregate("_s", empty, merge), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("hit_spans"))
     return keyed.join(places, "_key", "left").select(
-        *[keyed[c] for c in docs.columns],
+        *[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns],
         F.size(words(F.col("text"))).cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items"),
@@ -162,16 +161,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
 
     Columns stay as they are. A null text is never contaminated.
     """
+    docs, restored = set_aside(docs, *_HITS.fieldNames())
     found = scan(docs, benchmark, **how)
     if mode == "document":
-        return found.filter("n_hit = 0").select(*docs.columns)
+        return restored(found.filter("n_hit = 0"))
     if mode != "span":
         raise ValueError(f"unknown mode {mode!r}")
     # Kept pieces: from the end of each hit (or 0) to the start of the next (or the end).
     starts = F.concat(F.array(F.lit(0)), F.col("hit_spans.end"))
     ends = F.concat(F.col("hit_spans.start"), F.array(F.length("text")))
     kept = F.array_join(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.substring(F.col("text"), x["a"] + 1, x["b"] - x["a"])), "")
-    return found.withColumn("text", F.when(F.col("n_hit") > 0, kept).otherwise(F.col("text"))).select(*docs.columns)
+    return found.withColumn("text", F.when(F.col("n_hit") > 0, kept).otherwise(F.col("text"))).transform(restored)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from .components import components
-from .shared import NOT_SPACE, Words, blocks, cut, mix
+from .shared import NOT_SPACE, Words, blocks, cut, fresh, mix
 
 SHINGLE = 4
 PERCENT = 85
@@ -204,17 +204,61 @@ def _against_hubs(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, _AGAINST)
 
 
+#: Bits of the filter that keeps most unwanted texts from being shuffled. Its size is fixed; it drops no wanted one.
+FILTER_BITS = 1 << 23
+
+
+def _bits(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) >> np.uint64(41)).astype(np.int64)
+
+
+def _filter(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of hashed text_key of wanted."""
+
+    def mark(batches):
+        flags = np.zeros(FILTER_BITS, np.uint8)
+        for batch in batches:
+            flags[_bits(batch.column("text_key").to_numpy(zero_copy_only=False).astype(np.int64))] = 1
+        parts = np.packbits(flags).reshape(-1, _CHUNK)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["part", "bits"])
+
+    def unite(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, bits in zip(batch.column("part").to_pylist(), batch.column("bits").to_pylist()):
+                bits = np.frombuffer(bits, np.uint8)
+                total[part] = total[part] | bits if part in total else bits
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "bits"])
+
+    schema = "part long, bits binary"
+    united = wanted.select("text_key").mapInArrow(mark, schema).repartition(16, "part").mapInArrow(unite, schema)
+    out = np.zeros((FILTER_BITS // 8 // _CHUNK, _CHUNK), np.uint8)
+    for row in united.collect():  # FILTER_BITS in all
+        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return np.unpackbits(out.reshape(-1)).astype(bool)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, shingles) for wanted (node, doc_id, text_key): the set of one text of each node, packed."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
+
+    def keep(batches):
+        for batch in batches:
+            keys = batch.column("text_key").to_numpy(zero_copy_only=False).astype(np.int64)
+            rows = batch.filter(pa.array(bitmap.value[_bits(keys)]))
+            if rows.num_rows:
+                yield rows
 
     def run(batches):
         for rows, data, at in blocks(batches):
             sets = [s.astype("<u8").tobytes() for s in _shingles(data, at, size)]
             yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
+    keyed = keyed.mapInArrow(keep, keyed.schema)
     wanted = wanted.select("node", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    texts = docs.select("doc_id", "text").join(wanted, same).select("node", "text").dropDuplicates(["node"])
+    texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("node", "text").dropDuplicates(["node"])
     return texts.mapInArrow(run, "node long, shingles binary")
 
 
@@ -384,13 +428,14 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """
     ends = linked_roots(docs.select("doc_id", "text"), **how)
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best")
-    kept = ends.filter("root is not null").groupBy("root").agg(best).select("best.doc_id", "best.text_key", F.lit(True).alias("_single"))
-    bare = ends.filter("root is null").select("doc_id", "text_key", F.lit(False).alias("_single")).distinct()
+    code, single, turn = fresh(docs, "_code"), fresh(docs, "_single"), fresh(docs, "_turn")
+    kept = ends.filter("root is not null").groupBy("root").agg(best).select("best.doc_id", "best.text_key", F.lit(True).alias(single))
+    bare = ends.filter("root is null").select("doc_id", "text_key", F.lit(False).alias(single)).distinct()
     key = lambda i, k: F.xxhash64(F.coalesce(i.cast("string"), F.lit("none")), k)
-    kept = kept.union(bare).select(key(F.col("doc_id"), F.col("text_key")).alias("_key"), "_single")
-    rows = docs.withColumn("_key", key(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(kept, "_key")
-    turn = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    return rows.withColumn("_turn", turn).filter("_turn = 1 or not _single").select(*docs.columns)
+    kept = kept.union(bare).select(key(F.col("doc_id"), F.col("text_key")).alias(code), single)
+    rows = docs.withColumn(code, key(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(kept, code)
+    rows = rows.withColumn(turn, F.row_number().over(Window.partitionBy(code).orderBy(code)))
+    return rows.filter((F.col(turn) == 1) | ~F.col(single)).select(*docs.columns)
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

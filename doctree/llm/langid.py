@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from .quality import held_out
-from .shared import LOWER, WORD, Words, blocks, byte_table, mix
+from .shared import LOWER, WORD, Words, blocks, byte_table, fresh, mix
 
 BITS = 16
 SIZE = 16
@@ -165,20 +165,21 @@ def identify(docs: DataFrame, model: Model | None, reject: bool = True) -> DataF
     if model is None:
         return docs.select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
     kept = docs.sparkSession.sparkContext.broadcast(model)
+    flag = fresh(docs, "_letters")
 
     def run(batches):
         model = kept.value
         for rows, data, at in blocks(batches):
             p = model.probabilities(data, at)
-            known = np.array(rows.column("_letters").to_pylist(), bool)
+            known = np.array(rows.column(flag).to_pylist(), bool)
             best = p.argmax(axis=1)
             score = np.where(known, p[np.arange(len(p)), best], 0.0)
             fine = known & (score >= model.least)
             langs = [model.langs[k] if (f if reject else o) else UNKNOWN for k, f, o in zip(best, fine, known)]
-            rows = rows.drop_columns(["_letters"])
+            rows = rows.drop_columns([flag])
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(langs), pa.array(score), pa.array(fine)], names=[*rows.schema.names, "lang_pred", "score", "accepted"])
 
-    return docs.withColumn("_letters", letters).mapInArrow(run, schema)
+    return docs.withColumn(flag, letters).mapInArrow(run, schema)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import cut
+from .shared import cut, fresh
 
 KINDS = ("email", "ip", "card", "phone")
 #: What each kind looks like. A run that is too long for a card is no match at all, so its parts are none either.
@@ -190,8 +190,10 @@ def mask(docs: DataFrame) -> DataFrame:
 
     Columns and rows stay; texts without spans, null ones too, are as they were.
     """
-    found = find(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))).alias("_spans")).distinct()
-    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
+    i, k, at = fresh(docs, "_id"), fresh(docs, "_key"), fresh(docs, "_spans")
+    spans = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    found = find(docs.select("doc_id", "text")).filter(F.size("spans") > 0).select(F.col("doc_id").alias(i), F.col("text_key").alias(k), spans.alias(at)).distinct()
+    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(k)), "left")
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     # What stands before a span and its name, unless an earlier span reaches beyond it.
     step = lambda acc, x: F.struct(
@@ -201,8 +203,8 @@ def mask(docs: DataFrame) -> DataFrame:
         .alias("parts"),
     )
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    masked = F.aggregate(F.array_sort("_spans"), start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked)).select(*docs.columns)
+    masked = F.aggregate(at, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    return joined.withColumn("text", F.when(F.col(at).isNull(), F.col("text")).otherwise(masked)).select(*docs.columns)
 
 
 def _listed(spans: str) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..sources.scratch import cut, shared_dir  # noqa: F401
 
 #: Bytes of text that one numpy step works on; one longer text is still taken whole.
 BLOCK_BYTES = 1 << 20
@@ -20,21 +20,18 @@ _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint6
 _POWERS: dict[int, np.ndarray] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is named, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="doctree-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: its lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def set_aside(df: DataFrame, *names: str):
+    """df with columns of these names renamed, and a function that drops these names and undoes that."""
+    moved = {c: fresh(df, "_" + c) for c in df.columns if c.lower() in {n.lower() for n in names}}
+    return df.withColumnsRenamed(moved), lambda out: out.drop(*names).withColumnsRenamed({b: a for a, b in moved.items()}).select(*df.columns)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .gear import Sizes, digests
-from .shared import blocks
+from .shared import blocks, fresh, set_aside
 
 SIZES = Sizes(least=32, normal=48, most=192, strict=5, loose=3)
 #: Shorter runs of repeated chunks, in code points, stay: a phrase in common is no passage.
@@ -92,20 +92,22 @@ def repeats(docs: DataFrame, sizes: Sizes = SIZES, least_run: int = LEAST_RUN) -
 def annotate(docs: DataFrame, **how) -> DataFrame:
     """docs with repeated, removed and first_docs of `repeats`; empty arrays where nothing repeats."""
     added = ("repeated", "removed", "first_docs")
-    docs = docs.drop(*added, "text_key")
-    found = repeats(docs, **how).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    docs = docs.drop(*added)
+    i, k = fresh(docs, "_id"), fresh(docs, "_key")
+    found = repeats(docs.select("doc_id", "text"), **how).withColumnsRenamed({"doc_id": i, "text_key": k})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(k))
     out = docs.join(found, same, "left")
     return out.select(*docs.columns, *[F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in added])
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
     """docs with later occurrences of repeated passages cut out of text; columns stay, null texts too."""
+    docs, restored = set_aside(docs, "repeated", "removed", "first_docs")
     marked = annotate(docs, **how)
     starts = F.concat(F.array(F.lit(0)), F.col("removed.end"))
     ends = F.concat(F.col("removed.start"), F.array(F.length("text")))
     kept = F.array_join(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.substring(F.col("text"), x["a"] + 1, x["b"] - x["a"])), "")
-    return marked.withColumn("text", F.when(F.size("removed") > 0, kept).otherwise(F.col("text"))).select(*docs.columns)
+    return restored(marked.withColumn("text", F.when(F.size("removed") > 0, kept).otherwise(F.col("text"))))
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
