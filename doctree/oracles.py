@@ -110,6 +110,7 @@ _add("s1_pages", "SELECT doc_id, page, md5(text) AS text_md5, token_length FROM
 _add("s2_paginate", "SELECT doc_id, CAST(i AS INTEGER) AS page, md5(body) AS text_md5, CAST(length(body) // 4 AS INTEGER) AS token_length FROM bodies")
 _add("s5_read_index", "SELECT doc_id, 'Doc-' || doc_id AS doc_name, source AS doc_description, '[]' AS structure_json FROM d WHERE n % 7 <> 0 AND n % 5 <> 0")
 _add("s6_upsert", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE source END AS source, CAST(length(text) AS INTEGER) AS n FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+_add("j7_not_indexed", "SELECT doc_id, source FROM documents WHERE doc_id % 3 <> 0")
 _add("s7_rebuild_catalog", "SELECT d.doc_id, 'pdf' AS type, 'Doc-' || d.doc_id AS doc_name, CASE WHEN n % 2 = 0 THEN source ELSE '' END AS doc_description, '' AS path, CASE WHEN n % 3 <> 0 THEN n_pages ELSE 0 END AS page_count FROM d JOIN stats ON stats.doc_id = d.doc_id")
 _add("s8_run_report", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'Doc-' || doc_id AS name, 'out/' || doc_id || '_structure.json' AS output, CASE WHEN doc_id % 4 <> 0 THEN 'ok' ELSE 'failed' END AS status FROM documents")
 _TAG = "'<physical_index_' || page || '>'"
@@ -157,6 +158,16 @@ _add("j8_title_places", "SELECT * FROM places")
 _add("r5_check_titles", "SELECT doc_id, pos, physical_index, there OR at_start AS appears, at_start FROM checks")
 _add("a1_doc_stats", "SELECT * FROM stats")
 _add("a4_accuracy", "SELECT s.doc_id, coalesce(round(CASE WHEN last >= n_pages / 2.0 THEN right_ / all_ ELSE 0 END, 6), 0.0) AS accuracy, CAST(CASE WHEN last >= n_pages / 2.0 THEN all_ - right_ ELSE 0 END AS BIGINT) AS incorrect FROM stats s LEFT JOIN (SELECT doc_id, arg_max(physical_index, pos) AS last, CAST(count(*) FILTER (there OR at_start) AS DOUBLE) AS right_, CAST(count(*) AS DOUBLE) AS all_ FROM checks GROUP BY doc_id) c ON c.doc_id = s.doc_id")
+# Repair: twice, what is wrong is looked for between the nearest items that are not.
+_CTES["hplaces"] = f"SELECT s.doc_id, s.pos, n.page, n.k = t.k AS at_top FROM shifted s JOIN norms n ON n.doc_id = s.doc_id AND n.norm = {_squash('s.title')} JOIN tops t ON t.doc_id = n.doc_id AND t.page = n.page WHERE {_squash('s.title')} <> ''"
+_CTES["i1"] = "SELECT doc_id, pos, physical_index, NOT (there OR at_start) AS wrong FROM checks"
+for _round in (1, 2):
+    _sure = "CASE WHEN NOT wrong THEN physical_index END IGNORE NULLS"
+    _CTES[f"b{_round}"] = f"SELECT i.doc_id, pos, wrong, greatest(coalesce(last_value({_sure}) OVER (PARTITION BY i.doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 1) AS lo, least(coalesce(first_value({_sure}) OVER (PARTITION BY i.doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n_pages), n_pages) AS hi FROM i{_round} i JOIN stats ON stats.doc_id = i.doc_id"
+    _CTES[f"f{_round}"] = f"SELECT b.doc_id, b.pos, CASE WHEN count(*) FILTER (at_top) = 1 THEN min(page) FILTER (at_top) ELSE min(page) END AS found FROM b{_round} b JOIN hplaces p ON p.doc_id = b.doc_id AND p.pos = b.pos AND p.page BETWEEN lo AND hi WHERE wrong GROUP BY b.doc_id, b.pos"
+    _CTES[f"i{_round + 1}"] = f"SELECT i.doc_id, i.pos, CAST(coalesce(found, physical_index) AS INTEGER) AS physical_index, wrong AND found IS NULL AS wrong FROM i{_round} i LEFT JOIN f{_round} f ON f.doc_id = i.doc_id AND f.pos = i.pos"
+_add("c4_repair", "SELECT doc_id, pos, physical_index, wrong AS still_wrong FROM i3")
+_add("a8_repair_report", "SELECT a.doc_id, count(*) FILTER (b.physical_index <> a.physical_index) AS fixed, count(*) FILTER (b.wrong) AS invalid, count(*) FILTER (a.physical_index > n_pages) AS truncated FROM shifted a JOIN i3 b ON b.doc_id = a.doc_id AND b.pos = a.pos JOIN stats ON stats.doc_id = a.doc_id GROUP BY a.doc_id")
 _add("c6_appear_start", "SELECT doc_id, pos, at_start AS appear_start FROM checks")
 _add("w11_batches", "SELECT doc_id, CAST((page - 1) // 4 AS INTEGER) AS batch, page FROM pages")
 _add("w12_sample", "SELECT doc_id, least(count(*), 5) AS n_items FROM headings GROUP BY doc_id")
@@ -176,6 +187,7 @@ for _depth in (3, 2, 1, 0):
     _CTES[f"sums{_depth}"] = f"SELECT b.doc_id, b.node_seq, b.parent_seq, b.node_id, b.title, b.depth, CASE WHEN b.depth = {_depth} AND b.summary IS NULL THEN (SELECT string_agg(c.title || CASE WHEN c.summary = '' THEN '' ELSE ': ' || {_clip('c.summary', 80)} END, '; ' ORDER BY c.node_seq) FROM {_below} c WHERE c.doc_id = b.doc_id AND c.parent_seq = b.node_seq) ELSE b.summary END AS summary FROM {_below} b"
 _add("k5_summaries", "SELECT doc_id, node_id, coalesce(summary, '') AS summary FROM sums0")
 _add("k6_descriptions", f"SELECT doc_id, {_clip('t', 300)} AS doc_description FROM (SELECT doc_id, string_agg(title, '; ' ORDER BY node_seq) AS t FROM nodes WHERE depth = 0 GROUP BY doc_id)")
+_add("p13_description_fields", "SELECT doc_id, node_seq, parent_seq, title, node_id, '' AS summary FROM nodes")
 _add("k2_k4_round_trip", "SELECT doc_id, node_id, node_seq, parent_seq, depth, title, start_index, end_index, is_leaf FROM nodes")
 _add("c2_path_b", "SELECT e.doc_id, e.pos, structure, title, min(p.page) AS physical_index FROM entries e LEFT JOIN (SELECT * FROM places x WHERE NOT EXISTS (SELECT 1 FROM toc_out o WHERE o.doc_id = x.doc_id AND o.page = x.page)) p ON p.doc_id = e.doc_id AND p.pos = e.pos GROUP BY ALL")
 _add("c7_section_tree", "SELECT n.doc_id, node_id, depth, title, start_index, end_index, is_leaf, CAST(length(text) AS INTEGER) AS text_chars FROM nodes n LEFT JOIN leaf_text t ON t.doc_id = n.doc_id AND t.node_seq = n.node_seq")
@@ -190,4 +202,5 @@ _add("c12_answer_requests", "SELECT f.request_id, f.doc_id, t.pages, prompt_md5,
 _ASK = "'Is the following page part of a table of contents? Answer as JSON: {\"answer\": \"yes\" or \"no\"}.' || chr(10) || chr(10) || text"
 _add("x1_requests", f"SELECT DISTINCT sha256(doc_id || chr(10) || 'toc_page' || chr(10) || {_ASK}) AS request_id, doc_id, 'toc_page' AS stage, CAST(length({_ASK}) // 4 AS INTEGER) AS est_tokens FROM pages WHERE page <= 4")
 _add("x2_responses", "SELECT CAST(doc_id AS VARCHAR) AS request_id, CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN false END AS answer, doc_id % 5 = 0 AS at_start, CASE WHEN doc_id % 5 = 1 THEN 7 END AS physical_index, CASE WHEN doc_id % 5 = 1 THEN 'high' ELSE 'low' END AS confidence, doc_id % 5 IN (0, 1, 4) AS ok FROM documents")
+_add("x4_run_model", "SELECT f.doc_id, f.page, starts_with(text, 'Contents') AS is_toc FROM flags f JOIN pages p ON p.doc_id = f.doc_id AND p.page = f.page WHERE f.page <= 4")
 _add("x3_answers", "SELECT doc_id || '-' || page AS request_id, is_toc OR page = 1 AS is_toc FROM flags WHERE page <= 4")

@@ -97,6 +97,12 @@ def s6_upsert(spark, sf_dir):
     return files.upsert(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 3 = 0").withColumn("source", F.lit("new")))
 
 
+@query
+def j7_not_indexed(spark, sf_dir):
+    docs = _documents(spark, sf_dir).select("doc_id", "source")
+    return files.left_anti_docs(docs, docs.filter("doc_id % 3 = 0"))
+
+
 @query
 def s7_rebuild_catalog(spark, sf_dir):
     docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("Doc-"), "doc_id").alias("doc_name"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("doc_description"), F.lit("[]").alias("structure_json"))
@@ -435,6 +441,11 @@ def k6_descriptions(spark, sf_dir):
     return enrich.describe_documents(_nodes(_pages(spark, sf_dir)).withColumn("summary", F.lit("")))
 
 
+@query
+def p13_description_fields(spark, sf_dir):
+    return tree.description_fields(_nodes(_pages(spark, sf_dir)).withColumn("summary", F.lit("")))
+
+
 @query
 def k2_k4_round_trip(spark, sf_dir):
     nodes = _nodes(_pages(spark, sf_dir))
@@ -550,3 +561,19 @@ def x3_answers(spark, sf_dir):
     flags = detect.toc_flags(_pages(spark, sf_dir), 4).withColumn("request_id", F.concat_ws("-", "doc_id", "page"))
     given = flags.filter("page = 1").select("request_id", F.lit(True).alias("is_toc"))
     return ask.with_answers(flags, given, "is_toc").select("request_id", "is_toc")
+
+
+def _contents_model(batches):
+    """Stands for a user's model: a page is a table of contents if its text begins so."""
+    for pdf in batches:
+        yes = pdf["prompt"].str.contains("\n\nContents", regex=False)
+        yield pdf.assign(response=yes.map({True: '{"answer": "yes"}', False: '{"answer": "no"}'}))[["request_id", "response"]]
+
+
+@query
+def x4_run_model(spark, sf_dir):
+    pages = _pages(spark, sf_dir).filter("page <= 4")
+    asked = pages.join(ask.make_requests("toc_page", pages).select("request_id", "doc_id", "prompt"), "doc_id").filter(F.endswith("prompt", F.concat(F.lit("\n\n"), "text")))
+    ruled = asked.select("request_id", "doc_id", "page", rules.is_toc_page("text").alias("is_toc"))
+    answers = ask.parse_responses(ask.run_model(asked.select("request_id", "prompt").distinct(), _contents_model))
+    return ask.with_answers(ruled, answers.filter("ok").select("request_id", F.col("answer").alias("is_toc")), "is_toc").select("doc_id", "page", "is_toc")
