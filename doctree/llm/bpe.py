@@ -11,7 +11,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .shared import _BYTE, BLOCK_BYTES, blocks, range_hashes
+from .shared import _BYTE, blocks, bounded, range_hashes
 
 #: Encodings of short pre-tokens that a worker remembers before it starts anew.
 REMEMBERED = 1_000_000
@@ -333,7 +333,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     Rows stay as they are, repeated ones too; a column that is called token_ids is replaced. Texts of any
     length are encoded whole: a pre-token of n bytes takes about n log n steps.
     """
-    docs = docs.drop("token_ids")
+    docs = bounded(docs).drop("token_ids")
     name = _shipped(docs.sparkSession, path)
 
     def run(batches):
@@ -348,7 +348,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """Adds decoded (binary) for token_ids; null or empty ids give no bytes, an id that the ranks lack fails."""
-    encoded = encoded.drop("decoded")
+    encoded = bounded(encoded).drop("decoded")
     name = _shipped(encoded.sparkSession, path)
 
     def run(batches):
@@ -385,7 +385,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 out.append([sha(flat[a : max(a, b - tail)]) for a, b in zip(edges, edges[1:])])
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(cuts)), pa.array(out[0], pa.string()), pa.array(out[1], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _DIGESTS)
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _DIGESTS)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .shared import bounded
+
 #: Strings that mark turns here or in common chat formats. Each begins with a character that stands nowhere else in any.
 CONTROLS = ("<|role|>", "<|text|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]")
 TEMPLATE = (
@@ -362,7 +364,7 @@ _PIECES = "conv_id long, piece long, text string, learn array<struct<start:int,e
 
 def _sorted(conversations: DataFrame) -> DataFrame:
     parts = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = bounded(conversations).select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 

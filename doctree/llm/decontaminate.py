@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .shared import WORD, Words, blocks, buffers, char_offsets, cut, set_aside
+from .shared import WORD, Words, blocks, bounded, buffers, char_offsets, cut, set_aside
 
 SIZE = 10
 #: Benchmark text beyond this many bytes is joined by shuffle instead of being broadcast.
@@ -146,7 +146,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, broadcast_byte
     has at most `broadcast_bytes` bytes of text; a larger one is joined by shuffle, with the same result.
     """
     spark = docs.sparkSession
-    docs = docs.drop(*[f.name for f in _HITS])
+    docs = bounded(docs).drop(*[f.name for f in _HITS])
     benchmark = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", "text")
     if (benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > broadcast_bytes:
         return _joined(docs, benchmark, size)

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .gear import Sizes, digests
-from .shared import BLOCK_BYTES, blocks, buffers
+from .shared import BLOCK_BYTES, blocks, bounded, buffers
 
 SIZES = Sizes()
 _PART = np.dtype([("digest", "<u8"), ("bytes", "<u4")])
@@ -54,7 +53,7 @@ def fingerprints(docs: DataFrame, sizes: Sizes = SIZES) -> DataFrame:
     A fingerprint is the base64 form of its sorted (digest, bytes) pairs, 12 bytes each. Rows and other columns
     stay; a column that is called fingerprint is replaced.
     """
-    docs = docs.drop("fingerprint")
+    docs = bounded(docs).drop("fingerprint")
 
     def run(batches):
         for rows, data, at in blocks(batches):
@@ -92,7 +91,7 @@ def compare_with_next(docs: DataFrame, sizes: Sizes = SIZES, buckets: int | None
     megabytes. Documents of equal id are ordered by text, null ids come last (all in one range). A lone
     document is its own next one.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     moved = _in_buckets(docs, buckets)
     moved = moved.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from .components import components
-from .shared import NOT_SPACE, Words, blocks, cut, fresh, mix
+from .shared import NOT_SPACE, Words, blocks, bounded, cut, fresh, mix
 
 SHINGLE = 4
 PERCENT = 85
@@ -282,15 +282,16 @@ def linked_roots(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     that both hold enough for their two sizes count. So no bucket is cut short, and a group of near copies
     costs its size, not its square. After ROUNDS rounds what is still open is compared pair by pair.
     """
-    sketches = cut(_sketches(docs, size, percent))
-    nodes = cut(sketches.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("rare").alias("rare"), F.first("orders").alias("orders"), F.min(F.struct("doc_id", "text_key")).alias("at")))
-    raw = nodes.select("node", F.explode("rare").alias("token"))
-    shared = raw.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = cut(raw.join(shared, "token"))
+    sketches = cut(_sketches(bounded(docs), size, percent))
+    raw = sketches.select("node", F.explode("rare").alias("token"))
+    # Rows of equal sets are told apart from shared tokens without a shuffle of their own: all of them are one node.
+    shared = raw.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("token")
+    shared = cut(raw.join(shared, "token").distinct())
     # The most central member of a bucket has the most tokens that others have too.
-    central = shared.groupBy("node").agg(F.round(F.sum(F.log2(F.col("members").cast("double"))), 3).alias("central"))
-    members = central.join(nodes.select("node", "n", "orders", F.col("at.doc_id").alias("doc_id"), "at.text_key"), "node")
-    members = cut(members)
+    counts = shared.groupBy("token").agg(F.count("*").cast("double").alias("members"))
+    central = shared.join(counts, "token").groupBy("node").agg(F.round(F.sum(F.log2("members")), 3).alias("central"))
+    nodes = sketches.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("orders").alias("orders"), F.min(F.struct("doc_id", "text_key")).alias("at"))
+    members = cut(central.join(nodes, "node").select("node", "n", "central", "orders", F.col("at.doc_id").alias("doc_id"), "at.text_key"))
     postings = shared.select("token", "node").join(members.select("node", "n", "central"), "node").withColumn("held", F.lit(None).cast("int"))
     state = _State(docs, members, size, percent)
     rounds = 0

@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from .quality import held_out
-from .shared import LOWER, WORD, Words, blocks, byte_table, fresh, mix
+from .shared import LOWER, WORD, Words, blocks, bounded, byte_table, fresh, mix
 
 BITS = 16
 SIZE = 16
 #: Documents a language that the model is fitted on, at most: those of the smallest hashed doc_id.
-MOST_ROWS = 2048
+MOST_ROWS = 1024
 #: Documents of all languages, at most; each language gives its first before any gives its second.
-MOST_IN_ALL = 16384
+MOST_IN_ALL = 8192
 UNKNOWN = "und"
 _LETTER = byte_table(lambda i: 97 <= i <= 122 or i >= 128)
 
@@ -117,6 +117,7 @@ def fit(docs: DataFrame, most_rows: int = MOST_ROWS, most_in_all: int = MOST_IN_
     At most most_rows documents a language and most_in_all together are used, those of the smallest hashed
     doc_id; null ids, texts and languages are left out. Subwords are counted where the texts are; one task fits.
     """
+    docs = bounded(docs)
     rows = docs.select("doc_id", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id")).distinct()
     turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = rows.withColumn("_turn", turn).filter(F.col("_turn") <= most_rows).orderBy("_turn", F.xxhash64("doc_id"), "doc_id", "lang").limit(most_in_all)
@@ -158,7 +159,7 @@ def identify(docs: DataFrame, model: Model | None, reject: bool = True) -> DataF
     `reject` it is also `und` where the score is below the model's limit (accepted is false there). Rows and
     other columns stay; columns of these three names are replaced.
     """
-    docs = docs.drop("lang_pred", "score", "accepted")
+    docs = bounded(docs).drop("lang_pred", "score", "accepted")
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
     schema = T.StructType(docs.schema.fields + added)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))

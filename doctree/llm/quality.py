@@ -8,11 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .shared import NOT_SPACE, Words, blocks, mix, range_hashes
+from .shared import NOT_SPACE, Words, blocks, bounded, mix, range_hashes
 
 BITS = 18
 #: Labelled rows that the model is fitted on, at most: those of the smallest hashed doc_id.
-MOST_ROWS = 8192
+MOST_ROWS = 4096
 THRESHOLD = 0.7
 _VIEWS = 6
 #: Byte classes of word shapes: A upper case, a lower case and letters beyond ASCII, 0 digits, all else itself.
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
     Null ids and labels are left out; of several labels of one doc_id the largest counts. The choice of rows
     depends on ids alone. Features are made where the texts are; one task fits, over at most most_rows rows.
     """
-    spark = docs.sparkSession
+    docs = bounded(docs)
     some = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id"))
     some = some.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     # At most most_rows pairs of numbers.
@@ -139,7 +139,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts have no words and get the model's bias. Rows and other columns stay; a column that is
     called score is replaced.
     """
-    docs = docs.drop("score")
+    docs = bounded(docs).drop("score")
     kept = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from ..sources.scratch import cut, shared_dir  # noqa: F401
 
 #: Bytes of text that one numpy step works on; one longer text is still taken whole.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -20,6 +20,18 @@ _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint6
 _POWERS: dict[int, np.ndarray] = {}
 
 
+#: Bytes of an Arrow batch on its way to Python, unless the session says something else than Spark's own default.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are small: workers hold a batch, its parts and its results at once."""
+    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if df.sparkSession.conf.get(key) == default:
+        df.sparkSession.conf.set(key, f"{BATCH_BYTES}b")
+    return df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores before it until df has no such column."""
     taken = {c.lower() for c in df.columns}
@@ -87,12 +99,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if column.null_count:
         column = column.fill_null("")
-    column = column.cast(pa.large_string())
     n = len(column)
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, at, data = column.buffers()
-    at = np.frombuffer(at, np.int64)[column.offset : column.offset + n + 1]
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    at = np.frombuffer(at, kind)[column.offset : column.offset + n + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
     return data, at - at[0]
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .gear import Sizes, digests
-from .shared import blocks, fresh, set_aside
+from .shared import blocks, bounded, fresh, set_aside
 
 SIZES = Sizes(least=32, normal=48, most=192, strict=5, loose=3)
 #: Shorter runs of repeated chunks, in code points, stay: a phrase in common is no passage.
@@ -42,7 +42,7 @@ def chunks(docs: DataFrame, sizes: Sizes = SIZES) -> DataFrame:
                 names=["digest", "doc_id", "text_key", "start", "end"],
             )
 
-    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
+    keyed = bounded(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
     return keyed.mapInArrow(run, _CHUNK)
 
 
