@@ -357,6 +357,44 @@ def test_substrings(spark):
     assert substrings.deduplicate(odd).count() == 7 and substrings.annotate(odd.limit(0)).count() == 0
 
 
+def brute_repeats(texts, size=100):
+    """Marks of repeated and removed code points of each text, window by window."""
+    first, count = {}, {}
+    for d, t in enumerate(texts):
+        for s in range(len(t) - size + 1):
+            first.setdefault(t[s : s + size], (d, s))
+            count[t[s : s + size]] = count.get(t[s : s + size], 0) + 1
+    out = []
+    for d, t in enumerate(texts):
+        repeated, removed, of = set(), set(), set()
+        for s in range(len(t) - size + 1):
+            w = t[s : s + size]
+            if count[w] > 1:
+                repeated.update(range(s, s + size))
+            if first[w] != (d, s):
+                e, f = first[w]
+                removed.update(range(max(s, f + size) if e == d else s, s + size))
+                of.add(e)
+        out.append((repeated, removed, sorted(of - {d})))
+    return out
+
+
+def test_substrings_equal_brute_force(spark):
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijé") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    passages = [words(51) for _ in range(40)]
+    texts = [words(rng.randint(0, 60)) + " " + p + " " + words(rng.randint(0, 60)) for p in passages for _ in range(2)]
+    line = words(20)[:101]
+    texts += [words(30) + line + words(30) for _ in range(5)] + [words(30) + line[:99] + words(30), line[:100], "ab" * 90, passages[0][:140] + passages[1] + passages[0][:140] + passages[0]]
+    rng.shuffle(texts)
+    got = {r.doc_id: r for r in substrings.annotate(docs_of(spark, texts)).collect()}
+    marks = lambda spans: {i for s in spans for i in range(s.start, s.end)}
+    for d, (repeated, removed, of) in enumerate(brute_repeats(texts)):
+        assert marks(got[d].repeated) == repeated and marks(got[d].removed) == removed
+        assert got[d].first_docs == of
+    assert all(any(p in t and len(marks(got[d].repeated)) >= len(p) for d, t in enumerate(texts)) for p in passages)
+
+
 def test_chunks_do_not_depend_on_neighbours():
     from doctree.llm.gear import Sizes, chunk
 
