@@ -334,6 +334,34 @@ def test_licenses(spark):
     assert licenses.scan(odd).count() == 7 and licenses.scan(odd.limit(0)).count() == 0 and licenses.scan(odd, {}).count() == 7
 
 
+def test_licenses_in_longer_texts(spark):
+    rng = random.Random(9)
+    prose = lambda n: " ".join(rng.choice(("stone", "river", "of", "the", "under", "license", "and", "software")) for _ in range(n))
+    header, gpl, bsd = (licenses.TEMPLATES[x].replace(". ", ".\n\n").replace(": ", ":\n\n") for x in ("Apache-2.0-header", "GPL-header", "BSD-2-Clause"))
+    texts = [prose(100) + "\n\n" + x + "\n\n" + prose(100) for x in (header, gpl, bsd)]
+    texts += ["This project is released under the MIT License.", prose(50) + " released under the MIT license, " + prose(50), "Released under the MIT License. " * 2000]
+    pick = lambda: rng.choice(list(licenses.TEMPLATES.values())).split()
+    texts += [" ".join(w for x in (prose(9).split(), pick(), prose(5).split(), pick()) for w in x if rng.random() < 0.93) for _ in range(12)]
+    got = {r.doc_id: r.license_matches for r in licenses.scan(docs_of(spark, texts)).collect()}
+    for i, name in enumerate(("Apache-2.0-header", "GPL-header", "BSD-2-Clause", "MIT", "MIT", "MIT")):
+        assert max(m.dice for m in got[i] if m.license == name) == 1
+    assert texts[3][got[3][0].start : got[3][0].end] == "released under the MIT License" and sum(m.dice == 1 for m in got[5]) == 2000
+    for i, text in enumerate(texts[:5] + texts[6:]):
+        i += i >= 5
+        words = re.findall(r"[0-9a-z]+", text.lower())
+        grams = list(zip(words, words[1:]))
+        for name, template in licenses.TEMPLATES.items():
+            own = re.findall(r"[0-9a-z]+", template.lower())
+            own, best = set(zip(own, own[1:])), 0
+            for low in range(len(grams)):
+                seen = set()
+                for g in grams[low:]:
+                    seen.add(g)
+                    best = max(best, 2 * len(seen & own) / (len(seen) + len(own)))
+            found = max((m.dice for m in got[i] if m.license == name), default=0)
+            assert found == (best if best >= licenses.LEAST else 0), (i, name)
+
+
 # 10. Substrings
 
 
