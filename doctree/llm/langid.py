@@ -115,7 +115,8 @@ def fit(docs: DataFrame, most_rows: int = MOST_ROWS, most_in_all: int = MOST_IN_
     """A model from the text and non-null lang of docs that are not held out; None if there is nothing to learn.
 
     At most most_rows documents a language and most_in_all together are used, those of the smallest hashed
-    doc_id; null ids, texts and languages are left out. Subwords are counted where the texts are; one task fits.
+    doc_id; null ids, texts and languages are left out, and of several texts of one doc_id and language the one of the
+    smallest hash counts. Subwords are counted on the executors; one task fits.
     """
     docs = bounded(docs)
     rows = docs.select("doc_id", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id")).distinct()
@@ -123,6 +124,7 @@ def fit(docs: DataFrame, most_rows: int = MOST_ROWS, most_in_all: int = MOST_IN_
     chosen = rows.withColumn("_turn", turn).filter(F.col("_turn") <= most_rows).orderBy("_turn", F.xxhash64("doc_id"), "doc_id", "lang").limit(most_in_all)
     # At most most_in_all pairs of an id and a language.
     texts = docs.select("doc_id", "lang", "text").filter("text is not null").join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"])
+    texts = texts.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def sparse(batches):
         for rows, data, at in blocks(batches):

@@ -100,13 +100,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
     """A model of labels (doc_id, a 0/1 column), fitted on at most most_rows labelled rows that are not held out.
 
     Null ids and labels are left out; of several labels of one doc_id the largest counts. The choice of rows
-    depends on ids alone. Features are made where the texts are; one task fits, over at most most_rows rows.
+    depends on ids alone; of several texts of one doc_id the one of the smallest hash counts. Features are made on the
+    executors; one task fits, over at most most_rows rows.
     """
     docs = bounded(docs)
     some = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id"))
     some = some.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     # At most most_rows pairs of numbers.
     chosen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    chosen = chosen.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def sparse(batches):
         for rows, data, at in blocks(batches):

@@ -268,6 +268,17 @@ def test_models_on_held_out_rows(spark):
     assert np.mean([r.lang_pred == r.lang for r in langs if r.held_out]) > 0.97 and all(0 <= r.score <= 1 for r in langs)
 
 
+def test_models_take_one_row_of_an_id(spark):
+    rows = [(i if i < 12 else 0, f"text number {i} of {'good' if i % 2 else 'bad'} words", "en" if i % 2 else "de") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = docs.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    assert not held_out(0) and (langid.fit(docs).table == langid.fit(one).table).all()
+    one = docs.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    a, b = quality.fit(docs, labels), quality.fit(one, labels)
+    assert (a.weights == b.weights).all() and a.bias == b.bias
+
+
 def test_models_on_odd_rows(spark):
     odd = odd_docs(spark).withColumn("lang", F.lit("en"))
     labels = spark.createDataFrame([(3, 1), (3, 0), (4, 0), (None, 1), (5, None)], "doc_id long, quality int")
