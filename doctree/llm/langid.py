@@ -14,9 +14,9 @@ from .shared import LOWER, WORD, Words, blocks, bounded, byte_table, fresh, mix
 BITS = 16
 SIZE = 16
 #: Documents a language that the model is fitted on, at most: those of the smallest hashed doc_id.
-MOST_ROWS = 1024
+MOST_ROWS = 2048
 #: Documents of all languages, at most; each language gives its first before any gives its second.
-MOST_IN_ALL = 8192
+MOST_IN_ALL = 16384
 UNKNOWN = "und"
 _LETTER = byte_table(lambda i: 97 <= i <= 122 or i >= 128)
 

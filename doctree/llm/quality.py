@@ -12,7 +12,7 @@ from .shared import NOT_SPACE, Words, blocks, bounded, mix, range_hashes
 
 BITS = 18
 #: Labelled rows that the model is fitted on, at most: those of the smallest hashed doc_id.
-MOST_ROWS = 4096
+MOST_ROWS = 8192
 THRESHOLD = 0.7
 _VIEWS = 6
 #: Byte classes of word shapes: A upper case, a lower case and letters beyond ASCII, 0 digits, all else itself.

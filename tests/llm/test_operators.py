@@ -279,6 +279,10 @@ def test_models_take_one_row_of_an_id(spark):
     assert (a.weights == b.weights).all() and a.bias == b.bias
 
 
+def test_training_bounds_are_those_of_the_measured_accuracy():
+    assert (quality.MOST_ROWS, langid.MOST_ROWS, langid.MOST_IN_ALL) == (8192, 2048, 16384)
+
+
 def test_models_on_odd_rows(spark):
     odd = odd_docs(spark).withColumn("lang", F.lit("en"))
     labels = spark.createDataFrame([(3, 1), (3, 0), (4, 0), (None, 1), (5, None)], "doc_id long, quality int")
