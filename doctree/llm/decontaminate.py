@@ -37,7 +37,7 @@ class _Index:
                 continue
             length = min(size, n)
             for begin, h in zip(*words.windows(length)):
-                entries.setdefault(length, {}).setdefault(int(h), {}).setdefault(words.joined(begin, begin + length), set()).add(item)
+                entries.setdefault(length, {}).setdefault(int(h), {}).setdefault(words.joined(begin, begin + length), set()).update([] if item is None else [item])
         self.lengths = {k: (np.array(sorted(v), np.uint64), v) for k, v in sorted(entries.items())}
 
     def hits(self, words: Words) -> list[tuple[int, int, set[str]]]:
@@ -50,7 +50,7 @@ class _Index:
             at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             for i in np.flatnonzero(known[at] == hashes):
                 items = behind[int(hashes[i])].get(words.joined(begin[i], begin[i] + length))
-                if items:
+                if items is not None:
                     found.append((int(begin[i]), length, items))
         return found
 
@@ -142,12 +142,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, broadcast_byte
     that is named like one of the four is replaced. Words are runs of digits, letters and code points over
     127, with A-Z lowered. An item's windows are its runs of `size` words, or all its words if it has fewer.
     Null and empty texts have no words and no hits; empty items and an empty benchmark hit nothing; repeated
-    rows stay, each with its own result; items of a null item_id are left out. The benchmark is broadcast if it
+    rows stay, each with its own result; items of a null item_id hit like others, but have no name in hit_items. The benchmark is broadcast if it
     has at most `broadcast_bytes` bytes of text; a larger one is joined by shuffle, with the same result.
     """
     spark = docs.sparkSession
     docs = bounded(docs).drop(*[f.name for f in _HITS])
-    benchmark = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", "text")
+    benchmark = benchmark.select("item_id", "text")
     if (benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > broadcast_bytes:
         return _joined(docs, benchmark, size)
     rows = [(r[0], r[1] or "") for r in benchmark.select(F.col("item_id").cast("string"), "text").collect()]  # at most broadcast_bytes

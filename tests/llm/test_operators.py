@@ -74,6 +74,18 @@ def test_decontaminate_spans_and_odd_rows(spark):
     assert decontaminate.scan(odd.limit(0), bench).count() == 0 and decontaminate.scan(odd, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_decontaminate_items_without_id(spark):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(12))
+    bench = spark.createDataFrame([(None, words("n")), (7, words("n")[:40]), (8, words("k"))], "item_id long, text string")
+    docs = docs_of(spark, ["a " + words("n"), words("k") + " b", words("n") + words("k"), "none"])
+    for limit in (1 << 20, 0):
+        got = {r.doc_id: (r.n_hit, r.hit_items, len(r.hit_spans)) for r in decontaminate.scan(docs, bench, broadcast_bytes=limit).collect()}
+        assert got[0] == (12, ["7"], 1) and got[1] == (12, ["8"], 1) and got[3] == (0, [], 0)
+        alone = decontaminate.scan(docs, bench.filter("item_id is null"), broadcast_bytes=limit).collect()
+        assert {r.doc_id: (r.n_hit > 0, r.hit_items) for r in alone} == {0: (True, []), 1: (False, []), 2: (True, []), 3: (False, [])}
+    assert [r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()] == [3]
+
+
 # 2. Fingerprints
 
 
