@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .components import components
-from .shared import NOT_SPACE, Words, blocks, bounded, cut, fresh, mix
+from .shared import NOT_SPACE, Tables, Words, blocks, bounded, cut, fresh, mix
 
 SHINGLE = 4
 PERCENT = 85
@@ -16,6 +17,8 @@ COUNTERS = 1 << 20
 _CHUNK = 1 << 12
 #: Buckets of at most so many members are compared pair by pair once their hub has joined what it can.
 SMALL = 64
+#: Prefixes of at most so many tokens are kept with 16 bits a token in the other orders.
+NARROW = 256
 _ORDERS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
@@ -69,9 +72,8 @@ def _frequencies(docs: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
 
     schema = "part long, counts binary"
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    added = docs.select("text").mapInArrow(count, schema).repartition(n, "part").mapInArrow(add, schema)
+    n = 32  # COUNTERS numbers a task of the first stage are added by so many
+    added = docs.select("text").mapInArrow(count, schema).repartition(n, "part").coalesce(n).mapInArrow(add, schema)
     out = np.zeros((COUNTERS // _CHUNK, _CHUNK), np.int64)
     for row in added.collect():  # COUNTERS numbers in all
         out[row["part"]] = np.frombuffer(row["counts"], np.int64)
@@ -91,7 +93,7 @@ def prefix_length(n: int, percent: int) -> int:
 _SKETCH = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
-        T.StructField("text_key", T.LongType()),
+        T.StructField("text_key", T.BinaryType()),
         T.StructField("n_shingles", T.IntegerType()),
         T.StructField("node", T.LongType()),
         T.StructField("rare", T.ArrayType(T.LongType())),
@@ -100,125 +102,128 @@ _SKETCH = T.StructType(
 )
 
 
-def _sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5("text")).alias("text_key"), "text")
+
+
+def _rarest(s: np.ndarray, frequency: np.ndarray, n: int) -> np.ndarray:
+    """The first n of a set by rising frequency, ties by hash: the same order in every set."""
+    return s[np.lexsort((mix(s), frequency[_counter(s)]))[:n]].view(np.int64)
+
+
+def _sketches(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
     """For each document its set's size and hash (node), its prefix by rising frequency, and those of other orders.
 
-    Prefixes of the other orders only reject pairs, so 32 bits of each token do.
+    A set that a task has met before gets empty prefixes: one is enough, and a group of copies is not exploded.
+    Prefixes of the other orders only reject pairs, so a few bits of each token do (see _packed).
     """
-    counts = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, size))
 
     def run(batches):
-        frequency = counts.value
+        frequency, met = counts.value, set()
         for rows, data, at in blocks(batches):
             sets = _shingles(data, at, size)
             nodes, rare, orders = [], [], []
             for s in sets:
-                n = len(s)
-                if not n:
-                    nodes.append(0), rare.append([]), orders.append([b""] * len(_ORDERS))
-                    continue
-                p = prefix_length(n, percent)
-                by = np.lexsort((mix(s), frequency[_counter(s)]))[:p]
-                rare.append(s[by].view(np.int64))
+                nodes.append(_set_hash(s) if len(s) else 0)
+                p = prefix_length(len(s), percent) if len(s) and nodes[-1] not in met else 0
+                met.add(nodes[-1])
+                rare.append(_rarest(s, frequency, p) if p else np.zeros(0, np.int64))
                 orders.append([])
-                for salt in _ORDERS:
+                for salt in _ORDERS if p else ():
                     ranks = mix(s ^ salt)
-                    first = np.partition(ranks, p - 1)[:p] if p < n else ranks
-                    orders[-1].append((first >> np.uint64(32)).astype("<u4").tobytes())
-                nodes.append(_set_hash(s))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column("doc_id"),
-                    rows.column("text_key"),
-                    pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array(nodes, pa.int64()),
-                    pa.array(rare, pa.list_(pa.int64())),
-                    pa.array(orders, pa.list_(pa.binary())),
-                ],
-                names=_SKETCH.fieldNames(),
-            )
-
-    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    return keyed.mapInArrow(run, _SKETCH)
-
-
-def _sharing(pairs: DataFrame) -> DataFrame:
-    """pairs (a, b, orders_a, orders_b) whose prefixes meet under every order."""
+                    first = np.partition(ranks, p - 1)[:p] if p < len(s) else ranks
+                    orders[-1].append(_packed(first))
+            sizes = pa.array([len(s) for s in sets], pa.int32())
+            prefixes = [pa.array(rare, pa.list_(pa.int64())), pa.array(orders, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_key"), sizes, pa.array(nodes, pa.int64()), *prefixes], names=_SKETCH.fieldNames())
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("orders_a").to_pylist(), batch.column("orders_b").to_pylist()):
-                keep.append(all(len(np.intersect1d(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"))) for x, y in zip(a, b)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return _keyed(docs).mapInArrow(run, _SKETCH)
 
-    return pairs.mapInArrow(run, "a long, b long")
 
+def _packed(prefix: np.ndarray) -> bytes:
+    """The upper 16 bits of each token, 32 in long prefixes, which by chance would meet too often else."""
+    return (prefix >> np.uint64(48)).astype("<u2").tobytes() if len(prefix) <= NARROW else (prefix >> np.uint64(32)).astype("<u4").tobytes()
 
-def least_overlap(n_a, n_b, percent: int):
-    """The smallest intersection of linked sets of these sizes (a column, for columns)."""
-    total = percent * (n_a + n_b)
-    return F.ceil(total / F.lit(100 + percent)).cast("long")
 
+def _share(x: bytes, n_x: int, y: bytes, n_y: int) -> bool:
+    """Whether two packed prefixes of n_x and n_y tokens may have a token in common."""
+    if (n_x <= NARROW) == (n_y <= NARROW):
+        kind = "<u2" if n_x <= NARROW else "<u4"
+        return len(np.intersect1d(np.frombuffer(x, kind), np.frombuffer(y, kind))) > 0
+    narrow, wide = (x, y) if n_x <= NARROW else (y, x)
+    return bool(np.isin(np.frombuffer(wide, "<u4") >> 16, np.frombuffer(narrow, "<u2")).any())
 
-def _verified(pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) for pairs (a, b, set_a, set_b)."""
+
+def _meeting(pairs: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b, .., big, orders_a, orders_b) with meets: whether their prefixes meet under each of the other orders.
+
+    Pairs that do not cannot link; they go, but for those of big buckets, whose members are needed to refine these.
+    """
 
     def run(batches):
         for batch in batches:
-            for low in range(0, batch.num_rows, 64):
-                rows = batch.slice(low, 64)
-                linked = []
-                for a, b in zip(rows.column("set_a").to_pylist(), rows.column("set_b").to_pylist()):
-                    a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    linked.append(100 * both >= percent * (len(a) + len(b) - both))
-                yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            sizes = ([prefix_length(n, percent) for n in batch.column(c).to_pylist()] for c in ("n_a", "n_b"))
+            orders = (batch.column(c).to_pylist() for c in ("orders_a", "orders_b"))
+            meets = [all(_share(x, n_a, y, n_b) for x, y in zip(a, b)) for n_a, n_b, a, b in zip(*sizes, *orders)]
+            out = batch.select(_PAIR).append_column("meets", pa.array(meets, pa.bool_()))
+            yield out.filter(pc.or_(out.column("meets"), out.column("big")))
+
+    return pairs.select(*_PAIR, "orders_a", "orders_b").mapInArrow(run, "a long, n_a int, b long, n_b int, central double, big boolean, meets boolean")
+
+
+def least_overlap(n_a, n_b, percent: int):
+    """The smallest intersection of linked sets of these sizes."""
+    total = percent * (n_a + n_b)
+    return F.ceil(total / F.lit(100 + percent)).cast("long")
 
-    return pairs.mapInArrow(run, "a long, b long, linked boolean")
 
+_PAIR = ["a", "n_a", "b", "n_b", "central", "big"]
 
-_AGAINST = "hub long, node long, n int, central double, common int, linked boolean, rest array<bigint>"
 
+def _verified(pairs: DataFrame, percent: int, counts) -> DataFrame:
+    """For pairs (a, .., meets, set_a, set_b): what they share (common), whether they link, and in big buckets the tokens of b to refine by.
 
-def _against_hubs(pairs: DataFrame, percent: int) -> DataFrame:
-    """Members (hub, node, n, central, set_hub, set_node) with the size of what they share with their hub, and their other tokens."""
+    A set that links with b shares at least that percentage of b with it, so, but for what a has of b, at least
+    `outside` tokens that a lacks. All sets that share so many with b outside a meet it in a prefix of these tokens.
+    """
 
     def run(batches):
+        frequency = counts.value
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
                 rows = batch.slice(low, 64)
                 common, linked, rest = [], [], []
-                for h, x in zip(rows.column("set_hub").to_pylist(), rows.column("set_node").to_pylist()):
-                    h, x = np.frombuffer(h, "<u8"), np.frombuffer(x, "<u8")
-                    own = np.setdiff1d(x, h, assume_unique=True)
-                    both = len(x) - len(own)
+                for a, b, big, meets in zip(*(rows.column(c).to_pylist() for c in ("set_a", "set_b", "big", "meets"))):
+                    a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+                    own = np.setdiff1d(b, a, assume_unique=True)
+                    both = len(b) - len(own)
                     common.append(both)
-                    linked.append(100 * both >= percent * (len(h) + len(x) - both))
-                    rest.append(own.view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [*(rows.column(c) for c in ("hub", "node", "n", "central")), pa.array(common, pa.int32()), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))],
-                    names=["hub", "node", "n", "central", "common", "linked", "rest"],
-                )
+                    linked.append(meets and 100 * both >= percent * (len(a) + len(b) - both))
+                    outside = max((percent * len(b) + 99) // 100 - both, 1)
+                    rest.append(_rarest(own, frequency, max(len(own) - outside + 1, 0)) if big else np.zeros(0, np.int64))
+                added = [pa.array(common, pa.int32()), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("a", "b", "n_b", "central", "big")), *added], names=["a", "b", "n_b", "central", "big", "common", "linked", "rest"])
 
-    return pairs.mapInArrow(run, _AGAINST)
+    return pairs.mapInArrow(run, "a long, b long, n_b int, central double, big boolean, common int, linked boolean, rest array<bigint>")
 
 
 #: Bits of the filter that keeps most unwanted texts from being shuffled. Its size is fixed; it drops no wanted one.
 FILTER_BITS = 1 << 23
 
 
-def _bits(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys.view(np.uint64)) >> np.uint64(41)).astype(np.int64)
+def _bits(keys: pa.Array) -> np.ndarray:
+    """A bit of the filter for each key of 16 bytes; null keys share the first."""
+    keys = b"".join(k or bytes(16) for k in keys.to_pylist())
+    return (np.frombuffer(keys, "<u8")[::2] >> np.uint64(41)).astype(np.int64)
 
 
 def _filter(wanted: DataFrame) -> np.ndarray:
-    """A bitmap of hashed text_key of wanted."""
+    """A bitmap of text_key of wanted."""
 
     def mark(batches):
         flags = np.zeros(FILTER_BITS, np.uint8)
         for batch in batches:
-            flags[_bits(batch.column("text_key").to_numpy(zero_copy_only=False).astype(np.int64))] = 1
+            flags[_bits(batch.column("text_key"))] = 1
         parts = np.packbits(flags).reshape(-1, _CHUNK)
         some = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["part", "bits"])
@@ -232,7 +237,7 @@ def _filter(wanted: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "bits"])
 
     schema = "part long, bits binary"
-    united = wanted.select("text_key").mapInArrow(mark, schema).repartition(16, "part").mapInArrow(unite, schema)
+    united = wanted.select("text_key").mapInArrow(mark, schema).repartition(16, "part").coalesce(16).mapInArrow(unite, schema)
     out = np.zeros((FILTER_BITS // 8 // _CHUNK, _CHUNK), np.uint8)
     for row in united.collect():  # FILTER_BITS in all
         out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
@@ -243,23 +248,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, shingles) for wanted (node, doc_id, text_key): the set of one text of each node, packed."""
     bitmap = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
 
-    def keep(batches):
-        for batch in batches:
-            keys = batch.column("text_key").to_numpy(zero_copy_only=False).astype(np.int64)
-            rows = batch.filter(pa.array(bitmap.value[_bits(keys)]))
-            if rows.num_rows:
-                yield rows
-
     def run(batches):
-        for rows, data, at in blocks(batches):
+        # Texts that are not wanted neither become sets nor are shuffled.
+        wanted = (batch.filter(pa.array(bitmap.value[_bits(batch.column("text_key"))])) for batch in batches)
+        for rows, data, at in blocks(wanted):
             sets = [s.astype("<u8").tobytes() for s in _shingles(data, at, size)]
-            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_key"), pa.array(sets, pa.binary())], names=["doc_id", "text_key", "shingles"])
 
-    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    keyed = keyed.mapInArrow(keep, keyed.schema)
+    found = _keyed(docs).mapInArrow(run, "doc_id long, text_key binary, shingles binary")
     wanted = wanted.select("node", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("node", "text").dropDuplicates(["node"])
-    return texts.mapInArrow(run, "node long, shingles binary")
+    found = found.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+    # Equal rows give a node more than once.
+    return found.select("node", "shingles").dropDuplicates(["node"])
 
 
 def linked_roots(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -278,34 +278,15 @@ def linked_roots(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     In a small bucket the pairs of different components that remain are verified in the next round. A large
     one is refined: members x and y of a hub h that share nothing outside h share at most the smaller of what
     each shares with h, so they can only link if they meet in a token outside h or if both hold enough of h.
-    The bucket is replaced by one for each such token, and one for those that hold enough, in which only pairs
-    that both hold enough for their two sizes count. So no bucket is cut short, and a group of near copies
-    costs its size, not its square. After ROUNDS rounds what is still open is compared pair by pair.
+    The bucket is replaced by one for each token in a prefix of what stands outside (see _verified), and one for
+    those that hold enough, in which only pairs that both hold enough for their two sizes count. So no bucket is
+    cut short, and a group of near copies costs its size, not its square. After ROUNDS rounds what is still open
+    is compared pair by pair.
+
+    Intermediate tables are deleted on the way; the result is a written table.
     """
-    sketches = cut(_sketches(bounded(docs), size, percent))
-    raw = sketches.select("node", F.explode("rare").alias("token"))
-    # Rows of equal sets are told apart from shared tokens without a shuffle of their own: all of them are one node.
-    shared = raw.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("token")
-    shared = cut(raw.join(shared, "token").distinct())
-    # The most central member of a bucket has the most tokens that others have too.
-    counts = shared.groupBy("token").agg(F.count("*").cast("double").alias("members"))
-    central = shared.join(counts, "token").groupBy("node").agg(F.round(F.sum(F.log2("members")), 3).alias("central"))
-    nodes = sketches.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("orders").alias("orders"), F.min(F.struct("doc_id", "text_key")).alias("at"))
-    members = cut(central.join(nodes, "node").select("node", "n", "central", "orders", F.col("at.doc_id").alias("doc_id"), "at.text_key"))
-    postings = shared.select("token", "node").join(members.select("node", "n", "central"), "node").withColumn("held", F.lit(None).cast("int"))
-    state = _State(docs, members, size, percent)
-    rounds = 0
-    while True:
-        postings = cut(state.open(postings, rounds))
-        if postings.isEmpty():
-            break
-        direct = postings.filter("direct")
-        state.compare(_across(direct, percent) if rounds else _with_hubs(direct))
-        left = direct.select(*_POSTING) if not rounds else direct.select(*_POSTING).limit(0)
-        postings = state.refine(postings.filter("not direct")).unionByName(left)
-        rounds += 1
-    ends = sketches.join(state.roots, "node", "left") if state.roots is not None else sketches.withColumn("root", F.lit(None).cast("long"))
-    return ends.select("doc_id", "text_key", F.col("n_shingles").cast("long"), F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).alias("root"))
+    with Tables(docs.sparkSession) as tables:
+        return cut(_Join(bounded(docs), size, percent, tables).run())
 
 
 #: Rounds after which open buckets are compared pair by pair, whatever their size.
@@ -314,102 +295,141 @@ ROUNDS = 6
 #: of members that hold enough of a hub if that takes at most so many tests of two numbers.
 FEW = 16
 TESTS = 1 << 22
-
-
-def _hubs(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("token").agg(F.max(F.struct("central", "node", "n")).alias("hub"))
-
-
-def _with_hubs(postings: DataFrame) -> DataFrame:
-    """(a, n_a, b, n_b): each member with the hub of its bucket."""
-    return postings.join(_hubs(postings), "token").filter("hub.node <> node").select(F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"), F.col("node").alias("b"), F.col("n").alias("n_b"))
-
+#: Postings of a token beyond this many are dealt over several tasks.
+HOT = 1 << 13
 
 _POSTING = ("token", "node", "n", "central", "held")
 
 
-def _across(postings: DataFrame, percent: int) -> DataFrame:
-    """(a, n_a, b, n_b): pairs of different components in a bucket that their sizes, and what they hold of a hub, let link."""
-    one = postings.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), "largest", F.col("held").alias("held_a"))
-    two = postings.filter("root <> largest").select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("held").alias("held_b"))
-    enough = F.col("held_a").isNull() | (least_overlap(F.col("n_a"), F.col("n_b"), percent) <= F.least("held_a", "held_b"))
-    close = 100 * F.least("n_a", "n_b").cast("long") >= percent * F.greatest("n_a", "n_b").cast("long")
-    # Of two members outside the largest component each is b once; the smaller node counts.
-    return two.join(one, "token").filter((F.col("root_a") != F.col("root_b")) & ((F.col("root_a") == F.col("largest")) | (F.col("a") < F.col("b"))) & close & enough).select("a", "n_a", "b", "n_b")
-
-
-class _State:
-    """Links found so far, their components, and the sets that comparisons have needed."""
+class _Join:
+    """One run: the tables that all rounds need, links found so far and their components."""
+
+    def __init__(self, docs: DataFrame, size: int, percent: int, tables: Tables):
+        self.docs, self.size, self.percent, self.tables = docs, size, percent, tables
+        self.counts = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, size))
+        self.roots = self.links = self.sets = self.members = self.against = None
+        self.n_links = 0
+
+    def run(self) -> DataFrame:
+        tables = self.tables
+        sketches = tables.cut(_sketches(self.docs, self.size, self.percent, self.counts))
+        postings, direct = self.first_postings(sketches), None
+        ends = tables.cut(sketches.select("doc_id", "text_key", "n_shingles", "node"))
+        tables.drop(sketches)
+        opened, rounds = postings, 0
+        while postings is not None:
+            pairs = self.across(direct).unionByName(self.with_hubs(postings)) if direct is not None else self.with_hubs(postings)
+            against = self.compare(pairs)
+            # Small buckets of the first round are compared with their hubs only, and directly in the next.
+            again = postings.filter(F.col("k") <= SMALL).select(*_POSTING) if rounds == 0 else None
+            refined = self.refine(against, again) if against is not None or again is not None else None
+            rounds += 1
+            before, opened = opened, self.open(refined, rounds) if refined is not None else None
+            tables.drop(before, self.against)
+            postings, direct = (opened.filter("not direct").select(*_POSTING, "k"), opened.filter("direct")) if opened is not None else (None, None)
+        ends = ends.join(self.roots.select("node", "root"), "node", "left") if self.roots is not None else ends.withColumn("root", F.lit(None).cast("long"))
+        return ends.select("doc_id", "text_key", F.col("n_shingles").cast("long"), F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).alias("root"))
+
+    def first_postings(self, sketches: DataFrame) -> DataFrame:
+        """(token, node, n, central, held, k) of tokens that more than one node has in its prefix; k: about how many."""
+        tables = self.tables
+        sets = sketches.filter(F.size("rare") > 0)
+        raw = sets.select("node", F.explode("rare").alias("token"))
+        counted = raw.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("k")).filter("low <> high").select("token", "k")
+        shared = tables.cut(raw.join(counted, "token").select("token", "node", "k"))
+        # The most central member of a bucket has the most tokens that others have too.
+        central = shared.groupBy("node").agg(F.round(F.sum(F.log2("k")), 3).alias("central"))
+        nodes = sets.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("orders").alias("orders"), F.min(F.struct("doc_id", "text_key")).alias("at"))
+        self.members = members = tables.cut(central.join(nodes, "node").select("node", "n", "central", "orders", F.col("at.doc_id").alias("doc_id"), "at.text_key"))
+        postings = tables.cut(shared.join(members.select("node", "n", "central"), "node").select("token", "node", "n", "central", F.lit(None).cast("int").alias("held"), "k"))
+        tables.drop(shared)
+        return postings
+
+    def with_hubs(self, postings: DataFrame) -> DataFrame:
+        """_PAIR: each member with the hub of its bucket; big if any of their buckets is large. Hot tokens are salted."""
+        hubs = postings.groupBy("token").agg(F.max(F.struct("central", "node", "n")).alias("hub"), F.max("k").alias("k"))
+        parts = F.ceil(F.col("k") / HOT).cast("int")
+        hubs = hubs.select("token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"))
+        salted = postings.withColumn("salt", F.pmod(F.xxhash64("node"), parts).cast("int"))
+        pairs = salted.join(hubs, ["token", "salt"]).filter("a <> node")
+        # A member's size, score and k do not depend on the bucket, so any of its rows will do.
+        return pairs.groupBy("a", F.col("node").alias("b")).agg(F.first("n_a").alias("n_a"), F.first("n").alias("n_b"), F.first("central").alias("central"), (F.max("k") > SMALL).alias("big")).select(*_PAIR)
+
+    def across(self, direct: DataFrame) -> DataFrame:
+        """_PAIR: pairs of different components in a bucket that their sizes, and what they hold of a hub, let link."""
+        one = direct.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), "largest", F.col("held").alias("held_a"))
+        two = direct.filter("root <> largest").select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("held").alias("held_b"), "central")
+        enough = F.col("held_a").isNull() | (least_overlap(F.col("n_a"), F.col("n_b"), self.percent) <= F.least("held_a", "held_b"))
+        # Of two members outside the largest component each is b once; the smaller node counts.
+        once = (F.col("root_a") == F.col("largest")) | (F.col("a") < F.col("b"))
+        pairs = two.join(one, "token").filter((F.col("root_a") != F.col("root_b")) & once & self._close() & enough)
+        return pairs.dropDuplicates(["a", "b"]).withColumn("big", F.lit(False)).select(*_PAIR)
+
+    def _close(self):
+        low, high = F.least("n_a", "n_b").cast("long"), F.greatest("n_a", "n_b").cast("long")
+        return 100 * low >= self.percent * high
 
-    def __init__(self, docs: DataFrame, members: DataFrame, size: int, percent: int):
-        self.docs, self.members, self.size, self.percent = docs, members, size, percent
-        self.roots = self.links = self.sets = self.seen = None
+    def compare(self, pairs: DataFrame) -> DataFrame | None:
+        """Verifies the pairs that pass the filters of sizes and of the other orders, links them, and returns those of big buckets."""
+        tables = self.tables
+        orders = lambda c: self.members.select(F.col("node").alias(c), F.col("orders").alias(f"orders_{c}"))
+        pairs = pairs.filter(F.col("big") | self._close())
+        pairs = tables.cut(_meeting(pairs.join(orders("a"), "a").join(orders("b"), "b"), self.percent))
+        if not (n := pairs.count()):
+            self.against = None
+            return None
+        self._fetch(pairs)
+        sets = lambda c: self.sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
+        self.against = done = tables.cut(_verified(pairs.join(sets("b"), "b").join(sets("a"), "a"), self.percent, self.counts), n)
+        links = tables.cut(done.filter("linked").select("a", "b"), n)
+        tables.drop(pairs)
+        if n := links.count():
+            self.links = links if self.links is None else self.links.unionByName(links)
+            self.n_links += n
+            before, self.roots = self.roots, components(self.links, tables, self.n_links)
+            if before is not None:
+                tables.drop(before)
+        return done.filter("big")
+
+    def _fetch(self, pairs: DataFrame) -> None:
+        """Adds the sets that pairs need to those that earlier rounds have needed."""
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
+        wanted = self.tables.cut(self.members.join(wanted, "node").select("node", "doc_id", "text_key"))
+        more = self.tables.cut(_sets(self.docs, wanted, self.size))
+        self.tables.drop(wanted)
+        self.sets = more if self.sets is None else self.sets.unionByName(more)
 
-    def _rooted(self, df: DataFrame) -> DataFrame:
+    def _rooted(self, df: DataFrame, node: str = "node") -> DataFrame:
         if self.roots is None:
-            return df.withColumn("root", F.col("node"))
-        return df.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    def open(self, postings: DataFrame, rounds: int) -> DataFrame:
-        """Postings of buckets with several components, with root, the largest component, and whether to compare them directly."""
+            return df.withColumn("root", F.col(node))
+        roots = self.roots.select(F.col("node").alias("_node"), "root")
+        return df.join(roots, df[node] == roots["_node"], "left").withColumn("root", F.coalesce("root", node)).drop("_node")
+
+    def refine(self, against: DataFrame | None, again: DataFrame | None) -> DataFrame:
+        """Postings of the buckets that take the place of large ones, and those of `again`."""
+        if against is None:
+            return again
+        # Only hubs with members of several components go on.
+        rooted = self._rooted(against.select("a", "b", "n_b"), "b")
+        still = rooted.groupBy("a").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n_b").alias("least")).filter("low <> high").select("a", "least")
+        against = against.join(still, "a").withColumnsRenamed({"b": "node", "n_b": "n"})
+        outside = against.select("a", "node", "n", "central", F.explode("rest").alias("_t")).select(F.xxhash64("a", "_t").alias("token"), "node", "n", "central", F.lit(None).cast("int").alias("held"))
+        enough = against.filter(F.col("common") >= least_overlap(F.col("n"), F.col("least"), self.percent)).select(F.xxhash64("a", F.lit("enough")).alias("token"), "node", "n", "central", F.col("common").alias("held"))
+        out = outside.unionByName(enough)
+        return out if again is None else out.unionByName(again)
+
+    def open(self, postings: DataFrame, rounds: int) -> DataFrame | None:
+        """Postings of buckets with several components, with k, root, the largest component, and whether to compare them directly."""
         rooted = self._rooted(postings)
         parts = rooted.groupBy("token", "root").agg(F.count("*").alias("k"))
-        buckets = parts.groupBy("token").agg(F.sum("k").alias("members"), F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
-        outside = F.col("members") - F.col("top.k")
-        direct = (F.col("members") <= SMALL) | (F.lit(rounds > 0) & (outside <= FEW)) | F.lit(rounds >= ROUNDS)
-        buckets = buckets.select("token", F.col("top.root").alias("largest"), direct.alias("direct"), (outside * F.col("members")).alias("tests"))
+        buckets = parts.groupBy("token").agg(F.sum("k").alias("k"), F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
+        others = F.col("k") - F.col("top.k")
+        buckets = buckets.select("token", "k", F.col("top.root").alias("largest"), ((F.col("k") <= SMALL) | (others <= FEW) | F.lit(rounds >= ROUNDS)).alias("direct"), (others * F.col("k")).alias("tests"))
         direct = F.col("direct") | (F.col("held").isNotNull() & (F.col("tests") <= TESTS))
-        return rooted.join(buckets, "token").select(*_POSTING, "root", "largest", direct.alias("direct"))
-
-    def _with_sets(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
-        wanted = pairs.select(F.col(a).alias("node")).union(pairs.select(b)).distinct()
-        if self.sets is not None:
-            wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
-        more = cut(_sets(self.docs, self.members.join(wanted, "node"), self.size))
-        self.sets = more if self.sets is None else self.sets.unionByName(more)
-        named = lambda c: self.sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
-        return pairs.join(named(a), a).join(named(b), b)
-
-    def _link(self, links: DataFrame) -> None:
-        if self.roots is not None:
-            # Links inside one component change nothing.
-            at = lambda c: self.roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-            links = links.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).select("a", "b")
-            links = cut(links)
-        if links.isEmpty():
-            return
-        self.links = links if self.links is None else self.links.unionByName(links)
-        self.roots = components(self.links)
-
-    def compare(self, pairs: DataFrame) -> None:
-        """Verifies the pairs that pass the filters of sizes and of the other orders."""
-        low, high = F.least("n_a", "n_b").cast("long"), F.greatest("n_a", "n_b").cast("long")
-        pairs = pairs.filter(100 * low >= self.percent * high).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if self.seen is not None:
-            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
-        orders = lambda c: self.members.select(F.col("node").alias(c), F.col("orders").alias(f"orders_{c}"))
-        pairs = cut(_sharing(pairs.join(orders("a"), "a").join(orders("b"), "b")))
-        if pairs.isEmpty():
-            return
-        done = cut(_verified(self._with_sets(pairs, "a", "b"), self.percent))
-        self.seen = done.select("a", "b") if self.seen is None else self.seen.unionByName(done.select("a", "b"))
-        self._link(done.filter("linked").select("a", "b"))
-
-    def refine(self, postings: DataFrame) -> DataFrame:
-        """Compares the members of large buckets with their hub, and gives the buckets that take their place."""
-        members = postings.join(_hubs(postings), "token").filter("hub.node <> node").select(F.col("hub.node").alias("hub"), "node", "n", "central").distinct()
-        members = cut(members)
-        if members.isEmpty():
-            return postings.select(*_POSTING).limit(0)
-        against = cut(_against_hubs(self._with_sets(members, "hub", "node"), self.percent))
-        self._link(against.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")))
-        # Only hubs with members of several components go on.
-        rooted = self._rooted(against.select("hub", "node", "n"))
-        still = rooted.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least")).filter("low <> high").select("hub", "least")
-        against = against.join(still, "hub")
-        outside = against.select("hub", "node", "n", "central", F.explode("rest").alias("_t")).select(F.xxhash64("hub", "_t").alias("token"), "node", "n", "central", F.lit(None).cast("int").alias("held"))
-        enough = against.filter(F.col("common") >= least_overlap(F.col("n"), F.col("least"), self.percent)).select(F.xxhash64("hub", F.lit("enough")).alias("token"), "node", "n", "central", F.col("common").alias("held"))
-        return outside.unionByName(enough)
+        opened = self.tables.cut(rooted.join(buckets, "token").select(*_POSTING, "k", "root", "largest", direct.alias("direct")))
+        return None if opened.isEmpty() else opened
 
 
 def linked_components(docs: DataFrame, **how) -> DataFrame:
@@ -425,18 +445,21 @@ def linked_components(docs: DataFrame, **how) -> DataFrame:
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id (null ids last), then of the smallest text hash.
 
-    Of equal rows one stays. Rows without shingles, null and empty texts among them, all stay.
+    Of equal rows one stays. Rows without shingles, null and empty texts among them, all stay, and are not shuffled.
     """
     ends = linked_roots(docs.select("doc_id", "text"), **how)
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best")
-    code, single, turn = fresh(docs, "_code"), fresh(docs, "_single"), fresh(docs, "_turn")
-    kept = ends.filter("root is not null").groupBy("root").agg(best).select("best.doc_id", "best.text_key", F.lit(True).alias(single))
-    bare = ends.filter("root is null").select("doc_id", "text_key", F.lit(False).alias(single)).distinct()
-    key = lambda i, k: F.xxhash64(F.coalesce(i.cast("string"), F.lit("none")), k)
-    kept = kept.union(bare).select(key(F.col("doc_id"), F.col("text_key")).alias(code), single)
-    rows = docs.withColumn(code, key(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(kept, code)
-    rows = rows.withColumn(turn, F.row_number().over(Window.partitionBy(code).orderBy(code)))
-    return rows.filter((F.col(turn) == 1) | ~F.col(single)).select(*docs.columns)
+    i, k, many = fresh(docs, "_id"), fresh(docs, "_key"), fresh(docs, "_many")
+    rows = ends.filter("root is not null")
+    kept = rows.groupBy("root").agg(best).select("best.doc_id", "best.text_key")
+    # Only rows that stand more than once have to be told apart.
+    copies = rows.groupBy("doc_id", "text_key").agg((F.count("*") > 1).alias(many)).withColumnsRenamed({"doc_id": i, "text_key": k})
+    kept = kept.join(copies, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col("text_key") == F.col(k))).select(i, k, many)
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    found = docs.filter(worded).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.unhex(F.md5("text")) == F.col(k)))
+    single = found.filter(~F.col(many)).select(*docs.columns)
+    first = found.filter(F.col(many)).dropDuplicates([i, k]).select(*docs.columns)
+    return docs.filter(~worded).unionByName(single).unionByName(first)
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

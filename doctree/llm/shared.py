@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..sources.scratch import cut, shared_dir  # noqa: F401
+from ..sources.scratch import Tables, cut, shared_dir  # noqa: F401
 
 #: Bytes of text that one numpy step works on; one longer text is still taken whole.
 BLOCK_BYTES = 1 << 19

@@ -7,18 +7,67 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows a file that a table of known size is written with, at least.
+ROWS_A_FILE = 1 << 18
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where none is named, as in tests."""
+    """The folder that spark.checkpoint.dir names. Only a local master, as in tests, may do without: it gets a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="doctree-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: its lineage ends there and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _write(df: DataFrame, path: str, rows: int | None) -> DataFrame:
+    spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
+    # Nothing reads the shuffles of a written table again, so their files need not wait for a collection of garbage.
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: its lineage ends there and lost executors cost nothing.
+
+    rows, if known, is about how many rows it has; small tables then get few files, however many partitions a shuffle has.
+    """
+    return _write(df, f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}", rows)
+
+
+class Tables:
+    """Intermediate tables as `cut` makes them, each deleted by `drop`, and what is left of them at the end of a `with`."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._kept: list[tuple[DataFrame, str]] = []
+
+    def cut(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{uuid.uuid4().hex}"
+        table = _write(df, path, rows)
+        self._kept.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table, path in list(self._kept):
+            if any(table is t for t in tables):
+                self._kept.remove((table, path))
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop(*[t for t, _ in self._kept])
