@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .shared import WORD, Words, blocks, bounded, buffers, char_offsets, cut, set_aside
+from .shared import WORD, Words, blocks, bounded, buffers, char_offsets, cut, pieces_of, set_aside
 
 SIZE = 10
 #: Benchmark text beyond this many bytes is joined by shuffle instead of being broadcast.
@@ -170,7 +170,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
     # Kept pieces: from the end of each hit (or 0) to the start of the next (or the end).
     starts = F.concat(F.array(F.lit(0)), F.col("hit_spans.end"))
     ends = F.concat(F.col("hit_spans.start"), F.array(F.length("text")))
-    kept = F.array_join(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.substring(F.col("text"), x["a"] + 1, x["b"] - x["a"])), "")
+    kept = pieces_of(F.col("text"), starts, ends)
     return found.withColumn("text", F.when(F.col("n_hit") > 0, kept).otherwise(F.col("text"))).transform(restored)
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import cut, fresh
+from .shared import cut, fresh, pieces_of, running
 
 KINDS = ("email", "ip", "card", "phone")
 #: What each kind looks like. A run that is too long for a card is no match at all, so its parts are none either.
@@ -22,17 +22,21 @@ _PATTERNS = {
 }
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
-#: An identifier of no known kind: a run without spaces or quotes that holds a digit or an at sign.
-_LOOSE = r"""(?<![^\s=:"'<>,;|])[^\s=:"'<>,;|0-9@]*+[0-9@][^\s=:"'<>,;|]*+"""
+#: An identifier of no known kind: two to eight groups of digits with spaces, brackets, dots or hyphens between them, no more on
+#: either side, or else a run without spaces or quotes that holds a digit or an at sign.
+_GROUPS = r"""(?<![^\s=:"'<>,;|])(?<![0-9][ ().-])(?<![0-9][ ().-]{2})[+(]?[0-9]{1,19}+(?:[ ().-]{1,2}+[0-9]{1,19}+){1,7}+(?![ ().-]{0,2}[0-9])(?![\p{L}@_/%-])"""
+_LOOSE = _GROUPS + r"""|(?<![^\s=:"'<>,;|])[^\s=:"'<>,;|0-9@]*+[0-9@][^\s=:"'<>,;|]*+"""
 _CONTEXT = 64
 _ONE = r"(\p{L}+)[^\p{L}\s]*\s*$"
 _TWO = r"(\p{L}+[^\p{L}]{1,8}\p{L}+)[^\p{L}\s]*\s*$"
-_FOUND = "array<struct<kind:int,start:int,end:int,value:string,one:string,two:string>>"
+_AFTER = r"^[^\p{L}]*(\p{L}+)"
 #: Distinct seeds that a context needs before it counts, the least confidence to pass on a score, and to find by.
 LEAST_SEEDS = 3
-PASS_ON = 0.5
+PASS_ON = 0.3
 SURE = 0.8
-ROUNDS = 3
+ROUNDS = 4
+#: What an identifier that may or may not be of a kind counts against a context, next to one that is not.
+UNSURE = 0.2
 
 
 def _luhn(value: Column) -> Column:
@@ -63,36 +67,27 @@ def _fits(kind: str, value: Column) -> Column:
     if kind == "email":
         return letters & value.contains("@")
     if kind == "ip":
-        return ~letters & value.rlike(r"[0-9]\.[0-9]") & (digits >= 6)
+        return ~letters & value.rlike(r"^[^ ]*[0-9]\.[0-9][^ ]*$") & (digits >= 6)
     if kind == "card":
         return ~letters & digits.between(12, 20)
     return ~letters & digits.between(7, 16)
 
 
-def _places(pieces: Column, matches: Column, kind: Column) -> Column:
-    """_FOUND from the pieces between matches, one more than these, and the matches."""
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["p"]) + F.length(F.coalesce(x["m"], F.lit("")))).alias("at"),
-        F.when(x["m"].isNull(), acc["found"])
-        .otherwise(
-            F.concat(
-                acc["found"],
-                F.array(
-                    F.struct(
-                        kind.alias("kind"),
-                        (acc["at"] + F.length(x["p"])).alias("start"),
-                        (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("end"),
-                        x["m"].alias("value"),
-                        F.lower(F.regexp_extract(F.right(x["p"], F.lit(_CONTEXT)), _ONE, 1)).alias("one"),
-                        F.lower(F.regexp_replace(F.regexp_extract(F.right(x["p"], F.lit(_CONTEXT)), _TWO, 1), r"[^\p{L}]+", " ")).alias("two"),
-                    )
-                ),
-            )
-        )
-        .alias("found"),
+def _places(ends: Column, pieces: Column, matches: Column, kind: Column) -> Column:
+    """(kind, start, end, value, one, two, after) of matches from the pieces between them, one more than these, and the running ends."""
+    before = lambda i: F.right(F.get(pieces, i), F.lit(_CONTEXT))
+    return F.transform(
+        matches,
+        lambda m, i: F.struct(
+            kind.alias("kind"),
+            (F.get(ends, i) - F.length(m)).alias("start"),
+            F.get(ends, i).alias("end"),
+            m.alias("value"),
+            F.lower(F.regexp_extract(before(i), _ONE, 1)).alias("one"),
+            F.lower(F.regexp_replace(F.regexp_extract(before(i), _TWO, 1), r"[^\p{L}]+", " ")).alias("two"),
+            F.lower(F.regexp_extract(F.left(F.get(pieces, i + 1), F.lit(_CONTEXT)), _AFTER, 1)).alias("after"),
+        ),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("found"))
-    return F.aggregate(F.arrays_zip(pieces.alias("p"), matches.alias("m")), start, step)["found"]
 
 
 def _hint(kind: str, text: Column) -> Column:
@@ -109,22 +104,46 @@ def _scanned(docs: DataFrame) -> DataFrame:
     cheap = {k: _hint(k, F.col("_t")) if k != "loose" else F.col("_t").rlike("[0-9@]") for k in named}
     out = out.withColumns({f"_m_{k}": F.when(cheap[k], F.regexp_extract_all("_t", F.lit(rx), F.lit(0))).otherwise(none) for k, rx in named.items()})
     out = out.withColumns({f"_p_{k}": F.when(F.size(f"_m_{k}") > 0, F.split("_t", rx, -1)).otherwise(none) for k, rx in named.items()})
+    width = lambda m, i, k: F.length(m) + F.length(F.get(F.col(f"_p_{k}"), i))
+    out = out.withColumns({f"_e_{k}": F.transform(f"_m_{k}", (lambda k: lambda m, i: width(m, i, k))(k)) for k in named})
+    out = out.withColumns({f"_e_{k}": running(f"_e_{k}", lambda x, y: x + y) for k in named})
     kinds = {}
-    for i, k in enumerate(KINDS):
-        kinds[f"_f_{k}"] = F.filter(_places(F.col(f"_p_{k}"), F.col(f"_m_{k}"), F.lit(i)), _validity(k))
-    kinds["_loose"] = _places(F.col("_p_loose"), F.col("_m_loose"), F.lit(None).cast("int"))
+    for i, k in enumerate((*KINDS, "loose")):
+        found = _places(*(F.col(f"_{c}_{k}") for c in "epm"), F.lit(i if k in KINDS else None).cast("int"))
+        kinds[f"_f_{k}"] = F.filter(found, _validity(k)) if k in KINDS else found
     out = out.select("doc_id", "text_key", *[v.alias(k) for k, v in kinds.items()])
-    out = out.select("doc_id", "text_key", F.concat(*[f"_f_{k}" for k in KINDS]).alias("base"), "_loose")
+    out = out.select("doc_id", "text_key", F.concat(*[f"_f_{k}" for k in KINDS]).alias("base"), F.col("_f_loose").alias("_loose"))
     # A loose identifier ends before closing punctuation, is no part of a match, and fits some kind.
-    trimmed = F.transform("_loose", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), (x["start"] + F.length(F.regexp_replace(x["value"], r"[.!?)\]]+$", ""))).alias("end"), F.regexp_replace(x["value"], r"[.!?)\]]+$", "").alias("value"), x["one"].alias("one"), x["two"].alias("two")))
-    apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    ending = lambda x: F.regexp_replace(x["value"], r"(?<![.!?)\]])[.!?)\]]++$", "")
+    cut_off = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), (x["start"] + F.length(ending(x))).alias("end"), ending(x).alias("value"), x["one"].alias("one"), x["two"].alias("two"), x["after"].alias("after"))
     shaped = lambda x: _fits("email", x["value"]) | _fits("ip", x["value"]) | _fits("card", x["value"]) | _fits("phone", x["value"])
-    return out.select("doc_id", "text_key", "base", F.filter(trimmed, lambda x: shaped(x) & apart(x)).alias("loose"))
+    return _apart(out.withColumn("_loose", F.filter(F.transform("_loose", cut_off), shaped)))
+
+
+def _apart(found: DataFrame) -> DataFrame:
+    """(doc_id, text_key, base, loose) with the _loose spans that no base span overlaps.
+
+    Starts of base spans and ends of loose ones are put in order once; a loose span that ends there is apart if no
+    base span that starts before has ended later than it starts.
+    """
+    none = F.lit(-1)
+    event = lambda at, rank, end, j: F.struct(at.alias("at"), rank.alias("rank"), end.alias("end"), j.alias("j"))
+    starts = F.transform("base", lambda b: event(b["start"], F.lit(1), b["end"], none))
+    ends = F.transform("_loose", lambda x, j: event(x["end"], F.lit(0), none, j))
+    some = F.when((F.size("_loose") > 0) & (F.size("base") > 0), F.array_sort(F.concat(starts, ends)))
+    out = found.withColumn("_events", some).withColumn("_reach", running(F.transform("_events", lambda e: e["end"]), F.greatest))
+    placed = F.transform("_events", lambda e, i: F.struct(e["j"].alias("j"), F.get("_reach", i).alias("reach")))
+    clear = F.filter(placed, lambda e: (e["j"] >= 0) & (e["reach"] <= F.get("_loose", e["j"])["start"]))
+    kept = F.transform(clear, lambda e: F.get("_loose", e["j"]))
+    return out.select("doc_id", "text_key", "base", F.when(F.col("_events").isNull(), F.col("_loose")).otherwise(kept).alias("loose"))
 
 
 def _contexts(x: Column | str) -> Column:
+    """The word before, the two words before, the word after, and the words on both sides."""
     x = F.col(x) if isinstance(x, str) else x
-    return F.filter(F.array(F.when(x["one"] != "", F.concat(F.lit("1:"), x["one"])), F.when(x["two"] != "", F.concat(F.lit("2:"), x["two"]))), lambda c: c.isNotNull())
+    some = {"1:": x["one"], "2:": x["two"], "3:": x["after"]}
+    around = F.when((x["one"] != "") & (x["after"] != ""), F.concat(F.lit("4:"), x["one"], F.lit(" "), x["after"]))
+    return F.filter(F.array(*[F.when(c != "", F.concat(F.lit(k), c)) for k, c in some.items()], around), lambda c: c.isNotNull())
 
 
 def _possible(value: Column) -> Column:
@@ -133,32 +152,40 @@ def _possible(value: Column) -> Column:
 
 
 def _confidence(scores: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(context, kind, confidence) from (context, kind, value, score, seed): the score that a context's instances hold of all it has and one more."""
-    held = scores.groupBy("context", "kind").agg(F.sum("score").alias("held"), F.sum(F.col("seed").cast("int")).alias("seeds")).filter(F.col("seeds") >= LEAST_SEEDS)
-    return held.join(sizes, "context").select("context", "kind", (F.col("held") / (F.col("instances") + 1)).alias("confidence")).filter(F.col("confidence") >= PASS_ON)
+    """(context, kind, confidence) from (context, kind, value, score, seed): see discover."""
+    held = scores.groupBy("context", "kind").agg(F.sum("score").alias("held"), F.sum(F.col("seed").cast("int")).alias("seeds"), F.sum((~F.col("seed")).cast("int") - F.when(F.col("seed"), 0.0).otherwise(F.col("score"))).alias("open"))
+    held = held.filter(F.col("seeds") >= LEAST_SEEDS)
+    # What is not of this kind for certain: the seeds of others, and identifiers that do not fit.
+    against = F.col("instances") - F.col("seeds") - F.col("fitting") + UNSURE * F.col("open")
+    out = held.join(sizes, ["context", "kind"]).select("context", "kind", (F.col("held") / (F.col("held") + against + 1)).alias("confidence"))
+    return out.filter(F.col("confidence") >= PASS_ON)
 
 
 def discover(scanned: DataFrame) -> DataFrame:
     """(doc_id, text_key, added): identifiers found by sure contexts, as (kind, start, end) by kind and start.
 
-    The graph has an edge for each distinct pair of a context (the word or two words before) and an identifier.
-    Matches of the patterns score 1 for their kind. In each round a context's confidence is the part of its
-    instances' scores in their number plus one, given LEAST_SEEDS seeds; an identifier's score is the chance that
-    not all of its contexts err. A context that ends with a confidence of SURE marks every identifier after it
-    that fits the kind; one that several kinds claim goes to the surest.
+    The graph has an edge for each distinct pair of a context (the word before, the two words before, the word after, the
+    words on both sides) and an identifier. Matches of the patterns score 1 for their kind. In each round a
+    context's confidence is held / (held + against + 1), given LEAST_SEEDS seeds: held is the sum of its
+    identifiers' scores, against the number of those that are of another kind or fit it by no means, and UNSURE
+    of what those that fit lack to a score of 1. An identifier's score is the chance that not all of its
+    contexts err. A context that ends with a confidence of SURE marks every identifier beside it that fits the kind;
+    one that several kinds claim goes to the surest.
     """
     seeds = scanned.select(F.explode("base").alias("x")).select(F.explode(_contexts("x")).alias("context"), "x.kind", "x.value").distinct().withColumns({"score": F.lit(1.0), "seed": F.lit(True)})
     loose = scanned.select(F.explode("loose").alias("x")).select(F.explode(_contexts("x")).alias("context"), "x.value").distinct()
     seeds, loose = cut(seeds), cut(loose)
-    counted = seeds.groupBy("context").agg(F.count("*").alias("n")).unionAll(loose.groupBy("context").agg(F.count("*").alias("n")))
-    seeded = seeds.groupBy("context").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= LEAST_SEEDS).select("context")
-    sizes = cut(counted.groupBy("context").agg(F.sum("n").alias("instances")).join(seeded, "context"))
-    wanted = cut(loose.join(sizes.select("context"), "context").withColumn("kind", F.explode(_possible(F.col("value")))))
-    sure = _confidence(seeds, sizes)
+    seeded = cut(seeds.groupBy("context", "kind").agg(F.count("*").alias("n")))
+    counted = seeded.select("context", "n").unionAll(loose.groupBy("context").agg(F.count("*").alias("n"))).groupBy("context").agg(F.sum("n").alias("instances"))
+    strong = seeded.filter(F.col("n") >= LEAST_SEEDS).select("context", "kind")
+    wanted = cut(loose.join(strong.select("context").distinct(), "context").withColumn("kind", F.explode(_possible(F.col("value")))).join(strong, ["context", "kind"]).withColumns({"score": F.lit(0.0), "seed": F.lit(False)}))
+    fitting = wanted.groupBy("context", "kind").agg(F.count("*").alias("fitting"))
+    sizes = cut(strong.join(counted, "context").join(fitting, ["context", "kind"], "left").select("context", "kind", "instances", F.coalesce("fitting", F.lit(0)).alias("fitting")))
+    sure = _confidence(seeds.unionByName(wanted), sizes)
     for _ in range(ROUNDS - 1):
         doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6))))
-        scored = wanted.join(sure, ["context", "kind"]).groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"))
-        passed = wanted.join(scored, ["value", "kind"]).select("context", "kind", "value", "score", F.lit(False).alias("seed"))
+        scored = wanted.join(sure, ["context", "kind"]).groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("_score"))
+        passed = wanted.join(scored, ["value", "kind"], "left").select("context", "kind", "value", F.coalesce("_score", "score").alias("score"), "seed")
         sure = cut(_confidence(seeds.unionByName(passed), sizes))
     sure = sure.filter(F.col("confidence") >= SURE)
     places = (
@@ -190,20 +217,20 @@ def mask(docs: DataFrame) -> DataFrame:
 
     Columns and rows stay; texts without spans, null ones too, are as they were.
     """
-    i, k, at = fresh(docs, "_id"), fresh(docs, "_key"), fresh(docs, "_spans")
+    i, k, at, reach = fresh(docs, "_id"), fresh(docs, "_key"), fresh(docs, "_spans"), fresh(docs, "_reach")
     spans = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     found = find(docs.select("doc_id", "text")).filter(F.size("spans") > 0).select(F.col("doc_id").alias(i), F.col("text_key").alias(k), spans.alias(at)).distinct()
     joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(k)), "left")
+    # Spans that start where none before reaches open a piece of their own; it ends as far as those up to the next reach.
+    joined = joined.withColumn(reach, running(F.transform(at, lambda x: x["end"]), F.greatest))
+    opens = F.filter(F.transform(at, lambda x, j: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), j.alias("j"))), lambda x: (x["j"] == 0) | (x["start"] >= F.get(reach, x["j"] - 1)))
+    joined = joined.withColumn(at, opens)
+    # The last span of each piece stands before the next piece's first.
+    last = lambda i: F.coalesce(F.get(at, i + 1)["j"], F.size(reach)) - 1
+    ends = F.transform(at, lambda x, i: F.get(reach, last(i)))
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    # What stands before a span and its name, unless an earlier span reaches beyond it.
-    step = lambda acc, x: F.struct(
-        F.greatest(acc["at"], x["end"]).alias("at"),
-        F.when(x["start"] < acc["at"], acc["parts"])
-        .otherwise(F.concat(acc["parts"], F.array(F.concat(F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.element_at(names, x["kind"] + 1)))))
-        .alias("parts"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    masked = F.aggregate(at, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    labels = F.transform(at, lambda x: F.element_at(names, x["kind"] + 1))
+    masked = pieces_of(F.col("text"), F.concat(F.array(F.lit(0)), ends), F.concat(F.transform(at, lambda x: x["start"]), F.array(F.length("text"))), labels)
     return joined.withColumn("text", F.when(F.col(at).isNull(), F.col("text")).otherwise(masked)).select(*docs.columns)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.scratch import Tables, cut, shared_dir  # noqa: F401
 
@@ -160,3 +160,44 @@ def char_offsets(data: np.ndarray, positions: np.ndarray) -> np.ndarray:
     counts = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=counts[1:])
     return counts[positions]
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column | str, join) -> Column:
+    """The running sums, maxima or the like of an array of integers: by steps of 1, 2, 4 .. elements, so its time hardly exceeds its length's."""
+    values = F.col(values) if isinstance(values, str) else values
+    rounds = F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int")
+    steps = F.transform(F.sequence(F.lit(0), rounds - 1), lambda r: F.pow(F.lit(2.0), r).cast("int"))
+    double = lambda acc, step: F.transform(acc, lambda x, i: F.when(i >= step, join(x, F.get(acc, i - step))).otherwise(x))
+    return F.when(F.size(values) < 2, values).otherwise(F.aggregate(steps, values, double))
+
+
+#: Code points of a part that `pieces_of` takes pieces from.
+_PART = 4096
+
+
+def pieces_of(text: Column, starts: Column, ends: Column, between: Column | None = None) -> Column:
+    """text[start:end] of spans in order, in code points, joined, with between[i] after the i-th.
+
+    A piece of a string is found from its beginning; so text is cut into parts first, and a text of many pieces takes
+    time in proportion to its length.
+    """
+    between = F.array().cast("array<string>") if between is None else between
+    spans = F.arrays_zip(starts.alias("start"), ends.alias("end"), between.alias("after"))
+
+    def joined(parts):
+        def piece(p):
+            low, high, after = p["start"], p["end"], F.coalesce(p["after"], F.lit(""))
+            first = F.floor(low / _PART).cast("int")
+            count = F.floor((high - 1) / _PART).cast("int") - first + 1
+            begin = lambda k: F.greatest(low - (first + k) * _PART, F.lit(0))
+            own = F.transform(F.slice(parts, first + 1, F.greatest(count, F.lit(0))), lambda part, k: F.substring(part, begin(k) + 1, F.least(high - (first + k) * _PART, F.lit(_PART)) - begin(k)))
+            return F.when(high > low, F.concat(F.array_join(own, ""), after)).otherwise(after)
+
+        return F.array_join(F.transform(spans, piece), "")
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{{_PART}}}|.+"), F.lit(0)), joined)

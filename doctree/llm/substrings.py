@@ -1,227 +1,123 @@
-"""Substring deduplication: windows of all texts, met through seeds that every window holds, one kept of each."""
+"""Substring deduplication: content-defined chunks of all texts, cut by a gear rolling hash; chunks of equal digests are kept once."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import _BASE, blocks, bounded, cut, fresh, inverse, mix, powers, set_aside
+from .gear import Sizes, chunk
+from .shared import _BASE, _BYTE, _WORD_BASE, blocks, bounded, cut, fresh, pieces_of, range_hashes, set_aside
 
-#: Shorter runs in common, in code points, stay: a phrase in common is no passage.
+#: Chunks are small against a passage, so that one loses little of it before its chunks fall into step and after they leave it.
+SIZES = Sizes(least=16, normal=24, most=64)
+#: Shorter runs of chunks in common, in code points, stay: a phrase in common is no passage.
 LEAST_RUN = 100
-#: Code points of a seed, at most.
-_SEED = 32
-_U = np.uint64
-_SEEDS = "seed long, hull long, doc_id long, text_key long, start int, end int"
-_WINDOWS = "window long, seed long, hull long, j int, doc_id long, text_key long, start int"
 
 
-def _points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each code point of texts laid end to end, and the n + 1 offsets of the texts in code points."""
-    if not (data & 0x80).any():
-        return data, at
-    first = (data & 0xC0) != 0x80
-    first[at[:-1][at[:-1] < len(data)]] = True
-    places = np.flatnonzero(first)
-    width = np.diff(np.append(places, len(data)))
-    values = data[places].astype(np.uint32)
-    for k in (1, 2, 3):
-        more = width > k
-        values[more] = (values[more] << np.uint32(8)) | data[places[more] + k]
-    return values, np.searchsorted(places, at)
+def _cut_up(data: np.ndarray, at: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, index of each text's first) of all chunks, in bytes; no chunk ends inside a code point."""
+    ends, index = chunk(data, at, sizes)
+    if (data & 0x80).any():
+        places = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        ends = places[np.searchsorted(places, ends)]
+    starts = np.zeros(len(ends), np.int64)
+    starts[1:] = ends[:-1]
+    return starts, ends, index
 
 
-def _sums(values: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(mix(values.astype(np.uint64) + _U(1)) * powers(_BASE, len(values)), out=sums[1:])
-    return sums
-
-
-def _hashes(sums: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of `size` values."""
-    n = len(sums) - size
-    return mix((sums[size:] - sums[:n]) * powers(inverse(_BASE), len(sums))[:n])
-
-
-def _hulls(values: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """(text, start, end, seed, hull) of the runs of windows of `size` values that hold the same seed.
-
-    A window's seed is the run of up to _SEED values in it with the least hash, the leftmost of equals, so equal
-    windows have equal seeds wherever they stand. A hull spans the neighbouring windows of one seed.
-    """
-    n = len(values)
-    begin = np.repeat(at[1:] - size, np.diff(at))
-    valid = np.flatnonzero(np.arange(n) <= begin)
-    if not len(valid):
-        return tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    length = min(_SEED, size)
-    sums = _sums(values)
-    hashes = _hashes(sums, length)
-    bits = max(24, n.bit_length())
-    mask = _U((1 << bits) - 1)
-    least = (hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64)
-    span, wide = size - length + 1, 1
-    while wide * 2 <= span:
-        least = np.minimum(least[:-wide], least[wide:])
-        wide *= 2
-    if wide < span:
-        least = np.minimum(least[: len(least) - (span - wide)], least[span - wide :])
-    seat = (least & mask).astype(np.int64)[valid]
-    turn = np.ones(len(valid), bool)
-    turn[1:] = seat[1:] != seat[:-1]
-    low = np.flatnonzero(turn)
-    start, end = valid[low], valid[np.append(low[1:], len(valid)) - 1] + size
-    hull = mix((sums[end] - sums[start]) * powers(inverse(_BASE), len(sums))[start])
-    return np.searchsorted(at, start, "right") - 1, start, end, hashes[seat[low]], hull
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits for each chunk: two hashes of different bases."""
+    values = _BYTE[data]
+    check = range_hashes(values, starts, ends, _WORD_BASE) >> np.uint64(32)
+    return range_hashes(values, starts, ends, _BASE).view(np.int64), check.astype(np.uint32).view(np.int32)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return bounded(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
 
 
-def seeds(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
-    """(seed, hull, doc_id, text_key, start, end) of all hulls of every whole text, places in code points.
+def chunks(docs: DataFrame, sizes: Sizes = SIZES) -> DataFrame:
+    """(digest, check, doc_id, text_key, i, start, end): the chunks of every whole text, numbered, places in code points.
 
-    text_key tells texts of one doc_id apart. Texts of fewer than `least_run` code points have none.
+    text_key tells texts of one doc_id apart. Null and empty texts have none.
     """
 
     def run(batches):
         for rows, data, at in blocks(batches):
-            values, at = _points(data, at)
-            text, start, end, seed, hull = _hulls(values, at, least_run)
-            if not len(text):
+            starts, ends, index = _cut_up(data, at, sizes)
+            if not len(ends):
                 continue
+            digest, check = _digests(data, starts, ends)
+            points = np.zeros(len(data) + 1, np.int64)
+            np.cumsum((data & 0xC0) != 0x80, out=points[1:])
+            counts = np.diff(index)
+            text = np.repeat(np.arange(rows.num_rows), counts)
+            first = np.repeat(points[at[:-1]], counts)
             row = pa.array(text)
+            number = np.arange(len(ends)) - index[text]
+            places = [pa.array(x.astype(np.int32)) for x in (number, points[starts] - first, points[ends] - first)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(seed.view(np.int64)),
-                    pa.array(hull.view(np.int64)),
-                    rows.column("doc_id").take(row),
-                    rows.column("text_key").take(row),
-                    pa.array((start - at[text]).astype(np.int32)),
-                    pa.array((end - at[text]).astype(np.int32)),
-                ],
-                names=["seed", "hull", "doc_id", "text_key", "start", "end"],
+                [pa.array(digest), pa.array(check), rows.column("doc_id").take(row), rows.column("text_key").take(row), *places],
+                names=["digest", "check", "doc_id", "text_key", "i", "start", "end"],
             )
 
-    return _keyed(docs).mapInArrow(run, _SEEDS)
+    return _keyed(docs).mapInArrow(run, "digest long, check int, doc_id long, text_key long, i int, start int, end int")
 
 
-def _windows(docs: DataFrame, hulls: DataFrame, least_run: int) -> DataFrame:
-    """All windows of the first places of hulls; j is the place in the hull, start that in the text."""
+def _counts(docs: DataFrame, sizes: Sizes) -> DataFrame:
+    """(digest, check, n) of the chunks of each block of texts."""
 
     def run(batches):
-        for rows, data, at in blocks(batches):
-            values, at = _points(data, at)
-            lists = rows.column("need")
-            need = lists.flatten()
-            if len(values) < least_run or not len(need):
-                continue
-            text = np.repeat(np.arange(rows.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            start, end = (need.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "end"))
-            count = end - start - least_run + 1
-            of = np.repeat(np.arange(len(need)), count)
-            j = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            place = start[of] + j
-            row, of = pa.array(text[of]), pa.array(of)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(_hashes(_sums(values), least_run)[at[row.to_numpy()] + place].view(np.int64)),
-                    need.field("seed").take(of),
-                    need.field("hull").take(of),
-                    pa.array(j.astype(np.int32)),
-                    rows.column("doc_id").take(row),
-                    rows.column("text_key").take(row),
-                    pa.array(place.astype(np.int32)),
-                ],
-                names=["window", "seed", "hull", "j", "doc_id", "text_key", "start"],
-            )
-
-    need = hulls.groupBy(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")).agg(
-        F.collect_list(F.struct(F.col("first.start").alias("start"), (F.col("first.start") + F.col("length")).alias("end"), "seed", "hull")).alias("need")
-    )
-    docs = _keyed(docs)
-    same = (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    return docs.join(need, same).select("doc_id", "text_key", "text", "need").mapInArrow(run, _WINDOWS)
-
-
-def _runs(places):
-    """Joins (start, end) structs, sorted by start, that touch or overlap."""
-    pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    # The open run is kept apart, so that the array grows once a run and not once a span.
-    step = lambda acc, x: F.struct(
-        F.when(acc["open"]["end"] >= x["start"], acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"),
-        F.when(acc["open"]["end"] >= x["start"], pair(acc["open"]["start"], F.greatest(acc["open"]["end"], x["end"]))).otherwise(pair(x["start"], x["end"])).alias("open"),
-    )
-    none = pair(F.lit(-1), F.lit(-1))
-    joined = F.aggregate(places, F.struct(empty.alias("done"), none.alias("open")), step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
-    return F.filter(joined, lambda x: x["start"] >= 0)
-
-
-def repeats(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
+        for _, data, at in blocks(batches):
+            starts, ends, _ = _cut_up(data, at, sizes)
+            digest, check = _digests(data, starts, ends)
+            order = np.lexsort((check, digest))
+            digest, check = digest[order], check[order]
+            new = np.ones(len(digest), bool)
+            new[1:] = (digest[1:] != digest[:-1]) | (check[1:] != check[:-1])
+            places = np.flatnonzero(new)
+            n = np.diff(np.append(places, len(digest))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(digest[places]), pa.array(check[places]), pa.array(n)], names=["digest", "check", "n"])
+
+    return bounded(docs).select("text").mapInArrow(run, "digest long, check int, n long")
+
+
+def _runs(chunks: str, least: int) -> Column:
+    """Runs of neighbouring chunks in a column sorted by i: (start, end, low, high), low and high the places in the array, of `least` code points or more."""
+    at = lambda j, c: F.get(F.col(chunks), j)[c]
+    placed = F.transform(chunks, lambda x, j: F.struct(j.alias("j"), x["i"].alias("i"), x["start"].alias("start"), x["end"].alias("end")))
+    opens = F.filter(placed, lambda x: F.coalesce(at(x["j"] - 1, "i") + 1 != x["i"], F.lit(True)))
+    closes = F.filter(placed, lambda x: F.coalesce(at(x["j"] + 1, "i") - 1 != x["i"], F.lit(True)))
+    both = F.zip_with(opens, closes, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end"), a["j"].alias("low"), b["j"].alias("high")))
+    return F.filter(both, lambda x: x["end"] - x["start"] >= least)
+
+
+def repeats(docs: DataFrame, least_run: int = LEAST_RUN, sizes: Sizes = SIZES) -> DataFrame:
     """(doc_id, text_key, repeated, removed, first_docs) of each document with repeated passages.
 
-    repeated: all code points in windows of `least_run` that stand elsewhere too, in any text or again in the same
-    one, so every run in common of that length to its last code point; removed: the part of them in windows that
-    are not the first of their kind, by (doc_id, text_key, start), null ids first, less that first one where both
-    overlap; first_docs: the other documents in which removed windows occur first. Equal rows (same id, same text)
-    are one document.
+    A chunk repeats if its digest stands elsewhere too, in any text or again in the same one. repeated: the runs of
+    neighbouring repeated chunks of `least_run` code points or more. removed: such runs of chunks that are not the
+    first of their digest, by (doc_id, text_key, start), null ids first. first_docs: the other documents in which
+    the removed chunks stand first. Equal rows (same id, same text) are one document. Null and empty texts repeat nothing.
 
-    Equal windows hold equal seeds, so only seeds are compared for all texts. The hulls around a seed that stands
-    more than once are compared whole, and window by window only where a seed has several. Keys that a third of
-    the texts share are counted before they are shuffled, and the joins that follow are ones that Spark splits.
+    A passage in common falls into the same chunks in all texts but for about a chunk at its begin and end,
+    however far it has been shifted. Digests are counted before they are shuffled; places are shuffled in a
+    second pass and meet the digests that repeat in a join, whose hot keys Spark splits.
     """
-    found = seeds(docs, least_run)
+    counted = _counts(docs, sizes).groupBy("digest", "check").agg(F.sum("n").alias("n")).filter("n > 1").select("digest", "check")
+    again = cut(chunks(docs, sizes).join(counted, ["digest", "check"]))
     place = F.struct("doc_id", "text_key", "start")
-    mark = F.xxhash64("doc_id", "text_key", "start")
-    again = found.groupBy("seed").agg(F.min(mark).alias("a"), F.max(mark).alias("b"), F.min("hull").alias("c"), F.max("hull").alias("d"))
-    again = cut(found.join(again.filter("a <> b").select("seed", (F.col("c") != F.col("d")).alias("varied")), "seed"))
-
-    hulls = again.groupBy("seed", "hull").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min(F.col("end") - F.col("start")).alias("length"), F.max("varied").alias("varied"))
-    hulls = cut(hulls.select("seed", "hull", "first", "length", "varied", (~F.col("first").eqNullSafe(F.col("last"))).alias("many")))
-    windows = _windows(docs, hulls.filter("varied"), least_run)
-    first = windows.groupBy("window").agg(F.min(place).alias("at"), F.max(place).alias("last")).filter(~F.col("at").eqNullSafe(F.col("last"))).select("window", "at")
-    # Windows of a hull whose first places lie side by side are one span.
-    shift = (F.col("at.start") - F.col("start")).alias("shift")
-    spans = windows.join(first, "window").select("seed", "hull", "j", F.col("at.doc_id").alias("of"), F.col("at.text_key").alias("key"), shift, (~place.eqNullSafe(F.col("at"))).alias("later"))
-    spans = spans.groupBy("seed", "hull", "of", "key", "shift", "later").agg(F.min("j").alias("low"), F.max("j").alias("high"), F.size(F.collect_set("j")).alias("n"))
-    spans = spans.groupBy("seed", "hull").agg(F.collect_list(F.struct("of", "key", "shift", "later", "low", "high", "n")).alias("spans"))
-    hulls = cut(hulls.join(spans, ["seed", "hull"], "left"))
-
-    none = F.array().cast("array<bigint>")
-    is_first = place.eqNullSafe(F.col("first"))
-    here = lambda of, key: F.col("doc_id").eqNullSafe(of) & (F.col("text_key") == key)
-    span = lambda low, high, later, same, after, of: F.struct(
-        low.alias("start"), high.alias("end"), later.alias("later"), F.when(later & same, F.greatest(low, after)).otherwise(low).alias("cut"), F.when(later, of).otherwise(none).alias("of")
-    )
-    known = F.coalesce(F.aggregate(F.filter("spans", lambda x: x["later"]), F.lit(0), lambda acc, x: acc + x["n"]), F.lit(0))
-    # The first place of a hull is the first place of those of its windows that do not stand in an earlier hull.
-    rest = F.when(known < F.col("length") - (least_run - 1), F.array("first.doc_id")).otherwise(none)
-    whole = span(F.col("start"), F.col("end"), ~is_first, here(F.col("first.doc_id"), F.col("first.text_key")), F.col("first.start") + least_run, rest)
-    parts = F.transform(
-        "spans",
-        lambda x: span(
-            F.col("start") + x["low"],
-            F.col("start") + x["high"] + least_run,
-            ~is_first | x["later"],
-            here(x["of"], x["key"]),
-            F.col("first.start") + x["low"] + x["shift"] + least_run,
-            F.array(x["of"]),
-        ),
-    )
-    kind = "array<struct<start:int,end:int,later:boolean,cut:int,of:array<bigint>>>"
-    empty = F.array().cast(kind)
-    at = F.concat(F.when(F.col("many"), F.array(whole)).otherwise(empty).cast(kind), F.coalesce(parts.cast(kind), empty))
-    each = again.drop("varied").join(hulls, ["seed", "hull"]).select("doc_id", "text_key", at.alias("at"))
-    each = each.filter(F.size("at") > 0).groupBy("doc_id", "text_key").agg(F.array_sort(F.flatten(F.collect_set("at"))).alias("at"))
-    later = F.filter("at", lambda x: x["later"])
-    cuts = F.array_sort(F.transform(later, lambda x: F.struct(x["cut"].alias("start"), x["end"].alias("end"))))
-    of = F.array_distinct(F.flatten(F.transform(later, lambda x: x["of"])))
-    return each.select(
-        "doc_id", "text_key", _runs(F.col("at")).alias("repeated"), _runs(cuts).alias("removed"), F.array_sort(F.filter(of, lambda x: ~x.eqNullSafe(F.col("doc_id")))).alias("first_docs")
-    )
+    first = again.groupBy("digest", "check").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last")))
+    found = again.join(first.select("digest", "check", "first"), ["digest", "check"])
+    later = ~place.eqNullSafe(F.col("first"))
+    each = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("i", "start", "end", later.alias("later"), F.col("first.doc_id").alias("of"))).alias("at"))
+    each = each.select("doc_id", "text_key", F.array_sort("at").alias("at"))
+    each = each.withColumn("later", F.filter("at", lambda x: x["later"]))
+    each = each.select("doc_id", "text_key", _runs("at", least_run).alias("runs"), _runs("later", least_run).alias("cuts"), "later").filter(F.size("runs") > 0)
+    plain = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    of = F.array_distinct(F.flatten(F.transform("cuts", lambda x: F.transform(F.slice("later", x["low"] + 1, x["high"] - x["low"] + 1), lambda y: y["of"]))))
+    return each.select("doc_id", "text_key", plain("runs").alias("repeated"), plain("cuts").alias("removed"), F.array_sort(F.filter(of, lambda x: ~x.eqNullSafe(F.col("doc_id")))).alias("first_docs"))
 
 
 def annotate(docs: DataFrame, **how) -> DataFrame:
@@ -241,7 +137,7 @@ def deduplicate(docs: DataFrame, **how) -> DataFrame:
     marked = annotate(docs, **how)
     starts = F.concat(F.array(F.lit(0)), F.col("removed.end"))
     ends = F.concat(F.col("removed.start"), F.array(F.length("text")))
-    kept = F.array_join(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.substring(F.col("text"), x["a"] + 1, x["b"] - x["a"])), "")
+    kept = pieces_of(F.col("text"), starts, ends)
     return restored(marked.withColumn("text", F.when(F.size("removed") > 0, kept).otherwise(F.col("text"))))
 
 

@@ -412,42 +412,87 @@ def test_substrings(spark):
     assert substrings.deduplicate(odd).count() == 7 and substrings.annotate(odd.limit(0)).count() == 0
 
 
-def brute_repeats(texts, size=100):
-    """Marks of repeated and removed code points of each text, window by window."""
-    first, count = {}, {}
+def plain_chunks(text, sizes):
+    """The chunks of one text, byte by byte."""
+    from doctree.llm.gear import _GEAR
+
+    raw, h, strict, loose = (text or "").encode(), 0, set(), set()
+    for e, b in enumerate(raw, 1):
+        h = (h << 1) + int(_GEAR[b]) & 0xFFFF
+        strict |= {e} if h >> (16 - sizes.strict) == 0 else set()
+        loose |= {e} if h >> (16 - sizes.loose) == 0 else set()
+    place, ends = 0, []
+    while place < len(raw):
+        cut = next((e for e in range(place + sizes.least, min(place + sizes.normal, len(raw))) if e in strict), None)
+        place = cut or next((e for e in range(place + sizes.normal, place + sizes.most) if e in loose or e >= len(raw)), place + sizes.most)
+        ends.append(min(place, len(raw)))
+    whole = [e + next(k for k in range(4) if e + k == len(raw) or raw[e + k] & 0xC0 != 0x80) for e in ends]
+    return [raw[a:b].decode() for a, b in zip([0, *whole], whole)]
+
+
+def brute_repeats(texts, least=100, sizes=substrings.SIZES):
+    """(repeated, removed, first_docs) of each text, chunk by chunk."""
+    places, of = {}, []
     for d, t in enumerate(texts):
-        for s in range(len(t) - size + 1):
-            first.setdefault(t[s : s + size], (d, s))
-            count[t[s : s + size]] = count.get(t[s : s + size], 0) + 1
+        at, own = 0, []
+        for c in plain_chunks(t, sizes):
+            own.append((at, at + len(c), c))
+            places.setdefault(c, []).append((d, at))
+            at += len(c)
+        assert "".join(c for *_, c in own) == (t or "")
+        of.append(own)
+
+    def runs(own, flags):
+        out, low = [], None
+        for i in range(len(own) + 1):
+            if i < len(own) and flags[i]:
+                low = i if low is None else low
+            elif low is not None:
+                if own[i - 1][1] - own[low][0] >= least:
+                    out.append((low, i))
+                low = None
+        return out
+
     out = []
-    for d, t in enumerate(texts):
-        repeated, removed, of = set(), set(), set()
-        for s in range(len(t) - size + 1):
-            w = t[s : s + size]
-            if count[w] > 1:
-                repeated.update(range(s, s + size))
-            if first[w] != (d, s):
-                e, f = first[w]
-                removed.update(range(max(s, f + size) if e == d else s, s + size))
-                of.add(e)
-        out.append((repeated, removed, sorted(of - {d})))
+    for d, own in enumerate(of):
+        cuts = runs(own, [places[c][0] != (d, a) for a, _, c in own])
+        firsts = {places[c][0][0] for low, high in cuts for *_, c in own[low:high]} - {d}
+        spans = lambda some: [(own[low][0], own[high - 1][1]) for low, high in some]
+        out.append((spans(runs(own, [len(places[c]) > 1 for *_, c in own])), spans(cuts), sorted(firsts)))
     return out
 
 
 def test_substrings_equal_brute_force(spark):
     rng = random.Random(11)
-    words = lambda n: " ".join("".join(rng.choice("abcdefghijé") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijé世") for _ in range(rng.randint(2, 8))) for _ in range(n))
     passages = [words(51) for _ in range(40)]
     texts = [words(rng.randint(0, 60)) + " " + p + " " + words(rng.randint(0, 60)) for p in passages for _ in range(2)]
     line = words(20)[:101]
     texts += [words(30) + line + words(30) for _ in range(5)] + [words(30) + line[:99] + words(30), line[:100], "ab" * 90, passages[0][:140] + passages[1] + passages[0][:140] + passages[0]]
+    texts += [None, "", "x", "é" * 5000]
     rng.shuffle(texts)
     got = {r.doc_id: r for r in substrings.annotate(docs_of(spark, texts)).collect()}
-    marks = lambda spans: {i for s in spans for i in range(s.start, s.end)}
-    for d, (repeated, removed, of) in enumerate(brute_repeats(texts)):
-        assert marks(got[d].repeated) == repeated and marks(got[d].removed) == removed
+    want = brute_repeats(texts)
+    for d, (repeated, removed, of) in enumerate(want):
+        assert [tuple(x) for x in got[d].repeated] == repeated and [tuple(x) for x in got[d].removed] == removed
         assert got[d].first_docs == of
-    assert all(any(p in t and len(marks(got[d].repeated)) >= len(p) for d, t in enumerate(texts)) for p in passages)
+    # Every planted passage is found, but for about a chunk at either end.
+    for p in passages:
+        holders = [d for d, t in enumerate(texts) if t and p in t]
+        for d in holders:
+            low = texts[d].index(p)
+            assert sum(max(0, min(b, low + len(p)) - max(a, low)) for a, b in want[d][0]) > len(p) / 3
+        assert sum(bool(want[d][1]) for d in holders) >= len(holders) - 1
+
+
+def test_substrings_of_repeated_rows_and_null_ids(spark):
+    rng = random.Random(12)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    docs = docs_of(spark, [(1, text), (1, text), (2, "other text"), (None, text), (None, None)])
+    got = sorted(((r.doc_id, len(r.repeated), len(r.removed)) for r in substrings.annotate(docs).collect()), key=str)
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 0, 0), (None, 0, 0), (None, 1, 0)]
+    alone = substrings.annotate(docs.filter("doc_id is not null")).collect()
+    assert all(not r.repeated and not r.removed for r in alone)
 
 
 def test_chunks_do_not_depend_on_neighbours():
