@@ -19,6 +19,8 @@ _CHUNK = 1 << 12
 SMALL = 64
 #: Prefixes of at most so many tokens are kept with 16 bits a token in the other orders.
 NARROW = 256
+#: Sets of at most so many tokens are kept with 16 bits a token to reject pairs before whole sets move.
+BRIEF = 1024
 _ORDERS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
@@ -140,37 +142,69 @@ def _sketches(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
     return _keyed(docs).mapInArrow(run, _SKETCH)
 
 
-def _packed(prefix: np.ndarray) -> bytes:
-    """The upper 16 bits of each token, 32 in long prefixes, which by chance would meet too often else."""
-    return (prefix >> np.uint64(48)).astype("<u2").tobytes() if len(prefix) <= NARROW else (prefix >> np.uint64(32)).astype("<u4").tobytes()
+def _packed(tokens: np.ndarray, narrow: int = NARROW) -> bytes:
+    """The upper 16 bits of each token; 32 of more than `narrow` tokens, which by chance would meet too often else."""
+    return (tokens >> np.uint64(48)).astype("<u2").tobytes() if len(tokens) <= narrow else (tokens >> np.uint64(32)).astype("<u4").tobytes()
 
 
-def _share(x: bytes, n_x: int, y: bytes, n_y: int) -> bool:
-    """Whether two packed prefixes of n_x and n_y tokens may have a token in common."""
-    if (n_x <= NARROW) == (n_y <= NARROW):
-        kind = "<u2" if n_x <= NARROW else "<u4"
-        return len(np.intersect1d(np.frombuffer(x, kind), np.frombuffer(y, kind))) > 0
-    narrow, wide = (x, y) if n_x <= NARROW else (y, x)
-    return bool(np.isin(np.frombuffer(wide, "<u4") >> 16, np.frombuffer(narrow, "<u2")).any())
+def _in_common(x: bytes, n_x: int, y: bytes, n_y: int) -> int:
+    """How many of n_x and n_y packed tokens may be the same at most: bits count as often as both have them."""
+    if not n_x or not n_y:
+        return 0
+    (a, wide), (b, other) = ((np.frombuffer(v, "<u2" if len(v) == 2 * n else "<u4"), len(v) > 2 * n) for v, n in ((x, n_x), (y, n_y)))
+    if wide != other:
+        a, b = (a >> 16 if wide else a), (b >> 16 if other else b)
+    a, many = np.unique(a, return_counts=True)
+    b, more = np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return int(np.minimum(many[i], more[j]).sum())
+
+
+def _least_total(n_x: int, n_y: int, percent: int) -> int:
+    """The smallest intersection of linked sets of these sizes."""
+    return -(-percent * (n_x + n_y) // (100 + percent))
+
+
+def _least_in_prefixes(n_x: int, n_y: int, percent: int) -> int:
+    """Tokens that the prefixes of linked sets of n_x and n_y tokens share at least, under any one order.
+
+    Of an overlap, no more lies behind a prefix than that prefix leaves of its own set; and of the two
+    prefixes, the one that ends first in the order leaves none of the other's tokens before its end.
+    """
+    return max(1, _least_total(n_x, n_y, percent) - max(n - prefix_length(n, percent) for n in (n_x, n_y)))
 
 
 def _meeting(pairs: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b, .., big, orders_a, orders_b) with meets: whether their prefixes meet under each of the other orders.
+    """pairs (a, b, .., big, orders_a, orders_b) with meets: whether their prefixes share enough under each of the other orders.
 
     Pairs that do not cannot link; they go, but for those of big buckets, whose members are needed to refine these.
     """
 
     def run(batches):
         for batch in batches:
-            sizes = ([prefix_length(n, percent) for n in batch.column(c).to_pylist()] for c in ("n_a", "n_b"))
-            orders = (batch.column(c).to_pylist() for c in ("orders_a", "orders_b"))
-            meets = [all(_share(x, n_a, y, n_b) for x, y in zip(a, b)) for n_a, n_b, a, b in zip(*sizes, *orders)]
+            columns = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "orders_a", "orders_b"))
+            meets = []
+            for n_a, n_b, a, b in zip(*columns):
+                least, sizes = _least_in_prefixes(n_a, n_b, percent), (prefix_length(n_a, percent), prefix_length(n_b, percent))
+                meets.append(all(_in_common(x, sizes[0], y, sizes[1]) >= least for x, y in zip(a, b)))
             out = batch.select(_PAIR).append_column("meets", pa.array(meets, pa.bool_()))
             yield out.filter(pc.or_(out.column("meets"), out.column("big")))
 
     return pairs.select(*_PAIR, "orders_a", "orders_b").mapInArrow(run, "a long, n_a int, b long, n_b int, central double, big boolean, meets boolean")
 
 
+def _likely(pairs: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b, .., meets, brief_a, brief_b) without those that cannot link, by a few bits of each token; those of big buckets stay."""
+
+    def run(batches):
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("big", "n_a", "n_b", "brief_a", "brief_b"))
+            may = [big or _in_common(a, n_a, b, n_b) >= _least_total(n_a, n_b, percent) for big, n_a, n_b, a, b in zip(*columns)]
+            yield batch.select([*_PAIR, "meets"]).filter(pa.array(may, pa.bool_()))
+
+    return pairs.select(*_PAIR, "meets", "brief_a", "brief_b").mapInArrow(run, "a long, n_a int, b long, n_b int, central double, big boolean, meets boolean")
+
+
 def least_overlap(n_a, n_b, percent: int):
     """The smallest intersection of linked sets of these sizes."""
     total = percent * (n_a + n_b)
@@ -245,21 +279,27 @@ def _filter(wanted: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) for wanted (node, doc_id, text_key): the set of one text of each node, packed."""
+    """(node, shingles, brief) for wanted (node, doc_id, text_key): the set of one text of each node, packed, whole and with a few bits of each token."""
     bitmap = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
 
     def run(batches):
         # Texts that are not wanted neither become sets nor are shuffled.
         wanted = (batch.filter(pa.array(bitmap.value[_bits(batch.column("text_key"))])) for batch in batches)
         for rows, data, at in blocks(wanted):
-            sets = [s.astype("<u8").tobytes() for s in _shingles(data, at, size)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_key"), pa.array(sets, pa.binary())], names=["doc_id", "text_key", "shingles"])
+            sets = _shingles(data, at, size)
+            columns = [pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), pa.array([_packed(s, BRIEF) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_key"), *columns], names=["doc_id", "text_key", "shingles", "brief"])
 
-    found = _keyed(docs).mapInArrow(run, "doc_id long, text_key binary, shingles binary")
+    found = _keyed(docs).mapInArrow(run, "doc_id long, text_key binary, shingles binary, brief binary")
     wanted = wanted.select("node", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     found = found.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
     # Equal rows give a node more than once.
-    return found.select("node", "shingles").dropDuplicates(["node"])
+    return found.select("node", "shingles", "brief").dropDuplicates(["node"])
+
+
+def _grown(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """A join of two tables that both grow with the input: it is shuffled at every size, so that a small input shows what a large one needs."""
+    return left.join(right.hint("merge"), key)
 
 
 def linked_roots(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -335,13 +375,14 @@ class _Join:
         tables = self.tables
         sets = sketches.filter(F.size("rare") > 0)
         raw = sets.select("node", F.explode("rare").alias("token"))
-        counted = raw.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("k")).filter("low <> high").select("token", "k")
-        shared = tables.cut(raw.join(counted, "token").select("token", "node", "k"))
+        # Copies of one set in several tasks count too; a bucket of nothing else makes no pair.
+        counted = raw.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
+        shared = tables.cut(_grown(raw, counted, "token").select("token", "node", "k"))
         # The most central member of a bucket has the most tokens that others have too.
         central = shared.groupBy("node").agg(F.round(F.sum(F.log2("k")), 3).alias("central"))
         nodes = sets.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("orders").alias("orders"), F.min(F.struct("doc_id", "text_key")).alias("at"))
-        self.members = members = tables.cut(central.join(nodes, "node").select("node", "n", "central", "orders", F.col("at.doc_id").alias("doc_id"), "at.text_key"))
-        postings = tables.cut(shared.join(members.select("node", "n", "central"), "node").select("token", "node", "n", "central", F.lit(None).cast("int").alias("held"), "k"))
+        self.members = members = tables.cut(_grown(nodes, central, "node").select("node", "n", "central", "orders", F.col("at.doc_id").alias("doc_id"), "at.text_key"))
+        postings = tables.cut(_grown(shared, members.select("node", "n", "central"), "node").select("token", "node", "n", "central", F.lit(None).cast("int").alias("held"), "k"))
         tables.drop(shared)
         return postings
 
@@ -374,13 +415,16 @@ class _Join:
         tables = self.tables
         orders = lambda c: self.members.select(F.col("node").alias(c), F.col("orders").alias(f"orders_{c}"))
         pairs = pairs.filter(F.col("big") | self._close())
-        pairs = tables.cut(_meeting(pairs.join(orders("a"), "a").join(orders("b"), "b"), self.percent))
+        pairs = tables.cut(_meeting(_grown(_grown(pairs, orders("b"), "b"), orders("a"), "a"), self.percent))
         if not (n := pairs.count()):
             self.against = None
             return None
         self._fetch(pairs)
+        briefs = lambda c: self.sets.select(F.col("node").alias(c), F.col("brief").alias(f"brief_{c}"))
         sets = lambda c: self.sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
-        self.against = done = tables.cut(_verified(pairs.join(sets("b"), "b").join(sets("a"), "a"), self.percent, self.counts), n)
+        likely = tables.cut(_likely(_grown(_grown(pairs, briefs("b"), "b"), briefs("a"), "a"), self.percent), n)
+        self.against = done = tables.cut(_verified(_grown(_grown(likely, sets("b"), "b"), sets("a"), "a"), self.percent, self.counts), n)
+        tables.drop(likely)
         links = tables.cut(done.filter("linked").select("a", "b"), n)
         tables.drop(pairs)
         if n := links.count():
@@ -396,7 +440,7 @@ class _Join:
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
-        wanted = self.tables.cut(self.members.join(wanted, "node").select("node", "doc_id", "text_key"))
+        wanted = self.tables.cut(_grown(self.members, wanted, "node").select("node", "doc_id", "text_key"))
         more = self.tables.cut(_sets(self.docs, wanted, self.size))
         self.tables.drop(wanted)
         self.sets = more if self.sets is None else self.sets.unionByName(more)
