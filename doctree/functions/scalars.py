@@ -25,33 +25,56 @@ def normalize_leaders(text: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(_col(text), r"\.{5,}", ": "), r"(?:\. ){5,}\.?", ": ")
 
 
+#: Numbers of pages beyond it count as it: no document has such a page.
+LARGEST = 2147483647
+
+
+def _number(digits: Column) -> Column:
+    """An integer from a string of digits of any length, LARGEST at most; null if it is empty."""
+    short = F.regexp_replace(digits, "^0+(?=[0-9])", "")
+    return F.when(F.length(short) > 10, F.lit(LARGEST)).when(short != "", F.least(short.try_cast("long"), F.lit(LARGEST).cast("long"))).cast("int")
+
+
 def parse_physical_index(raw: Column | str, bare_int: bool = False) -> Column:
     """The number of `<physical_index_7>` or `physical_index_7`, of `7` too if bare_int; anything else is null."""
     c = F.trim(_col(raw))
-    tagged = F.regexp_extract(c, r"^<?physical_index_([0-9]{1,9})>?$", 1)
-    bare = F.regexp_extract(c, r"^([0-9]{1,9})$", 1) if bare_int else F.lit("")
-    return F.coalesce(F.nullif(tagged, F.lit("")), F.nullif(bare, F.lit(""))).cast("int")
+    tagged = F.regexp_extract(c, r"^<?physical_index_([0-9]+)>?$", 1)
+    bare = F.regexp_extract(c, r"^([0-9]+)$", 1) if bare_int else F.lit("")
+    return F.coalesce(_number(tagged), _number(bare))
 
 
 def parse_page_number(raw: Column | str) -> Column:
     """A printed page as an integer, null if it is none."""
     c = F.trim(_col(raw))
-    return F.nullif(F.regexp_extract(c, r"^([+-]?[0-9]{1,9})$", 1), F.lit("")).cast("int")
+    number = _number(F.regexp_extract(c, r"^[+-]?([0-9]+)$", 1))
+    return F.when(c.startswith("-"), -number).otherwise(number)
 
 
-def parse_page_spec(spec: Column | str) -> Column:
-    """struct(pages, error) of '3', '5-7' or '3,8,12': sorted distinct pages, or what is wrong with the first bad part."""
+def parse_page_ranges(spec: Column | str) -> Column:
+    """struct(ranges, error) of '3', '5-7' or '3,8,12': (first, last) of each part, or what is wrong with the first bad part."""
     parts = F.transform(F.split(F.coalesce(_col(spec), F.lit("")), ","), lambda x: F.trim(x))
-    low = lambda p: F.regexp_extract(p, r"^([0-9]{1,9})(?:\s*-\s*[0-9]{1,9})?$", 1)
-    high = lambda p: F.regexp_extract(p, r"^[0-9]{1,9}\s*-\s*([0-9]{1,9})$", 1)
-    bounds = F.transform(parts, lambda p: F.struct(p.alias("part"), F.nullif(low(p), F.lit("")).cast("int").alias("a"), F.coalesce(F.nullif(high(p), F.lit("")), F.nullif(low(p), F.lit(""))).cast("int").alias("b")))
+    low = lambda p: _number(F.regexp_extract(p, r"^([0-9]+)(?:\s*-\s*[0-9]+)?$", 1))
+    high = lambda p: _number(F.regexp_extract(p, r"^[0-9]+\s*-\s*([0-9]+)$", 1))
+    bounds = F.transform(parts, lambda p: F.struct(p.alias("part"), low(p).alias("first"), F.coalesce(high(p), low(p)).alias("last")))
     wrong = F.transform(
-        F.filter(bounds, lambda x: x["a"].isNull() | (x["a"] > x["b"])),
-        lambda x: F.when(x["a"].isNull(), F.concat(F.lit("not a page: '"), x["part"], F.lit("'"))).otherwise(F.concat(F.lit("start after end: '"), x["part"], F.lit("'"))),
+        F.filter(bounds, lambda x: x["first"].isNull() | (x["first"] > x["last"])),
+        lambda x: F.when(x["first"].isNull(), F.concat(F.lit("not a page: '"), x["part"], F.lit("'"))).otherwise(F.concat(F.lit("start after end: '"), x["part"], F.lit("'"))),
     )
     error = F.try_element_at(wrong, F.lit(1))
-    pages = F.flatten(F.transform(bounds, lambda x: F.when(x["a"] <= x["b"], F.sequence(x["a"], x["b"])).otherwise(F.array().cast("array<int>"))))
-    return F.struct(F.when(error.isNull(), F.array_sort(F.array_distinct(pages))).alias("pages"), error.alias("error"))
+    ranges = F.transform(bounds, lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last")))
+    return F.struct(F.when(error.isNull(), ranges).alias("ranges"), error.alias("error"))
+
+
+def pages_of_ranges(ranges: Column, last_page: Column) -> Column:
+    """The sorted distinct pages of (first, last) ranges, as far as last_page: a range of any length makes no more pages than there are."""
+    clipped = F.filter(F.transform(ranges, lambda x: F.struct(x["first"].alias("first"), F.least(x["last"], last_page).alias("last"))), lambda x: x["first"] <= x["last"])
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(clipped, lambda x: F.sequence(x["first"], x["last"])))))
+
+
+def parse_page_spec(spec: Column | str, last_page: Column | str) -> Column:
+    """struct(pages, error): the sorted distinct pages that a specification names, no further than last_page; see parse_page_ranges."""
+    read = parse_page_ranges(spec)
+    return F.struct(pages_of_ranges(read["ranges"], _col(last_page)).alias("pages"), read["error"].alias("error"))
 
 
 def clean_page_list(pages: Column | str) -> Column:
@@ -94,8 +117,8 @@ def repair_json(text: Column | str) -> Column:
 def read_json(text: Column | str, schema: str) -> Column:
     """A model's answer by schema, repaired only if it does not parse, null if that fails too."""
     clean = clean_json(text)
-    # Text that is no JSON parses to a struct of nulls, so parsing is asked for on its own.
-    valid = lambda c: F.get_json_object(c, "$").isNotNull()
+    # Text that is no JSON object parses to a struct of nulls, so parsing is asked for on its own.
+    valid = lambda c: c.startswith("{") & F.get_json_object(c, "$").isNotNull()
     fixed = repair_json(clean)
     return F.when(valid(clean), F.from_json(clean, schema)).when(valid(fixed), F.from_json(fixed, schema))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.scalars import doc_stem, parse_page_spec
+from ..functions.scalars import doc_stem, pages_of_ranges, parse_page_ranges
 
 
 def find_documents(requests: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def page_texts(wanted: DataFrame, pages: DataFrame) -> DataFrame:
     Distinct pages are fetched once, however many requests name them.
     """
     fetched = pages.select("doc_id", "page", "text").join(wanted.select("doc_id", "page").distinct(), ["doc_id", "page"])
-    parts = wanted.join(fetched, ["doc_id", "page"]).groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("ord", "page", "text"))).alias("_p"))
+    parts = wanted.join(fetched, ["doc_id", "page"]).groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("ord", "page", "text"))).alias("_p"))
     return parts.select("request_id", F.transform("_p", lambda x: F.struct(x["page"].alias("page"), x["text"].alias("text"))).alias("content"))
 
 
@@ -36,17 +36,14 @@ def get_page_content(requests: DataFrame, catalog: DataFrame, pages: DataFrame)
     """(request_id, doc_id, content, error) of requests (request_id, doc_id, pages).
 
     pages is a specification such as 5-7. Pages that the document lacks vanish; an unknown document and a bad
-    specification are errors, and then content is null.
+    specification are errors, and then content is null. Ranges end at the document's last page before they become rows.
     """
     known = catalog.select("doc_id", F.lit(True).alias("_known"))
-    asked = requests.select("request_id", "doc_id", parse_page_spec("pages").alias("_s")).join(known, "doc_id", "left")
+    asked = requests.select("request_id", "doc_id", parse_page_ranges("pages").alias("_s")).join(known, "doc_id", "left")
     error = F.when(F.col("_known").isNull(), F.concat(F.lit("unknown document: "), F.coalesce("doc_id", F.lit("")))).otherwise(F.col("_s.error"))
     asked = asked.withColumn("error", error)
-    wanted = asked.filter("error is null").select("request_id", "doc_id", F.posexplode("_s.pages").alias("ord", "page"))
+    ends = pages.groupBy("doc_id").agg(F.max("page").alias("_last"))
+    wanted = asked.filter("error is null").select("request_id", "doc_id", "_s.ranges").join(ends, "doc_id")
+    wanted = wanted.select("request_id", "doc_id", F.posexplode(pages_of_ranges(F.col("ranges"), F.col("_last"))).alias("ord", "page"))
     none = F.array().cast("array<struct<page:int,text:string>>")
     return asked.join(page_texts(wanted, pages), "request_id", "left").select("request_id", "doc_id", F.when(F.col("error").isNull(), F.coalesce("content", none)).alias("content"), "error")
-
-
-def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("_turn", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("_turn = 1").drop("_turn")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import rules
 from ..functions.scalars import normalize_leaders
+from .requests import Answers
 
 
 def doc_stats(pages: DataFrame) -> DataFrame:
@@ -13,9 +14,12 @@ def doc_stats(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_pages"), F.sum("token_length").cast("long").alias("n_tokens"))
 
 
-def toc_flags(pages: DataFrame, toc_check_page_num: int = 20) -> DataFrame:
+def toc_flags(pages: DataFrame, toc_check_page_num: int = 20, answers: Answers | None = None) -> DataFrame:
     """(doc_id, page, is_toc) of the first pages of each document."""
-    return pages.filter(F.col("page") <= toc_check_page_num).select("doc_id", "page", rules.is_toc_page("text").alias("is_toc"))
+    flags = pages.filter(F.col("page") <= toc_check_page_num).select("doc_id", "page", "text", rules.is_toc_page("text").alias("is_toc"))
+    if answers is not None:
+        flags = answers.apply("toc_page", flags, is_toc="answer")
+    return flags.select("doc_id", "page", "is_toc")
 
 
 def toc_runs(flags: DataFrame) -> DataFrame:
@@ -29,25 +33,27 @@ def find_toc_pages(flags: DataFrame, start: int = 1, toc_check_page_num: int = 2
     """(doc_id, toc_pages) of the first run from page start on within the window; documents without one are left out."""
     runs = toc_runs(flags.filter(F.col("page").between(start, toc_check_page_num)))
     first = F.min("run").over(Window.partitionBy("doc_id"))
-    return runs.withColumn("_first", first).filter("run = _first").groupBy("doc_id").agg(F.array_sort(F.collect_list("page")).alias("toc_pages"))
+    return runs.withColumn("_first", first).filter("run = _first").groupBy("doc_id").agg(F.sort_array(F.collect_list("page")).alias("toc_pages"))
 
 
 def toc_content(toc_pages: DataFrame, pages: DataFrame) -> DataFrame:
     """A2: (doc_id, run, toc_pages, toc_content): text of each run's pages in order, leaders normalised."""
     texts = pages.select("doc_id", "page", "text").join(toc_pages, ["doc_id", "page"])
-    parts = F.array_sort(F.collect_list(F.struct("page", "text")))
+    parts = F.sort_array(F.collect_list(F.struct("page", "text")))
     out = texts.groupBy("doc_id", "run").agg(parts.alias("_parts"))
     return out.select("doc_id", "run", F.col("_parts.page").alias("toc_pages"), normalize_leaders(F.array_join("_parts.text", "")).alias("toc_content"))
 
 
-def detect_toc(pages: DataFrame, toc_check_page_num: int = 20) -> DataFrame:
+def detect_toc(pages: DataFrame, toc_check_page_num: int = 20, answers: Answers | None = None) -> DataFrame:
     """(doc_id, toc_content, toc_pages, has_page_numbers), a row a document.
 
     The first run of contents pages that has page numbers wins; if none has, the first run. Documents without
     one have null content, no pages and false. Only flagged pages are joined back to their text.
     """
-    runs = toc_runs(toc_flags(pages, toc_check_page_num))
+    runs = toc_runs(toc_flags(pages, toc_check_page_num, answers))
     text = toc_content(runs, pages).withColumn("has_page_numbers", rules.has_page_numbers("toc_content"))
+    if answers is not None:
+        text = answers.apply("page_numbers", text, has_page_numbers="answer")
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("has_page_numbers").desc(), "run"))
     best = text.withColumn("_turn", turn).filter("_turn = 1")
     docs = pages.select("doc_id").distinct()
@@ -56,7 +62,11 @@ def detect_toc(pages: DataFrame, toc_check_page_num: int = 20) -> DataFrame:
     )
 
 
-def toc_entries(detected: DataFrame) -> DataFrame:
+def toc_entries(detected: DataFrame, answers: Answers | None = None) -> DataFrame:
     """Printed entries (doc_id, pos, structure, title, page), pos from 0."""
-    entries = F.posexplode(rules.parse_toc_lines("toc_content"))
-    return detected.filter("toc_content is not null").select("doc_id", entries.alias("pos", "_e")).select("doc_id", "pos", "_e.structure", "_e.title", "_e.page")
+    found = detected.filter("toc_content is not null").select("doc_id", "toc_content", rules.parse_toc_lines("toc_content").alias("_entries"))
+    if answers is not None:
+        listed = answers.apply("entries", found.withColumn("_items", F.lit(None).cast("array<struct<structure:string,title:string,page:int,physical_index:int>>")), _items="items")
+        given = F.transform("_items", lambda x: F.struct(x["structure"].alias("structure"), x["title"].alias("title"), x["page"].alias("page")))
+        found = listed.withColumn("_entries", F.coalesce(given, "_entries"))
+    return found.select("doc_id", F.posexplode("_entries").alias("pos", "_e")).select("doc_id", "pos", "_e.structure", "_e.title", "_e.page")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.rules import clip
 from ..sources.scratch import cut
 from . import mapping, tree
+from .requests import Answers
 
 
 def add_node_text(nodes: DataFrame, pages: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def add_node_text(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     return nodes.drop("text").join(text, ["doc_id", "node_seq"], "left")
 
 
-def summarize(nodes: DataFrame, leaf_chars: int = 200, child_chars: int = 80) -> DataFrame:
+def summarize(nodes: DataFrame, leaf_chars: int = 200, child_chars: int = 80, answers: Answers | None = None) -> DataFrame:
     """K5: nodes with summary, from the deepest level up; text is needed and stays.
 
     R7: a leaf's is its first leaf_chars characters to a word's end; a parent's is its children's titles, each
@@ -24,19 +25,30 @@ def summarize(nodes: DataFrame, leaf_chars: int = 200, child_chars: int = 80) ->
     """
     nodes = nodes.drop("summary")
     depth = nodes.agg(F.max("depth")).first()[0]
-    narrow = cut(nodes.select("doc_id", "node_seq", "parent_seq", "depth", "title", F.when(F.col("is_leaf"), clip("text", leaf_chars)).alias("summary")))
+    columns = ["doc_id", "node_seq", "parent_seq", "depth", "title", "summary"]
+    whole = nodes.withColumn("summary", F.when(F.col("is_leaf"), clip("text", leaf_chars)))
+    if answers is not None:
+        leaves = answers.apply("summary", whole.filter("is_leaf and text <> ''"), summary="text")
+        whole = leaves.unionByName(whole.filter("not coalesce(is_leaf and text <> '', false)"))
+    narrow = cut(whole.select(*columns))
     done = narrow.filter("summary is not null")
     for level in range((depth or 0) - 1, -1, -1):
         kids = tree.child_summaries(done.filter(F.col("depth") == level + 1))
         line = lambda k: F.when(k["summary"] == "", k["title"]).otherwise(F.concat(k["title"], F.lit(": "), clip(k["summary"], child_chars)))
         own = narrow.filter((F.col("depth") == level) & F.col("summary").isNull()).drop("summary").join(kids, ["doc_id", "node_seq"])
-        made = own.select(*narrow.columns[:-1], F.array_join(F.transform("children", line), "; ").alias("summary"))
+        made = own.select(*columns[:-1], F.array_join(F.transform("children", line), "; ").alias("summary"))
+        if answers is not None:
+            made = answers.apply("summary", made.withColumn("text", F.col("summary")), summary="text").select(*columns)
         done = done.unionByName(cut(made))
     return nodes.join(done.select("doc_id", "node_seq", "summary"), ["doc_id", "node_seq"], "left").withColumn("summary", F.coalesce("summary", F.lit("")))
 
 
-def describe_documents(nodes: DataFrame, chars: int = 300) -> DataFrame:
+def describe_documents(nodes: DataFrame, chars: int = 300, answers: Answers | None = None) -> DataFrame:
     """K6: (doc_id, doc_description): the titles of a document's roots in order, clipped; for nodes with summaries."""
     roots = nodes.filter("depth = 0 and summary is not null")
-    titles = F.array_sort(F.collect_list(F.struct("node_seq", "title")))
-    return roots.groupBy("doc_id").agg(clip(F.array_join(titles["title"], "; "), chars).alias("doc_description"))
+    titles = F.sort_array(F.collect_list(F.struct("node_seq", "title")))
+    made = roots.groupBy("doc_id").agg(F.array_join(titles["title"], "; ").alias("text"))
+    made = made.withColumn("doc_description", clip("text", chars))
+    if answers is not None:
+        made = answers.apply("description", made, doc_description="text")
+    return made.select("doc_id", "doc_description")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rules
 from ..functions.scalars import tag_page
+from .requests import Answers
 
 
 def match_title_pairs(toc: DataFrame, located: DataFrame, detection: DataFrame) -> DataFrame:
@@ -55,71 +58,91 @@ def prefix_within_budget(pages: DataFrame, detection: DataFrame, n: int, budget:
     return (some if budget is None else some.filter(F.col("_total") <= budget)).select("doc_id", "page")
 
 
-def _groups(tokens: list[int], max_tokens: int, overlap: int) -> list[list[int]]:
-    """Indices of each group; see group_pages."""
-    total = sum(tokens)
-    if total <= max_tokens:
-        return [list(range(len(tokens)))]
-    target = math.ceil((total / math.ceil(total / max_tokens) + max_tokens) / 2)
-    groups: list[list[int]] = []
-    current: list[int] = []
-    size = 0
-    for i, n in enumerate(tokens):
-        if size + n > target:
-            groups.append(current)
-            current = list(range(max(i - overlap, 0), i))
-            size = sum(tokens[j] for j in current)
-        current.append(i)
-        size += n
-    return [g for g in [*groups, current] if g]
+def _paged(pages: DataFrame) -> DataFrame:
+    """(doc_id, numbers, tokens): each document's page numbers in order and the token counts of these pages."""
+    own = F.sort_array(F.collect_list(F.struct("page", "token_length")))
+    return pages.groupBy("doc_id").agg(own.alias("_own")).select("doc_id", F.col("_own.page").alias("numbers"), F.col("_own.token_length").alias("tokens"))
+
+
+def _lists(batch: pa.RecordBatch, column: str) -> tuple[pa.Array, np.ndarray]:
+    """The elements of a list column, and the n + 1 offsets of its rows."""
+    lists = batch.column(column)
+    return lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def _sums(tokens: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(tokens, dtype=np.int64)])
+
+
+def _group_bounds(sums: np.ndarray, max_tokens: int, overlap: int) -> list[tuple[int, int]]:
+    """(first, end) page of each group, from running sums of token counts; see group_pages."""
+    n, total = len(sums) - 1, int(sums[-1])
+    goal = math.ceil((total / math.ceil(total / max_tokens) + max_tokens) / 2)
+    # For a group whose first new page is p: where it begins, and where the next one's new pages do.
+    begin = np.maximum(np.arange(n) - overlap, 0)
+    after = np.maximum(np.searchsorted(sums, sums[begin] + goal, "right") - 1, np.arange(1, n + 1)).tolist()
+    bounds, p = [], 0
+    while p < n:
+        bounds.append((int(begin[p]), after[p]))
+        p = after[p]
+    return bounds
 
 
 def group_pages(pages: DataFrame, max_tokens: int = 20_000, overlap: int = 1) -> DataFrame:
     """(doc_id, group_no, page): groups of pages of nearly equal token counts that overlap by `overlap` pages.
 
-    A document within max_tokens is one group. Else pages go into a group until the next would lift it over
-    halfway between the mean group and max_tokens; a group that starts with its overlap may exceed that. Empty
-    groups are left out. Each document's page numbers and counts, two integers a page, go to one task.
+    A document within max_tokens is one group. Else each group takes new pages, one at least, as far as they and
+    the overlap before them stay within a goal halfway between the mean group and max_tokens. Of the text
+    nothing moves; a document's page numbers and counts, two integers a page, are one row.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("page")
-        number = pdf["page"].tolist()
-        rows = [(pdf["doc_id"].iloc[0], g, number[i]) for g, some in enumerate(_groups(pdf["token_length"].tolist(), max_tokens, overlap)) for i in some]
-        return pd.DataFrame(rows, columns=["doc_id", "group_no", "page"])
+    def run(batches):
+        for batch in batches:
+            numbers, at = _lists(batch, "numbers")
+            tokens = _lists(batch, "tokens")[0].to_numpy()
+            doc, group, place = [], [], []
+            for d, (low, high) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                sums = _sums(tokens[low:high])
+                bounds = [(0, high - low)] if sums[-1] <= max_tokens else _group_bounds(sums, max_tokens, overlap)
+                for g, (first, end) in enumerate(bounds):
+                    doc.append(np.full(end - first, d))
+                    group.append(np.full(end - first, g, np.int32))
+                    place.append(np.arange(low + first, low + end))
+            if doc:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.concatenate(doc))), pa.array(np.concatenate(group)), numbers.take(pa.array(np.concatenate(place)))], names=["doc_id", "group_no", "page"])
 
-    return pages.select("doc_id", "page", "token_length").groupBy("doc_id").applyInPandas(run, "doc_id string, group_no int, page int")
+    return _paged(pages).mapInArrow(run, "doc_id string, group_no int, page int")
 
 
 def group_text(groups: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, group_no, text) of each group's tagged pages."""
-    parts = F.array_sort(F.collect_list(F.struct("page", tag_page("text", "page").alias("t"))))
+    parts = F.sort_array(F.collect_list(F.struct("page", tag_page("text", "page").alias("t"))))
     return groups.join(pages.select("doc_id", "page", "text"), ["doc_id", "page"]).groupBy("doc_id", "group_no").agg(parts.alias("_p")).select("doc_id", "group_no", F.array_join("_p.t", "").alias("text"))
 
 
-def _window(tokens: list[int], budget: int) -> tuple[int, int]:
-    """First and last index around the centre within the budget, grown to the right and left by turns."""
-    low = high = len(tokens) // 2
-    total, left, right = tokens[low], low > 0, high < len(tokens) - 1
-    while left or right:
-        if right:
-            if right := total + tokens[high + 1] <= budget:
-                high += 1
-                total += tokens[high]
-                right = high < len(tokens) - 1
-        if left:
-            if left := total + tokens[low - 1] <= budget:
-                low -= 1
-                total += tokens[low]
-                left = low > 0
-    return low, high
+def _around(sums: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int]:
+    """First and last page around the middle of pages low to high - 1 within the budget, from running sums of token counts.
+
+    Pages right and left of the middle are added by turns. The number of turns that fit is searched for: their total
+    only grows. The side whose turn did not fit is closed; how far the other goes alone is a search in the sums.
+    """
+    middle = low + (high - low) // 2
+    right, left = high - 1 - middle, middle - low
+    reach = lambda a, b: int(sums[middle + a + 1] - sums[middle - b])
+    turns = bisect_right(range(1, 2 * right + 1), budget, key=lambda k: reach((k + 1) // 2, k // 2))
+    a, b = (turns + 1) // 2, turns // 2
+    if turns % 2:  # the left side is closed
+        a = max(a, min(right, int(np.searchsorted(sums, budget + sums[middle - b], "right")) - 2 - middle))
+    else:  # the right side is closed, or has no more pages
+        b = max(b, min(left, middle - int(np.searchsorted(sums, sums[middle + a + 1] - budget, "left"))))
+    return middle - b, middle + a
 
 
 def resolve_window(bounds: DataFrame, pages: DataFrame, budget: int | None = None) -> DataFrame:
     """(doc_id, pos, first_page, last_page) to look for each item of bounds (doc_id, pos, prev_index, next_index) in.
 
-    The pages of the range that exist; with a budget, those around the middle one, which always stays. Items
-    without a page are left out.
+    The pages of the range that exist; with a budget, those around the middle one, which always stays, right and
+    left by turns as far as the budget goes; a side whose next page does not fit is closed. Items without a page are left out.
     """
     counts = pages.select("doc_id", "page", "token_length")
     if budget is None:
@@ -127,18 +150,27 @@ def resolve_window(bounds: DataFrame, pages: DataFrame, budget: int | None = Non
         out = bounds.join(last, "doc_id").select("doc_id", "pos", F.greatest("prev_index", F.lit(1)).alias("first_page"), F.least("next_index", "_last").alias("last_page"))
         return out.filter("first_page <= last_page")
 
-    def run(items: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("page")
-        tokens = dict(zip(own["page"].tolist(), own["token_length"].tolist()))
-        rows = []
-        for doc, pos, low, high in items[["doc_id", "pos", "prev_index", "next_index"]].itertuples(index=False):
-            numbers = [p for p in range(max(int(low), 1), int(high) + 1) if p in tokens]
-            if numbers:
-                a, b = _window([tokens[p] for p in numbers], budget)
-                rows.append((doc, pos, numbers[a], numbers[b]))
-        return pd.DataFrame(rows, columns=["doc_id", "pos", "first_page", "last_page"])
-
-    return bounds.groupBy("doc_id").cogroup(counts.groupBy("doc_id")).applyInPandas(run, "doc_id string, pos int, first_page int, last_page int")
+    def run(batches):
+        for batch in batches:
+            numbers, at = _lists(batch, "numbers")
+            numbers, tokens = numbers.to_numpy(), _lists(batch, "tokens")[0].to_numpy()
+            items, of = _lists(batch, "items")
+            pos, low, high = (items.field(c).to_numpy() for c in ("pos", "prev_index", "next_index"))
+            rows = []
+            for d in range(batch.num_rows):
+                own, sums = numbers[at[d] : at[d + 1]], _sums(tokens[at[d] : at[d + 1]])
+                part = slice(of[d], of[d + 1])
+                first, end = np.searchsorted(own, np.maximum(low[part], 1), "left"), np.searchsorted(own, high[part], "right")
+                for p, i, j in zip(pos[part].tolist(), first.tolist(), end.tolist()):
+                    if i < j:
+                        a, b = _around(sums, i, j, budget)
+                        rows.append((d, p, own[a], own[b]))
+            if rows:
+                doc, *found = zip(*rows)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *(pa.array(x, pa.int32()) for x in found)], names=["doc_id", "pos", "first_page", "last_page"])
+
+    items = bounds.filter("prev_index is not null and next_index is not null").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "prev_index", "next_index")).alias("items"))
+    return _paged(counts).join(items, "doc_id").mapInArrow(run, "doc_id string, pos int, first_page int, last_page int")
 
 
 def neighbour_bounds(items: DataFrame, known: Column, prev_default, next_default) -> DataFrame:
@@ -164,7 +196,7 @@ def range_text(ranges: DataFrame, pages: DataFrame, key: list[str], labels: bool
     """(key, text) of each range's pages in order, tagged if labels; empty for ranges without pages."""
     body = tag_page("text", "page", "\n") if labels else F.col("text")
     found = pages_in_range(ranges.select(*key, first, last), pages.select("doc_id", "page", "text"), first, last)
-    parts = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("page", body.alias("t")))).alias("_p")).select(*key, F.array_join("_p.t", "").alias("text"))
+    parts = found.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("page", body.alias("t")))).alias("_p")).select(*key, F.array_join("_p.t", "").alias("text"))
     return ranges.select(*key).join(parts, key, "left").select(*key, F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -200,14 +232,27 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return out.select("doc_id", "page", "line_no", rules.squashed_line("_l").alias("norm"))
 
 
+def _places(wanted: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
+    """(key, page, at_top) of wanted (key, doc_id, norm, and perhaps first_page and last_page): pages with a line equal to norm.
+
+    Lines longer than every wanted one are dropped where they are read; what is left meets the wanted ones before
+    anything is aggregated.
+    """
+    longest = wanted.agg(F.max(F.length("norm"))).first()[0] or 0
+    lines = page_lines(pages).filter(F.length("norm").between(1, longest)).withColumn("_first", F.col("line_no") == 0).drop("line_no")
+    hits = lines.join(wanted, ["doc_id", "norm"])
+    if "first_page" in wanted.columns:
+        hits = hits.filter("page between first_page and last_page")
+    return hits.groupBy(*key, "page").agg(F.bool_or("_first").alias("at_top"))
+
+
 def title_places(items: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, pos, page, at_top): pages with a line that equals the item's title, white space, case and leading code aside.
 
-    An equi-join of titles and lines: only lines that some title of the document has are kept, each page once.
+    An equi-join of titles and lines that could be titles; each page counts once.
     """
     wanted = items.select("doc_id", "pos", rules.squash("title").alias("norm")).filter("norm <> ''")
-    lines = page_lines(pages).groupBy("doc_id", "norm", "page").agg(F.bool_or(F.col("line_no") == 0).alias("at_top"))
-    return wanted.join(lines, ["doc_id", "norm"]).select("doc_id", "pos", "page", "at_top")
+    return _places(wanted, pages, ["doc_id", "pos"])
 
 
 def locate(items: DataFrame, pages: DataFrame, bounds: DataFrame | None = None, without: DataFrame | None = None) -> DataFrame:
@@ -217,17 +262,29 @@ def locate(items: DataFrame, pages: DataFrame, bounds: DataFrame | None = None,
     bounds (doc_id, pos, first_page, last_page) limits the pages, and items that it lacks are found nowhere;
     pages of without (doc_id, page) do not count.
     """
-    places = title_places(items, pages)
+    wanted = items.select("doc_id", "pos", rules.squash("title").alias("norm")).filter("norm <> ''")
+    if bounds is not None:
+        wanted = wanted.join(bounds.select("doc_id", "pos", "first_page", "last_page"), ["doc_id", "pos"])
+    places = _places(wanted, pages, ["doc_id", "pos"])
     if without is not None:
         places = places.join(without.select("doc_id", "page"), ["doc_id", "page"], "left_anti")
-    if bounds is not None:
-        places = places.join(bounds.select("doc_id", "pos", "first_page", "last_page"), ["doc_id", "pos"]).filter("page between first_page and last_page")
     best = places.groupBy("doc_id", "pos").agg(F.min("page").alias("first"), F.min(F.when(F.col("at_top"), F.col("page"))).alias("top"), F.count_if("at_top").alias("tops"))
     sure = F.col("tops") == 1
     found = best.select("doc_id", "pos", F.when(sure, F.col("top")).otherwise(F.col("first")).alias("physical_index"), F.when(sure, "high").otherwise("low").alias("confidence"))
     return items.select("doc_id", "pos").join(found, ["doc_id", "pos"], "left").select("doc_id", "pos", "physical_index", F.coalesce("confidence", F.lit("low")).alias("confidence"))
 
 
+def ask_places(items: DataFrame, places: DataFrame, pages: DataFrame, bounds: DataFrame, answers: Answers) -> DataFrame:
+    """places of `locate` with what a model answered from the tagged pages of each item's bounds."""
+    text = range_text(bounds, pages, ["doc_id", "pos"], labels=True, first="first_page", last="last_page")
+    asked = items.select("doc_id", "pos", "title").join(text, ["doc_id", "pos"]).join(places, ["doc_id", "pos"])
+    # A response about an index has a confidence, so both or neither are its own.
+    none = asked.withColumns({"_index": F.lit(None).cast("int"), "_sure": F.lit(None).cast("string")})
+    told = answers.apply("locate", none, _index="physical_index", _sure="confidence").filter("_index is not null").select("doc_id", "pos", "_index", "_sure")
+    joined = places.join(told, ["doc_id", "pos"], "left")
+    return joined.select("doc_id", "pos", F.coalesce("_index", "physical_index").alias("physical_index"), F.coalesce("_sure", "confidence").alias("confidence"))
+
+
 def _marked_codes(rows: DataFrame) -> DataFrame:
     """Codes of markdown headings from their levels: each level counts its headings since the last higher one."""
     order = Window.partitionBy("doc_id").orderBy("page", "line_no")
@@ -247,3 +304,16 @@ def extract_headings(pages: DataFrame) -> DataFrame:
     marked = _marked_codes(found.filter("level is not null"))
     pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "line_no")) - 1
     return plain.unionByName(marked).select("doc_id", pos.alias("pos"), "structure", "title", F.col("page").alias("physical_index"))
+
+
+def group_headings(pages: DataFrame, answers: Answers, max_tokens: int = 20_000) -> DataFrame:
+    """Items as of `extract_headings`, by groups of pages: a model's list where there is one, else the rule's of the group's new pages."""
+    groups = group_pages(pages, max_tokens)
+    asked = group_text(groups, pages).withColumn("_items", F.lit(None).cast("array<struct<structure:string,title:string,page:int,physical_index:int>>"))
+    told = answers.apply("headings", asked, _items="items").filter("_items is not null").select("doc_id", "group_no", "_items")
+    own = groups.groupBy("doc_id", F.col("page").alias("physical_index")).agg(F.min("group_no").alias("group_no"))
+    ruled = extract_headings(pages).join(own, ["doc_id", "physical_index"]).join(told.select("doc_id", "group_no"), ["doc_id", "group_no"], "left_anti")
+    given = told.select("doc_id", "group_no", F.posexplode("_items").alias("pos", "_x")).select("doc_id", "group_no", "pos", "_x.structure", "_x.title", "_x.physical_index")
+    both = ruled.select("doc_id", "group_no", "pos", "structure", "title", "physical_index").unionByName(given.filter("physical_index is not null"))
+    pos = (F.row_number().over(Window.partitionBy("doc_id").orderBy("group_no", "pos")) - 1).cast("int")
+    return both.withColumn("pos", pos).select("doc_id", "pos", "structure", "title", "physical_index")

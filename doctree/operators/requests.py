@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import count_tokens, read_json
+from ..functions.scalars import count_tokens, parse_page_number, parse_physical_index, read_json
+from ..sources.scratch import cut
 
 #: What each stage asks; {name} stands for a column.
 PROMPTS = {
@@ -15,7 +16,10 @@ PROMPTS = {
     "page_numbers": "Does this table of contents give page numbers? Answer as JSON: {{\"answer\": \"yes\" or \"no\"}}.\n\n{toc_content}",
     "appears": "Does the section \"{title}\" begin on or stand on this page? Answer as JSON: {{\"answer\": \"yes\" or \"no\", \"at_start\": \"yes\" or \"no\"}}.\n\n{text}",
     "locate": "On which of these pages does the section \"{title}\" begin? Answer as JSON: {{\"physical_index\": \"<physical_index_N>\", \"confidence\": \"high\" or \"low\"}}.\n\n{text}",
-    "summary": "Summarise this section in a few sentences.\n\n{text}",
+    "entries": "List the entries of this table of contents. Answer as JSON: {{\"items\": [{{\"structure\": \"1.2\", \"title\": \"..\", \"page\": 5}}]}}.\n\n{toc_content}",
+    "headings": "List the headings of these pages. Answer as JSON: {{\"items\": [{{\"structure\": \"1.2\", \"title\": \"..\", \"physical_index\": \"<physical_index_N>\"}}]}}.\n\n{text}",
+    "description": "Describe the document with these sections in one sentence. Answer as JSON: {{\"text\": \"..\"}}.\n\n{text}",
+    "summary": "Summarise this section in a few sentences. Answer as JSON: {{\"text\": \"..\"}}.\n\n{text}",
     "answer": "Answer the question from these pages of {doc_name}.\n\nQuestion: {question}\n\n{text}",
 }
 
@@ -31,37 +35,76 @@ def _filled(template: str) -> Column:
     return F.concat(*parts, F.lit(clean(rest)))
 
 
+def _asked(stage: str) -> tuple[Column, Column]:
+    """The prompt of a row and its request_id."""
+    prompt = _filled(PROMPTS[stage])
+    return prompt, F.sha2(F.concat_ws("\n", "doc_id", F.lit(stage), prompt), 256)
+
+
 def make_requests(stage: str, df: DataFrame) -> DataFrame:
     """(request_id, doc_id, stage, prompt, est_tokens); equal questions about a document are one request."""
-    asked = df.select("doc_id", F.lit(stage).alias("stage"), _filled(PROMPTS[stage]).alias("prompt"))
-    out = asked.select(F.sha2(F.concat_ws("\n", "doc_id", "stage", "prompt"), 256).alias("request_id"), "doc_id", "stage", "prompt", count_tokens("prompt").alias("est_tokens"))
-    return out.dropDuplicates(["request_id"])
+    prompt, key = _asked(stage)
+    asked = df.select(key.alias("request_id"), "doc_id", F.lit(stage).alias("stage"), prompt.alias("prompt"))
+    return asked.withColumn("est_tokens", count_tokens("prompt")).dropDuplicates(["request_id"])
 
 
-_ANSWER = "answer string, at_start string, physical_index string, confidence string"
+_ANSWER = "answer string, at_start string, physical_index string, confidence string, text string, items array<struct<structure:string,title:string,page:string,physical_index:string>>"
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
-    """(request_id, answer, at_start, physical_index, confidence, ok) from (request_id, response).
+    """(request_id, answer, at_start, physical_index, confidence, text, items, ok) from (request_id, response).
 
-    answer and at_start are booleans; at_start is false and confidence low if absent. ok is false for an empty
-    or unreadable response and for an answer that is neither yes nor no.
+    answer and at_start are booleans; at_start is false and confidence low if absent. items are (structure, title,
+    page, physical_index), those without a title left out. ok is false for an empty or unreadable response and for an
+    answer that is neither yes nor no.
     """
-    from ..functions.scalars import parse_physical_index
-
     read = responses.withColumn("_r", read_json("response", _ANSWER))
     yes = lambda c: F.when(F.lower(c) == "yes", True).when(F.lower(c) == "no", False)
     ok = F.col("_r").isNotNull() & (F.col("_r.answer").isNull() | yes(F.col("_r.answer")).isNotNull())
+    item = lambda x: F.struct(
+        F.nullif(F.trim(x["structure"]), F.lit("")).alias("structure"), F.trim(x["title"]).alias("title"), parse_page_number(x["page"]).alias("page"), parse_physical_index(x["physical_index"], bare_int=True).alias("physical_index")
+    )
     return read.select(
         "request_id",
         yes(F.col("_r.answer")).alias("answer"),
         F.coalesce(yes(F.col("_r.at_start")), F.lit(False)).alias("at_start"),
         parse_physical_index(F.col("_r.physical_index")).alias("physical_index"),
         F.coalesce(F.col("_r.confidence"), F.lit("low")).alias("confidence"),
+        F.col("_r.text").alias("text"),
+        F.filter(F.transform("_r.items", item), lambda x: x["title"] != "").alias("items"),
         ok.alias("ok"),
     )
 
 
+class Answers:
+    """Responses (request_id, response) to the requests of all stages, as a job takes them; what they leave open is listed.
+
+    A job that is given Answers asks for every judgement and lets what was answered replace its rule. `open` then
+    holds the requests that had no response, to be answered before the next run.
+    """
+
+    def __init__(self, responses: DataFrame):
+        self._given = cut(parse_responses(responses).filter("ok").dropDuplicates(["request_id"]))
+        self._known = cut(responses.select("request_id").distinct())
+        self._asked: list[DataFrame] = []
+
+    def apply(self, stage: str, rows: DataFrame, **columns: str) -> DataFrame:
+        """rows (doc_id and what the stage's question names) with each column replaced by that field of the response that is not null."""
+        self._asked.append(make_requests(stage, rows))
+        keyed = rows.withColumn("_request", _asked(stage)[1])
+        given = self._given.select(F.col("request_id").alias("_request"), *[F.col(field).alias(f"_given_{c}") for c, field in columns.items()])
+        out = keyed.join(given, "_request", "left").withColumns({c: F.coalesce(f"_given_{c}", c) for c in columns})
+        return out.select(*rows.columns)
+
+    @property
+    def open(self) -> DataFrame:
+        """(request_id, doc_id, stage, prompt, est_tokens) of all that was asked and has no response."""
+        asked = self._asked[0]
+        for more in self._asked[1:]:
+            asked = asked.unionByName(more)
+        return asked.join(self._known, "request_id", "left_anti").dropDuplicates(["request_id"])
+
+
 def with_answers(rules: DataFrame, responses: DataFrame, column: str) -> DataFrame:
     """Rules (request_id, column, ..) with column from the responses (request_id, column) that are not null."""
     given = responses.select("request_id", F.col(column).alias("_given"))

@@ -23,10 +23,15 @@ def large_nodes(nodes: DataFrame, pages: DataFrame, max_pages: int = 10, max_tok
 
 
 _COLUMNS = ("doc_id", "path", "title", "start_index", "end_index", "is_leaf")
+#: Of the leaf that a node was split off: its length in pages and its number of headings; null for nodes that were given.
+_PROGRESS = ("up_pages", "up_items")
 
 
 def _round(front: DataFrame, pages: DataFrame, max_pages: int, max_tokens: int) -> tuple[DataFrame, DataFrame]:
-    """(front with shrunk ends and leaf flags, the nodes below the leaves that were split)."""
+    """(front with shrunk ends and leaf flags, the nodes below the leaves that were split).
+
+    A leaf must be shorter than the one it comes from, or have fewer headings; so splitting comes to an end.
+    """
     key = F.concat_ws("#", "doc_id", F.array_join(F.transform("path", lambda x: x.cast("string")), "."))
     large = cut(large_nodes(front.filter("is_leaf"), pages, max_pages, max_tokens).withColumn("_key", key))
     if large.isEmpty():
@@ -38,31 +43,46 @@ def _round(front: DataFrame, pages: DataFrame, max_pages: int, max_tokens: int)
     items = cut(verify.fill_appear_start(items, own))
     heads = large.select(F.col("_key").alias("doc_id"), F.trim("title").alias("_title"), F.col("path").alias("_path"), F.col("doc_id").alias("_doc"), F.col("end_index").alias("end_page"))
     first = items.join(heads.select("doc_id", "_title"), "doc_id").filter((F.col("pos") == 0) & (F.trim("title") == F.col("_title"))).select("doc_id", "pos")
-    kept = cut(items.join(first, ["doc_id", "pos"], "left_anti"))
+    kept = items.join(first, ["doc_id", "pos"], "left_anti")
+    counts = kept.groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").cast("int").alias("_items"))
+    less = F.col("up_pages").isNull() | (F.col("end_index") - F.col("start_index") < F.col("up_pages")) | (F.col("_items") < F.col("up_items"))
+    counts = cut(large.join(counts, "_key").filter(less).select("_key", F.col("_items").alias("up_items"), (F.col("end_index") - F.col("start_index")).alias("up_pages")))
+    kept = cut(kept.join(counts.select(F.col("_key").alias("doc_id")), "doc_id", "left_semi"))
     made = tree.build_tree(tree.assign_ranges(kept, heads))
     below = made.join(heads.select("doc_id", "_path", "_doc"), "doc_id")
     has_child = below.select("doc_id", F.col("parent_pos").alias("pos"), F.lit(False).alias("_leaf")).filter("pos is not null").distinct()
-    below = below.join(has_child, ["doc_id", "pos"], "left").select(F.col("_doc").alias("doc_id"), F.concat("_path", "path").alias("path"), "title", "start_index", "end_index", F.coalesce("_leaf", F.lit(True)).alias("is_leaf"))
+    below = below.join(has_child, ["doc_id", "pos"], "left").join(counts, below["doc_id"] == counts["_key"])
+    below = below.select(F.col("_doc").alias("doc_id"), F.concat("_path", "path").alias("path"), "title", "start_index", "end_index", F.coalesce("_leaf", F.lit(True)).alias("is_leaf"), *_PROGRESS)
     starts = kept.groupBy(F.col("doc_id").alias("_key")).agg(F.min_by("physical_index", "pos").alias("_end"))
     shrunk = large.select("_key", "doc_id", "path").join(starts, "_key").select("doc_id", "path", "_end")
     after = front.join(shrunk, ["doc_id", "path"], "left").withColumns({"end_index": F.coalesce("_end", "end_index"), "is_leaf": F.col("is_leaf") & F.col("_end").isNull()}).drop("_end")
-    return after.select(*_COLUMNS), below.select(*_COLUMNS)
+    return after.select(*_COLUMNS), below.select(*_COLUMNS, *_PROGRESS)
 
 
-def split_large(nodes: DataFrame, pages: DataFrame, max_pages: int = 10, max_tokens: int = 20_000, max_rounds: int = 4) -> DataFrame:
-    """K7: nodes (doc_id, path, title, start_index, end_index, is_leaf) with large leaves split, in at most max_rounds rounds.
+def split_large(nodes: DataFrame, pages: DataFrame, max_pages: int = 10, max_tokens: int = 20_000, max_rounds: int | None = None, split_internal: bool = False) -> DataFrame:
+    """K7: nodes (doc_id, path, title, start_index, end_index, is_leaf) with large leaves split until none is left that can be.
 
     The headings inside a large leaf become nodes below it, without the first if it repeats the leaf's title. The
-    leaf's end moves to the start of the first of them; a leaf without any stays as it is. Each round takes
-    all large leaves of the corpus at once, the new ones in the next. Headings stand on the page they are
-    found on, so they need no further check.
+    leaf's end moves to the start of the first of them; a leaf without any stays as it is, and so does one that
+    would be split into itself again. Each round takes all large leaves of the corpus at once, the new ones in
+    the next; max_rounds, if given, ends that early. Headings stand on the page they are found on, so they need no
+    further check. With split_internal large nodes with children are split too: the nodes below them give way.
     """
-    done, front = None, cut(nodes.select(*_COLUMNS))
-    for _ in range(max_rounds):
+    front = nodes.select(*_COLUMNS)
+    if split_internal:
+        front = cut(front)
+        large = large_nodes(front.filter("not is_leaf"), pages, max_pages, max_tokens).select("doc_id", F.col("path").alias("_up"))
+        # Each node looks itself and the nodes above it up; the highest large one wins.
+        own = front.withColumn("_up", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", F.lit(1), n))))
+        under = own.join(large, ["doc_id", "_up"]).groupBy("doc_id", "path").agg(F.min(F.size("_up")).alias("_top"))
+        front = front.join(under, ["doc_id", "path"], "left").filter("_top is null or _top = size(path)").withColumn("is_leaf", F.col("is_leaf") | F.col("_top").isNotNull()).drop("_top")
+    done, front, rounds = None, cut(front.withColumns({c: F.lit(None).cast("int") for c in _PROGRESS})), 0
+    while max_rounds is None or rounds < max_rounds:
         after, below = _round(front, pages, max_pages, max_tokens)
-        below = cut(below)
-        done = cut(after) if done is None else done.unionByName(cut(after))
-        front = below
+        front, after = cut(below), cut(after.select(*_COLUMNS))
+        done = after if done is None else done.unionByName(after)
+        rounds += 1
         if front.isEmpty():
             return done
-    return done.unionByName(front)
+    front = front.select(*_COLUMNS)
+    return front if done is None else done.unionByName(front)

@@ -92,7 +92,7 @@ def max_end_index(nodes: DataFrame) -> DataFrame:
 
 def child_summaries(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_seq, children): title and summary of each node's children, in order."""
-    kids = F.array_sort(F.collect_list(F.struct(F.col("node_seq").alias("seq"), "title", F.coalesce("summary", F.lit("")).alias("summary"))))
+    kids = F.sort_array(F.collect_list(F.struct(F.col("node_seq").alias("seq"), "title", F.coalesce("summary", F.lit("")).alias("summary"))))
     return nodes.filter("parent_seq is not null").groupBy("doc_id", F.col("parent_seq").alias("node_seq")).agg(kids.alias("children"))
 
 

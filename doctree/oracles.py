@@ -108,22 +108,24 @@ def _add(name: str, body: str) -> None:
 
 _add("s1_pages", "SELECT doc_id, page, md5(text) AS text_md5, token_length FROM pages")
 _add("s2_paginate", "SELECT doc_id, CAST(i AS INTEGER) AS page, md5(body) AS text_md5, CAST(length(body) // 4 AS INTEGER) AS token_length FROM bodies")
-_add("s5_read_index", "SELECT doc_id, 'Doc-' || doc_id AS doc_name, source AS doc_description, '[]' AS structure_json FROM d WHERE n % 7 <> 0 AND n % 5 <> 0")
-_add("s6_upsert", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE source END AS source, CAST(length(text) AS INTEGER) AS n FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
-_add("j7_not_indexed", "SELECT doc_id, source FROM documents WHERE doc_id % 3 <> 0")
-_add("s7_rebuild_catalog", "SELECT d.doc_id, 'pdf' AS type, 'Doc-' || d.doc_id AS doc_name, CASE WHEN n % 2 = 0 THEN source ELSE '' END AS doc_description, '' AS path, CASE WHEN n % 3 <> 0 THEN n_pages ELSE 0 END AS page_count FROM d JOIN stats ON stats.doc_id = d.doc_id")
-_add("s8_run_report", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'Doc-' || doc_id AS name, 'out/' || doc_id || '_structure.json' AS output, CASE WHEN doc_id % 4 <> 0 THEN 'ok' ELSE 'failed' END AS status FROM documents")
+_add("s5_read_index", "SELECT d.doc_id, 'Doc-' || d.doc_id AS doc_name, source AS doc_description, count(*) AS n_nodes FROM d JOIN nodes ON nodes.doc_id = d.doc_id WHERE source <> 'src3' GROUP BY ALL HAVING count(*) <> 2")
+_add("s6_upsert", "SELECT doc_id, CASE WHEN length(text) > 1000 THEN 'new' ELSE source END AS source, CAST(length(text) AS INTEGER) AS n FROM documents")
+_add("j7_not_indexed", "SELECT doc_id, source FROM documents WHERE NOT coalesce(length(text) > 1000, false)")
+_add("s7_rebuild_catalog", "SELECT d.doc_id, 'pdf' AS type, 'Doc-' || d.doc_id AS doc_name, CASE WHEN source <> 'src1' THEN source ELSE '' END AS doc_description, '' AS path, CASE WHEN n_pages > 1 THEN n_pages ELSE 0 END AS page_count FROM d JOIN stats ON stats.doc_id = d.doc_id")
+_add("s8_run_report", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'Doc-' || doc_id AS name, 'out/' || doc_id || '_structure.json' AS output, CASE WHEN length(text) > 1000 THEN 'ok' ELSE 'failed' END AS status FROM documents")
 _TAG = "'<physical_index_' || page || '>'"
 _add("p2_tag_page", f"SELECT doc_id, page, md5({_TAG} || chr(10) || text || chr(10) || {_TAG} || chr(10) || chr(10)) AS tagged_md5, md5({_TAG} || chr(10) || text || chr(10) || {_TAG} || chr(10)) AS labelled_md5 FROM pages")
-_add("p3_leaders", r"SELECT doc_id, regexp_replace(regexp_replace('a ' || repeat('.', CAST(doc_id % 9 AS INTEGER)) || ' b ' || repeat('. ', CAST(doc_id % 7 AS INTEGER)) || '9', '\.{5,}', ': ', 'g'), '(?:\. ){5,}\.?', ': ', 'g') AS normal FROM documents")
-_add("p4_physical_index", "SELECT doc_id, CASE WHEN doc_id % 6 < 2 THEN CAST(doc_id AS INTEGER) END AS strict, CASE WHEN doc_id % 6 < 4 THEN CAST(doc_id AS INTEGER) END AS bare FROM documents")
-_add("p5_page_number", "SELECT doc_id, CASE WHEN doc_id % 6 IN (2, 3) THEN CAST(doc_id AS INTEGER) END AS page FROM documents")
-_AB = "WITH v AS (SELECT doc_id, doc_id % 7 AS a, doc_id % 5 + 3 AS b, doc_id % 4 AS k FROM documents)"
-_add("p6_page_spec", f"{_AB} SELECT doc_id, CASE WHEN k = 2 OR k IN (0, 3) AND a > b THEN NULL WHEN k = 1 THEN array_to_string(list_sort(list_distinct([a, b])), ',') ELSE array_to_string(range(a, b + 1), ',') END AS pages, CASE WHEN k = 2 THEN 'not a page: ''x' || a || '''' WHEN k = 0 AND a > b THEN 'start after end: ''' || a || ' - ' || b || '''' WHEN k = 3 AND a > b THEN 'start after end: ''' || a || '-' || b || '''' END AS error FROM v")
-_add("p7_page_list", "WITH v AS (SELECT doc_id, [doc_id % 4, doc_id % 3, doc_id % 4 - 2, doc_id % 5, doc_id % 3] AS g FROM documents), u AS (SELECT doc_id, unnest(g) AS x, generate_subscripts(g, 1) AS i FROM v), f AS (SELECT doc_id, x, min(i) AS i FROM u WHERE x >= 1 GROUP BY ALL) SELECT v.doc_id, coalesce(string_agg(x, ',' ORDER BY i), '') AS pages FROM v LEFT JOIN f ON f.doc_id = v.doc_id GROUP BY v.doc_id")
+_add("p3_leaders", r"SELECT doc_id, page, md5(regexp_replace(regexp_replace(text, '\.{5,}', ': ', 'g'), '(?:\. ){5,}\.?', ': ', 'g')) AS normal_md5 FROM pages")
+_add("p4_physical_index", r"SELECT doc_id, page, page AS tagged, CASE WHEN regexp_matches(w, '^[0-9]+$') THEN CAST(least(CAST(w AS HUGEINT), 2147483647) AS INTEGER) END AS bare, CAST(NULL AS INTEGER) AS strict FROM (SELECT *, regexp_extract(text, '^(\S+)', 1) AS w FROM pages)")
+_add("p5_page_number", r"SELECT l.doc_id, CAST(l.k - 1 AS INTEGER) AS k, CASE WHEN regexp_matches(w, '^[+-]?[0-9]+$') THEN CAST(w AS INTEGER) END AS page FROM (SELECT *, regexp_extract(line, '(\S+)[ \t]*$', 1) AS w FROM toc_lines) l JOIN ranked r ON r.doc_id = l.doc_id AND r.run = l.run AND turn = 1")
+_CTES["specs"] = "SELECT doc_id, min(page) AS a, max(page) AS b, arg_min(title, pos) AS title FROM entries GROUP BY doc_id"
+_add("p6_page_spec", r"SELECT s.doc_id, CASE WHEN a IS NOT NULL THEN array_to_string(range(a, least(b, n_pages) + 1), ',') END AS pages, CASE WHEN a IS NULL THEN 'not a page: ''' || list_filter(list_transform(string_split(title, ','), lambda x: trim(x)), lambda x: NOT regexp_matches(x, '^[0-9]+(\s*-\s*[0-9]+)?$'))[1] || '''' END AS error FROM specs s JOIN stats ON stats.doc_id = s.doc_id")
+_CTES["listed"] = "SELECT doc_id, page - 2 AS x, pos AS i FROM entries WHERE page IS NOT NULL UNION ALL SELECT doc_id, page - 3, pos + 1000000 FROM entries WHERE page IS NOT NULL"
+_CTES["cleaned"] = "SELECT doc_id, x, min(i) AS i FROM listed WHERE x >= 1 GROUP BY ALL"
+_add("p7_page_list", "SELECT l.doc_id, coalesce(string_agg(c.x, ',' ORDER BY c.i), '') AS pages FROM (SELECT DISTINCT doc_id FROM listed) l LEFT JOIN cleaned c ON c.doc_id = l.doc_id GROUP BY l.doc_id")
 _add("p8_validate", "SELECT h.doc_id, pos, CASE WHEN physical_index + CAST(h.doc_id AS BIGINT) % 3 <= n_pages THEN CAST(physical_index + CAST(h.doc_id AS BIGINT) % 3 AS INTEGER) END AS physical_index FROM headings h JOIN stats ON stats.doc_id = h.doc_id")
-_add("p9_names", "WITH v AS (SELECT doc_id, source, 'Doc.' || doc_id AS f, CASE WHEN doc_id % 2 = 0 THEN '.PDF' ELSE '' END AS e FROM documents) SELECT doc_id, f || e AS name, CASE WHEN e = '' THEN 'doc' ELSE lower(f) END AS stem, 'Dir-' || source || '-' || f || e AS safe, 'Dir/' || source || '/' || f || CASE WHEN e = '' THEN '.pdf' ELSE e END AS source_path FROM v")
-_add("p10_json", "SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 'yes' END AS answer, CAST(NULL AS VARCHAR) AS at_start, CASE WHEN doc_id % 3 < 2 THEN CAST(doc_id AS VARCHAR) END AS physical_index FROM documents")
+_add("p9_names", r"SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name, lower(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\.[^.]*$', '')) AS stem, replace(url, '/', '-') AS safe, CASE WHEN lower(url) LIKE '%.pdf' THEN url ELSE url || '.pdf' END AS source_path FROM pages".replace("FROM pages", "FROM main.pages"))
+_add("p10_json", r"SELECT conv_id, turn, md5(CASE WHEN role = 'assistant' THEN replace(replace(t, ',]', ']'), ',}', '}') ELSE t END) AS answer_md5 FROM (SELECT *, regexp_replace(replace(text, 'None', 'null'), ' +', ' ', 'g') AS t FROM conversations)")
 _add("p12_parent_code", r"SELECT doc_id, pos, structure, nullif(regexp_extract(structure, '^(.*)\.[^.]*$', 1), '') AS parent FROM headings")
 _add("r1_toc_flags", "SELECT * FROM flags WHERE page <= 4")
 _add("r3_toc_entries", "SELECT * FROM entries")
@@ -152,7 +154,7 @@ ORACLE_SQL["w6_group_pages"] = _sql(ORACLE_SQL["w6_group_pages"])
 _add("j2_neighbours", "SELECT * FROM bounds")
 _add("w7_whole_window", "SELECT b.doc_id, pos, CAST(greatest(prev_index, 1) AS INTEGER) AS first_page, CAST(least(next_index, n_pages) AS INTEGER) AS last_page FROM bounds b JOIN stats ON stats.doc_id = b.doc_id WHERE greatest(prev_index, 1) <= least(next_index, n_pages)")
 _add("j3_range_text", f"SELECT r.doc_id, r.pos, md5(coalesce(string_agg({_TAG} || chr(10) || text || chr(10) || {_TAG} || chr(10), '' ORDER BY page), '')) AS text_md5 FROM ranged r LEFT JOIN pages p ON p.doc_id = r.doc_id AND page BETWEEN start_index AND end_index GROUP BY r.doc_id, r.pos")
-_add("u2_pages_needed", "SELECT DISTINCT doc_id, CAST(unnest(range(start_index, end_index + 1)) AS INTEGER) AS page FROM ranged WHERE pos % 2 = 1")
+_add("u2_pages_needed", "SELECT DISTINCT doc_id, CAST(unnest(range(start_index, end_index + 1)) AS INTEGER) AS page FROM ranged")
 _add("u3_append", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY 1 - pos % 2, pos) - 1 AS INTEGER) AS pos, title FROM headings")
 _add("j8_title_places", "SELECT * FROM places")
 _add("r5_check_titles", "SELECT doc_id, pos, physical_index, there OR at_start AS appears, at_start FROM checks")
@@ -201,6 +203,88 @@ _CTES["q_text"] = f"SELECT request_id, string_agg(page, ',' ORDER BY o) AS pages
 _add("c12_answer_requests", "SELECT f.request_id, f.doc_id, t.pages, prompt_md5, CASE WHEN f.error IS NOT NULL THEN f.error WHEN prompt_md5 IS NULL THEN 'no valid page' END AS error FROM q_found f LEFT JOIN q_text t ON t.request_id = f.request_id")
 _ASK = "'Is the following page part of a table of contents? Answer as JSON: {\"answer\": \"yes\" or \"no\"}.' || chr(10) || chr(10) || text"
 _add("x1_requests", f"SELECT DISTINCT sha256(doc_id || chr(10) || 'toc_page' || chr(10) || {_ASK}) AS request_id, doc_id, 'toc_page' AS stage, CAST(length({_ASK}) // 4 AS INTEGER) AS est_tokens FROM pages WHERE page <= 4")
-_add("x2_responses", "SELECT CAST(doc_id AS VARCHAR) AS request_id, CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN false END AS answer, doc_id % 5 = 0 AS at_start, CASE WHEN doc_id % 5 = 1 THEN 7 END AS physical_index, CASE WHEN doc_id % 5 = 1 THEN 'high' ELSE 'low' END AS confidence, doc_id % 5 IN (0, 1, 4) AS ok FROM documents")
+_add("x2_responses", "SELECT f.doc_id || '-' || f.page AS request_id, CASE WHEN is_toc THEN true END AS answer, is_toc AS at_start, CASE WHEN NOT is_toc AND f.page = 1 THEN 1 END AS physical_index, CASE WHEN NOT is_toc AND f.page = 1 THEN 'high' ELSE 'low' END AS confidence, is_toc OR f.page = 1 AS ok FROM flags f WHERE f.page <= 4")
 _add("x4_run_model", "SELECT f.doc_id, f.page, starts_with(text, 'Contents') AS is_toc FROM flags f JOIN pages p ON p.doc_id = f.doc_id AND p.page = f.page WHERE f.page <= 4")
 _add("x3_answers", "SELECT doc_id || '-' || page AS request_id, is_toc OR page = 1 AS is_toc FROM flags WHERE page <= 4")
+_CTES["node_json"] = """SELECT doc_id, node_seq, parent_seq, '{"title": ' || to_json(title) || ', "node_id": "' || node_id || '", "start_index": ' || start_index || ', "end_index": ' || end_index AS j FROM nodes"""
+_CTES["child_json"] = "SELECT doc_id, parent_seq, string_agg(j || '}', ', ' ORDER BY node_seq) AS js FROM node_json WHERE parent_seq IS NOT NULL GROUP BY ALL"
+_CTES["tree_json"] = """SELECT n.doc_id, '[' || string_agg(j || CASE WHEN js IS NULL THEN '}' ELSE ', "nodes": [' || js || ']}' END, ', ' ORDER BY node_seq) || ']' AS structure_json FROM node_json n LEFT JOIN child_json c ON c.doc_id = n.doc_id AND c.parent_seq = n.node_seq WHERE n.parent_seq IS NULL GROUP BY n.doc_id"""
+# Codes of the book view have two levels, so trees have too.
+_add("k4_export", "SELECT doc_id, structure_json FROM tree_json")
+_add("c10_structures", "SELECT request_id, f.doc_id, CASE WHEN error IS NULL THEN coalesce(structure_json, '[]') END AS structure_json, error FROM q_found f LEFT JOIN tree_json t ON t.doc_id = f.doc_id")
+# Splitting of one node over all pages: where it is large and has headings, these stand below it. Nothing they span is large again.
+_CTES["big"] = "SELECT doc_id, n_pages, n_pages - 1 > 3 AND n_tokens >= 300 AND doc_id IN (SELECT doc_id FROM headings) AS split FROM stats"
+_CTES["h_starts"] = f"SELECT i.*, {_squash('title')} <> '' AND (starts_with({_squash('coalesce(text, chr(0))')}, {_squash('title')}) OR starts_with({_squashed_line('coalesce(text, chr(0))')}, {_squash('title')})) AS opens FROM headings i JOIN big ON big.doc_id = i.doc_id AND split LEFT JOIN pages p ON p.doc_id = i.doc_id AND p.page = i.physical_index"
+_CTES["h_ranged"] = "SELECT s.doc_id, pos, structure, title, physical_index AS start_index, CASE WHEN lead(pos) OVER w IS NULL THEN n_pages WHEN lead(opens) OVER w THEN lead(physical_index) OVER w - 1 ELSE lead(physical_index) OVER w END AS end_index FROM h_starts s JOIN stats ON stats.doc_id = s.doc_id WINDOW w AS (PARTITION BY s.doc_id ORDER BY pos)"
+_CTES["h_parents"] = r"SELECT a.doc_id, a.pos, max(b.pos) AS up FROM h_ranged a JOIN h_ranged b ON b.doc_id = a.doc_id AND b.structure = nullif(regexp_extract(a.structure, '^(.*)\.[^.]*$', 1), '') AND b.pos < a.pos GROUP BY a.doc_id, a.pos"
+_CTES["h_nodes"] = "SELECT h.doc_id, title, start_index, end_index, CASE WHEN up IS NULL THEN [0, h.pos] ELSE [0, up, h.pos] END AS path, h.pos NOT IN (SELECT up FROM h_parents x WHERE x.doc_id = h.doc_id) AS is_leaf FROM h_ranged h LEFT JOIN h_parents u ON u.doc_id = h.doc_id AND u.pos = h.pos UNION ALL SELECT b.doc_id, 'Everything', 1, CASE WHEN split THEN (SELECT arg_min(physical_index, pos) FROM headings x WHERE x.doc_id = b.doc_id) ELSE n_pages END, [0], NOT split FROM big b"
+_add("k7_split", "SELECT doc_id, printf('%04d', row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1) AS node_id, CAST(len(path) - 1 AS INTEGER) AS depth, title, CAST(start_index AS INTEGER) AS start_index, CAST(end_index AS INTEGER) AS end_index, is_leaf FROM h_nodes")
+# Detection with answers: pages without leaders are no contents pages.
+ORACLE_SQL["w3_answered"] = ORACLE_SQL["w3_detect_toc"].replace("AS is_toc FROM pages", "AS rule, contains(text, '.........') AND rule AS is_toc FROM pages")
+
+
+def _windows(p: str, bounds: str, budget: int) -> str:
+    """The windows w7 finds for a table of bounds, as expressions of names that begin with p; the name of the last."""
+    _CTES[f"{p}_pages"] = f"SELECT b.doc_id, pos, page, token_length AS t, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY b.doc_id, pos) AS n, sum(token_length) OVER w AS s FROM {bounds} b JOIN pages p ON p.doc_id = b.doc_id AND page BETWEEN greatest(prev_index, 1) AND next_index WINDOW w AS (PARTITION BY b.doc_id, pos ORDER BY page)"
+    _CTES[f"{p}_middle"] = f"SELECT doc_id, pos, n // 2 AS m, n - 1 - n // 2 AS r FROM {p}_pages GROUP BY doc_id, pos, n"
+    # Pages right and left of the middle one come by turns; the turns that fit are counted by their running totals.
+    _CTES[f"{p}_turns"] = f"""SELECT m.doc_id, m.pos, count(*) AS turns FROM (SELECT *, unnest(range(1, 2 * r + 1)) AS k FROM {p}_middle) m
+  JOIN {p}_pages a ON a.doc_id = m.doc_id AND a.pos = m.pos AND a.i = m.m + (k + 1) // 2 JOIN {p}_pages b ON b.doc_id = m.doc_id AND b.pos = m.pos AND b.i = m.m - k // 2
+  WHERE a.s - (b.s - b.t) <= {budget} GROUP BY ALL"""
+    _CTES[f"{p}_reach"] = f"SELECT m.*, coalesce(turns, 0) % 2 = 1 AS right_goes, m + (coalesce(turns, 0) + 1) // 2 AS high, m - coalesce(turns, 0) // 2 AS low FROM {p}_middle m LEFT JOIN {p}_turns t ON t.doc_id = m.doc_id AND t.pos = m.pos"
+    _CTES[f"{p}_ends"] = f"""SELECT w.*, lo.s - lo.t AS from_, hi.s AS to_ FROM {p}_reach w
+  JOIN {p}_pages lo ON lo.doc_id = w.doc_id AND lo.pos = w.pos AND lo.i = low JOIN {p}_pages hi ON hi.doc_id = w.doc_id AND hi.pos = w.pos AND hi.i = high"""
+    _CTES[f"{p}_windows"] = f"""SELECT e.doc_id, e.pos, CAST(min(CASE WHEN p.i = low OR NOT right_goes AND p.i < low AND to_ - (p.s - p.t) <= {budget} THEN page END) AS INTEGER) AS first_page,
+  CAST(max(CASE WHEN p.i = high OR right_goes AND p.i > high AND p.s - from_ <= {budget} THEN page END) AS INTEGER) AS last_page
+  FROM {p}_ends e JOIN {p}_pages p ON p.doc_id = e.doc_id AND p.pos = e.pos GROUP BY e.doc_id, e.pos"""
+    return f"{p}_windows"
+
+
+_add("w7_resolve_window", f"SELECT * FROM {_windows('w', 'bounds', 400)}")
+
+# Path A: an offset from a sample of titles found on the first pages, and a search for what has no page then.
+_LOCATED = "CASE WHEN count(*) FILTER (at_top) = 1 THEN min(p.page) FILTER (at_top) ELSE min(p.page) END"
+_CTES["a_docs"] = "SELECT doc_id, coalesce(list_max(toc_pages), 0) AS after FROM detected WHERE has_page_numbers"
+_CTES["a_entries"] = "SELECT e.*, after, count(*) OVER (PARTITION BY e.doc_id) AS c FROM entries e JOIN a_docs d ON d.doc_id = e.doc_id"
+_CTES["a_near"] = "SELECT doc_id, page FROM (SELECT p.doc_id, page, sum(token_length) OVER (PARTITION BY p.doc_id ORDER BY page) AS total FROM pages p JOIN a_docs d ON d.doc_id = p.doc_id WHERE page > after AND page <= after + 20) WHERE total <= 6000"
+_CTES["a_sample"] = "SELECT doc_id, pos, title FROM a_entries WHERE c <= 8 OR list_contains(list_transform(range(0, 8), lambda i: CAST(round_even(i * (c - 1) / 7.0, 0) AS BIGINT)), pos)"
+_CTES["a_found"] = f"SELECT s.doc_id, s.pos, s.title, {_LOCATED} AS physical_index FROM a_sample s JOIN places p ON p.doc_id = s.doc_id AND p.pos = s.pos JOIN a_near n ON n.doc_id = p.doc_id AND n.page = p.page GROUP BY ALL"
+_CTES["a_pairs"] = "SELECT e.doc_id, row_number() OVER (PARTITION BY e.doc_id ORDER BY e.pos, f.pos) - 1 AS pair_order, e.page, f.physical_index FROM a_entries e JOIN a_found f ON f.doc_id = e.doc_id AND f.title = e.title WHERE f.physical_index >= after"
+_CTES["a_diffs"] = "SELECT doc_id, physical_index - page AS diff, count(*) AS c, min(pair_order) AS first FROM a_pairs WHERE page IS NOT NULL GROUP BY ALL"
+_CTES["a_offsets"] = "SELECT doc_id, arg_max(diff, c * 1000000 - first) AS off FROM a_diffs WHERE doc_id IN (SELECT doc_id FROM a_pairs GROUP BY doc_id HAVING count(*) >= 3) GROUP BY doc_id"
+_CTES["a_items"] = "SELECT e.doc_id, pos, structure, title, CASE WHEN off IS NULL THEN page END AS page, page + off AS physical_index FROM a_entries e LEFT JOIN a_offsets o ON o.doc_id = e.doc_id"
+_CTES["a_spans"] = "SELECT i.doc_id, pos, physical_index, coalesce(last_value(physical_index IGNORE NULLS) OVER (PARTITION BY i.doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev_index, coalesce(first_value(physical_index IGNORE NULLS) OVER (PARTITION BY i.doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n_pages) AS next_index FROM a_items i JOIN stats ON stats.doc_id = i.doc_id"
+_CTES["a_bounds"] = "SELECT doc_id, pos, prev_index, next_index FROM a_spans WHERE physical_index IS NULL"
+_CTES["a_rest"] = f"SELECT p.doc_id, p.pos, {_LOCATED} AS found FROM places p JOIN {_windows('a', 'a_bounds', 6000)} w ON w.doc_id = p.doc_id AND w.pos = p.pos AND p.page BETWEEN first_page AND last_page LEFT JOIN toc_out o ON o.doc_id = p.doc_id AND o.page = p.page WHERE o.page IS NULL GROUP BY p.doc_id, p.pos"
+_CTES["path_a"] = "SELECT i.doc_id, i.pos, structure, title, CASE WHEN found IS NULL THEN page END AS page, CAST(coalesce(physical_index, found) AS INTEGER) AS physical_index FROM a_items i LEFT JOIN a_rest r ON r.doc_id = i.doc_id AND r.pos = i.pos"
+_add("c1_path_a", "SELECT * FROM path_a")
+
+# The cascade: each path's items are checked; what fails goes to the next path.
+_CTES["path_b"] = "SELECT e.doc_id, e.pos, structure, title, min(p.page) AS physical_index FROM entries e LEFT JOIN (SELECT x.* FROM places x LEFT JOIN toc_out o ON o.doc_id = x.doc_id AND o.page = x.page WHERE o.page IS NULL) p ON p.doc_id = e.doc_id AND p.pos = e.pos GROUP BY ALL"
+_CTES["path_c"] = "SELECT * FROM headings"
+
+
+def _judged(p: str, docs: str) -> None:
+    """Items of one path for docs, with their outcome: checked, and repaired in two rounds where enough of them are right."""
+    t = _squash("title")
+    _CTES[f"{p}_n"] = f"SELECT i.doc_id, CAST(row_number() OVER (PARTITION BY i.doc_id ORDER BY pos) - 1 AS INTEGER) AS pos, structure, title, CASE WHEN physical_index <= n_pages THEN physical_index END AS physical_index FROM path_{p} i JOIN {docs} d ON d.doc_id = i.doc_id JOIN stats ON stats.doc_id = i.doc_id WHERE physical_index IS NOT NULL"
+    _CTES[f"{p}_checks"] = f"SELECT n.doc_id, pos, {t} <> '' AND (contains({_squash('coalesce(text, chr(0))')}, {t}) OR starts_with({_squashed_line('coalesce(text, chr(0))')}, {t})) AS appears FROM {p}_n n LEFT JOIN pages p ON p.doc_id = n.doc_id AND p.page = n.physical_index WHERE n.physical_index IS NOT NULL"
+    _CTES[f"{p}_sums"] = f"SELECT n.doc_id, arg_max(physical_index, n.pos) AS last, avg(CASE WHEN appears THEN 1.0 ELSE 0.0 END) AS rate, count(*) FILTER (NOT appears) AS wrong FROM {p}_n n JOIN {p}_checks c ON c.doc_id = n.doc_id AND c.pos = n.pos GROUP BY n.doc_id"
+    _CTES[f"{p}_rates"] = f"SELECT d.doc_id, CASE WHEN last >= n_pages / 2.0 AND rate = 1 AND wrong = 0 THEN 'accepted' WHEN last >= n_pages / 2.0 AND rate > 0.6 AND wrong > 0 THEN 'repaired' ELSE '{'best effort' if p == 'c' else 'next'}' END AS outcome FROM {docs} d JOIN stats ON stats.doc_id = d.doc_id LEFT JOIN {p}_sums s ON s.doc_id = d.doc_id"
+    _CTES[f"{p}_lines"] = f"SELECT s.doc_id, s.pos, n.page, n.k = t.k AS at_top FROM {p}_n s JOIN norms n ON n.doc_id = s.doc_id AND n.norm = {_squash('s.title')} JOIN tops t ON t.doc_id = n.doc_id AND t.page = n.page WHERE {_squash('s.title')} <> ''"
+    _CTES[f"{p}_i1"] = f"SELECT n.doc_id, n.pos, physical_index, coalesce(NOT appears, false) AS wrong FROM {p}_n n LEFT JOIN {p}_checks c ON c.doc_id = n.doc_id AND c.pos = n.pos"
+    for k in (1, 2):
+        sure = "CASE WHEN NOT wrong THEN physical_index END IGNORE NULLS"
+        _CTES[f"{p}_b{k}"] = f"SELECT i.doc_id, pos, wrong, greatest(coalesce(last_value({sure}) OVER (PARTITION BY i.doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 1) AS lo, least(coalesce(first_value({sure}) OVER (PARTITION BY i.doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n_pages), n_pages) AS hi FROM {p}_i{k} i JOIN stats ON stats.doc_id = i.doc_id"
+        _CTES[f"{p}_f{k}"] = f"SELECT b.doc_id, b.pos, {_LOCATED} AS found FROM {p}_b{k} b JOIN {p}_lines p ON p.doc_id = b.doc_id AND p.pos = b.pos AND p.page BETWEEN lo AND hi WHERE wrong GROUP BY b.doc_id, b.pos"
+        _CTES[f"{p}_i{k + 1}"] = f"SELECT i.doc_id, i.pos, coalesce(found, physical_index) AS physical_index, wrong AND found IS NULL AS wrong FROM {p}_i{k} i LEFT JOIN {p}_f{k} f ON f.doc_id = i.doc_id AND f.pos = i.pos"
+    _CTES[f"{p}_out"] = f"SELECT n.doc_id, n.pos, structure, title, CAST(CASE WHEN outcome = 'repaired' THEN i.physical_index ELSE n.physical_index END AS INTEGER) AS physical_index, '{p.upper()}' AS path, outcome FROM {p}_n n JOIN {p}_rates r ON r.doc_id = n.doc_id AND outcome <> 'next' JOIN {p}_i3 i ON i.doc_id = n.doc_id AND i.pos = n.pos"
+
+
+_judged("a", "a_docs")
+_CTES["b_docs"] = "SELECT doc_id FROM a_rates WHERE outcome = 'next'"
+_judged("b", "b_docs")
+_CTES["c_docs"] = "SELECT doc_id FROM b_rates WHERE outcome = 'next' UNION ALL SELECT s.doc_id FROM stats s LEFT JOIN a_docs a ON a.doc_id = s.doc_id WHERE a.doc_id IS NULL"
+_judged("c", "c_docs")
+_CTES["cascade"] = "SELECT * FROM a_out UNION ALL SELECT * FROM b_out UNION ALL SELECT * FROM c_out"
+_add("c5_cascade", "SELECT * FROM cascade")

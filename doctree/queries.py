@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,7 +13,7 @@ from .operators import catalog as lookups
 from .operators import detect, enrich, mapping, split, tree, verify
 from .operators import requests as ask
 from .sources import books, files
-from .sources.scratch import cut
+from .sources.scratch import cut, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,34 +87,41 @@ def s2_paginate(spark, sf_dir):
 
 @query
 def s5_read_index(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
-    whole = F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("Doc-"), "doc_id")).alias("doc_name"), F.col("source").alias("doc_description"), F.lit("[]").alias("structure_json")))
-    return files.parse_index(docs.select(F.when(F.col("doc_id") % 7 == 0, F.substring(whole, 1, 20)).otherwise(whole).alias("value")))
+    """Index files as written, some cut off in the middle and some without a name, read back."""
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("source") != "src3", F.concat(F.lit("Doc-"), "doc_id")).alias("doc_name"), F.col("source").alias("doc_description"))
+    nodes = _nodes(_pages(spark, sf_dir))
+    made = files.index_json(docs.join(tree.export_tree(nodes), "doc_id").join(tree.nodes_by_depth(nodes).groupBy("doc_id").agg(F.sum("n_nodes").alias("n")), "doc_id"))
+    values = cut(made.select(F.when(F.col("n") == 2, F.left("value", (F.length("value") / 2).cast("int"))).otherwise(F.col("value")).alias("value")))
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    values.write.text(path)
+    index = cut(files.read_index(spark, path))
+    counts = tree.flatten_tree(index).groupBy("doc_id").agg(F.count("*").alias("n_nodes"))
+    return index.join(counts, "doc_id").select("doc_id", "doc_name", "doc_description", "n_nodes")
 
 
 @query
 def s6_upsert(spark, sf_dir):
     docs = _documents(spark, sf_dir).select("doc_id", "source", F.length("text").alias("n"))
-    return files.upsert(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 3 = 0").withColumn("source", F.lit("new")))
+    return files.upsert(docs, docs.filter("n > 1000").withColumn("source", F.lit("new")))
 
 
 @query
 def j7_not_indexed(spark, sf_dir):
-    docs = _documents(spark, sf_dir).select("doc_id", "source")
-    return files.left_anti_docs(docs, docs.filter("doc_id % 3 = 0"))
+    docs = _documents(spark, sf_dir)
+    return files.left_anti_docs(docs.select("doc_id", "source"), docs.filter(F.length("text") > 1000))
 
 
 @query
 def s7_rebuild_catalog(spark, sf_dir):
-    docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("Doc-"), "doc_id").alias("doc_name"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("doc_description"), F.lit("[]").alias("structure_json"))
-    counts = _pages(spark, sf_dir).filter("doc_id % 3 <> 0").groupBy("doc_id").agg(F.max("page").alias("page_count"))
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("Doc-"), "doc_id").alias("doc_name"), F.when(F.col("source") != "src1", F.col("source")).alias("doc_description"), F.lit("[]").alias("structure_json"))
+    counts = _pages(spark, sf_dir).groupBy("doc_id").agg(F.max("page").alias("page_count")).filter("page_count > 1")
     return files.rebuild_catalog(docs, counts)
 
 
 @query
 def s8_run_report(spark, sf_dir):
-    docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("Doc-"), "doc_id").alias("name"), F.concat(F.lit("out/"), "doc_id", F.lit("_structure.json")).alias("output"))
-    return files.run_report(docs, docs.filter("doc_id % 4 <> 0"))
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("Doc-"), "doc_id").alias("name"), F.concat(F.lit("out/"), "doc_id", F.lit("_structure.json")).alias("output"), "text")
+    return files.run_report(docs, docs.filter(F.length("text") > 1000))
 
 
 # Scalars
@@ -126,42 +134,42 @@ def p2_tag_page(spark, sf_dir):
 
 @query
 def p3_leaders(spark, sf_dir):
-    dotted = F.concat(F.lit("a "), F.repeat(F.lit("."), (F.col("doc_id") % 9).cast("int")), F.lit(" b "), F.repeat(F.lit(". "), (F.col("doc_id") % 7).cast("int")), F.lit("9"))
-    return _documents(spark, sf_dir).select("doc_id", scalars.normalize_leaders(dotted).alias("normal"))
-
-
-def _raw_index():
-    n = F.col("doc_id").cast("string")
-    kind = F.col("doc_id") % 6
-    return F.when(kind == 0, F.concat(F.lit("<physical_index_"), n, F.lit(">"))).when(kind == 1, F.concat(F.lit("physical_index_"), n)).when(kind == 2, n).when(kind == 3, F.concat(F.lit(" "), n, F.lit(" "))).when(kind == 4, F.concat(F.lit("<physical_index_x"), n, F.lit(">")))
+    return _pages(spark, sf_dir).select("doc_id", "page", F.md5(scalars.normalize_leaders("text")).alias("normal_md5"))
 
 
 @query
 def p4_physical_index(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", scalars.parse_physical_index(_raw_index()).alias("strict"), scalars.parse_physical_index(_raw_index(), bare_int=True).alias("bare"))
+    """The tag of each page, and its first word, which often is the code of a heading."""
+    tag, word = F.split(scalars.tag_page("text", "page"), "\n")[0], F.regexp_extract("text", r"^(\S+)", 1)
+    return _pages(spark, sf_dir).select("doc_id", "page", scalars.parse_physical_index(tag).alias("tagged"), scalars.parse_physical_index(word, bare_int=True).alias("bare"), scalars.parse_physical_index(word).alias("strict"))
 
 
 @query
 def p5_page_number(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", scalars.parse_page_number(_raw_index()).alias("page"))
-
-
-def _spec():
-    a, b = (F.col("doc_id") % 7).cast("string"), (F.col("doc_id") % 5 + 3).cast("string")
-    return F.when(F.col("doc_id") % 4 == 0, F.concat(a, F.lit(" - "), b)).when(F.col("doc_id") % 4 == 1, F.concat(b, F.lit(","), a, F.lit(","), b)).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("x"), a)).otherwise(F.concat(a, F.lit("-"), b, F.lit(", "), a))
+    """The last word of each line of the tables of contents."""
+    lines = _printed(_pages(spark, sf_dir))[0].select("doc_id", F.posexplode(rules.entry_lines("toc_content")).alias("k", "line"))
+    return lines.select("doc_id", "k", scalars.parse_page_number(F.regexp_extract("line", r"(\S+)[ \t]*$", 1)).alias("page"))
 
 
 @query
 def p6_page_spec(spark, sf_dir):
-    s = scalars.parse_page_spec(_spec())
-    return _documents(spark, sf_dir).select("doc_id", F.array_join(s["pages"].cast("array<string>"), ",").alias("pages"), s["error"].alias("error"))
+    """All printed pages of a table of contents and the range of them; where none are printed, the first title, which is no page."""
+    pages = _pages(spark, sf_dir)
+    entries = _printed(pages)[1]
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "page"))), lambda x: x["page"].cast("string")), ",")
+    made = entries.groupBy("doc_id").agg(listed.alias("listed"), F.min("page").alias("a"), F.max("page").alias("b"), F.min_by("title", "pos").alias("title"))
+    spec = F.when(F.col("a").isNull(), F.col("title")).otherwise(F.concat("listed", F.lit(", "), "a", F.lit(" - "), "b"))
+    read = scalars.parse_page_spec("spec", "n_pages")
+    return made.withColumn("spec", spec).join(detect.doc_stats(pages), "doc_id").select("doc_id", F.array_join(read["pages"].cast("array<string>"), ",").alias("pages"), read["error"].alias("error"))
 
 
 @query
 def p7_page_list(spark, sf_dir):
-    n = F.col("doc_id")
-    given = F.array(n % 4, n % 3, n % 4 - 2, n % 5, n % 3)
-    return _documents(spark, sf_dir).select("doc_id", F.array_join(scalars.clean_page_list(given).cast("array<string>"), ",").alias("pages"))
+    """Printed pages less two, and then less three: some are below 1, most stand twice."""
+    entries = _printed(_pages(spark, sf_dir))[1].filter("page is not null")
+    listed = entries.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "page"))).alias("l"))
+    given = F.concat(F.transform("l", lambda x: x["page"] - 2), F.transform("l", lambda x: x["page"] - 3))
+    return listed.select("doc_id", F.array_join(scalars.clean_page_list(given).cast("array<string>"), ",").alias("pages"))
 
 
 @query
@@ -173,17 +181,18 @@ def p8_validate(spark, sf_dir):
 
 @query
 def p9_names(spark, sf_dir):
-    path = F.concat(F.lit("Dir/"), "source", F.lit("/Doc."), "doc_id", F.when(F.col("doc_id") % 2 == 0, ".PDF").otherwise(""))
-    return _documents(spark, sf_dir).select("doc_id", scalars.doc_name(path).alias("name"), scalars.doc_stem(path).alias("stem"), scalars.safe_name(path).alias("safe"), scalars.source_path(path).alias("source_path"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", scalars.doc_name("url").alias("name"), scalars.doc_stem("url").alias("stem"), scalars.safe_name("url").alias("safe"), scalars.source_path("url").alias("source_path"))
 
 
 @query
 def p10_json(spark, sf_dir):
-    n = F.col("doc_id").cast("string")
-    body = F.concat(F.lit('{"answer": "yes", "at_start": None, "physical_index": "'), n, F.lit('"'), F.when(F.col("doc_id") % 3 == 0, ",}").when(F.col("doc_id") % 3 == 1, "}").otherwise(""))
-    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))).otherwise(body)
-    read = scalars.read_json(text, "answer string, at_start string, physical_index string")
-    return _documents(spark, sf_dir).select("doc_id", read["answer"].alias("answer"), read["at_start"].alias("at_start"), read["physical_index"].alias("physical_index"))
+    """The text of each turn as a model would answer it: in a fence, and by assistants with a comma too many."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    body = F.to_json(F.struct(F.col("text").alias("answer")))
+    body = F.when(F.col("role") == "assistant", F.concat(F.left(body, F.length(body) - 1), F.lit(",}"))).otherwise(body)
+    read = scalars.read_json(F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```")), "answer string")
+    return rows.select("conv_id", "turn", F.md5(read["answer"]).alias("answer_md5"))
 
 
 @query
@@ -300,7 +309,7 @@ def j3_range_text(spark, sf_dir):
 
 @query
 def u2_pages_needed(spark, sf_dir):
-    return mapping.pages_needed(_ranged(_pages(spark, sf_dir)).filter("pos % 2 = 1"))
+    return mapping.pages_needed(_ranged(_pages(spark, sf_dir)))
 
 
 @query
@@ -551,9 +560,12 @@ def x1_requests(spark, sf_dir):
 
 @query
 def x2_responses(spark, sf_dir):
-    kind = F.col("doc_id") % 5
-    text = F.when(kind == 0, '{"answer": "yes", "at_start": "yes"}').when(kind == 1, '```json\n{"answer": "No", "physical_index": "<physical_index_7>", "confidence": "high"}\n```').when(kind == 2, "").when(kind == 3, '{"answer": "perhaps"}').otherwise('{"physical_index": None,}')
-    return ask.parse_responses(_documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("request_id"), text.alias("response")))
+    """For each of the first pages what a model might answer: to contents pages yes, to first pages their index, else no JSON at all."""
+    pages = _pages(spark, sf_dir).filter("page <= 4")
+    yes, index = F.lit('{"answer": "Yes", "at_start": "yes"}'), F.lit('```json\n{"answer": None, "physical_index": "<physical_index_1>", "confidence": "high",}\n```')
+    text = F.when(rules.is_toc_page("text"), yes).when(F.col("page") == 1, index).otherwise(F.col("text"))
+    read = ask.parse_responses(pages.select(F.concat_ws("-", "doc_id", "page").alias("request_id"), text.alias("response")))
+    return read.drop("items", "text")
 
 
 @query
@@ -577,3 +589,13 @@ def x4_run_model(spark, sf_dir):
     ruled = asked.select("request_id", "doc_id", "page", rules.is_toc_page("text").alias("is_toc"))
     answers = ask.parse_responses(ask.run_model(asked.select("request_id", "prompt").distinct(), _contents_model))
     return ask.with_answers(ruled, answers.filter("ok").select("request_id", F.col("answer").alias("is_toc")), "is_toc").select("doc_id", "page", "is_toc")
+
+
+@query
+def w3_answered(spark, sf_dir):
+    """Detection where a model finds contents pages only if they have leaders: its answers override the rule for all others."""
+    pages = _pages(spark, sf_dir)
+    asked = pages.filter("page <= 20 and not contains(text, '.........')")
+    answers = ask.Answers(ask.make_requests("toc_page", asked).select("request_id", F.lit('{"answer": "no"}').alias("response")))
+    found = detect.detect_toc(pages, answers=answers)
+    return found.select("doc_id", F.md5("toc_content").alias("content_md5"), F.array_join(F.col("toc_pages").cast("array<string>"), ",").alias("toc_pages"), "has_page_numbers")

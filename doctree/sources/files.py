@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.scalars import doc_name, doc_stem
+from ..functions.scalars import doc_name, doc_stem, safe_name
 from .books import with_tokens
 
 
@@ -20,22 +20,42 @@ def list_sources(spark: SparkSession, path: str, glob: str = "*.pdf", out_dir: s
     return files.select("path", doc_name("path").alias("name"), stem.alias("stem"), "bytes", F.concat(F.lit(out_dir.rstrip("/") + "/" if out_dir else ""), stem, F.lit("_structure.json")).alias("output")).orderBy("path")
 
 
-def write_index(index_docs: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A JSON line for each document."""
-    index_docs.write.mode(mode).json(path)
+def index_json(index_docs: DataFrame) -> DataFrame:
+    """index_docs with value: the index of each document as one JSON object, doc_name, doc_description and the nested structure."""
+    head = F.to_json(F.struct(*[c for c in ("doc_id", "doc_name", "doc_description") if c in index_docs.columns]))
+    structure = F.coalesce("structure_json", F.lit("[]"))
+    return index_docs.withColumn("value", F.concat(F.left(head, F.length(head) - 1), F.lit(',"structure":'), structure, F.lit("}")))
 
 
-_INDEX = "doc_id string, doc_name string, doc_description string, structure_json string"
+def write_index(index_docs: DataFrame, path: str, mode: str = "overwrite", a_file_each: bool = False) -> None:
+    """The nested JSON of each document, a line each; or with a_file_each in files of their own, below path/name=<stem>.
 
+    A line each suits corpora: millions of small files suit no store. Page text is written only where nodes hold it.
+    """
+    made = index_json(index_docs)
+    if a_file_each:
+        stem = F.regexp_replace(safe_name("doc_name"), r"\.[^.]*$", "")
+        made.select(stem.alias("name"), "value").write.mode(mode).partitionBy("name").text(path)
+    else:
+        made.select("value").write.mode(mode).text(path)
+
+
+_INDEX = "doc_id string, doc_name string, doc_description string, structure string"
+
+
+def parse_index(values: DataFrame) -> DataFrame:
+    """Index rows (doc_id, doc_name, doc_description, structure_json) from JSON text in `value`.
 
-def parse_index(lines: DataFrame) -> DataFrame:
-    """Index rows from JSON text in `value`; broken JSON and rows without a name or a structure are left out."""
-    return lines.select(F.from_json("value", _INDEX).alias("x")).select("x.*").filter("doc_name is not null and structure_json is not null")
+    Broken JSON and objects without a name or a structure are left out. Without a doc_id, the name stands for it.
+    """
+    whole = values.filter(F.get_json_object("value", "$").isNotNull()).select(F.from_json("value", _INDEX).alias("x")).select("x.*")
+    known = whole.filter("doc_name is not null and structure is not null")
+    return known.select(F.coalesce("doc_id", "doc_name").alias("doc_id"), "doc_name", "doc_description", F.col("structure").alias("structure_json"))
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """What `write_index` has written, without what is broken."""
-    return parse_index(spark.read.text(path))
+def read_index(spark: SparkSession, path: str, a_file_each: bool = False) -> DataFrame:
+    """The indexes below path, without what is broken: one a line, or with a_file_each one a file, pretty-printed or not."""
+    return parse_index(spark.read.option("recursiveFileLookup", "true").text(path, wholetext=a_file_each).select("value"))
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -71,4 +91,4 @@ def run_failed(report: DataFrame) -> DataFrame:
     return report.agg(F.count("*").alias("documents"), F.count_if(failed).alias("failures"), F.coalesce(F.bool_or(failed), F.lit(False)).alias("failed"))
 
 
-__all__ = ["doc_stem", "left_anti_docs", "list_sources", "load_pages", "parse_index", "read_index", "rebuild_catalog", "run_failed", "run_report", "upsert", "write_index"]
+__all__ = ["doc_stem", "index_json", "left_anti_docs", "list_sources", "load_pages", "parse_index", "read_index", "rebuild_catalog", "run_failed", "run_report", "upsert", "write_index"]

@@ -27,15 +27,20 @@ def test_physical_index(spark):
 
 
 def test_page_number(spark):
-    assert applied(spark, scalars.parse_page_number, ["5", " 12 ", "iv", "", None, "-3"]) == [5, 12, None, None, None, -3]
+    given = ["5", " 12 ", "iv", "", None, "-3", "+4", "0001234567890123", "9999999999", "-99999999999999999999999999999999999999999"]
+    assert applied(spark, scalars.parse_page_number, given) == [5, 12, None, None, None, -3, 4, 2147483647, 2147483647, -2147483647]
+    assert applied(spark, scalars.parse_physical_index, ["<physical_index_0002147483646>", "<physical_index_2147483648>"]) == [2147483646, 2147483647]
 
 
 def test_page_spec(spark):
     given = ["3", "5-7", "3,8,12", "3,3,1", " 4 - 6 ", "7-5", "-5", "a", "", None]
-    got = applied(spark, scalars.parse_page_spec, given)
+    got = applied(spark, lambda c: scalars.parse_page_spec(c, F.lit(9)), given)
     assert [r["pages"] for r in got] == [[3], [5, 6, 7], [3, 8, 12], [1, 3], [4, 5, 6], None, None, None, None, None]
     assert [bool(r["error"]) for r in got] == [False] * 5 + [True] * 5
     assert "start after end" in got[5]["error"]
+    # A range makes no more pages than there are.
+    far = ["1-999999999", "2-99999999999999999999", "8,1-12345678901", "10-12", "99999999999"]
+    assert [r["pages"] for r in applied(spark, lambda c: scalars.parse_page_spec(c, F.lit(3)), far)] == [[1, 2, 3], [2, 3], [1, 2, 3], [], []]
 
 
 def test_page_list(spark):

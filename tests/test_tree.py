@@ -82,6 +82,60 @@ def test_split(spark):
     assert got["other", "Else"] == (1, 1, False) and got["plain", "Big"] == (1, 5, True)
 
 
+def test_split_goes_on_until_nothing_is_large(spark):
+    texts = ["1 Top\nx", "2 Next\nx"] + [f"{'.'.join(['2'] * k)} L{k}\nx" for k in range(2, 9)] + ["x"] * 8
+    same = ["1 A\n2 B", "x", "x", "x", "x"]
+    pages = spark.createDataFrame([(d, i + 1, t, 100) for d, some in (("deep", texts), ("same", same)) for i, t in enumerate(some)], "doc_id string, page int, text string, token_length int")
+    nodes = spark.createDataFrame([("deep", [0], "All", 1, len(texts), True), ("same", [0], "All", 1, 5, True)], "doc_id string, path array<int>, title string, start_index int, end_index int, is_leaf boolean")
+    got = split.split_large(nodes, pages, 2, 100).collect()
+    titles = [r.title for r in got if r.doc_id == "deep"]
+    assert {f"L{k}" for k in range(2, 9)} < set(titles) and len([r for r in got if r.is_leaf and r.doc_id == "deep" and r.end_index - r.start_index > 2]) <= 1
+    assert {"A", "B"} <= {r.title for r in got if r.doc_id == "same"} and len(got) < 60
+    inner = spark.createDataFrame([("deep", [0], "All", 1, 9, False), ("deep", [0, 3], "Old", 9, 9, True)], nodes.schema)
+    kept = {r.title for r in split.split_large(inner, pages, 2, 100).collect()}
+    again = {r.title for r in split.split_large(inner, pages, 2, 100, split_internal=True).collect()}
+    assert kept == {"All", "Old"} and "Old" not in again and "Top" in again
+
+
+def test_index_files(spark, tmp_path):
+    index = spark.createDataFrame([("a", "Dir/Doc A.pdf", None, '[{"title": "x \\"é\\"", "nodes": [{"title": "y"}]}]'), ("b", "Doc B.pdf", "d", "[]")], "doc_id string, doc_name string, doc_description string, structure_json string")
+    for each in (False, True):
+        path = tmp_path / f"index{each}"
+        files.write_index(index, f"file://{path}", a_file_each=each)
+        (path / "broken.json").write_text('{"doc_id": "c", "doc_name": "C", "structure": [')
+        (path / "nameless.json").write_text('{"doc_id": "d", "structure": []}')
+        (path / "bare.json").write_text('{"doc_name": "E", "structure": [{"title": "z",\n "nodes": []}]}' if each else '{"doc_name": "E", "structure": [{"title": "z"}]}')
+        got = {r.doc_id: (r.doc_name, r.doc_description) for r in files.read_index(spark, f"file://{path}", a_file_each=each).collect()}
+        assert got == {"a": ("Dir/Doc A.pdf", None), "b": ("Doc B.pdf", "d"), "E": ("E", None)}
+        flat = tree.flatten_tree(files.read_index(spark, f"file://{path}", a_file_each=each))
+        assert sorted((r.doc_id, r.title, r.depth) for r in flat.collect()) == [("E", "z", 0), ("a", 'x "é"', 0), ("a", "y", 1)]
+    assert sorted(p.name for p in (tmp_path / "indexTrue").iterdir() if p.is_dir()) == ["name=Dir-Doc A", "name=Doc B"]
+
+
+def test_answers_replace_rules_in_the_whole_job(spark):
+    pages = spark.createDataFrame([("a", 1, "1 One\nbody", 5), ("a", 2, "2 Two\nbody", 5), ("b", 1, "1 Other\nbody", 5)], "doc_id string, page int, text string, token_length int")
+    none = spark.createDataFrame([], "request_id string, response string")
+    knobs = build.Knobs(max_pages_per_node=3)
+    first = ask.Answers(none)
+    plain, _ = build.build_index(pages, knobs=knobs)
+    asked_index, _ = build.build_index(pages, knobs=knobs, answers=first)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, asked_index.collect()))
+    wanted = {(r.doc_id, r.stage): r.request_id for r in first.open.collect()}
+    assert {s for _, s in wanted} >= {"toc_page", "headings", "appears", "summary", "description"}
+    told = [
+        (wanted["a", "headings"], '{"items": [{"structure": "1", "title": "One", "physical_index": "<physical_index_1>"}, {"structure": "1.1", "title": "Two", "physical_index": 2}]}'),
+        (wanted["b", "description"], '```json\n{"text": "About others",}\n```'),
+        (wanted["b", "headings"], "no JSON"),
+    ]
+    second = ask.Answers(spark.createDataFrame(told, none.schema))
+    index, nodes = build.build_index(pages, knobs=knobs, answers=second)
+    got = {r.doc_id: r for r in index.collect()}
+    tree_a = json.loads(got["a"].structure_json)
+    assert [n["title"] for n in tree_a] == ["One"] and [n["title"] for n in tree_a[0]["nodes"]] == ["Two"]
+    assert got["b"].doc_description == "About others" and "Other" in got["b"].structure_json
+    assert not {t[0] for t in told} & {r.request_id for r in second.open.collect()}
+
+
 def test_build_index_on_books(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id < 60")
     pages = books.books(docs)
@@ -116,7 +170,7 @@ def test_cascade_paths(spark):
 def test_sources_and_lookups(spark, tmp_path):
     index = spark.createDataFrame([("a", "Doc A.pdf", None, "[]"), ("b", "Doc B.pdf", "d", "[]")], "doc_id string, doc_name string, doc_description string, structure_json string")
     files.write_index(index, f"file://{tmp_path}/index")
-    (tmp_path / "index" / "part-broken.json").write_text('{"doc_id": "c"}\n{"doc_id"\n')
+    (tmp_path / "index" / "broken.json").write_text('{"doc_id": "c"}\n{"doc_id"\n')
     assert {r.doc_id for r in files.read_index(spark, f"file://{tmp_path}/index").collect()} == {"a", "b"}
     (tmp_path / "x.pdf").write_text("x")
     (tmp_path / "y.txt").write_text("y")
