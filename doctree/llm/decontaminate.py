@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .shared import WORD, Words, blocks, bounded, buffers, char_offsets, cut, pieces_of, set_aside
+from .shared import WORD, Words, blocks, bounded, char_offsets, cut, fresh, mix, pieces_of, range_hashes, set_aside
 
 SIZE = 10
-#: Benchmark text beyond this many bytes is joined by shuffle instead of being broadcast.
-BROADCAST_BYTES = 32 << 20
-_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Benchmark text behind one broadcast set, about. A larger benchmark is dealt over several sets, and texts are scanned with each.
+PART_BYTES = 16 << 20
 
 _HITS = T.StructType(
     [
@@ -22,138 +22,179 @@ _HITS = T.StructType(
         T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
     ]
 )
+_ARROW = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("hit_items", pa.list_(pa.string())), ("hit_spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+
+
+class _Set:
+    """The windows of one length: sorted hashes, one for each distinct window, its words' place, and the items that have it."""
+
+    def __init__(self, length: int, hashes: np.ndarray, second: np.ndarray, places: np.ndarray, items: np.ndarray):
+        # Windows are equal if two hashes are; what a text has is compared by its words besides.
+        order = np.lexsort((items, second, hashes))
+        hashes, second, places, items = (x[order] for x in (hashes, second, places, items))
+        new = np.ones(len(hashes), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (second[1:] != second[:-1])
+        self.length, self.hashes, self.places, self.items = length, hashes[new], places[new], items
+        self.first = np.append(np.flatnonzero(new), len(hashes))
 
 
 class _Index:
-    """Window hashes, sorted by length, with the normalised windows and items behind each."""
+    """Sets of the windows of items, with the items' normalised words once: 20 bytes a word and its text."""
 
-    def __init__(self, rows, size: int):
-        entries: dict[int, dict[int, dict[bytes, set[str]]]] = {}
-        for item, text in rows:
-            data, at = buffers(pa.array([text], pa.string()))
+    def __init__(self, items: pa.Array, texts: pa.Array, size: int):
+        self.items = items.to_pylist()
+        words_of, lengths_of, found, before, row = [], [], {}, 0, 0
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        for rows, data, at in blocks([batch]):
             words = Words(data, at, WORD)
-            n = len(words.starts)
-            if not n:
-                continue
-            length = min(size, n)
-            for begin, h in zip(*words.windows(length)):
-                entries.setdefault(length, {}).setdefault(int(h), {}).setdefault(words.joined(begin, begin + length), set()).update([] if item is None else [item])
-        self.lengths = {k: (np.array(sorted(v), np.uint64), v) for k, v in sorted(entries.items())}
-
-    def hits(self, words: Words) -> list[tuple[int, int, set[str]]]:
+            words_of.append(words.joined(0, len(words.starts)))
+            lengths_of.append(words.ends - words.starts)
+            for length in np.unique(np.minimum(words.counts, size)).tolist():
+                begin, hashes = words.windows(length) if length else (np.zeros(0, np.int64), None)
+                if not len(begin):
+                    continue
+                item = np.searchsorted(words.first, begin, "right") - 1
+                own = (words.counts[item] >= size) if length == size else (words.counts[item] == length)
+                second = range_hashes(mix(words.hashes), begin, begin + length)
+                found.setdefault(length, []).append((hashes[own], second[own], (begin[own] + before).astype(np.int32), (item[own] + row).astype(np.int32)))
+            before, row = before + len(words.starts), row + rows.num_rows
+        self.text = b" ".join(x for x in words_of if x)
+        lengths = np.concatenate(lengths_of) if lengths_of else np.zeros(0, np.int64)
+        self.ends = (np.cumsum(lengths + 1) - 1).astype(np.int32)
+        self.lengths = lengths.astype(np.int32)
+        self.sets = [_Set(length, *(np.concatenate(x) for x in zip(*parts))) for length, parts in sorted(found.items())]
+
+    def window(self, place: int, length: int) -> bytes:
+        return self.text[self.ends[place] - self.lengths[place] : self.ends[place + length - 1]]
+
+    def hits(self, words: Words) -> list[tuple[int, int, np.ndarray]]:
         """(first word, length, items) of each window that occurs, checked by its words."""
         found = []
-        for length, (known, behind) in self.lengths.items():
-            begin, hashes = words.windows(length)
+        for known in self.sets:
+            begin, hashes = words.windows(known.length)
             if not len(begin):
                 continue
-            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            for i in np.flatnonzero(known[at] == hashes):
-                items = behind[int(hashes[i])].get(words.joined(begin[i], begin[i] + length))
-                if items is not None:
-                    found.append((int(begin[i]), length, items))
+            at = np.minimum(np.searchsorted(known.hashes, hashes), len(known.hashes) - 1)
+            for i in np.flatnonzero(known.hashes[at] == hashes):
+                k, own = int(at[i]), words.joined(begin[i], begin[i] + known.length)
+                while k < len(known.hashes) and known.hashes[k] == hashes[i]:
+                    if self.window(known.places[k], known.length) == own:
+                        found.append((int(begin[i]), known.length, known.items[known.first[k] : known.first[k + 1]]))
+                        break
+                    k += 1
         return found
 
-
-def _scan(index, schema: T.StructType):
-    def run(batches):
-        for rows, data, at in blocks(batches):
-            words = Words(data, at, WORD)
-            found = index.value.hits(words)
-            covered = np.zeros(len(words.starts), bool)
-            items: dict[int, set[str]] = {}
-            for begin, length, names in found:
-                covered[begin : begin + length] = True
-                items.setdefault(int(np.searchsorted(words.first, begin, "right")) - 1, set()).update(names)
-            total = np.concatenate([[0], np.cumsum(covered)])
-            n_hit = total[words.first[1:]] - total[words.first[:-1]]
-            spans: list[list[dict]] = [[] for _ in range(rows.num_rows)]
-            for d in items:
-                low, high = words.first[d], words.first[d + 1]
-                edge = np.diff(np.concatenate([[0], covered[low:high].astype(np.int8), [0]]))
-                begin, end = np.flatnonzero(edge == 1) + low, np.flatnonzero(edge == -1) + low - 1
-                own = data[at[d] : at[d + 1]]
-                starts, ends = char_offsets(own, words.starts[begin] - at[d]), char_offsets(own, words.ends[end] - at[d])
-                spans[d] = [{"start": int(a), "end": int(b)} for a, b in zip(starts, ends)]
-            added = [words.counts, n_hit, [sorted(items.get(d, ())) for d in range(rows.num_rows)], spans]
-            columns = list(rows.columns) + [pa.array(x, f.type) for x, f in zip(added, schema)]
-            yield pa.RecordBatch.from_arrays(columns, names=rows.schema.names + [f.name for f in schema])
-
-    return run
-
-
-def _lowered(column):
-    return F.translate(column, _UPPER, _LOWER)
-
-
-def _joined(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
-    """The same result by a shuffle join on whole windows, for benchmarks of any size."""
-    words = lambda c: F.regexp_extract_all(_lowered(F.coalesce(c, F.lit(""))), F.lit(_WORDS), F.lit(0))
-    window = lambda w, n, i: F.concat_ws(" ", F.slice(w, i, n))
-    items = benchmark.select(F.col("item_id").cast("string").alias("_item"), words(F.col("text")).alias("_w")).filter(F.size("_w") > 0)
-    items = items.withColumn("_n", F.least(F.size("_w"), F.lit(size)))
-    grams = items.select("_item", "_n", F.explode(F.transform(F.sequence(F.lit(1), F.size("_w") - F.col("_n") + 1), lambda i: window(F.col("_w"), F.col("_n"), i))).alias("_g"))
-    grams = cut(grams.groupBy("_n", "_g").agg(F.collect_set("_item").alias("_items")))
-    lengths = [r[0] for r in grams.select("_n").distinct().collect()]  # at most `size` of them
-    kept = [c for c in docs.columns if c != "text"]
-    keyed = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("_key"), F.struct(*kept).alias("_row"), "text") if kept else docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("_key"), "text")
-    texts = keyed.select("_key", F.coalesce("text", F.lit("")).alias("_t")).dropDuplicates(["_key"]).withColumn("_w", words(F.col("_t")))
-    places = texts.select(
-        "_key",
-        F.explode(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")).alias("_n"),
-        "_w",
-    ).filter(F.size("_w") >= F.col("_n"))
-    places = places.select("_key", "_n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_w") - F.col("_n") + 1), lambda i: window(F.col("_w"), F.col("_n"), i))).alias("_p", "_g"))
-    hits = places.join(grams, ["_n", "_g"]).groupBy("_key").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("hit_items"),
-        F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("_p"), F.col("_p") + F.col("_n") - 1)))).alias("_hit"),
-    )
-    # Pieces between words and words alternate, so running lengths give each word's place.
-    lens = F.transform("_w", F.length)
-    gaps = F.transform(F.split(_lowered(F.col("_t")), _WORDS, -1), F.length)
-    step = lambda acc, i: F.struct(
-        (acc["at"] + F.element_at(gaps, i + 1) + F.element_at(lens, i + 1)).alias("at"),
-        F.when(
-            ~F.array_contains(F.col("_hit"), i), acc["spans"]
-        ).otherwise(
-            F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.element_at(gaps, i + 1)).alias("start"), (acc["at"] + F.element_at(gaps, i + 1) + F.element_at(lens, i + 1)).alias("end"), i.alias("word"))))
-        ).alias("spans"),
-    )
-    empty = F.array().cast("array<struct<start:int,end:int,word:int>>")
-    places = texts.join(hits, "_key").withColumn("_s", F.aggregate(F.sequence(F.lit(0), F.size("_w") - 1), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)["spans"])
-    merge = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))["word"] + 1 == x["word"]),
-        F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, F.size(acc))["start"].alias("start"), x["end"].alias("end"), x["word"].alias("word")))),
-    ).otherwise(F.concat(acc, F.array(x)))
-    places = places.select("_key", "hit_items", F.size("_hit").cast("long").alias("n_hit"), F.transform(F.aggregate("_s", empty, merge), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("hit_spans"))
-    return keyed.join(places, "_key", "left").select(
-        *[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns],
-        F.size(words(F.col("text"))).cast("long").alias("n_words"),
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items"),
-        F.coalesce("hit_spans", F.array().cast("array<struct<start:int,end:int>>")).alias("hit_spans"),
-    )
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    def hits_by_text(self, words: Words) -> dict[int, tuple[list[tuple[int, int]], list[str]]]:
+        """For each text with hits the windows, from its own first word on, and the names of the items."""
+        found: dict[int, tuple[list, list]] = {}
+        for begin, length, items in self.hits(words):
+            d = int(np.searchsorted(words.first, begin, "right")) - 1
+            windows, some = found.setdefault(d, ([], []))
+            windows.append((begin - int(words.first[d]), length))
+            some.append(items)
+        names = lambda some: [self.items[i] for i in np.unique(np.concatenate(some)).tolist() if self.items[i] is not None]
+        return {d: (windows, names(some)) for d, (windows, some) in found.items()}
+
+
+def _columns(words: Words, data: np.ndarray, at: np.ndarray, found: dict[int, tuple[list[tuple[int, int]], list[str]]]) -> list[pa.Array]:
+    """The columns of _HITS for a block of texts and what was found in it."""
+    n = len(words.counts)
+    n_hit, items, spans = np.zeros(n, np.int64), [[] for _ in range(n)], [[] for _ in range(n)]
+    for d, (windows, names) in found.items():
+        low = int(words.first[d])
+        step = np.zeros(int(words.counts[d]) + 1, np.int64)
+        begin, length = np.array(windows).T
+        np.add.at(step, begin, 1)
+        np.add.at(step, begin + length, -1)
+        covered = np.cumsum(step)[:-1] > 0
+        edge = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
+        first, last = np.flatnonzero(edge == 1) + low, np.flatnonzero(edge == -1) + low - 1
+        own = data[at[d] : at[d + 1]]
+        starts, ends = char_offsets(own, words.starts[first] - at[d]), char_offsets(own, words.ends[last] - at[d])
+        n_hit[d], items[d] = covered.sum(), sorted(set(names))
+        spans[d] = [{"start": int(a), "end": int(b)} for a, b in zip(starts, ends)]
+    return [pa.array(x, f.type) for x, f in zip((words.counts, n_hit, items, spans), _ARROW)]
+
+
+def _with_hits(batches, found_in):
+    for rows, data, at in blocks(batches):
+        words = Words(data, at, WORD)
+        yield rows, _columns(words, data, at, found_in(rows, words))
+
+
+def _indexes(benchmark: DataFrame, size: int, part_bytes: int) -> DataFrame:
+    """(part, index): pickled indexes of the parts of a benchmark, each built by one task from about part_bytes of text."""
+    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-total // part_bytes))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    items = items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)).cast("int"))
+
+    def build(table: pa.Table) -> pa.Table:
+        index = _Index(table.column("item").combine_chunks(), table.column("text").combine_chunks(), size)
+        return pa.table({"part": table.column("part").slice(0, 1), "index": pa.array([pickle.dumps(index)], pa.binary())})
+
+    return items.groupBy("part").applyInArrow(build, "part int, index binary")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, part_bytes: int = PART_BYTES) -> DataFrame:
     """Adds n_words, n_hit, hit_items (sorted strings) and hit_spans (code points) to docs.
 
     docs needs a text column, benchmark item_id and text; other columns pass through, and a column of docs
     that is named like one of the four is replaced. Words are runs of digits, letters and code points over
     127, with A-Z lowered. An item's windows are its runs of `size` words, or all its words if it has fewer.
     Null and empty texts have no words and no hits; empty items and an empty benchmark hit nothing; repeated
-    rows stay, each with its own result; items of a null item_id hit like others, but have no name in hit_items. The benchmark is broadcast if it
-    has at most `broadcast_bytes` bytes of text; a larger one is joined by shuffle, with the same result.
+    rows stay, each with its own result; items of a null item_id hit like others, but have no name in hit_items.
+
+    The hash set of a benchmark of at most `part_bytes` bytes of text is broadcast, about five times as large as that
+    text. A larger benchmark makes several such sets: texts are scanned with one after the other, what they
+    hit is kept by the digest of the text, and joined back once.
     """
     spark = docs.sparkSession
     docs = bounded(docs).drop(*[f.name for f in _HITS])
-    benchmark = benchmark.select("item_id", "text")
-    if (benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > broadcast_bytes:
-        return _joined(docs, benchmark, size)
-    rows = [(r[0], r[1] or "") for r in benchmark.select(F.col("item_id").cast("string"), "text").collect()]  # at most broadcast_bytes
-    index = spark.sparkContext.broadcast(_Index(rows, size))
-    arrow = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("hit_items", pa.list_(pa.string())), ("hit_spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-    return docs.mapInArrow(_scan(index, arrow), T.StructType(docs.schema.fields + _HITS.fields))
+    schema = T.StructType(docs.schema.fields + _HITS.fields)
+    names = [*docs.columns, *_ARROW.names]
+    made = cut(_indexes(benchmark.select("item_id", "text"), size, part_bytes))
+    parts = sorted(r[0] for r in made.select("part").collect())  # a number for each part of the benchmark
+    load = lambda part: spark.sparkContext.broadcast(pickle.loads(made.filter(F.col("part") == part).first()["index"]))
+
+    if len(parts) < 2:
+        index = load(parts[0]) if parts else spark.sparkContext.broadcast(_Index(pa.array([], pa.string()), pa.array([], pa.string()), size))
+
+        def run(batches):
+            for rows, added in _with_hits(batches, lambda rows, words: index.value.hits_by_text(words)):
+                yield pa.RecordBatch.from_arrays([*rows.columns, *added], names=names)
+
+        return docs.mapInArrow(run, schema)
+
+    key, windows, items = fresh(docs, "_key"), fresh(docs, "_windows"), fresh(docs, "_items")
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    kind = pa.list_(pa.struct([("begin", pa.int32()), ("length", pa.int32())]))
+
+    def hit_by(index):
+        def run(batches):
+            for rows, data, at in blocks(batches):
+                found = index.value.hits_by_text(Words(data, at, WORD))
+                some = pa.array(sorted(found), pa.int64())
+                spans = pa.array([[{"begin": b, "length": n} for b, n in found[d][0]] for d in sorted(found)], kind)
+                yield pa.RecordBatch.from_arrays([rows.column(key).take(some), spans, pa.array([found[d][1] for d in sorted(found)], pa.list_(pa.string()))], names=[key, windows, items])
+
+        return run
+
+    hits = None
+    for part in parts:
+        own = cut(keyed.select(key, "text").mapInArrow(hit_by(load(part)), f"{key} binary, {windows} array<struct<begin:int,length:int>>, {items} array<string>").dropDuplicates([key]))
+        hits = own if hits is None else hits.unionByName(own)
+    hits = hits.groupBy(key).agg(F.flatten(F.collect_list(windows)).alias(windows), F.flatten(F.collect_list(items)).alias(items))
+
+    def joined(rows, words):
+        both = zip(rows.column(windows).to_pylist(), rows.column(items).to_pylist())
+        return {d: ([(x["begin"], x["length"]) for x in own], some) for d, (own, some) in enumerate(both) if own}
+
+    def run(batches):
+        for rows, added in _with_hits(batches, joined):
+            yield pa.RecordBatch.from_arrays([*rows.select(docs.columns).columns, *added], names=names)
+
+    return keyed.join(hits, key, "left").mapInArrow(run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", **how) -> DataFrame:

@@ -72,7 +72,7 @@ def _in_buckets(docs: DataFrame, buckets: int) -> DataFrame:
     cuts = docs.select(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] if buckets > 1 else None
     cuts = sorted(set(cuts or []), reverse=True)
     number = F.lit(len(cuts))
-    # The count of bounds above doc_id, found by binary search in an array of `buckets` numbers.
+    # The count of bounds above doc_id, among `buckets` numbers.
     if cuts:
         bounds = F.array(*[F.lit(int(c)).cast("long") for c in cuts])
         number = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(bounds, lambda c: c > F.col("doc_id"))))

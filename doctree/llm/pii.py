@@ -130,7 +130,7 @@ def _apart(found: DataFrame) -> DataFrame:
     event = lambda at, rank, end, j: F.struct(at.alias("at"), rank.alias("rank"), end.alias("end"), j.alias("j"))
     starts = F.transform("base", lambda b: event(b["start"], F.lit(1), b["end"], none))
     ends = F.transform("_loose", lambda x, j: event(x["end"], F.lit(0), none, j))
-    some = F.when((F.size("_loose") > 0) & (F.size("base") > 0), F.array_sort(F.concat(starts, ends)))
+    some = F.when((F.size("_loose") > 0) & (F.size("base") > 0), F.sort_array(F.concat(starts, ends)))
     out = found.withColumn("_events", some).withColumn("_reach", running(F.transform("_events", lambda e: e["end"]), F.greatest))
     placed = F.transform("_events", lambda e, i: F.struct(e["j"].alias("j"), F.get("_reach", i).alias("reach")))
     clear = F.filter(placed, lambda e: (e["j"] >= 0) & (e["reach"] <= F.get("_loose", e["j"])["start"]))
@@ -194,7 +194,7 @@ def discover(scanned: DataFrame) -> DataFrame:
         .select("doc_id", "text_key", "start", "end", "context", F.explode("kinds").alias("kind"))
     )
     best = places.join(sure, ["context", "kind"]).groupBy("doc_id", "text_key", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("best"))
-    return best.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct((-F.col("best.k")).alias("kind"), "start", "end"))).alias("added"))
+    return best.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct((-F.col("best.k")).alias("kind"), "start", "end"))).alias("added"))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def find(docs: DataFrame) -> DataFrame:
     added = discover(scanned).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key")
     plain = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     both = scanned.select("doc_id", "text_key", plain.alias("base")).join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
-    spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "added")))
+    spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "added")))
     return both.select("doc_id", "text_key", "base", spans.alias("spans"))
 
 
@@ -218,7 +218,7 @@ def mask(docs: DataFrame) -> DataFrame:
     Columns and rows stay; texts without spans, null ones too, are as they were.
     """
     i, k, at, reach = fresh(docs, "_id"), fresh(docs, "_key"), fresh(docs, "_spans"), fresh(docs, "_reach")
-    spans = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    spans = F.sort_array(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     found = find(docs.select("doc_id", "text")).filter(F.size("spans") > 0).select(F.col("doc_id").alias(i), F.col("text_key").alias(k), spans.alias(at)).distinct()
     joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(k)), "left")
     # Spans that start where none before reaches open a piece of their own; it ends as far as those up to the next reach.

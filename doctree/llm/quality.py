@@ -14,7 +14,6 @@ BITS = 18
 #: Labelled rows that the model is fitted on, at most: those of the smallest hashed doc_id.
 MOST_ROWS = 8192
 THRESHOLD = 0.7
-_VIEWS = 6
 #: Byte classes of word shapes: A upper case, a lower case and letters beyond ASCII, 0 digits, all else itself.
 _SHAPES = np.array([65 if 65 <= i <= 90 else 97 if 97 <= i <= 122 or i >= 128 else 48 if 48 <= i <= 57 else i for i in range(256)], np.uint8)
 

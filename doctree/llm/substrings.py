@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .gear import Sizes, chunk
 from .shared import _BASE, _BYTE, _WORD_BASE, blocks, bounded, cut, fresh, pieces_of, range_hashes, set_aside
@@ -83,14 +83,55 @@ def _counts(docs: DataFrame, sizes: Sizes) -> DataFrame:
     return bounded(docs).select("text").mapInArrow(run, "digest long, check int, n long")
 
 
-def _runs(chunks: str, least: int) -> Column:
-    """Runs of neighbouring chunks in a column sorted by i: (start, end, low, high), low and high the places in the array, of `least` code points or more."""
-    at = lambda j, c: F.get(F.col(chunks), j)[c]
-    placed = F.transform(chunks, lambda x, j: F.struct(j.alias("j"), x["i"].alias("i"), x["start"].alias("start"), x["end"].alias("end")))
-    opens = F.filter(placed, lambda x: F.coalesce(at(x["j"] - 1, "i") + 1 != x["i"], F.lit(True)))
-    closes = F.filter(placed, lambda x: F.coalesce(at(x["j"] + 1, "i") - 1 != x["i"], F.lit(True)))
-    both = F.zip_with(opens, closes, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end"), a["j"].alias("low"), b["j"].alias("high")))
-    return F.filter(both, lambda x: x["end"] - x["start"] >= least)
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_FOUND = "doc_id long, text_key long, repeated array<struct<start:int,end:int>>, removed array<struct<start:int,end:int>>, first_docs array<bigint>"
+
+
+def _runs(row: np.ndarray, i: np.ndarray, start: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last chunk of the runs of neighbouring chunks that have `least` code points; chunks are sorted by row and i."""
+    new = np.ones(len(i), bool)
+    new[1:] = (row[1:] != row[:-1]) | (i[1:] != i[:-1] + 1)
+    low = np.flatnonzero(new)
+    high = np.append(low[1:], len(i)) - 1 if len(i) else low
+    fine = end[high] - start[low] >= least
+    return low[fine], high[fine]
+
+
+def _lists(row: np.ndarray, n: int, values: pa.Array) -> pa.Array:
+    """A list for each of n rows of the values that belong to it; row is sorted."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), values)
+
+
+def _fold(least: int):
+    """(doc_id, text_key, at), at the repeated chunks of a document in order, to what `repeats` returns."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("at")
+            at, n = lists.flatten(), batch.num_rows
+            row = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+            i, start, end = (at.field(c).to_numpy() for c in ("i", "start", "end"))
+            later = at.field("later").to_numpy(zero_copy_only=False)
+            low, high = _runs(row, i, start, end, least)
+            spans = lambda low, high: pa.StructArray.from_arrays([pa.array(start[low]), pa.array(end[high])], fields=list(_SPANS.value_type))
+            some = np.flatnonzero(later)
+            first, last = _runs(row[some], i[some], start[some], end[some], least)
+            # The documents in which the chunks of removed runs stand first, each once.
+            inside = np.zeros(len(some) + 1, np.int64)
+            np.add.at(inside, first, 1)
+            np.add.at(inside, last + 1, -1)
+            cut_out = some[np.cumsum(inside)[:-1] > 0]
+            of, ids = at.field("of"), batch.column("doc_id")
+            known, own = ~of.is_null().to_numpy(zero_copy_only=False), ~ids.is_null().to_numpy(zero_copy_only=False)
+            of, ids = of.fill_null(0).to_numpy(), ids.fill_null(0).to_numpy()
+            other = cut_out[(known[cut_out] != own[row[cut_out]]) | (of[cut_out] != ids[row[cut_out]])]
+            names = np.unique(np.stack([row[other], known[other], of[other]], axis=1), axis=0)
+            docs = _lists(names[:, 0], n, pa.array(names[:, 2], pa.int64(), mask=names[:, 1] == 0))
+            columns = [_lists(row[low], n, spans(low, high)), _lists(row[some[first]], n, spans(some[first], some[last])), docs]
+            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *columns], names=["doc_id", "text_key", "repeated", "removed", "first_docs"])
+            yield out.filter(pa.array(np.bincount(row[low], minlength=n) > 0))
+
+    return run
 
 
 def repeats(docs: DataFrame, least_run: int = LEAST_RUN, sizes: Sizes = SIZES) -> DataFrame:
@@ -112,12 +153,7 @@ def repeats(docs: DataFrame, least_run: int = LEAST_RUN, sizes: Sizes = SIZES) -
     found = again.join(first.select("digest", "check", "first"), ["digest", "check"])
     later = ~place.eqNullSafe(F.col("first"))
     each = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("i", "start", "end", later.alias("later"), F.col("first.doc_id").alias("of"))).alias("at"))
-    each = each.select("doc_id", "text_key", F.array_sort("at").alias("at"))
-    each = each.withColumn("later", F.filter("at", lambda x: x["later"]))
-    each = each.select("doc_id", "text_key", _runs("at", least_run).alias("runs"), _runs("later", least_run).alias("cuts"), "later").filter(F.size("runs") > 0)
-    plain = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    of = F.array_distinct(F.flatten(F.transform("cuts", lambda x: F.transform(F.slice("later", x["low"] + 1, x["high"] - x["low"] + 1), lambda y: y["of"]))))
-    return each.select("doc_id", "text_key", plain("runs").alias("repeated"), plain("cuts").alias("removed"), F.array_sort(F.filter(of, lambda x: ~x.eqNullSafe(F.col("doc_id")))).alias("first_docs"))
+    return each.withColumn("at", F.sort_array("at")).mapInArrow(_fold(least_run), _FOUND)
 
 
 def annotate(docs: DataFrame, **how) -> DataFrame:

@@ -57,10 +57,10 @@ def test_decontaminate_equals_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = docs_of(spark, texts)
     want = {i: brute_hits(t, items) for i, t in enumerate(texts)}
-    for limit in (1 << 20, 0):
-        got = decontaminate.scan(docs, bench, broadcast_bytes=limit).collect()
+    for limit in (1 << 20, 300):
+        got = decontaminate.scan(docs, bench, part_bytes=limit).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, r.hit_items) for r in got} == want
-    spans = [sorted((r.doc_id, [tuple(s) for s in r.hit_spans]) for r in decontaminate.scan(docs, bench, broadcast_bytes=limit).collect()) for limit in (1 << 20, 0)]
+    spans = [sorted((r.doc_id, [tuple(s) for s in r.hit_spans]) for r in decontaminate.scan(docs, bench, part_bytes=limit).collect()) for limit in (1 << 20, 300)]
     assert spans[0] == spans[1] and any(x[1] for x in spans[0])
     assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {i for i, x in want.items() if not x[1]}
 
@@ -78,10 +78,10 @@ def test_decontaminate_items_without_id(spark):
     words = lambda k: " ".join(f"{k}{i}" for i in range(12))
     bench = spark.createDataFrame([(None, words("n")), (7, words("n")[:40]), (8, words("k"))], "item_id long, text string")
     docs = docs_of(spark, ["a " + words("n"), words("k") + " b", words("n") + words("k"), "none"])
-    for limit in (1 << 20, 0):
-        got = {r.doc_id: (r.n_hit, r.hit_items, len(r.hit_spans)) for r in decontaminate.scan(docs, bench, broadcast_bytes=limit).collect()}
+    for limit in (1 << 20, 300):
+        got = {r.doc_id: (r.n_hit, r.hit_items, len(r.hit_spans)) for r in decontaminate.scan(docs, bench, part_bytes=limit).collect()}
         assert got[0] == (12, ["7"], 1) and got[1] == (12, ["8"], 1) and got[3] == (0, [], 0)
-        alone = decontaminate.scan(docs, bench.filter("item_id is null"), broadcast_bytes=limit).collect()
+        alone = decontaminate.scan(docs, bench.filter("item_id is null"), part_bytes=limit).collect()
         assert {r.doc_id: (r.n_hit > 0, r.hit_items) for r in alone} == {0: (True, []), 1: (False, []), 2: (True, []), 3: (False, [])}
     assert [r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()] == [3]
 
@@ -107,6 +107,34 @@ def test_next_documents_and_edits(spark, buckets):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
 
 
+def test_likenesses_equal_brute_force(spark):
+    rng = random.Random(22)
+    words = lambda n: " ".join("".join(rng.choice("abcdefé世") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    shared = words(60)
+    texts = [words(rng.randint(0, 80)) + shared[: rng.randint(0, 300)] + words(rng.randint(0, 80)) for _ in range(40)] + ["", "x", "a" * 3000, words(3)]
+    texts += [texts[-4], texts[5]]
+
+    def chunks(text):
+        raw, ends = plain_ends(text, fingerprint.SIZES)
+        out = {}
+        for a, b in zip([0, *ends], ends):
+            out[raw[a:b]] = out.get(raw[a:b], 0) + b - a
+        return out
+
+    def contained(a, b):
+        if not a or not b:
+            return float(len(a) == len(b))
+        return sum(min(n, b[c]) for c, n in a.items() if c in b) / sum(a.values())
+
+    for r in fingerprint.compare_with_next(docs_of(spark, texts), buckets=2).collect():
+        own, after = texts[r.doc_id], texts[r.doc_id - 1]
+        n = len(own)
+        edited = own[: n - n // 2] + after[: n // 2]
+        assert abs(r.near_edited - contained(chunks(own), chunks(edited))) < 1e-9 and abs(r.near_next - contained(chunks(own), chunks(after))) < 1e-9
+        parts = fingerprint.parts(r.fingerprint)
+        assert sorted(parts["bytes"].tolist()) == sorted(chunks(own).values())
+
+
 def test_fingerprints_resist_shifts(spark):
     rng = random.Random(3)
     body = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(800))
@@ -348,6 +376,107 @@ def test_pii_contexts_find_more(spark):
     assert pii.mask(odd).count() == 7 and pii.mask(odd).columns == odd.columns and pii.find(odd.limit(0)).count() == 0
 
 
+def test_pii_planted_identifiers(spark):
+    """Identifiers of forms that no base pattern knows, in contexts that seeds show: nine in ten are found, and hardly anything else."""
+    rng = random.Random(17)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
+    known = {0: lambda: f"{word()}@{word()}.org", 3: lambda: f"+1 ({digits(3)}) 555-{digits(4)}"}
+    unseen = {0: lambda: f"{word()}@localhost{rng.randint(1, 9)}", 3: lambda: rng.choice([f"({digits(3)}) {digits(3)} {digits(2)} {digits(2)}", f"0{digits(3)}-{digits(6)}", f"555 {digits(3)} {digits(4)}"])}
+    around = {0: [("please write to", "today"), ("her mail", "is new")], 3: [("call me at", "after noon"), ("fax", "during office"), ("my number", "is private")]}
+    texts, planted, clean = [], {}, set()
+    for i in range(600):
+        kind = rng.choice([0, 3])
+        before, after = rng.choice(around[kind])
+        value = (known if rng.random() < 0.4 else unseen)[kind]()
+        texts.append(f"{word()} {word()} {before} {value} {after} {word()}")
+        if value in texts[-1] and not re.search(r"@[a-j]+\.org|\+1", value):
+            planted[i] = (kind, texts[-1].index(value), texts[-1].index(value) + len(value))
+    for i in range(400):
+        clean.add(len(texts))
+        texts.append(f"{word()} order {digits(8)} of {word()} in {digits(4)} costs {digits(3)}.{digits(2)} {word()} part {digits(3)}-{digits(7)} {word()}")
+    got = {r.doc_id: ([tuple(x) for x in r.base], [tuple(x) for x in r.spans]) for r in pii.find(docs_of(spark, texts)).collect()}
+    found = sum(span in got[i][1] for i, span in planted.items())
+    added = sum(len(spans) - len(base) for base, spans in got.values())
+    assert found >= 0.9 * len(planted) and found >= 0.95 * added
+    assert not any(got[i][1] for i in clean)
+
+
+def brute_discovery(found):
+    """The rounds of `discover` over plain dictionaries: {(document, start, end): kind} from {document: (base, loose)}."""
+    contexts = lambda x: [c for c in ("1:" + x.one if x.one else "", "2:" + x.two if x.two else "", "3:" + x.after if x.after else "", f"4:{x.one} {x.after}" if x.one and x.after else "") if c]
+
+    def kinds(v):
+        n, letters = sum(c in "0123456789" for c in v), any(c.isalpha() for c in v)
+        return {k for k, fits in enumerate((letters and "@" in v, not letters and n >= 6 and " " not in v and re.search(r"[0-9]\.[0-9]", v), not letters and 12 <= n <= 20, not letters and 7 <= n <= 16)) if fits}
+
+    seeds = {(c, x.kind, x.value) for base, _ in found.values() for x in base for c in contexts(x)}
+    loose = {(c, x.value) for _, some in found.values() for x in some for c in contexts(x)}
+    seeded = {}
+    for c, k, _ in seeds:
+        seeded[c, k] = seeded.get((c, k), 0) + 1
+    strong = {key: n for key, n in seeded.items() if n >= pii.LEAST_SEEDS}
+    edges = {(c, k, v) for c, v in loose for k in kinds(v) if (c, k) in strong}
+    scores = dict.fromkeys(edges, 0.0)
+
+    def confidences():
+        out = {}
+        for (c, k), n in strong.items():
+            own = [scores[e] for e in edges if e[:2] == (c, k)]
+            instances = sum(m for (d, _), m in seeded.items() if d == c) + sum(d == c for d, _ in loose)
+            against = instances - n - len(own) + pii.UNSURE * sum(1 - s for s in own)
+            held = n + sum(own)
+            if held / (held + against + 1) >= pii.PASS_ON:
+                out[c, k] = held / (held + against + 1)
+        return out
+
+    sure = confidences()
+    for _ in range(pii.ROUNDS - 1):
+        doubt = {}
+        for c, k, v in edges:
+            if (c, k) in sure:
+                doubt[v, k] = doubt.get((v, k), 1.0) * max(1 - sure[c, k], 1e-6)
+        scores = {e: 1 - doubt[e[2], e[1]] if (e[2], e[1]) in doubt else 0.0 for e in edges}
+        sure = confidences()
+    out = {}
+    for d, (_, some) in found.items():
+        for x in some:
+            best = max(((sure[c, k], -k) for c in contexts(x) for k in kinds(x.value) if sure.get((c, k), 0) >= pii.SURE), default=None)
+            if best:
+                out[d, x.start, x.end] = -best[1]
+    return out
+
+
+def test_pii_discovery_equals_brute_force(spark):
+    rng = random.Random(18)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    makes = [lambda: f"u{digits(2)}@h{digits(1)}.org", lambda: f"+1 (555) 555-{digits(4)}", lambda: f"10.0.{digits(1)}.{digits(1)}", lambda: f"{digits(3)} {digits(4)}", lambda: f"0{digits(7)}", lambda: f"a{digits(1)}@b", lambda: f"10.{digits(4)}.1", lambda: digits(13)]
+    # Each kind has words of its own beside it, most of the time.
+    words, own = ["new", "the", "of", "an"], [("mail", "to"), ("call", "now"), ("host", "up"), ("call", "later"), ("dial", "now"), ("mail", "again"), ("host", "down"), ("pay", "with")]
+
+    def mention(k):
+        before, after = (own[k] if rng.random() < 0.9 else (rng.choice(words), rng.choice(words)))
+        return f"{rng.choice(words)} {before} {makes[k]()} {after}"
+
+    texts = [" ".join(mention(min(rng.randrange(8), rng.randrange(8))) for _ in range(rng.randint(1, 4))) for _ in range(160)]
+    docs = docs_of(spark, texts)
+    scanned = {r.doc_id: (r.base, r.loose) for r in pii._scanned(docs).collect()}
+    want = brute_discovery(scanned)
+    got = {(r.doc_id, x.start, x.end): x.kind for r in pii.find(docs).collect() for x in set(r.spans) - {type(x)(x.kind, x.start, x.end) for x in r.base}}
+    assert got == want and want
+
+
+def test_pii_long_texts(spark):
+    import time
+
+    numbers = " ".join(f"{i}.{i % 251}.{i % 13}.{i % 7}" if i % 3 else f"555 010 {i:04d}" for i in range(120_000))
+    began = time.time()
+    row = pii.find(docs_of(spark, [numbers])).select(F.size("base").alias("n")).first()
+    assert row.n == sum(i <= 255 and i % 3 > 0 for i in range(120_000)) and time.time() - began < 120
+    masked = pii.mask(docs_of(spark, ["a@b.org, " * 100_000])).first().text
+    assert masked == "<email>, " * 100_000
+
+
 # 9. Licences
 
 
@@ -364,13 +493,13 @@ def test_licenses(spark):
 def test_licenses_in_longer_texts(spark):
     rng = random.Random(9)
     prose = lambda n: " ".join(rng.choice(("stone", "river", "of", "the", "under", "license", "and", "software")) for _ in range(n))
-    header, gpl, bsd = (licenses.TEMPLATES[x].replace(". ", ".\n\n").replace(": ", ":\n\n") for x in ("Apache-2.0-header", "GPL-header", "BSD-2-Clause"))
+    header, gpl, bsd = (licenses.TEMPLATES[x].replace(". ", ".\n\n").replace(": ", ":\n\n") for x in ("Apache-2.0-header", "GPL-3.0-header", "BSD-2-Clause-text"))
     texts = [prose(100) + "\n\n" + x + "\n\n" + prose(100) for x in (header, gpl, bsd)]
     texts += ["This project is released under the MIT License.", prose(50) + " released under the MIT license, " + prose(50), "Released under the MIT License. " * 2000]
     pick = lambda: rng.choice(list(licenses.TEMPLATES.values())).split()
     texts += [" ".join(w for x in (prose(9).split(), pick(), prose(5).split(), pick()) for w in x if rng.random() < 0.93) for _ in range(12)]
     got = {r.doc_id: r.license_matches for r in licenses.scan(docs_of(spark, texts)).collect()}
-    for i, name in enumerate(("Apache-2.0-header", "GPL-header", "BSD-2-Clause", "MIT", "MIT", "MIT")):
+    for i, name in enumerate(("Apache-2.0-header", "GPL-3.0-header", "BSD-2-Clause-text", "MIT", "MIT", "MIT")):
         assert max(m.dice for m in got[i] if m.license == name) == 1
     assert texts[3][got[3][0].start : got[3][0].end] == "released under the MIT License" and sum(m.dice == 1 for m in got[5]) == 2000
     for i, text in enumerate(texts[:5] + texts[6:]):
@@ -412,8 +541,8 @@ def test_substrings(spark):
     assert substrings.deduplicate(odd).count() == 7 and substrings.annotate(odd.limit(0)).count() == 0
 
 
-def plain_chunks(text, sizes):
-    """The chunks of one text, byte by byte."""
+def plain_ends(text, sizes):
+    """Where the chunks of one text end, byte by byte."""
     from doctree.llm.gear import _GEAR
 
     raw, h, strict, loose = (text or "").encode(), 0, set(), set()
@@ -426,6 +555,12 @@ def plain_chunks(text, sizes):
         cut = next((e for e in range(place + sizes.least, min(place + sizes.normal, len(raw))) if e in strict), None)
         place = cut or next((e for e in range(place + sizes.normal, place + sizes.most) if e in loose or e >= len(raw)), place + sizes.most)
         ends.append(min(place, len(raw)))
+    return raw, ends
+
+
+def plain_chunks(text, sizes):
+    """The chunks of one text, none of which ends inside a code point."""
+    raw, ends = plain_ends(text, sizes)
     whole = [e + next(k for k in range(4) if e + k == len(raw) or raw[e + k] & 0xC0 != 0x80) for e in ends]
     return [raw[a:b].decode() for a, b in zip([0, *whole], whole)]
 

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from doctree.llm import bpe, pii
 
@@ -48,3 +50,28 @@ def test_stages_keep_columns_and_clean_rows(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Null ids and texts, empty texts, repeated rows, very long texts and columns named like results, through every stage."""
+    sf = "/root/testdata/sf0.001"
+    good = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1"), "doc_id").orderBy("doc_id").first().text
+    rows = [(None, good), (None, None), (900001, None), (900002, ""), (900003, good + " x y z"), (900003, good + " x y z"), (900004, " \n"), (900005, good.replace(" ", "  ") * 40), (900006, "word " * 200_000), (900007, "w" * 300_000)]
+    odd = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    clash = {c: F.lit("mine") for c in ("score", "n_hit", "hit_spans", "root", "node", "text_key", "spans", "_id", "_key", "_spans", "_reach", "_many", "token_ids", "n_tokens")}
+    odd = odd.withColumns(clash)
+    columns = odd.columns
+    texts = lambda df: sorted(str((r.doc_id, r.text)) for r in df.select("doc_id", "text").collect())
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf)
+        assert out.columns == columns and out.filter("root <> 'mine' or n_hit <> 'mine'").count() == 0
+        kept[name] = texts(out)
+    everything = texts(odd)
+    assert kept["decontamination"] == everything and kept["pii"] == everything
+    assert set(kept["quality"]) <= set(everything) and str((None, good)) in kept["quality"]
+    near = kept["near_copies"]
+    assert sum(str((900003, good + " x y z")) == t for t in near) == 1 and str((None, good)) not in near
+    assert {str((None, None)), str((900001, None)), str((900002, "")), str((900004, " \n"))} <= set(near)
+    last = corpus_pipeline.STAGES[-1][1](spark, odd, sf).collect()
+    assert len(last) == len(rows) and {r.n_tokens for r in last if r.doc_id in (900001, 900002)} == {0}
