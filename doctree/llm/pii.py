@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import cut, fresh, pieces_of, running
+from .shared import cut, fresh, let, pieces_of, running
 
 KINDS = ("email", "ip", "card", "phone")
 #: What each kind looks like. A run that is too long for a card is no match at all, so its parts are none either.
@@ -104,9 +104,8 @@ def _scanned(docs: DataFrame) -> DataFrame:
     cheap = {k: _hint(k, F.col("_t")) if k != "loose" else F.col("_t").rlike("[0-9@]") for k in named}
     out = out.withColumns({f"_m_{k}": F.when(cheap[k], F.regexp_extract_all("_t", F.lit(rx), F.lit(0))).otherwise(none) for k, rx in named.items()})
     out = out.withColumns({f"_p_{k}": F.when(F.size(f"_m_{k}") > 0, F.split("_t", rx, -1)).otherwise(none) for k, rx in named.items()})
-    width = lambda m, i, k: F.length(m) + F.length(F.get(F.col(f"_p_{k}"), i))
-    out = out.withColumns({f"_e_{k}": F.transform(f"_m_{k}", (lambda k: lambda m, i: width(m, i, k))(k)) for k in named})
-    out = out.withColumns({f"_e_{k}": running(f"_e_{k}", lambda x, y: x + y) for k in named})
+    widths = lambda k: F.transform(F.arrays_zip(F.col(f"_m_{k}").alias("m"), F.slice(f"_p_{k}", F.lit(1), F.size(f"_m_{k}")).alias("p")), lambda x: F.length(x["m"]) + F.length(x["p"]))
+    out = out.withColumns({f"_e_{k}": let(widths(k), lambda w: running(w, lambda x, y: x + y)) for k in named})
     kinds = {}
     for i, k in enumerate((*KINDS, "loose")):
         found = _places(*(F.col(f"_{c}_{k}") for c in "epm"), F.lit(i if k in KINDS else None).cast("int"))
@@ -130,12 +129,16 @@ def _apart(found: DataFrame) -> DataFrame:
     event = lambda at, rank, end, j: F.struct(at.alias("at"), rank.alias("rank"), end.alias("end"), j.alias("j"))
     starts = F.transform("base", lambda b: event(b["start"], F.lit(1), b["end"], none))
     ends = F.transform("_loose", lambda x, j: event(x["end"], F.lit(0), none, j))
-    some = F.when((F.size("_loose") > 0) & (F.size("base") > 0), F.sort_array(F.concat(starts, ends)))
-    out = found.withColumn("_events", some).withColumn("_reach", running(F.transform("_events", lambda e: e["end"]), F.greatest))
-    placed = F.transform("_events", lambda e, i: F.struct(e["j"].alias("j"), F.get("_reach", i).alias("reach")))
-    clear = F.filter(placed, lambda e: (e["j"] >= 0) & (e["reach"] <= F.get("_loose", e["j"])["start"]))
-    kept = F.transform(clear, lambda e: F.get("_loose", e["j"]))
-    return out.select("doc_id", "text_key", "base", F.when(F.col("_events").isNull(), F.col("_loose")).otherwise(kept).alias("loose"))
+    some = F.sort_array(F.concat(starts, ends))
+
+    def kept(events, reach, loose):
+        placed = F.transform(events, lambda e, i: F.struct(e["j"].alias("j"), F.get(reach, i).alias("reach")))
+        clear = F.filter(placed, lambda e: (e["j"] >= 0) & (e["reach"] <= F.get(loose, e["j"])["start"]))
+        return F.transform(clear, lambda e: F.get(loose, e["j"]))
+
+    # What a lambda looks up is bound first: a column named once in it would be worked out for each element.
+    apart = let(some, lambda events: let(running(F.transform(events, lambda e: e["end"]), F.greatest), lambda reach: let(F.col("_loose"), lambda loose: kept(events, reach, loose))))
+    return found.select("doc_id", "text_key", "base", F.when((F.size("_loose") > 0) & (F.size("base") > 0), apart).otherwise(F.col("_loose")).alias("loose"))
 
 
 def _contexts(x: Column | str) -> Column:
@@ -217,20 +220,24 @@ def mask(docs: DataFrame) -> DataFrame:
 
     Columns and rows stay; texts without spans, null ones too, are as they were.
     """
-    i, k, at, reach = fresh(docs, "_id"), fresh(docs, "_key"), fresh(docs, "_spans"), fresh(docs, "_reach")
+    i, k, at = fresh(docs, "_id"), fresh(docs, "_key"), fresh(docs, "_spans")
     spans = F.sort_array(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     found = find(docs.select("doc_id", "text")).filter(F.size("spans") > 0).select(F.col("doc_id").alias(i), F.col("text_key").alias(k), spans.alias(at)).distinct()
     joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(k)), "left")
-    # Spans that start where none before reaches open a piece of their own; it ends as far as those up to the next reach.
-    joined = joined.withColumn(reach, running(F.transform(at, lambda x: x["end"]), F.greatest))
-    opens = F.filter(F.transform(at, lambda x, j: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), j.alias("j"))), lambda x: (x["j"] == 0) | (x["start"] >= F.get(reach, x["j"] - 1)))
-    joined = joined.withColumn(at, opens)
-    # The last span of each piece stands before the next piece's first.
-    last = lambda i: F.coalesce(F.get(at, i + 1)["j"], F.size(reach)) - 1
-    ends = F.transform(at, lambda x, i: F.get(reach, last(i)))
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    labels = F.transform(at, lambda x: F.element_at(names, x["kind"] + 1))
-    masked = pieces_of(F.col("text"), F.concat(F.array(F.lit(0)), ends), F.concat(F.transform(at, lambda x: x["start"]), F.array(F.length("text"))), labels)
+
+    def over(spans, reach):
+        # Spans that start where none before reaches open a piece of their own; it ends as far as those up to the next reach.
+        placed = F.transform(spans, lambda x, j: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), j.alias("j"), F.get(reach, j - 1).alias("before")))
+        return let(F.filter(placed, lambda x: x["before"].isNull() | (x["start"] >= x["before"])), lambda opens: pieces(opens, reach))
+
+    def pieces(opens, reach):
+        # The last span of each piece stands before the next piece's first.
+        ends = F.transform(opens, lambda x, i: F.get(reach, F.coalesce(F.get(opens, i + 1)["j"], F.size(reach)) - 1))
+        labels = F.transform(opens, lambda x: F.element_at(names, x["kind"] + 1))
+        return pieces_of(F.col("text"), F.concat(F.array(F.lit(0)), ends), F.concat(F.transform(opens, lambda x: x["start"]), F.array(F.length("text"))), labels)
+
+    masked = let(F.col(at), lambda spans: let(running(F.transform(spans, lambda x: x["end"]), F.greatest), lambda reach: over(spans, reach)))
     return joined.withColumn("text", F.when(F.col(at).isNull(), F.col("text")).otherwise(masked)).select(*docs.columns)
 
 
