@@ -9,6 +9,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body names it: an expression inside a lambda is worked out for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def count_tokens(text: Column | str) -> Column:
     """A quarter of the code points, rounded down; null text has no tokens."""
     return F.floor(F.length(F.coalesce(_col(text), F.lit(""))) / 4).cast("int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import parent_code
@@ -130,16 +131,19 @@ def export_tree(nodes: DataFrame) -> DataFrame:
     """K4: (doc_id, structure_json): each document's tree as nested JSON.
 
     Keys stand as title, node_id, start_index, end_index, summary, text, nodes; absent values and empty lists
-    are left out. A document's rows, without page text unless nodes have it, go to one task.
+    are left out. A document's nodes are one row, as its tree is one value; leave page text out with `strip_text`.
     """
-    columns = ["doc_id", "node_seq", "parent_seq", *[c for c in _KEYS if c in nodes.columns]]
+    columns = ["node_seq", "parent_seq", *[c for c in _KEYS if c in nodes.columns]]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = {"node_seq", "parent_seq", "start_index", "end_index"}
-        rows = [{k: None if pd.isna(v) else int(v) if k in whole else v for k, v in row.items()} for row in pdf.sort_values("node_seq").to_dict("records")]
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "structure_json": [json.dumps(_nested(rows), ensure_ascii=False)]})
-
-    return nodes.select(*columns).groupBy("doc_id").applyInPandas(run, "doc_id string, structure_json string")
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, 64):
+                rows = batch.slice(low, 64)
+                trees = [json.dumps(_nested(x), ensure_ascii=False) for x in rows.column("rows").to_pylist()]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(trees, pa.string())], names=["doc_id", "structure_json"])
+
+    rows = nodes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
+    return rows.mapInArrow(run, "doc_id string, structure_json string")
 
 
 _FLAT = "doc_id string, node_seq int, parent_seq int, depth int, path array<int>, title string, node_id string, start_index int, end_index int, is_leaf boolean, summary string, text string"

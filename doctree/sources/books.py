@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import count_tokens
+from ..functions.scalars import count_tokens, let
 
 
 def _page_texts(text: Column, lines_per_page: int) -> Column:
-    lines = F.split(text, "\n")
-    count = F.ceil(F.size(lines) / lines_per_page).cast("int")
-    by_lines = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(lines, i * lines_per_page + 1, F.lit(lines_per_page)), "\n"))
-    return F.when(text.contains("\f"), F.split(text, "\f")).otherwise(by_lines)
+
+    def by_lines(lines):
+        count = F.ceil(F.size(lines) / lines_per_page).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(lines, i * lines_per_page + 1, F.lit(lines_per_page)), "\n"))
+
+    return F.when(text.contains("\f"), F.split(text, "\f")).otherwise(let(F.split(text, "\n"), by_lines))
 
 
 def paginate(docs: DataFrame, lines_per_page: int = 10) -> DataFrame:
