@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.scalars import let
 from ..sources.scratch import Tables, cut, shared_dir  # noqa: F401
 
 #: Bytes of text that one numpy step works on; one longer text is still taken whole.
@@ -162,11 +163,6 @@ def char_offsets(data: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return counts[positions]
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value worked out once however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def running(values: Column | str, join) -> Column:
     """The running sums, maxima or the like of an array of integers: by steps of 1, 2, 4 .. elements, so its time hardly exceeds its length's."""
     values = F.col(values) if isinstance(values, str) else values
