@@ -288,3 +288,14 @@ _CTES["c_docs"] = "SELECT doc_id FROM b_rates WHERE outcome = 'next' UNION ALL S
 _judged("c", "c_docs")
 _CTES["cascade"] = "SELECT * FROM a_out UNION ALL SELECT * FROM b_out UNION ALL SELECT * FROM c_out"
 _add("c5_cascade", "SELECT * FROM cascade")
+
+# The whole job: the tree of the cascade's items, with summaries and descriptions. Its leaves are all too short to be split.
+_CTES["x_headings"] = "SELECT doc_id, pos, structure, title, physical_index FROM cascade WHERE physical_index IS NOT NULL"
+_TREE = ("headings", "firsts", "items", "starts", "ranged", "ups", "parents", "linked", "paths", "seqs", "nodes", "leaf_text", "leaf_sums", "sums3", "sums2", "sums1", "sums0")
+for _name in _TREE[1:]:
+    _CTES[f"x_{_name}"] = re.sub(rf"\b({'|'.join(_TREE)})\b", r"x_\1", _CTES[_name])
+_CTES["x_json"] = """SELECT n.doc_id, n.node_seq, n.parent_seq, '{"title": ' || to_json(n.title) || ', "node_id": "' || n.node_id || '", "start_index": ' || start_index || ', "end_index": ' || end_index || ', "summary": ' || to_json(coalesce(summary, '')) AS j FROM x_nodes n JOIN x_sums0 s ON s.doc_id = n.doc_id AND s.node_seq = n.node_seq"""
+_CTES["x_child_json"] = "SELECT doc_id, parent_seq, string_agg(j || '}', ', ' ORDER BY node_seq) AS js FROM x_json WHERE parent_seq IS NOT NULL GROUP BY ALL"
+_CTES["x_tree_json"] = """SELECT n.doc_id, '[' || string_agg(j || CASE WHEN js IS NULL THEN '}' ELSE ', "nodes": [' || js || ']}' END, ', ' ORDER BY node_seq) || ']' AS structure_json FROM x_json n LEFT JOIN x_child_json c ON c.doc_id = n.doc_id AND c.parent_seq = n.node_seq WHERE n.parent_seq IS NULL GROUP BY n.doc_id"""
+_CTES["x_described"] = f"SELECT doc_id, {_clip('t', 300)} AS doc_description FROM (SELECT doc_id, string_agg(title, '; ' ORDER BY node_seq) AS t FROM x_nodes WHERE depth = 0 GROUP BY doc_id)"
+_add("c7_build_index", "SELECT s.doc_id, s.doc_id AS doc_name, doc_description, coalesce(structure_json, '[]') AS structure_json FROM stats s LEFT JOIN x_tree_json t ON t.doc_id = s.doc_id LEFT JOIN x_described d ON d.doc_id = s.doc_id")
