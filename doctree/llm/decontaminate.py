@@ -236,7 +236,7 @@ WITH dw AS (
 ), bw AS (
   SELECT CAST(item_id AS VARCHAR) AS item,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL
+  FROM benchmark
 ), bl AS (SELECT item, w, least(10, len(w)) AS n FROM bw WHERE len(w) > 0),
 bp AS (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM bl),
 bg AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM bp),
@@ -245,7 +245,7 @@ dp AS (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, lengths
 dg AS (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM dp),
 hits AS (SELECT rid, dg.n AS n, i, item FROM dg JOIN bg ON dg.n = bg.n AND dg.g = bg.g),
 hw AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hits) GROUP BY rid),
-hi AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
+hi AS (SELECT rid, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
