@@ -47,7 +47,7 @@ def parse_toc_lines(content: Column | str) -> Column:
 
 def squash(text: Column | str) -> Column:
     """Lower case, without white space."""
-    return F.regexp_replace(F.lower(_col(text)), r"\s+", "")
+    return F.translate(F.lower(_col(text)), " \t\n\x0b\f\r", "")
 
 
 def squashed_line(line: Column | str) -> Column:
