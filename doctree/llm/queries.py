@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, fingerprint, jaccard, langid, licenses, pii, quality, substrings
+from . import bpe, chat, decontaminate, fim, fingerprint, jaccard, langid, licenses, pii, quality, repair, simhash, substrings
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_language": langid.op8_language,
     "op9_licenses": licenses.op9_licenses,
     "op10_substrings": substrings.op10_substrings,
+    "op11_repair": repair.op11_repair,
+    "op12_simhash": simhash.op12_simhash,
+    "op13_fim": fim.op13_fim,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,5 @@ ORACLE_SQL = {
     "op4_jaccard": jaccard.SQL,
     "op5_chat": chat.SQL,
     "op9_licenses": licenses.SQL,
+    "op13_fim": fim.SQL,
 }
