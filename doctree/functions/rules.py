@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .scalars import _col
+from .scalars import _col, _number
 
 #: Headings of tables of contents.
 CONTENTS = "table of contents|contents|table des matières|sommaire|inhaltsverzeichnis|inhalt|índice|contenido"
@@ -12,7 +12,7 @@ HEADER_LINE = rf"(?i)^[ \t]*(?:{CONTENTS})[ \t]*$"
 _HEADER = rf"(?im)^[ \t]*(?:{CONTENTS})[ \t]*$"
 _LEADER_LINE = r"(?m)^.*(?:\.{5,}|(?:\. ){5,}\.?)[ \t]*[0-9]+[ \t]*$"
 _CODE = r"^[ \t]*([0-9]+(?:\.[0-9]+)*)\.?[ \t]+"
-_ENDS_IN_PAGE = r"[: \t][ \t]*([0-9]{1,9})[ \t]*$"
+_ENDS_IN_PAGE = r"[: \t][ \t]*([0-9]+)[ \t]*$"
 
 
 def is_toc_page(text: Column | str) -> Column:
@@ -35,11 +35,11 @@ def has_page_numbers(content: Column | str) -> Column:
 
 
 def parse_toc_lines(content: Column | str) -> Column:
-    """Array of (structure, title, page) of the entries, after `normalize_leaders`."""
+    """Array of (structure, title, page) of the entries, after `normalize_leaders`. Pages may have any number of digits; see LARGEST."""
 
     def entry(line: Column) -> Column:
-        page = F.nullif(F.regexp_extract(line, _ENDS_IN_PAGE, 1), F.lit("")).cast("int")
-        rest = F.regexp_replace(line, r"[: \t]+[0-9]{1,9}[ \t]*$", "")
+        page = _number(F.regexp_extract(line, _ENDS_IN_PAGE, 1))
+        rest = F.regexp_replace(line, r"[: \t]+[0-9]+[ \t]*$", "")
         return F.struct(F.nullif(F.regexp_extract(rest, _CODE, 1), F.lit("")).alias("structure"), F.trim(F.regexp_replace(rest, _CODE, "")).alias("title"), page.alias("page"))
 
     return F.filter(F.transform(entry_lines(content), entry), lambda x: x["title"] != "")

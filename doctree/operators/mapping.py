@@ -10,10 +10,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rules
-from ..functions.scalars import tag_page
+from ..functions.scalars import LARGEST, tag_page
+from ..sources.scratch import cut
+from .membership import likely_members
 from .requests import Answers
 
 
+def _bounded(number: Column) -> Column:
+    """A long as an int, LARGEST or its negative if it lies beyond: one absurd page number must not end a job."""
+    return F.greatest(F.least(number, F.lit(LARGEST).cast("long")), F.lit(-LARGEST).cast("long")).cast("int")
+
+
 def match_title_pairs(toc: DataFrame, located: DataFrame, detection: DataFrame) -> DataFrame:
     """(doc_id, pair_order, title, page, physical_index) of entries and located entries with the same title.
 
@@ -32,8 +39,9 @@ def page_offset(pairs: DataFrame, min_pairs: int = 3) -> DataFrame:
 
     A document needs min_pairs pairs, those without a page included, and one with a page.
     """
+    apart = _bounded(F.col("physical_index").cast("long") - F.col("page"))
     enough = pairs.groupBy("doc_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_pairs)
-    counts = pairs.filter("page is not null").groupBy("doc_id", (F.col("physical_index") - F.col("page")).alias("diff")).agg(F.count("*").alias("n"), F.min("pair_order").alias("first"))
+    counts = pairs.filter("page is not null").groupBy("doc_id", apart.alias("diff")).agg(F.count("*").alias("n"), F.min("pair_order").alias("first"))
     best = counts.groupBy("doc_id").agg(F.max_by("diff", F.struct("n", -F.col("first"))).alias("offset"))
     return best.join(enough, "doc_id", "left_semi")
 
@@ -212,10 +220,13 @@ def validate_physical_index(items: DataFrame, stats: DataFrame, start_index: int
 
 
 def apply_offset(items: DataFrame, offsets: DataFrame) -> DataFrame:
-    """U4: page plus the document's offset as physical_index, page cleared; without either the item stays as it is."""
+    """U4: page plus the document's offset as physical_index, page cleared; without either the item stays as it is.
+
+    A sum beyond LARGEST is LARGEST, which lies beyond every document, so `validate_physical_index` drops it.
+    """
     joined = items.join(offsets, "doc_id", "left")
     moved = F.col("page").isNotNull() & F.col("offset").isNotNull()
-    return joined.withColumns({"physical_index": F.when(moved, F.col("page") + F.col("offset")).otherwise(F.col("physical_index")).cast("int"), "page": F.when(moved, None).otherwise(F.col("page"))}).select(*items.columns)
+    return joined.withColumns({"physical_index": F.when(moved, _bounded(F.col("page").cast("long") + F.col("offset"))).otherwise(F.col("physical_index")), "page": F.when(moved, None).otherwise(F.col("page"))}).select(*items.columns)
 
 
 def append_items(first: DataFrame, then: DataFrame) -> DataFrame:
@@ -232,15 +243,23 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return out.select("doc_id", "page", "line_no", rules.squashed_line("_l").alias("norm"))
 
 
+def _wanted_lines(wanted: DataFrame, pages: DataFrame, n: int) -> DataFrame:
+    """(doc_id, page, norm, _first): lines that may equal a norm of wanted, of which there are n.
+
+    A broadcast bitmap of (doc_id, norm) drops the others where they are read, before anything is shuffled.
+    """
+    lines = page_lines(pages).filter("norm <> ''").withColumn("_first", F.col("line_no") == 0).drop("line_no")
+    return likely_members(lines, wanted, ["doc_id", "norm"], n)
+
+
 def _places(wanted: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
     """(key, page, at_top) of wanted (key, doc_id, norm, and perhaps first_page and last_page): pages with a line equal to norm.
 
-    Lines longer than every wanted one are dropped where they are read; what is left meets the wanted ones before
-    anything is aggregated.
+    wanted is written once; the bitmap, its size and the join all read that. Lines that pass the bitmap meet the
+    wanted ones before anything is aggregated.
     """
-    longest = wanted.agg(F.max(F.length("norm"))).first()[0] or 0
-    lines = page_lines(pages).filter(F.length("norm").between(1, longest)).withColumn("_first", F.col("line_no") == 0).drop("line_no")
-    hits = lines.join(wanted, ["doc_id", "norm"])
+    wanted = cut(wanted)
+    hits = _wanted_lines(wanted, pages, wanted.count()).join(wanted, ["doc_id", "norm"])
     if "first_page" in wanted.columns:
         hits = hits.filter("page between first_page and last_page")
     return hits.groupBy(*key, "page").agg(F.bool_or("_first").alias("at_top"))

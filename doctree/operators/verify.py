@@ -43,8 +43,8 @@ def verify(items: DataFrame, pages: DataFrame, stats: DataFrame) -> tuple[DataFr
 
 
 def sample_items(items: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """N items a document, the same ones at each call."""
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("doc_id", "pos", F.lit(seed)), "pos"))
+    """N items a document, those of the least MD5 of `doc_id:pos:seed`: the same ones at each call and in any engine."""
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5(F.concat_ws(":", "doc_id", "pos", F.lit(seed))), "pos"))
     return items.withColumn("_turn", turn).filter(F.col("_turn") <= n).drop("_turn")
 
 

@@ -99,6 +99,39 @@ def s5_read_index(spark, sf_dir):
     return index.join(counts, "doc_id").select("doc_id", "doc_name", "doc_description", "n_nodes")
 
 
+def _filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexes of the book view; of every forty documents most share a name but for its case and ending."""
+    n = F.col("doc_id")
+    alone = (n % 400 < 40) & (n % 40 != 7)
+    shared = F.concat(F.lit("Vol/"), n % 40, F.when(n % 3 == 0, ".PDF").otherwise(".pdf"))
+    names = _documents(spark, sf_dir).select(n.cast("string").alias("doc_id"), F.when(alone, F.concat(F.lit("single-"), n, F.lit(".pdf"))).otherwise(shared).alias("doc_name"))
+    return cut(names.join(tree.export_tree(_nodes(_pages(spark, sf_dir))), "doc_id"))
+
+
+@query
+def s3_list_sources(spark, sf_dir):
+    """The files of one index each, as they are listed."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    files.write_index(_filed(spark, sf_dir), path, a_file_each=True)
+    return files.list_sources(spark, path, "*.json", "out", recursive=True).select("name", "stem", "output")
+
+
+@query
+def s4_write_index(spark, sf_dir):
+    """Indexes written in both ways, broken and nameless ones put beside them, and read back."""
+    docs, out = _filed(spark, sf_dir), None
+    broken = docs.limit(1).select(F.explode(F.array(F.lit('{"doc_id": "0", "doc_name": "x", "structure": ['), F.lit('{"structure": []}'))).alias("value"))
+    for mode in ("file", "line"):
+        path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+        files.write_index(docs, path, a_file_each=mode == "file")
+        broken.repartition(2, "value").write.text(f"{path}/others")
+        index = files.read_index(spark, path, a_file_each=mode == "file")
+        counts = tree.flatten_tree(index).groupBy("doc_id").agg(F.count("*").alias("n_nodes"))
+        found = index.join(counts, "doc_id").select("doc_id", "doc_name", F.lit(mode).alias("mode"), "n_nodes")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query
 def s6_upsert(spark, sf_dir):
     docs = _documents(spark, sf_dir).select("doc_id", "source", F.length("text").alias("n"))
@@ -379,7 +412,7 @@ def w11_batches(spark, sf_dir):
 
 @query
 def w12_sample(spark, sf_dir):
-    return verify.sample_items(_headings(_pages(spark, sf_dir)), 5).groupBy("doc_id").agg(F.count("*").alias("n_items"))
+    return verify.sample_items(_headings(_pages(spark, sf_dir)), 5).select("doc_id", "pos")
 
 
 # Trees

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import doc_name, doc_stem, safe_name
 from .books import with_tokens
+from .sink import FilesSink
 
 
 def load_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -13,9 +14,10 @@ def load_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return with_tokens(spark.read.format(fmt).load(path))
 
 
-def list_sources(spark: SparkSession, path: str, glob: str = "*.pdf", out_dir: str = "") -> DataFrame:
+def list_sources(spark: SparkSession, path: str, glob: str = "*.pdf", out_dir: str = "", recursive: bool = False) -> DataFrame:
     """S3: (path, name, stem, bytes, output) of the files that match, by path; file contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", F.col("length").alias("bytes"))
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path)
+    files = found.select("path", F.col("length").alias("bytes"))
     stem = F.regexp_replace(doc_name("path"), r"\.[^.]*$", "")
     return files.select("path", doc_name("path").alias("name"), stem.alias("stem"), "bytes", F.concat(F.lit(out_dir.rstrip("/") + "/" if out_dir else ""), stem, F.lit("_structure.json")).alias("output")).orderBy("path")
 
@@ -27,15 +29,38 @@ def index_json(index_docs: DataFrame) -> DataFrame:
     return index_docs.withColumn("value", F.concat(F.left(head, F.length(head) - 1), F.lit(',"structure":'), structure, F.lit("}")))
 
 
+#: Bytes that file systems let a name have, less what file_names adds.
+_LONGEST = 200
+
+
+def file_names(index_docs: DataFrame) -> DataFrame:
+    """index_docs with name, the file of its own that each document gets: `<stem>_structure.json`.
+
+    Documents whose stems are equal, case aside, also get `-` and 24 hexadecimal digits of the SHA-256 of their doc_id, and so
+    does a stem that ends so itself or is too long, which is cut. No two doc_ids have one name.
+    """
+    stem = F.regexp_replace(safe_name(F.coalesce("doc_name", "doc_id")), r"\.[^.]*$", "")
+    clean = F.regexp_replace(stem, r"[\x00-\x1f/:*?\"<>|\\\\]", "-")
+    named = index_docs.withColumn("_stem", F.when(clean.rlike(r"^[._]|^$"), F.concat(F.lit("-"), clean)).otherwise(clean))
+    shared = named.groupBy(F.lower("_stem").alias("_key")).agg(F.count("*").alias("_n")).filter("_n > 1")
+    joined = named.join(shared, F.lower("_stem") == F.col("_key"), "left")
+    long = F.octet_length("_stem") > _LONGEST
+    own = F.col("_n").isNull() & ~F.col("_stem").rlike("-[0-9a-f]{24}$") & ~long
+    digest = F.concat(F.lit("-"), F.left(F.sha2("doc_id", 256), F.lit(24)))
+    short = F.when(long, F.left("_stem", F.lit(_LONGEST // 4))).otherwise(F.col("_stem"))
+    return joined.withColumn("name", F.concat(short, F.when(own, "").otherwise(digest), F.lit("_structure.json"))).select(*index_docs.columns, "name")
+
+
 def write_index(index_docs: DataFrame, path: str, mode: str = "overwrite", a_file_each: bool = False) -> None:
-    """The nested JSON of each document, a line each; or with a_file_each in files of their own, below path/name=<stem>.
+    """The nested JSON of each document, a line each; or with a_file_each in files of their own below path, named by `file_names`.
 
+    mode is overwrite or append. Either way all files appear or none, and task attempts that fail leave nothing (see FilesSink).
     A line each suits corpora: millions of small files suit no store. Page text is written only where nodes hold it.
     """
     made = index_json(index_docs)
     if a_file_each:
-        stem = F.regexp_replace(safe_name("doc_name"), r"\.[^.]*$", "")
-        made.select(stem.alias("name"), "value").write.mode(mode).partitionBy("name").text(path)
+        index_docs.sparkSession.dataSource.register(FilesSink)
+        file_names(made).select("name", "value").write.format(FilesSink.name()).mode(mode).save(path)
     else:
         made.select("value").write.mode(mode).text(path)
 

@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from doctree.operators import detect, mapping, verify
+from doctree.functions import rules
+from doctree.operators import detect, mapping, membership, verify
 
 
 def pages_of(spark, docs):
@@ -132,3 +133,45 @@ def test_index_out_of_range_is_not_found(spark):
     assert not any(r.appears for r in verify.check_titles(items, pages).collect())
     capped = mapping.validate_physical_index(items, detect.doc_stats(pages))
     assert [r.physical_index for r in capped.orderBy("pos").collect()] == [0, -1, None]
+
+
+def test_titles_meet_few_unwanted_lines(spark):
+    """The bitmap lets every wanted line through, and at most one in fifty of the others; one very long title changes nothing."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    lines = {d: [word() for _ in range(400)] for d in "abc"}
+    pages = pages_of(spark, {d: ["\n".join(some[i : i + 10]) for i in range(0, 400, 10)] for d, some in lines.items()})
+    items = [(d, i, t) for d, some in lines.items() for i, t in enumerate(some[::40])] + [("a", 99, "x" * 10_000), ("a", 100, "nowhere")]
+    titles = spark.createDataFrame(items, "doc_id string, pos int, title string")
+    wanted = titles.selectExpr("doc_id", "pos", "title as norm")
+    passed = mapping._wanted_lines(wanted, pages, wanted.count())
+    assert passed.join(wanted, ["doc_id", "norm"], "left_semi").count() == 30
+    assert 30 <= passed.count() <= 30 + 1200 // 50
+    assert mapping.title_places(titles, pages).count() == 30
+    plan = passed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1  # that of the bitmap's own rows
+
+
+def test_bitmaps_of_any_size(spark):
+    assert [membership.bitmap_rows(n) for n in (0, 1, 512, 513, 1 << 21, 1 << 27, (1 << 27) + 1)] == [1, 1, 1, 2, 4096, 4096, 0]
+    df = spark.range(5000).selectExpr("id", "cast(id as string) as s")
+    keys = df.filter("id % 10 = 0 or id is null")
+    for n in (1, 500, 1 << 28):
+        kept = {r.id for r in membership.likely_members(df, keys, ["id", "s"], n).collect()}
+        assert kept >= set(range(0, 5000, 10)) and (n == 1 or n > 1 << 27 or len(kept) < 600)
+    assert membership.likely_members(df, keys.limit(0), ["id"], 0).count() == 0
+
+
+def test_absurd_page_numbers(spark):
+    detected = spark.createDataFrame([("a", "One ..... 99999999999999999999\nTwo: 4294967296\nThree: 0000000000003", [1], True)], "doc_id string, toc_content string, toc_pages array<int>, has_page_numbers boolean")
+    entries = detect.toc_entries(detected.withColumn("toc_content", F.replace("toc_content", F.lit(" ....."), F.lit(":"))))
+    assert [(r.title, r.page) for r in entries.orderBy("pos").collect()] == [("One", 2147483647), ("Two", 2147483647), ("Three", 3)]
+    assert detected.select(rules.has_page_numbers("toc_content")).first()[0]
+    offsets = spark.createDataFrame([("a", 2)], "doc_id string, offset int")
+    moved = mapping.apply_offset(entries.withColumn("physical_index", F.lit(None).cast("int")), offsets).orderBy("pos").collect()
+    assert [(r.page, r.physical_index) for r in moved] == [(None, 2147483647), (None, 2147483647), (None, 5)]
+    stats = spark.createDataFrame([("a", 9)], "doc_id string, n_pages int")
+    kept = mapping.validate_physical_index(spark.createDataFrame(moved, "doc_id string, pos int, structure string, title string, page int, physical_index int"), stats)
+    assert [r.physical_index for r in kept.orderBy("pos").collect()] == [None, None, 5]
+    pairs = spark.createDataFrame([("a", i, "t", -2147483647, 2147483647) for i in range(3)], "doc_id string, pair_order int, title string, page int, physical_index int")
+    assert mapping.page_offset(pairs).first().offset == 2147483647

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from doctree.jobs import build, lookup
@@ -109,7 +110,25 @@ def test_index_files(spark, tmp_path):
         assert got == {"a": ("Dir/Doc A.pdf", None), "b": ("Doc B.pdf", "d"), "E": ("E", None)}
         flat = tree.flatten_tree(files.read_index(spark, f"file://{path}", a_file_each=each))
         assert sorted((r.doc_id, r.title, r.depth) for r in flat.collect()) == [("E", "z", 0), ("a", 'x "é"', 0), ("a", "y", 1)]
-    assert sorted(p.name for p in (tmp_path / "indexTrue").iterdir() if p.is_dir()) == ["name=Dir-Doc A", "name=Doc B"]
+    assert sorted(p.name for p in (tmp_path / "indexTrue").glob("part-*/*")) == ["Dir-Doc A_structure.json", "Doc B_structure.json"]
+
+
+def test_files_of_equal_stems(spark, tmp_path):
+    """Every document comes back, whatever its name; failed tasks and failed jobs leave nothing, and what was there stays."""
+    names = ["x.pdf", "X.PDF", "b-x.pdf", "b/x.txt", None, "", "..", "é" * 300 + ".pdf", "é" * 300 + ".txt", "y-" + "0" * 24, 'a"b\\c|d.pdf']
+    index = spark.createDataFrame([(str(i), n, None, "[]") for i, n in enumerate(names)], "doc_id string, doc_name string, doc_description string, structure_json string")
+    path = tmp_path / "each"
+    for _ in range(2):
+        files.write_index(index.repartition(3), f"file://{path}", a_file_each=True)
+        assert len(list(path.glob("part-*/*.json"))) == len(names) and (path / "_SUCCESS").exists()
+    got = files.read_index(spark, f"file://{path}", a_file_each=True)
+    assert {(r.doc_id, r.doc_name) for r in got.collect()} == {(str(i), n) for i, n in enumerate(names) if n is not None}
+    files.write_index(index.limit(1).withColumn("doc_id", F.lit("new")), f"file://{path}", "append", a_file_each=True)
+    assert len(list(path.glob("part-*/*.json"))) == len(names) + 1
+    bad = index.withColumn("doc_description", F.when(F.col("doc_id") == "7", F.raise_error(F.lit("poisoned")).cast("string")))
+    with pytest.raises(Exception, match="poisoned"):
+        files.write_index(bad, f"file://{path}", a_file_each=True)
+    assert len(list(path.glob("part-*/*.json"))) == len(names) + 1 and not list(path.glob("_staging*"))
 
 
 def test_answers_replace_rules_in_the_whole_job(spark):
