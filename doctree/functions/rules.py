@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from .scalars import _col, _number
@@ -88,3 +90,18 @@ def clip(text: Column | str, n: int) -> Column:
     head = F.substring(c, 1, n)
     word = F.regexp_extract(head, r"(?s)^(.*\S)\s+\S*$", 1)
     return F.when(F.length(c) <= n, F.trim(c)).when(F.substring(c, n + 1, 1).rlike(r"\s"), F.trim(head)).otherwise(F.when(word == "", head).otherwise(word))
+
+
+_LAST_WORD = re.compile(r"(?s)(.*\S)\s+\S*\Z", re.ASCII)
+
+
+def clipped(text: str | None, n: int) -> str:
+    """What `clip` makes of a text, for passes in Python."""
+    text = text or ""
+    if len(text) <= n:
+        return text.strip(" ")
+    head = text[:n]
+    if text[n] in " \t\n\x0b\f\r":
+        return head.strip(" ")
+    word = _LAST_WORD.match(head)
+    return word[1] if word else head

@@ -135,9 +135,9 @@ def build_index(pages: DataFrame, names: DataFrame | None = None, knobs: Knobs =
     if knobs.summaries or knobs.node_text:
         nodes = enrich.add_node_text(nodes, pages)
         if knobs.summaries:
-            nodes = enrich.summarize(cut(nodes), answers=answers)
-        if not knobs.node_text:
-            nodes = tree.strip_text(nodes)
+            # Texts are written only where they are read more than once.
+            nodes = cut(nodes) if knobs.node_text or answers is not None else nodes
+            nodes = enrich.summarize(nodes, answers=answers, keep_text=knobs.node_text)
         nodes = cut(nodes)
     docs = pages.select("doc_id").distinct()
     docs = docs.join(names.select("doc_id", "doc_name"), "doc_id", "left") if names is not None else docs.withColumn("doc_name", F.col("doc_id"))

@@ -7,9 +7,9 @@ import json
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
-from ..functions.scalars import parent_code
-from ..sources.scratch import cut
 
 
 def add_preface(items: DataFrame) -> DataFrame:
@@ -35,55 +35,133 @@ def assign_ranges(items: DataFrame, ends: DataFrame) -> DataFrame:
     return out.withColumn("end_index", F.when(F.col("_last"), F.col("end_page")).otherwise(F.col("_end")).cast("int")).drop("_end", "_last", "end_page")
 
 
+def _folded(df: DataFrame, order: list, fold, added: list[tuple[str, str]]) -> DataFrame:
+    """df with the columns `added` (name, kind), worked out by one pass over each document's rows in `order`.
+
+    fold is a function of Python lists of the columns it names in `fold.reads`; it is called anew for each partition, with
+    an iterator over the lists of all batches (documents whole or not), and yields the added columns of each batch.
+    """
+    df = df.drop(*[name for name, _ in added])
+    own, schema = df.columns, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"{n} {k}" for n, k in added])
+    names, reads, kinds = [n for n, _ in added], fold.reads, [to_arrow_type(_parse_datatype_string(k)) for _, k in added]
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def lists():
+            for batch in batches:
+                for low in range(0, batch.num_rows, 4096):
+                    part = batch.slice(low, 4096)
+                    held.append(part)
+                    yield [part.column(c).to_pylist() for c in reads]
+
+        for columns in fold(lists()):
+            part = held.pop(0)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *(pa.array(x, k) for x, k in zip(columns, kinds))], names=[*own, *names])
+
+    return df.repartition("doc_id").sortWithinPartitions("doc_id", *order).mapInArrow(run, schema)
+
+
+def _by_codes(repair_gaps: bool):
+    """Parents, paths and depths from codes, in list order: each code's latest item is what an item below it hangs on."""
+
+    def fold(batches):
+        doc, latest = object(), {}
+        for ids, places, codes in batches:
+            parents, paths = [], []
+            for i, pos, code in zip(ids, places, codes):
+                if i != doc:
+                    doc, latest = i, {}
+                up, found = (code or "").rpartition(".")[0], None
+                while up and (found := latest.get(up)) is None and repair_gaps:
+                    up = up.rpartition(".")[0]
+                path = [*found, pos] if found else [pos]
+                parents.append(found[-1] if found else None)
+                paths.append(path)
+                if code is not None:
+                    latest[code] = path
+            yield parents, paths, [len(p) - 1 for p in paths]
+
+    fold.reads = ["doc_id", "pos", "structure"]
+    return fold
+
+
+def _by_links(batches):
+    """Paths and depths from parent_pos, in list order."""
+    doc, known = object(), {}
+    for ids, places, parents in batches:
+        paths = []
+        for i, pos, up in zip(ids, places, parents):
+            if i != doc:
+                doc, known = i, {}
+            known[pos] = path = [*known[up], pos] if up is not None else [pos]
+            paths.append(path)
+        yield paths, [len(p) - 1 for p in paths]
+
+
+_by_links.reads = ["doc_id", "pos", "parent_pos"]
+
+
+def _pos_kind(items: DataFrame) -> str:
+    return items.schema["pos"].dataType.simpleString()
+
+
 def resolve_parents(items: DataFrame, repair_gaps: bool = False) -> DataFrame:
     """Items with parent_pos: the latest earlier item whose code is the parent code; null for roots.
 
-    With repair_gaps, a missing parent is replaced by the nearest ancestor that exists. Definitions and lookups
-    of a code meet in one window of (document, code), so nothing fans out.
+    With repair_gaps, a missing parent is replaced by the nearest ancestor that exists.
     """
-    lookups = items.select("doc_id", F.col("pos").alias("_at"), parent_code("structure").alias("_code")).filter("_code is not null")
-    if repair_gaps:
-        up = F.split("_code", r"\.")
-        lookups = lookups.withColumn("_code", F.explode(F.transform(F.sequence(F.lit(1), F.size(up)), lambda n: F.array_join(F.slice(up, F.lit(1), n), "."))))
-    definitions = items.select("doc_id", F.col("pos").alias("_at"), F.col("structure").alias("_code"), F.col("pos").alias("_def")).filter("_code is not null")
-    both = definitions.unionByName(lookups.withColumn("_def", F.lit(None).cast("int")))
-    # A lookup of its own position never sees its own definition: codes and parent codes differ in length.
-    w = Window.partitionBy("doc_id", "_code").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    is_lookup = F.col("_def").isNull()
-    found = both.withColumn("_parent", F.last("_def", True).over(w)).filter(is_lookup & F.col("_parent").isNotNull())
-    best = found.groupBy("doc_id", F.col("_at").alias("pos")).agg(F.max_by("_parent", F.length("_code")).alias("parent_pos"))
-    return items.join(best, ["doc_id", "pos"], "left")
+    return build_tree(items, repair_gaps).drop("path", "depth")
 
 
 def node_paths(items: DataFrame) -> DataFrame:
-    """Items with path (positions from the root to the item) and depth (0 for roots), by pointer doubling.
-
-    After k rounds a path spans 2 ** k levels; rounds stop when every path has reached its root.
-    """
-    paths = items.select("doc_id", "pos", F.col("parent_pos").alias("_up"), F.array("pos").alias("path"))
-    while True:
-        paths = cut(paths)
-        if paths.filter("_up is not null").isEmpty():
-            break
-        above = paths.select("doc_id", F.col("pos").alias("_up"), F.col("_up").alias("_next"), F.col("path").alias("_above"))
-        paths = paths.join(above, ["doc_id", "_up"], "left").select("doc_id", "pos", F.col("_next").alias("_up"), F.when(F.col("_above").isNull(), F.col("path")).otherwise(F.concat("_above", "path")).alias("path"))
-    return items.join(paths.select("doc_id", "pos", "path"), ["doc_id", "pos"]).withColumn("depth", F.size("path") - 1)
+    """Items with path (positions from the root to the item) and depth (0 for roots), from parent_pos; parents stand before their children."""
+    return _folded(items, ["pos"], _by_links, [("path", f"array<{_pos_kind(items)}>"), ("depth", "int")])
 
 
 def build_tree(items: DataFrame, repair_gaps: bool = False) -> DataFrame:
-    """K1: J4 and W10 on a flat list."""
-    return node_paths(resolve_parents(items, repair_gaps))
+    """K1: J4 and W10 on a flat list, for trees of any depth: items with parent_pos, path and depth.
+
+    One pass over each document's items in list order; what it keeps is the path of the latest item of each code.
+    """
+    kind = _pos_kind(items)
+    return _folded(items, ["pos"], _by_codes(repair_gaps), [("parent_pos", kind), ("path", f"array<{kind}>"), ("depth", "int")])
+
+
+def _in_preorder(batches):
+    """node_seq, node_id, parent_seq and is_leaf of nodes in the order of their paths; it keeps the way from the root and looks one batch ahead."""
+    doc, seq, way = object(), 0, []
+    batches = iter(batches)
+    batch = next(batches, None)
+    while batch is not None:
+        ahead = next(batches, None)
+        ids, paths = batch
+        numbers, parents, leaves = [], [], []
+        for k, (i, path) in enumerate(zip(ids, paths)):
+            if i != doc:
+                doc, seq, way = i, 0, []
+            while way and way[-1][0] != path[: len(way[-1][0])]:
+                way.pop()
+            parents.append(way[-1][1] if way and len(way[-1][0]) == len(path) - 1 else None)
+            way.append((path, seq))
+            numbers.append(seq)
+            seq += 1
+            # In depth-first order a node is a leaf unless the next one is deeper.
+            after = (ids[k + 1], paths[k + 1]) if k + 1 < len(ids) else (ahead[0][0], ahead[1][0]) if ahead and ahead[0] else None
+            leaves.append(not (after is not None and after[0] == i and len(after[1]) > len(path)))
+        yield numbers, [f"{n:04d}" for n in numbers], parents, leaves
+        batch = ahead
+
+
+_in_preorder.reads = ["doc_id", "path"]
 
 
 def write_node_ids(nodes: DataFrame) -> DataFrame:
-    """node_seq from 0 in depth-first order of path, and node_id with four digits at least; is_leaf and parent_seq too."""
-    seq = (F.row_number().over(Window.partitionBy("doc_id").orderBy("path")) - 1).cast("int")
-    numbered = nodes.withColumn("node_seq", seq).withColumn("node_id", F.format_string("%04d", "node_seq"))
-    ups = numbered.select("doc_id", F.col("path").alias("_parent"), F.col("node_seq").alias("parent_seq"))
-    out = numbered.withColumn("_parent", F.when(F.size("path") > 1, F.slice("path", F.lit(1), F.size("path") - 1))).join(ups, ["doc_id", "_parent"], "left").drop("_parent")
-    # In depth-first order a node is a leaf unless the next one is deeper.
-    deeper = F.lead("depth").over(Window.partitionBy("doc_id").orderBy("node_seq")) > F.col("depth")
-    return out.withColumn("is_leaf", ~F.coalesce(deeper, F.lit(False)))
+    """node_seq from 0 in depth-first order of path, and node_id with four digits at least; is_leaf and parent_seq too.
+
+    One pass over each document's nodes in the order of their paths, with the way from the root in memory.
+    """
+    return _folded(nodes, ["path"], _in_preorder, [("node_seq", "int"), ("node_id", "string"), ("parent_seq", "int"), ("is_leaf", "boolean")])
 
 
 def max_end_index(nodes: DataFrame) -> DataFrame:

@@ -475,7 +475,7 @@ def a7_depths(spark, sf_dir):
 @query
 def k5_summaries(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    return enrich.summarize(enrich.add_node_text(_nodes(pages), pages)).select("doc_id", "node_id", "summary")
+    return enrich.summarize(enrich.add_node_text(_nodes(pages), pages), keep_text=False).select("doc_id", "node_id", "summary")
 
 
 @query
