@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators import detect, enrich, mapping, split, tree, verify
 from ..operators.requests import Answers
-from ..sources.scratch import cut
+from ..sources.scratch import cut, keep, scope
 
 _ITEMS = ("doc_id", "pos", "structure", "title", "page", "physical_index", "appear_start")
 
@@ -129,21 +129,24 @@ def build_index(pages: DataFrame, names: DataFrame | None = None, knobs: Knobs =
 
     names has (doc_id, doc_name); without it a document is called by its id. Documents without headings have
     an empty tree. Nodes have summaries and, with node_text, the text of leaves. With answers every judgement
-    that a model has answered replaces its rule, and `answers.open` lists the requests that are left.
+    that a model has answered replaces its rule, and `answers.open` lists the requests that are left. Both results
+    are written tables; all others that the job has written are gone when it returns.
     """
-    nodes = cut(build_nodes(pages, knobs, answers))
-    if knobs.summaries or knobs.node_text:
-        nodes = enrich.add_node_text(nodes, pages)
+    with scope(pages.sparkSession):
+        nodes = cut(build_nodes(pages, knobs, answers))
+        if knobs.summaries or knobs.node_text:
+            nodes = enrich.add_node_text(nodes, pages)
+            if knobs.summaries:
+                # Texts are written only where they are read more than once.
+                nodes = cut(nodes) if knobs.node_text or answers is not None else nodes
+                nodes = enrich.summarize(nodes, answers=answers, keep_text=knobs.node_text)
+        nodes = keep(nodes)
+        docs = pages.select("doc_id").distinct()
+        docs = docs.join(names.select("doc_id", "doc_name"), "doc_id", "left") if names is not None else docs.withColumn("doc_name", F.col("doc_id"))
+        docs = docs.join(tree.export_tree(nodes), "doc_id", "left")
         if knobs.summaries:
-            # Texts are written only where they are read more than once.
-            nodes = cut(nodes) if knobs.node_text or answers is not None else nodes
-            nodes = enrich.summarize(nodes, answers=answers, keep_text=knobs.node_text)
-        nodes = cut(nodes)
-    docs = pages.select("doc_id").distinct()
-    docs = docs.join(names.select("doc_id", "doc_name"), "doc_id", "left") if names is not None else docs.withColumn("doc_name", F.col("doc_id"))
-    docs = docs.join(tree.export_tree(nodes), "doc_id", "left")
-    if knobs.summaries:
-        docs = docs.join(enrich.describe_documents(nodes, answers=answers), "doc_id", "left")
-    else:
-        docs = docs.withColumn("doc_description", F.lit(None).cast("string"))
-    return docs.select("doc_id", F.coalesce("doc_name", "doc_id").alias("doc_name"), "doc_description", F.coalesce("structure_json", F.lit("[]")).alias("structure_json")), nodes
+            docs = docs.join(enrich.describe_documents(nodes, answers=answers), "doc_id", "left")
+        else:
+            docs = docs.withColumn("doc_description", F.lit(None).cast("string"))
+        columns = [F.coalesce("doc_name", "doc_id").alias("doc_name"), "doc_description", F.coalesce("structure_json", F.lit("[]")).alias("structure_json")]
+        return keep(docs.select("doc_id", *columns)), nodes

@@ -18,7 +18,7 @@ def toc_flags(pages: DataFrame, toc_check_page_num: int = 20, answers: Answers |
     """(doc_id, page, is_toc) of the first pages of each document."""
     flags = pages.filter(F.col("page") <= toc_check_page_num).select("doc_id", "page", "text", rules.is_toc_page("text").alias("is_toc"))
     if answers is not None:
-        flags = answers.apply("toc_page", flags, is_toc="answer")
+        flags = answers.apply("toc_page", flags, ["page"], is_toc="answer")
     return flags.select("doc_id", "page", "is_toc")
 
 
@@ -53,7 +53,7 @@ def detect_toc(pages: DataFrame, toc_check_page_num: int = 20, answers: Answers
     runs = toc_runs(toc_flags(pages, toc_check_page_num, answers))
     text = toc_content(runs, pages).withColumn("has_page_numbers", rules.has_page_numbers("toc_content"))
     if answers is not None:
-        text = answers.apply("page_numbers", text, has_page_numbers="answer")
+        text = answers.apply("page_numbers", text, ["run"], has_page_numbers="answer")
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("has_page_numbers").desc(), "run"))
     best = text.withColumn("_turn", turn).filter("_turn = 1")
     docs = pages.select("doc_id").distinct()

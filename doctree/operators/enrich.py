@@ -48,7 +48,7 @@ def _asked_level_by_level(nodes: DataFrame, leaf_chars: int, child_chars: int, a
     depth = nodes.agg(F.max("depth")).first()[0]
     columns = ["doc_id", "node_seq", "parent_seq", "depth", "title", "summary"]
     whole = nodes.withColumn("summary", F.when(F.col("is_leaf"), clip("text", leaf_chars)))
-    leaves = answers.apply("summary", whole.filter("is_leaf and text <> ''"), summary="text")
+    leaves = answers.apply("summary", whole.filter("is_leaf and text <> ''"), ["node_seq"], summary="text")
     narrow = cut(leaves.unionByName(whole.filter("not coalesce(is_leaf and text <> '', false)")).select(*columns))
     done = narrow.filter("summary is not null")
     for level in range((depth or 0) - 1, -1, -1):
@@ -56,7 +56,7 @@ def _asked_level_by_level(nodes: DataFrame, leaf_chars: int, child_chars: int, a
         line = lambda k: F.when(k["summary"] == "", k["title"]).otherwise(F.concat(k["title"], F.lit(": "), clip(k["summary"], child_chars)))
         own = narrow.filter((F.col("depth") == level) & F.col("summary").isNull()).drop("summary").join(kids, ["doc_id", "node_seq"])
         made = own.select(*columns[:-1], F.array_join(F.transform("children", line), "; ").alias("summary"))
-        made = answers.apply("summary", made.withColumn("text", F.col("summary")), summary="text").select(*columns)
+        made = answers.apply("summary", made.withColumn("text", F.col("summary")), ["node_seq"], summary="text").select(*columns)
         done = done.unionByName(cut(made))
     return done.select("doc_id", "node_seq", "summary")
 

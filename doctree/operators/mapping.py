@@ -327,7 +327,7 @@ def ask_places(items: DataFrame, places: DataFrame, pages: DataFrame, bounds: Da
     asked = items.select("doc_id", "pos", "title").join(text, ["doc_id", "pos"]).join(places, ["doc_id", "pos"])
     # A response about an index has a confidence, so both or neither are its own.
     none = asked.withColumns({"_index": F.lit(None).cast("int"), "_sure": F.lit(None).cast("string")})
-    told = answers.apply("locate", none, _index="physical_index", _sure="confidence").filter("_index is not null").select("doc_id", "pos", "_index", "_sure")
+    told = answers.apply("locate", none, ["pos"], _index="physical_index", _sure="confidence").filter("_index is not null").select("doc_id", "pos", "_index", "_sure")
     joined = places.join(told, ["doc_id", "pos"], "left")
     return joined.select("doc_id", "pos", F.coalesce("_index", "physical_index").alias("physical_index"), F.coalesce("_sure", "confidence").alias("confidence"))
 
@@ -357,7 +357,7 @@ def group_headings(pages: DataFrame, answers: Answers, max_tokens: int = 20_000)
     """Items as of `extract_headings`, by groups of pages: a model's list where there is one, else the rule's of the group's new pages."""
     groups = group_pages(pages, max_tokens)
     asked = group_text(groups, pages).withColumn("_items", F.lit(None).cast("array<struct<structure:string,title:string,page:int,physical_index:int>>"))
-    told = answers.apply("headings", asked, _items="items").filter("_items is not null").select("doc_id", "group_no", "_items")
+    told = answers.apply("headings", asked, ["group_no"], _items="items").filter("_items is not null").select("doc_id", "group_no", "_items")
     own = groups.groupBy("doc_id", F.col("page").alias("physical_index")).agg(F.min("group_no").alias("group_no"))
     ruled = extract_headings(pages).join(own, ["doc_id", "physical_index"]).join(told.select("doc_id", "group_no"), ["doc_id", "group_no"], "left_anti")
     given = told.select("doc_id", "group_no", F.posexplode("_items").alias("pos", "_x")).select("doc_id", "group_no", "pos", "_x.structure", "_x.title", "_x.physical_index")

@@ -27,17 +27,28 @@ def bitmap(keys: DataFrame, columns: list[str], rows: int) -> DataFrame:
     return keys.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("_at")).groupBy("bucket").agg(F.bitmap_construct_agg("_at").alias("bits"))
 
 
+def _marked(df: DataFrame, keys: DataFrame, columns: list[str], rows: int) -> DataFrame:
+    """df with _likely: whether the bitmap of keys has the bit of its columns. df is not shuffled."""
+    place = _place(columns, rows)
+    placed = df.withColumns({"_bucket": F.bitmap_bucket_number(place), "_at": F.bitmap_bit_position(place)})
+    joined = placed.join(F.broadcast(bitmap(keys, columns, rows)), F.col("_bucket") == F.col("bucket"), "left")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("_at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return joined.select(*df.columns, F.coalesce(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1, F.lit(False)).alias("_likely"))
+
+
 def likely_members(df: DataFrame, keys: DataFrame, columns: list[str], n: int) -> DataFrame:
     """df without most rows whose columns no row of keys has; none that one has is dropped. n: about how many keys there are.
 
     The bitmap's size is bounded, so it can be broadcast at any scale, and df is not shuffled. For more keys than it
     has bits, df comes back as it is.
     """
+    rows = bitmap_rows(n)
+    return _marked(df, keys, columns, rows).filter("_likely").drop("_likely") if rows else df
+
+
+def parted_by_members(df: DataFrame, keys: DataFrame, columns: list[str], n: int) -> tuple[DataFrame, DataFrame]:
+    """(likely members, rows that surely are none) of df; see likely_members."""
     if not (rows := bitmap_rows(n)):
-        return df
-    place, mark = _place(columns, rows), bitmap(keys, columns, rows)
-    at = F.col("_at")
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    placed = df.withColumns({"_bucket": F.bitmap_bucket_number(place), "_at": F.bitmap_bit_position(place)})
-    hit = (F.col("_bucket") == F.col("bucket")) & (F.getbit(byte, (at % 8).cast("int")) == 1)
-    return placed.join(F.broadcast(mark), hit).select(*df.columns)
+        return df, df.limit(0)
+    marked = _marked(df, keys, columns, rows)
+    return marked.filter("_likely").drop("_likely"), marked.filter("not _likely").drop("_likely")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import count_tokens, parse_page_number, parse_physical_index, read_json
-from ..sources.scratch import cut
+from ..sources.scratch import cut, keep, shared_dir
+from .membership import likely_members, parted_by_members
 
 #: What each stage asks; {name} stands for a column.
 PROMPTS = {
@@ -41,11 +43,36 @@ def _asked(stage: str) -> tuple[Column, Column]:
     return prompt, F.sha2(F.concat_ws("\n", "doc_id", F.lit(stage), prompt), 256)
 
 
-def make_requests(stage: str, df: DataFrame) -> DataFrame:
-    """(request_id, doc_id, stage, prompt, est_tokens); equal questions about a document are one request."""
+def _fresh_ids(keyed: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, int, DataFrame, int]:
+    """(ids, their number, others, their number) of rows (request_id, ..): ids that seen lacks, and those that must not be taken as they come.
+
+    The others are ids of several rows, and ids that seen has. Only ids are shuffled.
+    """
+    counts = cut(keyed.groupBy("request_id").agg(F.count("*").alias("n")))
+    fresh = counts.select("request_id") if seen is None else cut(counts.join(seen, "request_id", "left_anti").select("request_id"))
+    others = counts.filter("n > 1").select("request_id")
+    if seen is not None:
+        others = cut(others.union(counts.join(fresh, "request_id", "left_anti").select("request_id")).distinct())
+    return fresh, fresh.count(), others, others.count()
+
+
+def _once(keyed: DataFrame, fresh: DataFrame, n: int, others: DataFrame, m: int) -> DataFrame:
+    """A row of keyed for each fresh id. Rows that a bitmap takes for others, and few more, are shuffled; all others stay where they are."""
+    if not m:
+        return keyed
+    maybe, sure = parted_by_members(likely_members(keyed, fresh, ["request_id"], n), others, ["request_id"], m)
+    return sure.unionByName(maybe.join(fresh, "request_id", "left_semi").dropDuplicates(["request_id"]))
+
+
+def make_requests(stage: str, df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(request_id, doc_id, stage, keys.., prompt, est_tokens) for rows of df, of which keys are columns.
+
+    Equal questions about a document are one request, with the keys of one of them. Ids are compared first, without
+    their prompts; of prompts only those that may be repeated are shuffled.
+    """
     prompt, key = _asked(stage)
-    asked = df.select(key.alias("request_id"), "doc_id", F.lit(stage).alias("stage"), prompt.alias("prompt"))
-    return asked.withColumn("est_tokens", count_tokens("prompt")).dropDuplicates(["request_id"])
+    asked = df.select(key.alias("request_id"), "doc_id", F.lit(stage).alias("stage"), *keys, prompt.alias("prompt")).withColumn("est_tokens", count_tokens("prompt"))
+    return _once(asked, *_fresh_ids(asked.select("request_id"), None))
 
 
 _ANSWER = "answer string, at_start string, physical_index string, confidence string, text string, items array<struct<structure:string,title:string,page:string,physical_index:string>>"
@@ -76,33 +103,46 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     )
 
 
+_OPEN = "request_id string, doc_id string, stage string, key string, prompt string, est_tokens int"
+
+
 class Answers:
-    """Responses (request_id, response) to the requests of all stages, as a job takes them; what they leave open is listed.
+    """Responses (request_id, response) to the requests of all stages, as a job takes them; what they leave open is written down.
 
     A job that is given Answers asks for every judgement and lets what was answered replace its rule. `open` then
-    holds the requests that had no response, to be answered before the next run.
+    holds the requests that had no response, to be answered before the next run: each stage appends its new ones to
+    a written table, so that reading them repeats nothing of the job.
     """
 
     def __init__(self, responses: DataFrame):
-        self._given = cut(parse_responses(responses).filter("ok").dropDuplicates(["request_id"]))
-        self._known = cut(responses.select("request_id").distinct())
-        self._asked: list[DataFrame] = []
-
-    def apply(self, stage: str, rows: DataFrame, **columns: str) -> DataFrame:
-        """rows (doc_id and what the stage's question names) with each column replaced by that field of the response that is not null."""
-        self._asked.append(make_requests(stage, rows))
-        keyed = rows.withColumn("_request", _asked(stage)[1])
+        self._spark = responses.sparkSession
+        self._given = keep(parse_responses(responses).filter("ok").dropDuplicates(["request_id"]))
+        self._seen = keep(responses.select("request_id").distinct())
+        self._path, self._stages = f"{shared_dir(self._spark)}/{uuid.uuid4().hex}-requests", 0
+
+    def apply(self, stage: str, rows: DataFrame, keys: Sequence[str] = (), **columns: str) -> DataFrame:
+        """rows (doc_id and what the stage's question names) with each column replaced by that field of the response that is not null.
+
+        keys are the columns that tell the rows of a document apart; `open` shows them.
+        """
+        prompt, key = _asked(stage)
+        key_json = F.to_json(F.struct(*keys)) if keys else F.lit("{}")
+        asked = rows.select(key.alias("request_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(stage).alias("stage"), key_json.alias("key"), prompt.alias("prompt"))
+        fresh, n, others, m = _fresh_ids(asked.select("request_id"), self._seen)
+        if n:
+            new = _once(asked.withColumn("est_tokens", count_tokens("prompt")), fresh, n, others, m)
+            new.write.mode("append").parquet(self._path)
+            self._seen, self._stages = keep(self._seen.union(fresh)), self._stages + 1
         given = self._given.select(F.col("request_id").alias("_request"), *[F.col(field).alias(f"_given_{c}") for c, field in columns.items()])
-        out = keyed.join(given, "_request", "left").withColumns({c: F.coalesce(f"_given_{c}", c) for c in columns})
+        out = rows.withColumn("_request", key).join(given, "_request", "left").withColumns({c: F.coalesce(f"_given_{c}", c) for c in columns})
         return out.select(*rows.columns)
 
     @property
     def open(self) -> DataFrame:
-        """(request_id, doc_id, stage, prompt, est_tokens) of all that was asked and has no response."""
-        asked = self._asked[0]
-        for more in self._asked[1:]:
-            asked = asked.unionByName(more)
-        return asked.join(self._known, "request_id", "left_anti").dropDuplicates(["request_id"])
+        """(request_id, doc_id, stage, key, prompt, est_tokens) of all that was asked and has no response; key is JSON of the row's keys."""
+        if not self._stages:
+            return self._spark.createDataFrame([], _OPEN)
+        return self._spark.read.schema(_OPEN).parquet(self._path)
 
 
 def with_answers(rules: DataFrame, responses: DataFrame, column: str) -> DataFrame:

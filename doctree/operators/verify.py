@@ -20,7 +20,7 @@ def check_titles(items: DataFrame, pages: DataFrame, answers: Answers | None = N
     seen = named.join(text, ["doc_id", "physical_index"], "left").withColumn("_r", rules.title_appears("title", "text"))
     seen = seen.select("doc_id", "pos", "title", "physical_index", "text", F.col("_r.appears").alias("appears"), F.col("_r.at_start").alias("at_start"))
     if answers is not None:
-        seen = answers.apply("appears", seen, appears="answer", at_start="at_start")
+        seen = answers.apply("appears", seen, ["pos", "physical_index"], appears="answer", at_start="at_start")
     return seen.drop("text")
 
 

@@ -207,9 +207,9 @@ _CTES["q_pages"] = "SELECT request_id, doc_id, doc_name, question, x, min(i) AS
 _CTES["q_text"] = f"SELECT request_id, string_agg(page, ',' ORDER BY o) AS pages, md5({_PROMPT}) AS prompt_md5 FROM q_pages q JOIN pages p ON p.doc_id = q.doc_id AND p.page = q.x GROUP BY request_id, doc_name, question"
 _add("c12_answer_requests", "SELECT f.request_id, f.doc_id, t.pages, prompt_md5, CASE WHEN f.error IS NOT NULL THEN f.error WHEN prompt_md5 IS NULL THEN 'no valid page' END AS error FROM q_found f LEFT JOIN q_text t ON t.request_id = f.request_id")
 _ASK = "'Is the following page part of a table of contents? Answer as JSON: {\"answer\": \"yes\" or \"no\"}.' || chr(10) || chr(10) || text"
-_add("x1_requests", f"SELECT DISTINCT sha256(doc_id || chr(10) || 'toc_page' || chr(10) || {_ASK}) AS request_id, doc_id, 'toc_page' AS stage, CAST(length({_ASK}) // 4 AS INTEGER) AS est_tokens FROM pages WHERE page <= 4")
-_add("x2_responses", "SELECT f.doc_id || '-' || f.page AS request_id, CASE WHEN is_toc THEN true END AS answer, is_toc AS at_start, CASE WHEN NOT is_toc AND f.page = 1 THEN 1 END AS physical_index, CASE WHEN NOT is_toc AND f.page = 1 THEN 'high' ELSE 'low' END AS confidence, is_toc OR f.page = 1 AS ok FROM flags f WHERE f.page <= 4")
-_add("x4_run_model", "SELECT f.doc_id, f.page, starts_with(text, 'Contents') AS is_toc FROM flags f JOIN pages p ON p.doc_id = f.doc_id AND p.page = f.page WHERE f.page <= 4")
+_add("x1_requests", f"SELECT DISTINCT sha256(doc_id || chr(10) || 'toc_page' || chr(10) || {_ASK}) AS request_id, doc_id, 'toc_page' AS stage, CAST(length({_ASK}) // 4 AS INTEGER) AS est_tokens, md5({_ASK}) AS prompt_md5 FROM pages")
+_add("x2_responses", "SELECT f.doc_id || '-' || f.page AS request_id, CASE WHEN is_toc THEN true END AS answer, is_toc AS at_start, CASE WHEN NOT is_toc AND f.page = 1 THEN 1 END AS physical_index, CASE WHEN NOT is_toc AND f.page = 1 THEN 'high' ELSE 'low' END AS confidence, is_toc OR f.page = 1 AS ok FROM flags f")
+_add("x4_run_model", "SELECT DISTINCT doc_id, md5(text) AS text_md5, starts_with(text, 'Contents') AS is_toc FROM pages")
 _add("x3_answers", "SELECT doc_id || '-' || page AS request_id, is_toc OR page = 1 AS is_toc FROM flags WHERE page <= 4")
 _CTES["node_json"] = """SELECT doc_id, node_seq, parent_seq, '{"title": ' || to_json(title) || ', "node_id": "' || node_id || '", "start_index": ' || start_index || ', "end_index": ' || end_index AS j FROM nodes"""
 _CTES["child_json"] = "SELECT doc_id, parent_seq, string_agg(j || '}', ', ' ORDER BY node_seq) AS js FROM node_json WHERE parent_seq IS NOT NULL GROUP BY ALL"

@@ -588,13 +588,14 @@ def c12_answer_requests(spark, sf_dir):
 
 @query
 def x1_requests(spark, sf_dir):
-    return ask.make_requests("toc_page", _pages(spark, sf_dir).filter("page <= 4")).select("request_id", "doc_id", "stage", "est_tokens")
+    made = ask.make_requests("toc_page", _pages(spark, sf_dir), ["page"])
+    return made.select("request_id", "doc_id", "stage", "est_tokens", F.md5("prompt").alias("prompt_md5"))
 
 
 @query
 def x2_responses(spark, sf_dir):
-    """For each of the first pages what a model might answer: to contents pages yes, to first pages their index, else no JSON at all."""
-    pages = _pages(spark, sf_dir).filter("page <= 4")
+    """For each page what a model might answer: to contents pages yes, to first pages their index, else no JSON at all."""
+    pages = _pages(spark, sf_dir)
     yes, index = F.lit('{"answer": "Yes", "at_start": "yes"}'), F.lit('```json\n{"answer": None, "physical_index": "<physical_index_1>", "confidence": "high",}\n```')
     text = F.when(rules.is_toc_page("text"), yes).when(F.col("page") == 1, index).otherwise(F.col("text"))
     read = ask.parse_responses(pages.select(F.concat_ws("-", "doc_id", "page").alias("request_id"), text.alias("response")))
@@ -617,11 +618,12 @@ def _contents_model(batches):
 
 @query
 def x4_run_model(spark, sf_dir):
-    pages = _pages(spark, sf_dir).filter("page <= 4")
-    asked = pages.join(ask.make_requests("toc_page", pages).select("request_id", "doc_id", "prompt"), "doc_id").filter(F.endswith("prompt", F.concat(F.lit("\n\n"), "text")))
-    ruled = asked.select("request_id", "doc_id", "page", rules.is_toc_page("text").alias("is_toc"))
-    answers = ask.parse_responses(ask.run_model(asked.select("request_id", "prompt").distinct(), _contents_model))
-    return ask.with_answers(ruled, answers.filter("ok").select("request_id", F.col("answer").alias("is_toc")), "is_toc").select("doc_id", "page", "is_toc")
+    """Answers to one request for each different page of a document, which by their key lead back to that page."""
+    pages = _pages(spark, sf_dir)
+    asked = cut(ask.make_requests("toc_page", pages, ["page"]))
+    answers = ask.parse_responses(ask.run_model(asked, _contents_model)).filter("ok").select("request_id", F.col("answer").alias("is_toc"))
+    ruled = asked.select("request_id", "doc_id", "page").join(pages.select("doc_id", "page", rules.is_toc_page("text").alias("is_toc"), F.md5("text").alias("text_md5")), ["doc_id", "page"])
+    return ask.with_answers(ruled, answers, "is_toc").select("doc_id", "text_md5", "is_toc")
 
 
 @query

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,14 +40,36 @@ def _write(df: DataFrame, path: str, rows: int | None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scopes: ContextVar[tuple[Tables, ...]] = ContextVar("scopes", default=())
+
+
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: its lineage ends there and lost executors cost nothing.
 
     rows, if known, is about how many rows it has; small tables then get few files, however many partitions a shuffle has.
+    Inside a `scope` the table is deleted at its end.
     """
+    if scopes := _scopes.get():
+        return scopes[-1].cut(df, rows)
+    return keep(df, rows)
+
+
+def keep(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """As `cut`, for results: the table stays when a `scope` ends."""
     return _write(df, f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}", rows)
 
 
+@contextmanager
+def scope(spark: SparkSession):
+    """Deletes at its end, also after an error, all that `cut` writes inside it; what is to outlive it goes through `keep`."""
+    with Tables(spark) as tables:
+        token = _scopes.set((*_scopes.get(), tables))
+        try:
+            yield tables
+        finally:
+            _scopes.reset(token)
+
+
 class Tables:
     """Intermediate tables as `cut` makes them, each deleted by `drop`, and what is left of them at the end of a `with`."""
 
