@@ -65,6 +65,11 @@ def title_appears(title: Column | str, text: Column | str) -> Column:
     return F.struct((there | start).alias("appears"), start.alias("at_start"))
 
 
+def may_be_heading(line: Column) -> Column:
+    """Whether a line begins as one that `heading` knows: a test of one character that spares most lines its patterns."""
+    return F.left(F.ltrim(line, F.lit(" \t")), F.lit(1)).isin(*"0123456789#cCsSpP")
+
+
 def heading(line: Column) -> Column:
     """R4 for one line: struct(structure, title, level), null if it is no heading.
 

@@ -120,7 +120,7 @@ def build_nodes(pages: DataFrame, knobs: Knobs = Knobs(), answers: Answers | Non
     made = cut(tree.build_tree(ranged))
     parents = made.select("doc_id", F.col("parent_pos").alias("pos"), F.lit(False).alias("_leaf")).filter("pos is not null").distinct()
     nodes = made.join(parents, ["doc_id", "pos"], "left").withColumn("is_leaf", F.coalesce("_leaf", F.lit(True)))
-    parts = split.split_large(nodes, pages, knobs.max_pages_per_node, knobs.max_tokens_per_node, knobs.split_rounds, knobs.split_internal)
+    parts = split.split_large(nodes, pages, knobs.max_pages_per_node, knobs.max_tokens_per_node, knobs.split_rounds, knobs.split_internal, answers, knobs.accept_and_fix, knobs.repair_rounds)
     return tree.write_node_ids(parts.withColumn("depth", F.size("path") - 1))
 
 

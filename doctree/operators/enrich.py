@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.rules import clip, clipped
 from ..sources.scratch import cut
 from . import mapping, tree
+from .folds import folded
 from .requests import Answers
 
 
@@ -75,7 +76,7 @@ def summarize(nodes: DataFrame, leaf_chars: int = 200, child_chars: int = 80, an
     else:
         given = nodes.withColumn("_given", F.when(F.col("is_leaf"), clip("text", leaf_chars)))
         narrow = given.select("doc_id", "node_seq", "parent_seq", "title", "_given") if keep_text else given.drop("text")
-        done = tree._folded(narrow, [F.col("node_seq").desc()], _summed(child_chars), [("summary", "string")]).drop("_given")
+        done = folded(narrow, [F.col("node_seq").desc()], _summed(child_chars), [("summary", "string")]).drop("_given")
         if not keep_text:
             return done
     out = nodes.join(done.select("doc_id", "node_seq", "summary"), ["doc_id", "node_seq"], "left").withColumn("summary", F.coalesce("summary", F.lit("")))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import rules
 from ..functions.scalars import LARGEST, tag_page
 from ..sources.scratch import cut
+from .folds import folded
 from .membership import likely_members
 from .requests import Answers
 
@@ -332,25 +333,38 @@ def ask_places(items: DataFrame, places: DataFrame, pages: DataFrame, bounds: Da
     return joined.select("doc_id", "pos", F.coalesce("_index", "physical_index").alias("physical_index"), F.coalesce("_sure", "confidence").alias("confidence"))
 
 
-def _marked_codes(rows: DataFrame) -> DataFrame:
-    """Codes of markdown headings from their levels: each level counts its headings since the last higher one."""
-    order = Window.partitionBy("doc_id").orderBy("page", "line_no")
-    for k in range(1, 7):
-        rows = rows.withColumn(f"_above{k}", F.count_if(F.col("level") < k).over(order))
-    for k in range(1, 7):
-        rows = rows.withColumn(f"_n{k}", F.count_if(F.col("level") == k).over(Window.partitionBy("doc_id", f"_above{k}").orderBy("page", "line_no")))
-    parts = F.slice(F.array(*[F.col(f"_n{k}").cast("string") for k in range(1, 7)]), F.lit(1), F.col("level"))
-    return rows.withColumn("structure", F.array_join(F.filter(parts, lambda x: x != "0"), ".")).drop(*[f"_above{k}" for k in range(1, 7)], *[f"_n{k}" for k in range(1, 7)])
+def _numbered(batches):
+    """pos and structure of heading lines in reading order: each markdown level counts its headings since the last higher one."""
+    doc, pos, counts = object(), 0, [0] * 7
+    for ids, _, _, codes, levels in batches:
+        places, out = [], []
+        for i, code, level in zip(ids, codes, levels):
+            if i != doc:
+                doc, pos, counts = i, 0, [0] * 7
+            if level is not None:
+                counts[level] += 1
+                counts[level + 1 :] = [0] * (6 - level)
+                code = ".".join(str(n) for n in counts[1 : level + 1] if n)
+            places.append(pos)
+            out.append(code)
+            pos += 1
+        yield places, out
+
+
+_numbered.reads = ["doc_id", "page", "line_no", "_code", "level"]
 
 
 def extract_headings(pages: DataFrame) -> DataFrame:
-    """Items from heading lines, (doc_id, pos, structure, title, physical_index) in reading order; contents pages do not count."""
-    lines = pages.filter(~rules.is_toc_page("text")).select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "_l"))
-    found = lines.withColumn("_h", rules.heading(F.col("_l"))).filter("_h is not null").select("doc_id", "page", "line_no", "_h.structure", "_h.title", "_h.level")
-    plain = found.filter("level is null")
-    marked = _marked_codes(found.filter("level is not null"))
-    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "line_no")) - 1
-    return plain.unionByName(marked).select("doc_id", pos.alias("pos"), "structure", "title", F.col("page").alias("physical_index"))
+    """Items from heading lines, (doc_id, pos, structure, title, physical_index) in reading order; contents pages do not count.
+
+    Text is read once and does not move; heading lines are sorted and numbered.
+    """
+    lines = pages.filter(~rules.is_toc_page("text")).select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "_l")).filter(rules.may_be_heading(F.col("_l")))
+    # An array of none or one keeps the rule from being worked out again for each of its fields.
+    found = lines.select("doc_id", "page", "line_no", F.explode(F.filter(F.array(rules.heading(F.col("_l"))), lambda h: h.isNotNull())).alias("_h"))
+    rows = found.select("doc_id", "page", "line_no", F.col("_h.structure").alias("_code"), "_h.title", "_h.level")
+    made = folded(rows, ["page", "line_no"], _numbered, [("pos", "int"), ("structure", "string")])
+    return made.select("doc_id", "pos", "structure", "title", F.col("page").alias("physical_index"))
 
 
 def group_headings(pages: DataFrame, answers: Answers, max_tokens: int = 20_000) -> DataFrame:

@@ -145,6 +145,20 @@ class Answers:
         return self._spark.read.schema(_OPEN).parquet(self._path)
 
 
+class PartAnswers:
+    """Answers for rows whose doc_id names a part of a document: questions are about the document, and their keys name the part.
+
+    document turns a part's doc_id into that of its document.
+    """
+
+    def __init__(self, answers: Answers, document: Callable[[Column], Column]):
+        self._answers, self._document = answers, document
+
+    def apply(self, stage: str, rows: DataFrame, keys: Sequence[str] = (), **columns: str) -> DataFrame:
+        of_document = rows.withColumn("part", F.col("doc_id")).withColumn("doc_id", self._document(F.col("part")))
+        return self._answers.apply(stage, of_document, ["part", *keys], **columns).withColumn("doc_id", F.col("part")).select(*rows.columns)
+
+
 def with_answers(rules: DataFrame, responses: DataFrame, column: str) -> DataFrame:
     """Rules (request_id, column, ..) with column from the responses (request_id, column) that are not null."""
     given = responses.select("request_id", F.col(column).alias("_given"))

@@ -7,8 +7,8 @@ import json
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import _parse_datatype_string
+
+from .folds import folded
 
 
 
@@ -35,33 +35,6 @@ def assign_ranges(items: DataFrame, ends: DataFrame) -> DataFrame:
     return out.withColumn("end_index", F.when(F.col("_last"), F.col("end_page")).otherwise(F.col("_end")).cast("int")).drop("_end", "_last", "end_page")
 
 
-def _folded(df: DataFrame, order: list, fold, added: list[tuple[str, str]]) -> DataFrame:
-    """df with the columns `added` (name, kind), worked out by one pass over each document's rows in `order`.
-
-    fold is a function of Python lists of the columns it names in `fold.reads`; it is called anew for each partition, with
-    an iterator over the lists of all batches (documents whole or not), and yields the added columns of each batch.
-    """
-    df = df.drop(*[name for name, _ in added])
-    own, schema = df.columns, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"{n} {k}" for n, k in added])
-    names, reads, kinds = [n for n, _ in added], fold.reads, [to_arrow_type(_parse_datatype_string(k)) for _, k in added]
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def lists():
-            for batch in batches:
-                for low in range(0, batch.num_rows, 4096):
-                    part = batch.slice(low, 4096)
-                    held.append(part)
-                    yield [part.column(c).to_pylist() for c in reads]
-
-        for columns in fold(lists()):
-            part = held.pop(0)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *(pa.array(x, k) for x, k in zip(columns, kinds))], names=[*own, *names])
-
-    return df.repartition("doc_id").sortWithinPartitions("doc_id", *order).mapInArrow(run, schema)
-
-
 def _by_codes(repair_gaps: bool):
     """Parents, paths and depths from codes, in list order: each code's latest item is what an item below it hangs on."""
 
@@ -116,7 +89,7 @@ def resolve_parents(items: DataFrame, repair_gaps: bool = False) -> DataFrame:
 
 def node_paths(items: DataFrame) -> DataFrame:
     """Items with path (positions from the root to the item) and depth (0 for roots), from parent_pos; parents stand before their children."""
-    return _folded(items, ["pos"], _by_links, [("path", f"array<{_pos_kind(items)}>"), ("depth", "int")])
+    return folded(items, ["pos"], _by_links, [("path", f"array<{_pos_kind(items)}>"), ("depth", "int")])
 
 
 def build_tree(items: DataFrame, repair_gaps: bool = False) -> DataFrame:
@@ -125,7 +98,7 @@ def build_tree(items: DataFrame, repair_gaps: bool = False) -> DataFrame:
     One pass over each document's items in list order; what it keeps is the path of the latest item of each code.
     """
     kind = _pos_kind(items)
-    return _folded(items, ["pos"], _by_codes(repair_gaps), [("parent_pos", kind), ("path", f"array<{kind}>"), ("depth", "int")])
+    return folded(items, ["pos"], _by_codes(repair_gaps), [("parent_pos", kind), ("path", f"array<{kind}>"), ("depth", "int")])
 
 
 def _in_preorder(batches):
@@ -161,7 +134,7 @@ def write_node_ids(nodes: DataFrame) -> DataFrame:
 
     One pass over each document's nodes in the order of their paths, with the way from the root in memory.
     """
-    return _folded(nodes, ["path"], _in_preorder, [("node_seq", "int"), ("node_id", "string"), ("parent_seq", "int"), ("is_leaf", "boolean")])
+    return folded(nodes, ["path"], _in_preorder, [("node_seq", "int"), ("node_id", "string"), ("parent_seq", "int"), ("is_leaf", "boolean")])
 
 
 def max_end_index(nodes: DataFrame) -> DataFrame:

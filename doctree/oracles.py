@@ -224,6 +224,12 @@ _CTES["h_ranged"] = "SELECT s.doc_id, pos, structure, title, physical_index AS s
 _CTES["h_parents"] = r"SELECT a.doc_id, a.pos, max(b.pos) AS up FROM h_ranged a JOIN h_ranged b ON b.doc_id = a.doc_id AND b.structure = nullif(regexp_extract(a.structure, '^(.*)\.[^.]*$', 1), '') AND b.pos < a.pos GROUP BY a.doc_id, a.pos"
 _CTES["h_nodes"] = "SELECT h.doc_id, title, start_index, end_index, CASE WHEN up IS NULL THEN [0, h.pos] ELSE [0, up, h.pos] END AS path, h.pos NOT IN (SELECT up FROM h_parents x WHERE x.doc_id = h.doc_id) AS is_leaf FROM h_ranged h LEFT JOIN h_parents u ON u.doc_id = h.doc_id AND u.pos = h.pos UNION ALL SELECT b.doc_id, 'Everything', 1, CASE WHEN split THEN (SELECT arg_min(physical_index, pos) FROM headings x WHERE x.doc_id = b.doc_id) ELSE n_pages END, [0], NOT split FROM big b"
 _add("k7_split", "SELECT doc_id, printf('%04d', row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1) AS node_id, CAST(len(path) - 1 AS INTEGER) AS depth, title, CAST(start_index AS INTEGER) AS start_index, CAST(end_index AS INTEGER) AS end_index, is_leaf FROM h_nodes")
+# Splitting by every second heading.
+_CTES["k_headings"] = "SELECT h.doc_id, CAST(row_number() OVER (PARTITION BY h.doc_id ORDER BY pos) - 1 AS INTEGER) AS pos, structure, title, physical_index FROM headings h WHERE pos % 2 = 0"
+_SPLIT = ("headings", "big", "h_starts", "h_ranged", "h_parents", "h_nodes")
+for _name in _SPLIT[1:]:
+    _CTES[f"k_{_name}"] = re.sub(rf"\b({'|'.join(_SPLIT)})\b", r"k_\1", _CTES[_name])
+_add("k7_answered", "SELECT doc_id, printf('%04d', row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1) AS node_id, CAST(len(path) - 1 AS INTEGER) AS depth, title, CAST(start_index AS INTEGER) AS start_index, CAST(end_index AS INTEGER) AS end_index, is_leaf FROM k_h_nodes")
 # Detection with answers: pages without leaders are no contents pages.
 ORACLE_SQL["w3_answered"] = ORACLE_SQL["w3_detect_toc"].replace("AS is_toc FROM pages", "AS rule, contains(text, '.........') AND rule AS is_toc FROM pages")
 

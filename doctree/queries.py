@@ -509,6 +509,24 @@ def k7_split(spark, sf_dir):
     return out.select("doc_id", "node_id", "depth", "title", "start_index", "end_index", "is_leaf")
 
 
+@query
+def k7_answered(spark, sf_dir):
+    """As k7_split, where a model is asked about each group of pages of a large node and gives every second heading of the document."""
+    pages = _pages(spark, sf_dir)
+    whole, groups = cut(detect.doc_stats(pages)), cut(mapping.group_pages(pages, MAX_TOKENS))
+    item = F.struct("pos", "structure", "title", F.concat(F.lit("<physical_index_"), "physical_index", F.lit(">")).alias("physical_index"))
+    first = groups.groupBy("doc_id", F.col("page").alias("physical_index")).agg(F.min("group_no").alias("group_no"))
+    given = _headings(pages).filter("pos % 2 = 0").join(first, ["doc_id", "physical_index"])
+    listed = given.groupBy("doc_id", "group_no").agg(F.to_json(F.struct(F.sort_array(F.collect_list(item)).alias("items"))).alias("response"))
+    asked = ask.make_requests("headings", mapping.group_text(groups, pages), ["group_no"])
+    told = asked.join(listed, ["doc_id", "group_no"], "left").select("request_id", F.coalesce("response", F.lit('{"items": []}')).alias("response"))
+    answers = ask.Answers(told)
+    nodes = whole.select("doc_id", F.array(F.lit(0)).alias("path"), F.lit("Everything").alias("title"), F.lit(1).alias("start_index"), F.col("n_pages").alias("end_index"), F.lit(True).alias("is_leaf"))
+    parts = split.split_large(nodes, pages, MAX_PAGES, MAX_TOKENS, answers=answers)
+    out = tree.write_node_ids(parts.withColumn("depth", F.size("path") - 1))
+    return out.select("doc_id", "node_id", "depth", "title", "start_index", "end_index", "is_leaf")
+
+
 # Jobs
 
 
