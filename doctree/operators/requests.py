@@ -165,6 +165,54 @@ def with_answers(rules: DataFrame, responses: DataFrame, column: str) -> DataFra
     return rules.join(given, "request_id", "left").withColumn(column, F.coalesce("_given", column)).select(*rules.columns)
 
 
-def run_model(requests: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
-    """(request_id, response) by the user's fn over batches of requests (request_id, prompt)."""
-    return requests.select("request_id", "prompt").mapInPandas(fn, "request_id string, response string")
+class _Runner:
+    """Gives one frame at a time to the user's fn, and begins it anew after an error."""
+
+    def __init__(self, fn, attempts: int):
+        self._fn, self._attempts, self._next, self._running = fn, attempts, None, None
+
+    def _frames(self) -> Iterator[pd.DataFrame]:
+        while True:
+            yield self._next
+
+    def __call__(self, frame: pd.DataFrame) -> pd.DataFrame:
+        """(request_id, response, error) for each row of frame: what fails together is asked row by row."""
+        error = "no response"
+        for _ in range(self._attempts):
+            try:
+                self._next = frame
+                self._running = self._running or self._fn(self._frames())
+                out = next(self._running)[["request_id", "response"]].drop_duplicates("request_id")
+                both = frame[["request_id"]].merge(out, "left", "request_id")
+                lost = both["response"].isna() | (both["response"].astype("string").str.strip() == "")
+                if not lost.all() or len(frame) > 1:
+                    return both.assign(error=lost.map({True: "no response", False: None}))
+            except StopIteration:
+                self._running = None
+            except Exception as e:
+                self._running, error = None, f"{type(e).__name__}: {e}"[:1000]
+        if len(frame) > 1:
+            return pd.concat([self(frame.iloc[i : i + 1]) for i in range(len(frame))])
+        return frame[["request_id"]].assign(response=None, error=error)
+
+
+def run_model(requests: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], batch: int = 64, attempts: int = 3) -> DataFrame:
+    """(request_id, response, error) by the user's fn, a row for each different request_id of requests (request_id, prompt).
+
+    fn takes frames (request_id, prompt) of at most `batch` rows and yields a frame (request_id, response) for each; it may
+    load what it needs before the first. A frame on which it fails `attempts` times is given to it row by row, so one
+    request that cannot be answered costs no other; it gets a null response and the error. An empty response and one
+    that fn leaves out are errors too. Responses to ids that were not asked do not count.
+    """
+
+    def run(batches):
+        runner = _Runner(fn, attempts)
+        for pdf in batches:
+            pdf = pdf.drop_duplicates("request_id")
+            for low in range(0, len(pdf), batch):
+                yield runner(pdf.iloc[low : low + batch])
+
+    answered = requests.select("request_id", "prompt").mapInPandas(run, "request_id string, response string, error string")
+    # Prompts do not move; of answers to one request in several batches one with a response stays.
+    best = F.max_by(F.struct("response", "error"), F.col("response").isNotNull())
+    return answered.groupBy("request_id").agg(best.alias("_r")).select("request_id", "_r.response", "_r.error")

@@ -115,6 +115,8 @@ _CTES["filed_as"] = "SELECT doc_id, coalesce(alone, doc_name) AS doc_name, CASE
 _add("s3_list_sources", "SELECT stem || '_structure.json' AS name, stem || '_structure' AS stem, 'out/' || stem || '_structure_structure.json' AS output FROM filed_as f WHERE f.doc_id IN (SELECT doc_id FROM nodes)")
 _add("s4_write_index", "SELECT f.doc_id, doc_name, mode, count(*) AS n_nodes FROM filed_as f JOIN nodes ON nodes.doc_id = f.doc_id CROSS JOIN (VALUES ('file'), ('line')) m(mode) GROUP BY ALL")
 _add("s6_upsert", "SELECT doc_id, CASE WHEN length(text) > 1000 THEN 'new' ELSE source END AS source, CAST(length(text) AS INTEGER) AS n FROM documents")
+_add("s6_stored_upsert", "SELECT d.doc_id, CASE WHEN length(text) > 1000 THEN 'new' ELSE source END AS source, CAST(CASE WHEN length(text) > 1000 AND n % 3 = 0 THEN 0 ELSE coalesce(c, 0) END AS BIGINT) AS n_nodes FROM d LEFT JOIN (SELECT doc_id, count(*) AS c FROM nodes GROUP BY doc_id) k ON k.doc_id = d.doc_id")
+_add("c7_incremental", "SELECT s.doc_id, s.doc_id AS doc_name, CAST(n_pages + CASE WHEN n % 20 = 7 THEN 1 ELSE 0 END AS INTEGER) AS page_count, CAST(CASE WHEN n % 20 = 7 THEN 2 ELSE 1 END AS BIGINT) AS times FROM stats s JOIN d ON d.doc_id = s.doc_id")
 _add("j7_not_indexed", "SELECT doc_id, source FROM documents WHERE NOT coalesce(length(text) > 1000, false)")
 _add("s7_rebuild_catalog", "SELECT d.doc_id, 'pdf' AS type, 'Doc-' || d.doc_id AS doc_name, CASE WHEN source <> 'src1' THEN source ELSE '' END AS doc_description, '' AS path, CASE WHEN n_pages > 1 THEN n_pages ELSE 0 END AS page_count FROM d JOIN stats ON stats.doc_id = d.doc_id")
 _add("s8_run_report", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'Doc-' || doc_id AS name, 'out/' || doc_id || '_structure.json' AS output, CASE WHEN length(text) > 1000 THEN 'ok' ELSE 'failed' END AS status FROM documents")

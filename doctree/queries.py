@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import rules, scalars
-from .jobs import build, lookup
+from .jobs import batch, build, lookup
 from .operators import catalog as lookups
 from .operators import detect, enrich, mapping, split, tree, verify
 from .operators import requests as ask
-from .sources import books, files
+from .sources import books, files, store
 from .sources.scratch import cut, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,6 +138,33 @@ def s6_upsert(spark, sf_dir):
     return files.upsert(docs, docs.filter("n > 1000").withColumn("source", F.lit("new")))
 
 
+@query
+def s6_stored_upsert(spark, sf_dir):
+    """Catalog and nodes stored, then replaced for long documents, of which every third comes without nodes; twice."""
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), "source", (F.length("text") > 1000).alias("long"), F.lit("").alias("digest"))
+    nodes = cut(_nodes(_pages(spark, sf_dir)).select("doc_id", "node_id", "title"))
+    kept = store.Store(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", buckets=16)
+    kept.upsert(docs, nodes)
+    incoming = docs.filter("long").withColumn("source", F.lit("new"))
+    for _ in range(2):
+        kept.upsert(incoming, nodes.join(incoming.filter("cast(doc_id as bigint) % 3 <> 0").select("doc_id"), "doc_id", "left_semi"))
+    counts = kept.read("nodes").groupBy("doc_id").agg(F.count("*").alias("n_nodes"))
+    return kept.read("catalog").join(counts, "doc_id", "left").select("doc_id", "source", F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"))
+
+
+@query
+def c7_incremental(spark, sf_dir):
+    """The index of all documents, then again after one in twenty has got a further page: only these are built a second time."""
+    pages, knobs = _pages(spark, sf_dir), build.Knobs(summaries=False)
+    kept = store.Store(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", buckets=16)
+    first = batch.update(kept, pages, knobs=knobs)
+    more = pages.filter("cast(doc_id as bigint) % 20 = 7").groupBy("doc_id").agg((F.max("page") + 1).alias("page"))
+    grown = pages.unionByName(books.with_tokens(more.withColumn("text", F.lit("one page more"))))
+    second = batch.update(kept, grown, knobs=knobs)
+    times = first.unionByName(second).groupBy("doc_id").agg(F.count("*").alias("times"))
+    return kept.read("catalog").join(times, "doc_id").select("doc_id", "doc_name", "page_count", "times")
+
+
 @query
 def j7_not_indexed(spark, sf_dir):
     docs = _documents(spark, sf_dir)

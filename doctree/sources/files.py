@@ -104,10 +104,14 @@ def rebuild_catalog(index_docs: DataFrame, page_counts: DataFrame, paths: DataFr
     return out.select("doc_id", F.lit("pdf").alias("type"), empty("doc_name"), empty("doc_description"), empty("path"), F.coalesce("page_count", F.lit(0)).cast("int").alias("page_count"))
 
 
-def run_report(sources: DataFrame, index_docs: DataFrame) -> DataFrame:
-    """(doc_id, name, output, status) of each source: ok if it has an index, else failed."""
+def run_report(sources: DataFrame, index_docs: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """(doc_id, name, output, status) of each source: ok if it has an index, else failed; with failures (doc_id, error) also why."""
     done = index_docs.select("doc_id", F.lit(True).alias("_done")).distinct()
-    return sources.join(done, "doc_id", "left").select("doc_id", "name", "output", F.when(F.col("_done"), "ok").otherwise("failed").alias("status"))
+    out = sources.join(done, "doc_id", "left").withColumn("status", F.when(F.col("_done"), "ok").otherwise("failed"))
+    if failures is None:
+        return out.select("doc_id", "name", "output", "status")
+    why = F.when(F.col("status") == "failed", F.coalesce("error", F.lit("not indexed")))
+    return out.drop("error").join(failures.select("doc_id", "error"), "doc_id", "left").select("doc_id", "name", "output", "status", why.alias("error"))
 
 
 def run_failed(report: DataFrame) -> DataFrame:

@@ -14,6 +14,10 @@ ROWS_A_FILE = 1 << 18
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: The folder of each local application that names none.
+_temporary: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Only a local master, as in tests, may do without: it gets a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,8 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="doctree-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _temporary.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="doctree-")
+        _temporary[spark.sparkContext.applicationId] = path
     return path.rstrip("/")
 
 
@@ -40,6 +44,11 @@ def _write(df: DataFrame, path: str, rows: int | None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 _scopes: ContextVar[tuple[Tables, ...]] = ContextVar("scopes", default=())
 
 
@@ -87,8 +96,7 @@ class Tables:
         for table, path in list(self._kept):
             if any(table is t for t in tables):
                 self._kept.remove((table, path))
-                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+                delete(self.spark, path)
 
     def __enter__(self) -> Tables:
         return self
