@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators import detect, enrich, mapping, split, tree, verify
+from ..operators.pages import Pages, stored_pages
 from ..operators.requests import Answers
 from ..sources.scratch import cut, keep, scope
 
@@ -40,8 +41,9 @@ def _toc_pages(detected: DataFrame) -> DataFrame:
     return detected.select("doc_id", F.explode("toc_pages").alias("page"))
 
 
-def toc_with_pages(detected: DataFrame, pages: DataFrame, knobs: Knobs = Knobs(), answers: Answers | None = None) -> DataFrame:
+def toc_with_pages(detected: DataFrame, pages: DataFrame | Pages, knobs: Knobs = Knobs(), answers: Answers | None = None) -> DataFrame:
     """C1, path A: printed entries, shifted by the offset that sampled titles show; what is left is looked for between its neighbours."""
+    paged, pages = pages, Pages.of(pages).flat
     entries = cut(_items(detect.toc_entries(detected, answers)))
     near = mapping.prefix_within_budget(pages, detected, knobs.toc_check_page_num, knobs.toc_index_max_tokens)
     sample = mapping.evenly_spaced(entries.select("doc_id", "pos", "title"), 8)
@@ -53,7 +55,7 @@ def toc_with_pages(detected: DataFrame, pages: DataFrame, knobs: Knobs = Knobs()
     window = mapping.resolve_window(bounds.select("doc_id", "pos", "prev_index", "next_index"), pages, knobs.toc_resolve_max_tokens)
     places = mapping.locate(bounds.select("doc_id", "pos", "title"), pages, window, _toc_pages(detected))
     if answers is not None:
-        places = mapping.ask_places(bounds, places, pages, window, answers)
+        places = mapping.ask_places(bounds, places, paged, window, answers)
     places = places.select("doc_id", "pos", F.col("physical_index").alias("_found"))
     joined = items.join(places, ["doc_id", "pos"], "left")
     return joined.withColumns({"page": F.when(F.col("_found").isNull(), F.col("page")), "physical_index": F.coalesce("physical_index", "_found")}).select(*_ITEMS)
@@ -72,23 +74,26 @@ def no_toc(pages: DataFrame, answers: Answers | None = None, max_tokens: int = 2
     return _items(mapping.extract_headings(pages) if answers is None else mapping.group_headings(pages, answers, max_tokens))
 
 
-def resolve_toc(detected: DataFrame, pages: DataFrame, stats: DataFrame, knobs: Knobs = Knobs(), answers: Answers | None = None) -> DataFrame:
+def resolve_toc(detected: DataFrame, pages: DataFrame | Pages, stats: DataFrame, knobs: Knobs = Knobs(), answers: Answers | None = None) -> DataFrame:
     """Items of each document with path (A, B or C) and outcome (accepted, repaired or best effort).
 
     Documents with printed page numbers start on path A, all others on C. All checks right: accepted. More
     than accept_and_fix of them right: repaired. Else the next path, and after C what there is. Only the
     documents that fall through are read again.
     """
+    pages = Pages.of(pages)
     detected = cut(detected.withColumn("_mode", F.when((F.trim(F.coalesce("toc_content", F.lit(""))) != "") & F.col("has_page_numbers"), "A").otherwise("C")))
     waiting, out = detected.filter("_mode = 'A'").select("doc_id"), None
     for path in "ABC":
         if path == "C":
             waiting = waiting.unionByName(detected.filter("_mode = 'C'").select("doc_id"))
         docs = cut(waiting)
-        if docs.isEmpty():
+        if not (n := docs.count()):
             continue
-        own, some = pages.join(docs, "doc_id", "left_semi"), detected.join(docs, "doc_id", "left_semi")
-        items = toc_with_pages(some, own, knobs, answers) if path == "A" else toc_without_pages(some, own, answers) if path == "B" else no_toc(own, answers, knobs.max_tokens_per_node)
+        own, some = pages.only(docs, n), detected.join(docs, "doc_id", "left_semi")
+        items = toc_with_pages(some, own, knobs, answers) if path == "A" else toc_without_pages(some, own.flat, answers) if path == "B" else no_toc(own.flat, answers, knobs.max_tokens_per_node)
+        # Of other documents there may be pages, but must be no items.
+        items = items.join(docs, "doc_id", "left_semi")
         items = mapping.validate_physical_index(items.filter("physical_index is not null"), stats)
         # List order stays, numbered without gaps.
         items = cut(items.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1))
@@ -105,14 +110,14 @@ def resolve_toc(detected: DataFrame, pages: DataFrame, stats: DataFrame, knobs:
         out = done if out is None else out.unionByName(done)
         waiting = rates.filter("outcome = 'next'").select("doc_id")
     if out is None:
-        empty = _items(mapping.extract_headings(pages.limit(0)))
+        empty = _items(mapping.extract_headings(pages.flat.limit(0)))
         return empty.withColumns({"outcome": F.lit(""), "path": F.lit("")})
     return out
 
 
-def build_nodes(pages: DataFrame, knobs: Knobs = Knobs(), answers: Answers | None = None) -> DataFrame:
+def build_nodes(pages: DataFrame | Pages, knobs: Knobs = Knobs(), answers: Answers | None = None) -> DataFrame:
     """The nodes of C7 before text and summaries: (doc_id, path, title, start_index, end_index, ids and flags)."""
-    stats = cut(detect.doc_stats(pages))
+    stats = cut(detect.doc_stats(Pages.of(pages).flat))
     items = resolve_toc(detect.detect_toc(pages, knobs.toc_check_page_num, answers), pages, stats, knobs, answers).select(*_ITEMS)
     items = tree.add_preface(items.filter("physical_index is not null"))
     items = cut(verify.fill_appear_start(items, pages, answers))
@@ -130,9 +135,10 @@ def build_index(pages: DataFrame, names: DataFrame | None = None, knobs: Knobs =
     names has (doc_id, doc_name); without it a document is called by its id. Documents without headings have
     an empty tree. Nodes have summaries and, with node_text, the text of leaves. With answers every judgement
     that a model has answered replaces its rule, and `answers.open` lists the requests that are left. Both results
-    are written tables; all others that the job has written are gone when it returns.
+    are written tables; all others that the job has written are gone when it returns. Page text is stored in blocks first and
+    is not shuffled again.
     """
-    with scope(pages.sparkSession):
+    with scope(pages.sparkSession), stored_pages(pages) as pages:
         nodes = cut(build_nodes(pages, knobs, answers))
         if knobs.summaries or knobs.node_text:
             nodes = enrich.add_node_text(nodes, pages)
@@ -141,7 +147,7 @@ def build_index(pages: DataFrame, names: DataFrame | None = None, knobs: Knobs =
                 nodes = cut(nodes) if knobs.node_text or answers is not None else nodes
                 nodes = enrich.summarize(nodes, answers=answers, keep_text=knobs.node_text)
         nodes = keep(nodes)
-        docs = pages.select("doc_id").distinct()
+        docs = pages.flat.select("doc_id").distinct()
         docs = docs.join(names.select("doc_id", "doc_name"), "doc_id", "left") if names is not None else docs.withColumn("doc_name", F.col("doc_id"))
         docs = docs.join(tree.export_tree(nodes), "doc_id", "left")
         if knobs.summaries:

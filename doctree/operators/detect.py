@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import rules
 from ..functions.scalars import normalize_leaders
+from .pages import Pages
 from .requests import Answers
 
 
@@ -36,27 +37,28 @@ def find_toc_pages(flags: DataFrame, start: int = 1, toc_check_page_num: int = 2
     return runs.withColumn("_first", first).filter("run = _first").groupBy("doc_id").agg(F.sort_array(F.collect_list("page")).alias("toc_pages"))
 
 
-def toc_content(toc_pages: DataFrame, pages: DataFrame) -> DataFrame:
+def toc_content(toc_pages: DataFrame, pages: DataFrame | Pages) -> DataFrame:
     """A2: (doc_id, run, toc_pages, toc_content): text of each run's pages in order, leaders normalised."""
-    texts = pages.select("doc_id", "page", "text").join(toc_pages, ["doc_id", "page"])
+    texts = Pages.of(pages).text_of(toc_pages, "page")
     parts = F.sort_array(F.collect_list(F.struct("page", "text")))
     out = texts.groupBy("doc_id", "run").agg(parts.alias("_parts"))
     return out.select("doc_id", "run", F.col("_parts.page").alias("toc_pages"), normalize_leaders(F.array_join("_parts.text", "")).alias("toc_content"))
 
 
-def detect_toc(pages: DataFrame, toc_check_page_num: int = 20, answers: Answers | None = None) -> DataFrame:
+def detect_toc(pages: DataFrame | Pages, toc_check_page_num: int = 20, answers: Answers | None = None) -> DataFrame:
     """(doc_id, toc_content, toc_pages, has_page_numbers), a row a document.
 
     The first run of contents pages that has page numbers wins; if none has, the first run. Documents without
     one have null content, no pages and false. Only flagged pages are joined back to their text.
     """
-    runs = toc_runs(toc_flags(pages, toc_check_page_num, answers))
+    flat = Pages.of(pages).flat
+    runs = toc_runs(toc_flags(flat, toc_check_page_num, answers))
     text = toc_content(runs, pages).withColumn("has_page_numbers", rules.has_page_numbers("toc_content"))
     if answers is not None:
         text = answers.apply("page_numbers", text, ["run"], has_page_numbers="answer")
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("has_page_numbers").desc(), "run"))
     best = text.withColumn("_turn", turn).filter("_turn = 1")
-    docs = pages.select("doc_id").distinct()
+    docs = flat.select("doc_id").distinct()
     return docs.join(best, "doc_id", "left").select(
         "doc_id", "toc_content", F.coalesce("toc_pages", F.array().cast("array<int>")).alias("toc_pages"), F.coalesce("has_page_numbers", F.lit(False)).alias("has_page_numbers")
     )

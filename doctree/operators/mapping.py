@@ -14,6 +14,7 @@ from ..functions.scalars import LARGEST, tag_page
 from ..sources.scratch import cut
 from .folds import folded
 from .membership import likely_members
+from .pages import Pages, block_of
 from .requests import Answers
 
 
@@ -196,42 +197,33 @@ def ranges_to_pages(ranges: DataFrame, first: str = "start_index", last: str = "
     return ranges.filter(F.col(first) <= F.col(last)).withColumn("page", F.explode(F.sequence(F.col(first), F.col(last))))
 
 
-def pages_in_range(ranges: DataFrame, pages: DataFrame, first: str = "start_index", last: str = "end_index") -> DataFrame:
-    """The pages of each range, by an equi-join on (doc_id, page)."""
-    return ranges_to_pages(ranges, first, last).join(pages, ["doc_id", "page"])
+def pages_in_range(ranges: DataFrame, pages: DataFrame | Pages, first: str = "start_index", last: str = "end_index") -> DataFrame:
+    """The pages of each range, by an equi-join on (doc_id, page), or on blocks of stored pages."""
+    return Pages.of(pages).in_ranges(ranges, first, last)
 
 
-#: Pages that are gathered before ranges meet them. A document of any length is many such blocks.
-PAGE_BLOCK = 64
-
-
-def _block(page: Column) -> Column:
-    return F.floor(page / PAGE_BLOCK).cast("int")
-
-
-def with_range_text(ranges: DataFrame, pages: DataFrame, key: list[str], labels: bool = False, first: str = "start_index", last: str = "end_index") -> DataFrame:
+def with_range_text(ranges: DataFrame, pages: DataFrame | Pages, key: list[str], labels: bool = False, first: str = "start_index", last: str = "end_index") -> DataFrame:
     """Ranges (key, doc_id, first, last, ..) with text: each range's pages in order, tagged if labels; empty for ranges without pages.
 
-    Pages are gathered by (doc_id, block of PAGE_BLOCK pages), the only exchange of their text; a range goes to its block
-    with all its columns and takes its pages there. The text of ranges that lie in several blocks is put together
-    by key (unique, with doc_id or another) afterwards. Null ranges have empty text too.
+    Pages are gathered by (doc_id, block of PAGE_BLOCK pages), the only exchange of their text, or none if they are stored so; a range goes
+    to its block with all its columns and takes its pages there. The text of ranges that lie in several blocks is put
+    together by key (unique, with doc_id or another) afterwards. Null ranges have empty text too.
     """
-    ranges = ranges.drop("text")
-    body = tag_page("text", "page", "\n") if labels else F.col("text")
-    gathered = pages.select("doc_id", "page", "text").groupBy("doc_id", _block(F.col("page")).alias("_block")).agg(F.sort_array(F.collect_list(F.struct("page", body.alias("t")))).alias("_pages"))
+    ranges, pages = ranges.drop("text"), Pages.of(pages)
+    body = lambda x: tag_page(x["text"], x["page"], "\n") if labels else x["text"]
     low, high = F.col(first), F.col(last)
     inside = F.filter("_pages", lambda x: (x["page"] >= low) & (x["page"] <= high))
-    text = F.when(low <= high, F.array_join(F.transform(inside, lambda x: x["t"]), ""))
-    meet = lambda some: gathered.join(some.hint("shuffle_hash"), ["doc_id", "_block"], "right").withColumn("text", F.coalesce(text, F.lit(""))).drop("_pages")
-    wide = F.coalesce((low <= high) & (_block(low) != _block(high)), F.lit(False))
-    one = meet(ranges.filter(~wide).withColumn("_block", _block(low))).select(*ranges.columns, "text")
-    parts = meet(ranges.filter(wide).withColumn("_block", F.explode(F.sequence(_block(low), _block(high)))))
+    text = F.when(low <= high, F.array_join(F.transform(inside, body), ""))
+    meet = lambda some: pages.meet(some).withColumn("text", F.coalesce(text, F.lit(""))).drop("_pages")
+    wide = F.coalesce((low <= high) & (block_of(low) != block_of(high)), F.lit(False))
+    one = meet(ranges.filter(~wide).withColumn("_block", block_of(low))).select(*ranges.columns, "text")
+    parts = meet(ranges.filter(wide).withColumn("_block", F.explode(F.sequence(block_of(low), block_of(high)))))
     others = [c for c in ranges.columns if c not in key]
     whole = parts.groupBy(*key).agg(*[F.first(c).alias(c) for c in others], F.sort_array(F.collect_list(F.struct("_block", "text"))).alias("_p"))
     return one.unionByName(whole.select(*ranges.columns, F.array_join("_p.text", "").alias("text")))
 
 
-def range_text(ranges: DataFrame, pages: DataFrame, key: list[str], labels: bool = False, first: str = "start_index", last: str = "end_index") -> DataFrame:
+def range_text(ranges: DataFrame, pages: DataFrame | Pages, key: list[str], labels: bool = False, first: str = "start_index", last: str = "end_index") -> DataFrame:
     """(key, text) of ranges; see with_range_text."""
     columns = list(dict.fromkeys([*key, "doc_id", first, last]))
     return with_range_text(ranges.select(*columns), pages, key, labels, first, last).select(*key, "text")

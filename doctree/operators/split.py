@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.scratch import cut
 from . import mapping, tree, verify
+from .pages import Pages
 from .requests import Answers, PartAnswers
 
 
-def large_nodes(nodes: DataFrame, pages: DataFrame, max_pages: int = 10, max_tokens: int = 20_000) -> DataFrame:
+def large_nodes(nodes: DataFrame, pages: DataFrame | Pages, max_pages: int = 10, max_tokens: int = 20_000) -> DataFrame:
     """Nodes whose end lies more than max_pages after their start and whose pages hold max_tokens tokens or more.
 
     Running sums of token counts are looked up at both ends, so no page text moves and no range is exploded.
     """
     total = F.sum("token_length").over(Window.partitionBy("doc_id").orderBy("page"))
-    sums = pages.select("doc_id", "page", total.alias("total"))
+    sums = Pages.of(pages).flat.select("doc_id", "page", total.alias("total"))
     long = nodes.filter(F.col("end_index") - F.col("start_index") > max_pages)
     high = sums.select("doc_id", F.col("page").alias("end_index"), F.col("total").alias("_high"))
     low = sums.select("doc_id", (F.col("page") + 1).alias("start_index"), F.col("total").alias("_low"))
@@ -46,7 +47,7 @@ def _answered_headings(own: DataFrame, answers: PartAnswers, max_tokens: int, ac
     return items.join(broken, "doc_id", "left_anti").unionByName(fixed).drop("page")
 
 
-def _round(front: DataFrame, pages: DataFrame, max_pages: int, max_tokens: int, answers: Answers | None, accept_and_fix: float, repair_rounds: int) -> tuple[DataFrame, DataFrame]:
+def _round(front: DataFrame, pages: DataFrame | Pages, max_pages: int, max_tokens: int, answers: Answers | None, accept_and_fix: float, repair_rounds: int) -> tuple[DataFrame, DataFrame]:
     """(front with shrunk ends and leaf flags, the nodes below the leaves that were split).
 
     A leaf must be shorter than the one it comes from, or have fewer headings; so splitting comes to an end.
@@ -57,7 +58,7 @@ def _round(front: DataFrame, pages: DataFrame, max_pages: int, max_tokens: int,
         return front, front.limit(0)
     # Each large leaf is taken as a document of its own.
     ranges = large.select("_key", "doc_id", "start_index", "end_index")
-    own = mapping.pages_in_range(ranges, pages.select("doc_id", "page", "text", "token_length")).select(F.col("_key").alias("doc_id"), "page", "text", "token_length")
+    own = mapping.pages_in_range(ranges, pages).select(F.col("_key").alias("doc_id"), "page", "text", "token_length")
     if answers is None:
         items = mapping.extract_headings(own).withColumn("appear_start", F.lit(None).cast("boolean"))
         items = cut(verify.fill_appear_start(items, own))
@@ -84,7 +85,7 @@ def _round(front: DataFrame, pages: DataFrame, max_pages: int, max_tokens: int,
 
 def split_large(
     nodes: DataFrame,
-    pages: DataFrame,
+    pages: DataFrame | Pages,
     max_pages: int = 10,
     max_tokens: int = 20_000,
     max_rounds: int | None = None,

@@ -7,17 +7,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import rules
 from ..sources.scratch import cut
 from . import mapping
+from .pages import Pages
 from .requests import Answers
 
 
-def check_titles(items: DataFrame, pages: DataFrame, answers: Answers | None = None) -> DataFrame:
+def check_titles(items: DataFrame, pages: DataFrame | Pages, answers: Answers | None = None) -> DataFrame:
     """(doc_id, pos, title, physical_index, appears, at_start) of items with an index, against that page.
 
-    An index without a page is not found. Only pages that an item names are joined.
+    An index without a page is not found. Stored pages stay where they are: items go to them.
     """
     named = items.filter("physical_index is not null").select("doc_id", "pos", "title", "physical_index")
-    text = pages.select("doc_id", F.col("page").alias("physical_index"), "text")
-    seen = named.join(text, ["doc_id", "physical_index"], "left").withColumn("_r", rules.title_appears("title", "text"))
+    seen = Pages.of(pages).text_of(named, "physical_index").withColumn("_r", rules.title_appears("title", "text"))
     seen = seen.select("doc_id", "pos", "title", "physical_index", "text", F.col("_r.appears").alias("appears"), F.col("_r.at_start").alias("at_start"))
     if answers is not None:
         seen = answers.apply("appears", seen, ["pos", "physical_index"], appears="answer", at_start="at_start")
@@ -48,7 +48,7 @@ def sample_items(items: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return items.withColumn("_turn", turn).filter(F.col("_turn") <= n).drop("_turn")
 
 
-def fill_appear_start(items: DataFrame, pages: DataFrame, answers: Answers | None = None) -> DataFrame:
+def fill_appear_start(items: DataFrame, pages: DataFrame | Pages, answers: Answers | None = None) -> DataFrame:
     """appear_start where it is null: whether the item's page begins with its title; false without an index."""
     missing = items.filter("appear_start is null")
     starts = check_titles(missing, pages, answers).select("doc_id", "pos", "at_start")
@@ -61,7 +61,7 @@ def cache_appear_start(items: DataFrame, checks: DataFrame) -> DataFrame:
     return items.join(passed, ["doc_id", "pos"], "left").withColumn("appear_start", F.coalesce("at_start", "appear_start")).select(*items.columns)
 
 
-def repair_once(items: DataFrame, wrong: DataFrame, pages: DataFrame, stats: DataFrame, answers: Answers | None = None) -> tuple[DataFrame, DataFrame]:
+def repair_once(items: DataFrame, wrong: DataFrame, pages: DataFrame | Pages, stats: DataFrame, answers: Answers | None = None) -> tuple[DataFrame, DataFrame]:
     """One round of C4: (items with what could be repaired, wrong items that remain).
 
     Each wrong item (doc_id, pos) is looked for between the nearest items before and after that are not wrong.
@@ -71,7 +71,7 @@ def repair_once(items: DataFrame, wrong: DataFrame, pages: DataFrame, stats: Dat
     marked = items.join(keys, ["doc_id", "pos"], "left").join(stats.select("doc_id", "n_pages"), "doc_id")
     bounds = mapping.neighbour_bounds(marked, F.col("_wrong").isNull() & F.col("physical_index").isNotNull(), F.lit(0), F.col("n_pages")).filter("_wrong")
     window = bounds.select("doc_id", "pos", F.greatest("prev_index", F.lit(1)).alias("first_page"), F.least("next_index", "n_pages").alias("last_page"))
-    places = mapping.locate(bounds.select("doc_id", "pos", "title"), pages, window)
+    places = mapping.locate(bounds.select("doc_id", "pos", "title"), Pages.of(pages).flat, window)
     if answers is not None:
         places = mapping.ask_places(bounds.select("doc_id", "pos", "title"), places, pages, window, answers)
     again = check_titles(bounds.select("doc_id", "pos", "title").join(places, ["doc_id", "pos"]), pages, answers).select("doc_id", "pos", "appears")
@@ -82,7 +82,7 @@ def repair_once(items: DataFrame, wrong: DataFrame, pages: DataFrame, stats: Dat
     return fixed, judged.filter("_new is null").select("doc_id", "pos")
 
 
-def repair(items: DataFrame, checks: DataFrame, pages: DataFrame, stats: DataFrame, max_rounds: int = 2, answers: Answers | None = None) -> tuple[DataFrame, DataFrame]:
+def repair(items: DataFrame, checks: DataFrame, pages: DataFrame | Pages, stats: DataFrame, max_rounds: int = 2, answers: Answers | None = None) -> tuple[DataFrame, DataFrame]:
     """C4: repairs items whose check failed, in at most max_rounds rounds; also what remains wrong."""
     wrong = cut(checks.filter(~F.col("appears")).select("doc_id", "pos"))
     for _ in range(max_rounds):

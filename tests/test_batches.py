@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from doctree.functions import rules
 from doctree.jobs import batch, build
-from doctree.operators import enrich, mapping, requests as ask, tree
+from doctree.operators import enrich, mapping, requests as ask, tree, verify
+from doctree.operators.pages import stored_pages
 from doctree.sources import files, scratch, store
 
 PAGES = "doc_id string, page int, text string, token_length int"
@@ -187,3 +188,45 @@ def test_text_of_ranges_over_blocks(spark):
     assert got["b", 0] == ("null", "") and got["none", 0] == ("no", "")
     tagged = {(r.doc_id, r.k): r.text for r in mapping.range_text(ranges, pages, ["doc_id", "k"], labels=True).collect()}
     assert tagged["a", 0] == "".join(f"<physical_index_{i}>\np{i};\n<physical_index_{i}>\n" for i in (1, 2, 3))
+
+
+def test_stored_pages_are_not_shuffled(spark):
+    """Checks of titles and texts of ranges go to stored blocks: the scan of the table has no exchange above it."""
+    docs = {"a": [f"{i} Title{i}\nbody" for i in range(1, 200)], "b": ["1 Only\nbody"]}
+    flat = pages_of(spark, docs)
+    items = mapping.extract_headings(flat)
+    ranges = spark.createDataFrame([("a", 0, 3, 5), ("a", 1, 60, 130), ("b", 0, 1, 1), ("c", 0, 1, 1)], "doc_id string, k int, start_index int, end_index int")
+    keep = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for c, v in zip(keep, ("-1", "false")):
+            spark.conf.set(c, v)
+        with stored_pages(flat, buckets=3) as store:
+            frames = [verify.check_titles(items, store), mapping.with_range_text(ranges.filter("k = 0"), store, ["doc_id", "k"]), mapping.pages_in_range(ranges, store)]
+            name = store.blocks._jdf.queryExecution().analyzed().toString().split("doctree_pages_")[1][:32]
+            for df in frames:
+                scans = 0
+                plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+                for at, line in enumerate(plan):
+                    if name in line and "FileScan" in line:
+                        scans += 1
+                        depth = line.index("FileScan")
+                        above = []
+                        for up in reversed(plan[:at]):
+                            own = len(up) - len(up.lstrip(" :+-*(0123456789)"))
+                            if own < depth:
+                                above.append(up)
+                                depth = own
+                        join = next(i for i, x in enumerate(above) if "Join" in x)
+                        assert not any("Exchange" in x for x in above[:join]), "\n".join(plan)
+                assert scans
+            assert frames[0].filter("appears").count() == 200 and frames[2].count() == 3 + 71 + 1
+            assert {(r.doc_id, r.k): len(r.text) for r in mapping.with_range_text(ranges, store, ["doc_id", "k"]).collect()} == {(r.doc_id, r.k): len(r.text) for r in mapping.with_range_text(ranges, flat, ["doc_id", "k"]).collect()}
+            only = store.only(spark.createDataFrame([("b",)], "doc_id string"), 1)
+            assert {r.doc_id for r in only.flat.select("doc_id").distinct().collect()} == {"b"}
+            assert sorted(map(tuple, store.flat.collect())) == sorted(map(tuple, flat.collect()))
+            path = pathlib.Path(scratch.shared_dir(spark).removeprefix("file://"))
+            assert list(path.glob("*-pages"))
+        assert not list(path.glob("*-pages")) and not [t for t in spark.catalog.listTables() if t.name.startswith("doctree_pages_")]
+    finally:
+        for c, v in keep.items():
+            spark.conf.set(c, v)
