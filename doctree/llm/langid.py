@@ -17,8 +17,8 @@ SIZE = 16
 MOST_ROWS = 2048
 #: Documents of all languages, at most; each language gives its first before any gives its second.
 MOST_IN_ALL = 16384
-#: Languages, at most: those of the most documents. The model has 256 kB a language.
-MOST_LANGS = 512
+#: Bytes of the model, at most; it has 256 kB a language and is broadcast. More languages are an error, none is left out.
+MOST_BYTES = 1 << 30
 UNKNOWN = "und"
 _LETTER = byte_table(lambda i: 97 <= i <= 122 or i >= 128)
 
@@ -113,29 +113,29 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 3, rate:
     return Model(langs, logits.astype(np.float32), temperature, least)
 
 
-def _chosen(rows: DataFrame, most_rows: int, most_in_all: int, most_langs: int) -> DataFrame:
+def _chosen(rows: DataFrame, most_rows: int, most_in_all: int) -> DataFrame:
     """The (doc_id, lang) of rows to learn from, see fit; most_in_all at most.
 
     Hashes of ids are spread evenly, so those below a limit set by a language's number of ids hold the most_rows smallest,
     and hardly more than four times as many rows are put in order.
     """
-    langs = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_n")).orderBy(F.col("_n").desc(), "lang").limit(most_langs)
+    langs = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_n"))
     share = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
-    near = rows.join(F.broadcast(langs), "lang").filter(share * F.col("_n") <= 4 * most_rows + 64).select("doc_id", "lang").distinct()
+    near = rows.join(langs, "lang").filter(share * F.col("_n") <= 4 * most_rows + 64).select("doc_id", "lang").distinct()
     turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     return near.withColumn("_turn", turn).filter(F.col("_turn") <= most_rows).orderBy("_turn", F.xxhash64("doc_id"), "doc_id", "lang").limit(most_in_all)
 
 
-def fit(docs: DataFrame, most_rows: int = MOST_ROWS, most_in_all: int = MOST_IN_ALL, most_langs: int = MOST_LANGS) -> Model | None:
+def fit(docs: DataFrame, most_rows: int = MOST_ROWS, most_in_all: int = MOST_IN_ALL) -> Model | None:
     """A model from the text and non-null lang of docs that are not held out; None if there is nothing to learn.
 
-    At most most_rows documents a language, those of the smallest hashed doc_id, and most_in_all together are used, of the
-    most_langs languages with the most documents; null ids, texts and languages are left out, and of several texts
-    of one doc_id and language the one of the smallest hash counts. Subwords are counted on the executors; one task fits.
+    At most most_rows documents a language, those of the smallest hashed doc_id, and most_in_all together are used; null
+    ids, texts and languages are left out, and of several texts of one doc_id and language the one of the smallest hash
+    counts. Subwords are counted on the executors; one task fits. Languages whose model would exceed MOST_BYTES are an error.
     """
     docs = bounded(docs)
     rows = docs.select("doc_id", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id"))
-    chosen = _chosen(rows, most_rows, most_in_all, most_langs)
+    chosen = _chosen(rows, most_rows, most_in_all)
     # At most most_in_all pairs of an id and a language.
     texts = docs.select("doc_id", "lang", "text").filter("text is not null").join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"])
     texts = texts.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
@@ -157,6 +157,9 @@ def fit(docs: DataFrame, most_rows: int = MOST_ROWS, most_in_all: int = MOST_IN_
         for batch in batches:
             for ids, times, lang in zip(*(batch.column(c).to_pylist() for c in ("ids", "times", "lang"))):
                 seen.append((np.frombuffer(ids, "<i4"), np.frombuffer(times, "<f4").astype(np.float64), lang))
+        langs = len({lang for *_, lang in seen})
+        if langs * 4 << BITS > MOST_BYTES:
+            raise ValueError(f"a model of {langs} languages would exceed {MOST_BYTES} bytes")
         model = train(seen)
         if model:
             yield pa.RecordBatch.from_arrays([pa.array([model.langs]), pa.array([model.table.tobytes()]), pa.array([model.temperature]), pa.array([model.least])], names=["langs", "logits", "temperature", "least"])

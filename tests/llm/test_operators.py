@@ -319,6 +319,18 @@ def test_models_take_one_row_of_an_id(spark):
     assert (a.weights == b.weights).all() and a.bias == b.bias
 
 
+def test_every_language_is_learned(spark):
+    """600 languages of three documents each, and one of many more: the model knows them all."""
+    rng = random.Random(9)
+    words = {k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4)] for k in range(600)}
+    rows = [(3 * k + j, " ".join(rng.choice(words[k]) for _ in range(12)), f"l{k:03d}") for k in range(600) for j in range(3)]
+    rows += [(10_000 + j, "the same words again and again", "big") for j in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    left = {r.lang for r in docs.filter(~quality.held_out("doc_id")).select("lang").distinct().collect()}
+    assert set(model.langs) == left and len(left) > 580
+
+
 def test_training_bounds_are_those_of_the_measured_accuracy():
     assert (quality.MOST_ROWS, langid.MOST_ROWS, langid.MOST_IN_ALL) == (8192, 2048, 16384)
 
