@@ -2,6 +2,7 @@
 
 import hashlib
 import heapq
+import math
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from doctree.llm import fim, repair, simhash
+from doctree.llm import chat, fim, fingerprint, langid, quality, repair, simhash, substrings
 from doctree.sources.scratch import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -294,3 +295,99 @@ def test_ropes():
         checked(rope)
         assert rope.height <= 20
     assert fim.text_of(rope) == whole
+
+
+# Trainers of operators 6 and 8 against plain loops, and long texts
+
+
+def plain_ftrl(rows, epochs=4, alpha=0.5, beta=1.0, l1=0.02, l2=0.02):
+    """FTRL-proximal one coordinate at a time, in dictionaries; -1 is the bias."""
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        if abs(zi) <= l1:
+            return 0.0
+        return -(zi - math.copysign(l1, zi)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    for _ in range(epochs):
+        for index, values, label in rows:
+            some = [*zip(index.tolist(), values.tolist()), (-1, 1.0)]
+            w = {i: weight(i) for i, _ in some}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in some)))
+            for i, v in some:
+                g = (p - label) * v
+                was = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) / alpha * w[i]
+                n[i] = was + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_ftrl_equals_a_plain_loop():
+    rng = np.random.default_rng(4)
+    rows = [(np.unique(rng.integers(0, 300, 30)), None, int(rng.integers(0, 2))) for _ in range(80)]
+    rows = [(i, rng.uniform(0, 2, len(i)), y) for i, _, y in rows]
+    model, plain = quality.train(rows), plain_ftrl(rows)
+    assert abs(model.bias - plain.pop(-1)) < 1e-9
+    assert np.allclose(model.weights[sorted(plain)], [plain[i] for i in sorted(plain)], atol=1e-6)
+    assert not np.delete(model.weights, sorted(plain)).any() and (model.weights == 0).sum() > 0
+
+
+def plain_softmax(rows, epochs=3, rate=0.5, seed=5):
+    """Logits of every bucket by gradient descent over lists; the start and the order are those of the seed."""
+    langs = sorted({x[2] for x in rows})
+    rng = np.random.default_rng(seed)
+    table = rng.uniform(-1 / langid.SIZE, 1 / langid.SIZE, (1 << langid.BITS, langid.SIZE))
+    vectors, out = {}, [[0.0] * len(langs) for _ in range(langid.SIZE)]
+    learn = [x for i, x in enumerate(rows) if i % 8 or len(rows) < 64]
+    done = 0
+    for _ in range(epochs):
+        for i in rng.permutation(len(learn)):
+            index, times, lang = learn[i]
+            lr = rate * (1 - done / (epochs * len(learn)))
+            done += 1
+            index, share = index.tolist(), [t / sum(times) for t in times]
+            own = [vectors.setdefault(k, table[k].tolist()) for k in index]
+            hidden = [sum(s * v[j] for s, v in zip(share, own)) for j in range(langid.SIZE)]
+            logits = [sum(hidden[j] * out[j][k] for j in range(langid.SIZE)) for k in range(len(langs))]
+            top = max(logits)
+            odds = [math.exp(x - top) for x in logits]
+            error = [o / sum(odds) - (langs[k] == lang) for k, o in enumerate(odds)]
+            back = [sum(out[j][k] * error[k] for k in range(len(langs))) for j in range(langid.SIZE)]
+            for j in range(langid.SIZE):
+                for k in range(len(langs)):
+                    out[j][k] -= lr * hidden[j] * error[k]
+            scale = len(index) / max(max(share) * len(index), 1)
+            for s, v in zip(share, own):
+                for j in range(langid.SIZE):
+                    v[j] -= lr * s * scale * back[j]
+    return langs, {k: [sum(v[j] * out[j][x] for j in range(langid.SIZE)) for x in range(len(langs))] for k, v in vectors.items()}
+
+
+def test_softmax_equals_a_plain_loop():
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(100):
+        index, times = np.unique(rng.integers(0, 200, 25), return_counts=True)
+        rows.append((index, times.astype(float), f"l{rng.integers(0, 3)}"))
+    model, (langs, logits) = langid.train(rows), plain_softmax(rows)
+    assert model.langs == langs
+    assert np.allclose(model.table[sorted(logits)], [logits[k] for k in sorted(logits)], atol=1e-6)
+
+
+def test_very_long_texts(spark):
+    """Texts of half a million words: fingerprints, languages and chunks, the same as those of the text alone; and a conversation of 20,000 turns."""
+    rng = random.Random(1)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(500_000))
+    docs = spark.createDataFrame([(1, long), (2, "short text"), (3, long + " more")], DOCS)
+    prints = {r["doc_id"]: r for r in fingerprint.fingerprints(docs).collect()}
+    assert prints[1]["fingerprint"] != prints[2]["fingerprint"] and len(prints) == 3
+    model = langid.fit(spark.createDataFrame([(i, f"{'abc' if i % 2 else 'xyz'} word {i}", "ab"[i % 2]) for i in range(100)], DOCS + ", lang string"))
+    assert {r["lang_pred"] for r in langid.identify(docs, model, reject=False).collect()} <= {"a", "b"}
+    found = {r["doc_id"]: r for r in substrings.annotate(docs).collect()}
+    assert sum(s.end - s.start for s in found[3]["removed"]) > 0.999 * len(long) and not found[1]["removed"]
+    turns = spark.createDataFrame([(1, i, ("user", "assistant")[i % 2], f"turn {i}.") for i in range(20_000)], TURNS)
+    digest = hashlib.sha256("".join(f"{('user', 'assistant')[i % 2]}\nturn {i}.\n" for i in range(20_000)).encode()).hexdigest()
+    got = chat.read_back(chat.format_conversations(turns, piece=1000)).collect()
+    assert [(r["n_turns"], r["turns_sha256"]) for r in got] == [(20_000, digest)]
+    assert chat.read_back(chat.format_conversations(turns.limit(0))).count() == 0
