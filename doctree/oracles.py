@@ -188,21 +188,21 @@ _add("w9_node_ids", "SELECT doc_id, pos, node_id, parent_seq, is_leaf FROM nodes
 _add("w8_large_nodes", "SELECT doc_id, 1 AS start_index, n_pages AS end_index FROM stats WHERE n_pages - 1 > 3 AND n_tokens >= 300")
 _add("k3_leaf_text", "SELECT n.doc_id, node_id, md5(text) AS text_md5 FROM nodes n LEFT JOIN leaf_text t ON t.doc_id = n.doc_id AND t.node_seq = n.node_seq")
 _add("a5_page_counts", "SELECT doc_id, max(end_index) AS page_count FROM nodes GROUP BY doc_id")
-_add("a6_child_titles", "SELECT doc_id, parent_seq AS node_seq, string_agg(title, '|' ORDER BY node_seq) AS titles FROM nodes WHERE parent_seq IS NOT NULL GROUP BY doc_id, parent_seq")
 _add("a7_depths", "SELECT doc_id, depth, count(*) AS n_nodes FROM nodes GROUP BY ALL")
 _CTES["leaf_sums"] = f"SELECT n.doc_id, n.node_seq, n.parent_seq, n.node_id, n.title, depth, {_clip('text', 200)} AS summary FROM nodes n LEFT JOIN leaf_text t ON t.doc_id = n.doc_id AND t.node_seq = n.node_seq"
 for _depth in (3, 2, 1, 0):
     _below = f"sums{_depth + 1}" if _depth < 3 else "leaf_sums"
     _CTES[f"sums{_depth}"] = f"SELECT b.doc_id, b.node_seq, b.parent_seq, b.node_id, b.title, b.depth, CASE WHEN b.depth = {_depth} AND b.summary IS NULL THEN (SELECT string_agg(c.title || CASE WHEN c.summary = '' THEN '' ELSE ': ' || {_clip('c.summary', 80)} END, '; ' ORDER BY c.node_seq) FROM {_below} c WHERE c.doc_id = b.doc_id AND c.parent_seq = b.node_seq) ELSE b.summary END AS summary FROM {_below} b"
 _add("k5_summaries", "SELECT doc_id, node_id, coalesce(summary, '') AS summary FROM sums0")
+_add("a6_child_titles", "SELECT doc_id, parent_seq AS node_seq, string_agg(title, '|' ORDER BY node_seq) AS titles, md5(string_agg(coalesce(summary, ''), '|' ORDER BY node_seq)) AS summaries_md5 FROM sums0 WHERE parent_seq IS NOT NULL GROUP BY doc_id, parent_seq")
 _add("k6_descriptions", f"SELECT doc_id, {_clip('t', 300)} AS doc_description FROM (SELECT doc_id, string_agg(title, '; ' ORDER BY node_seq) AS t FROM nodes WHERE depth = 0 GROUP BY doc_id)")
-_add("p13_description_fields", "SELECT doc_id, node_seq, parent_seq, title, node_id, '' AS summary FROM nodes")
+_add("p13_description_fields", "SELECT doc_id, node_seq, parent_seq, title, node_id, coalesce(summary, '') AS summary FROM sums0")
 _add("k2_k4_round_trip", "SELECT doc_id, node_id, node_seq, parent_seq, depth, title, start_index, end_index, is_leaf FROM nodes")
 _add("c2_path_b", "SELECT e.doc_id, e.pos, structure, title, min(p.page) AS physical_index FROM entries e LEFT JOIN (SELECT * FROM places x WHERE NOT EXISTS (SELECT 1 FROM toc_out o WHERE o.doc_id = x.doc_id AND o.page = x.page)) p ON p.doc_id = e.doc_id AND p.pos = e.pos GROUP BY ALL")
 _add("c7_section_tree", "SELECT n.doc_id, node_id, depth, title, start_index, end_index, is_leaf, CAST(length(text) AS INTEGER) AS text_chars FROM nodes n LEFT JOIN leaf_text t ON t.doc_id = n.doc_id AND t.node_seq = n.node_seq")
 _add("c8_list_documents", "SELECT c.doc_id, doc_name, doc_description, CAST(coalesce(max(end_index), 0) AS INTEGER) AS page_count FROM catalog c LEFT JOIN nodes n ON n.doc_id = c.doc_id GROUP BY ALL")
 _add("j5_find_documents", "SELECT request_id, doc_id, error FROM q_found")
-_add("c9_get_documents", "SELECT request_id, a.doc_id, doc_name, doc_description, CASE WHEN c.doc_id IS NOT NULL THEN 1 END AS page_count, CASE WHEN c.doc_id IS NOT NULL THEN 'completed' END AS status, CASE WHEN c.doc_id IS NULL THEN 'unknown document: ' || a.doc_id END AS error FROM asked a LEFT JOIN catalog c ON c.doc_id = a.doc_id")
+_add("c9_get_documents", "SELECT request_id, a.doc_id, doc_name, doc_description, n_pages AS page_count, CASE WHEN c.doc_id IS NOT NULL THEN 'completed' END AS status, CASE WHEN c.doc_id IS NULL THEN 'unknown document: ' || a.doc_id END AS error FROM asked a LEFT JOIN catalog c ON c.doc_id = a.doc_id LEFT JOIN stats ON stats.doc_id = a.doc_id")
 _add("c11_page_content", "SELECT request_id, a.doc_id, CASE WHEN c.doc_id IS NULL OR want IS NULL THEN NULL ELSE md5(coalesce((SELECT string_agg(page || ':' || text, chr(10) ORDER BY page) FROM pages p WHERE p.doc_id = a.doc_id AND list_contains(want, page)), '')) END AS content_md5, CASE WHEN c.doc_id IS NULL THEN 'unknown document: ' || a.doc_id WHEN want IS NULL THEN 'start after end: ''5-3''' END AS error FROM asked a LEFT JOIN catalog c ON c.doc_id = a.doc_id")
 _PROMPT = f"'Answer the question from these pages of ' || doc_name || '.' || chr(10) || chr(10) || 'Question: ' || coalesce(question, '') || chr(10) || chr(10) || string_agg({_TAG} || chr(10) || text || chr(10) || {_TAG} || chr(10) || chr(10), '' ORDER BY o)"
 _CTES["q_pages"] = "SELECT request_id, doc_id, doc_name, question, x, min(i) AS o FROM (SELECT request_id, doc_id, doc_name, question, unnest(pages) AS x, generate_subscripts(pages, 1) AS i FROM q_found WHERE error IS NULL) GROUP BY ALL"

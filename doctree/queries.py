@@ -57,6 +57,11 @@ def _nodes(pages: DataFrame) -> DataFrame:
     return cut(tree.write_node_ids(tree.build_tree(_ranged(pages))))
 
 
+def _summarized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir)
+    return enrich.summarize(enrich.add_node_text(_nodes(pages), pages), keep_text=False)
+
+
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     name = F.concat(F.lit("Doc-"), "doc_id", F.lit(".pdf"))
@@ -490,8 +495,8 @@ def a5_page_counts(spark, sf_dir):
 
 @query
 def a6_child_titles(spark, sf_dir):
-    found = tree.child_summaries(_nodes(_pages(spark, sf_dir)).withColumn("summary", F.lit(None).cast("string")))
-    return found.select("doc_id", "node_seq", F.array_join("children.title", "|").alias("titles"))
+    found = tree.child_summaries(_summarized(spark, sf_dir))
+    return found.select("doc_id", "node_seq", F.array_join("children.title", "|").alias("titles"), F.md5(F.array_join("children.summary", "|")).alias("summaries_md5"))
 
 
 @query
@@ -501,18 +506,17 @@ def a7_depths(spark, sf_dir):
 
 @query
 def k5_summaries(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
-    return enrich.summarize(enrich.add_node_text(_nodes(pages), pages), keep_text=False).select("doc_id", "node_id", "summary")
+    return _summarized(spark, sf_dir).select("doc_id", "node_id", "summary")
 
 
 @query
 def k6_descriptions(spark, sf_dir):
-    return enrich.describe_documents(_nodes(_pages(spark, sf_dir)).withColumn("summary", F.lit("")))
+    return enrich.describe_documents(_summarized(spark, sf_dir))
 
 
 @query
 def p13_description_fields(spark, sf_dir):
-    return tree.description_fields(_nodes(_pages(spark, sf_dir)).withColumn("summary", F.lit("")))
+    return tree.description_fields(_summarized(spark, sf_dir))
 
 
 @query
@@ -610,7 +614,8 @@ def _page_requests(spark, sf_dir):
 
 @query
 def c9_get_documents(spark, sf_dir):
-    return lookup.get_documents(_page_requests(spark, sf_dir), _catalog(spark, sf_dir))
+    counts = _pages(spark, sf_dir).groupBy("doc_id").agg(F.max("page").alias("page_count"))
+    return lookup.get_documents(_page_requests(spark, sf_dir), _catalog(spark, sf_dir).drop("page_count").join(counts, "doc_id"))
 
 
 @query
