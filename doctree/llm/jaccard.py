@@ -87,6 +87,12 @@ def _set_hash(s: np.ndarray) -> int:
     return int(mix(sums).view(np.int64)[0])
 
 
+def _set_check(s: np.ndarray) -> int:
+    """64 more bits of a set, which tell sets of one hash apart."""
+    sums = mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum(keepdims=True) ^ np.bitwise_xor.reduce(mix(s + np.uint64(2)), keepdims=True)
+    return int(mix(sums).view(np.int64)[0])
+
+
 def prefix_length(n: int, percent: int) -> int:
     """Tokens of a set of n that hold at least one token of every linked set, under any one order of all tokens."""
     return n - (percent * n + 99) // 100 + 1
@@ -98,6 +104,7 @@ _SKETCH = T.StructType(
         T.StructField("text_key", T.BinaryType()),
         T.StructField("n_shingles", T.IntegerType()),
         T.StructField("node", T.LongType()),
+        T.StructField("check", T.LongType()),
         T.StructField("rare", T.ArrayType(T.LongType())),
         T.StructField("orders", T.ArrayType(T.BinaryType())),
     ]
@@ -114,7 +121,7 @@ def _rarest(s: np.ndarray, frequency: np.ndarray, n: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
-    """For each document its set's size and hash (node), its prefix by rising frequency, and those of other orders.
+    """For each document its set's size and hash (node, check), its prefix by rising frequency, and those of other orders.
 
     A set that a task has met before gets empty prefixes: one is enough, and a group of copies is not exploded.
     Prefixes of the other orders only reject pairs, so a few bits of each token do (see _packed).
@@ -124,11 +131,12 @@ def _sketches(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
         frequency, met = counts.value, set()
         for rows, data, at in blocks(batches):
             sets = _shingles(data, at, size)
-            nodes, rare, orders = [], [], []
+            nodes, checks, rare, orders = [], [], [], []
             for s in sets:
                 nodes.append(_set_hash(s) if len(s) else 0)
-                p = prefix_length(len(s), percent) if len(s) and nodes[-1] not in met else 0
-                met.add(nodes[-1])
+                checks.append(_set_check(s) if len(s) else 0)
+                p = prefix_length(len(s), percent) if len(s) and (nodes[-1], checks[-1]) not in met else 0
+                met.add((nodes[-1], checks[-1]))
                 rare.append(_rarest(s, frequency, p) if p else np.zeros(0, np.int64))
                 orders.append([])
                 for salt in _ORDERS if p else ():
@@ -137,11 +145,21 @@ def _sketches(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
                     orders[-1].append(_packed(first))
             sizes = pa.array([len(s) for s in sets], pa.int32())
             prefixes = [pa.array(rare, pa.list_(pa.int64())), pa.array(orders, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_key"), sizes, pa.array(nodes, pa.int64()), *prefixes], names=_SKETCH.fieldNames())
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_key"), sizes, pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), *prefixes], names=_SKETCH.fieldNames())
 
     return _keyed(docs).mapInArrow(run, _SKETCH)
 
 
+def told_apart(sketches: DataFrame, tables: Tables) -> DataFrame:
+    """sketches in which sets that differ have different nodes: where a hash has several checks, each gets a node of its own."""
+    checks = sketches.filter("n_shingles > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+    several = tables.cut(checks.filter("low <> high").select("node", F.lit(True).alias("several")))
+    if several.isEmpty():
+        return sketches
+    own = F.when(F.col("several") & (F.col("n_shingles") > 0), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return sketches.join(several, "node", "left").withColumn("node", own).drop("several")
+
+
 def _packed(tokens: np.ndarray, narrow: int = NARROW) -> bytes:
     """The upper 16 bits of each token; 32 of more than `narrow` tokens, which by chance would meet too often else."""
     return (tokens >> np.uint64(48)).astype("<u2").tobytes() if len(tokens) <= narrow else (tokens >> np.uint64(32)).astype("<u4").tobytes()
@@ -310,7 +328,7 @@ def linked_roots(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     link. Two documents link if 100 * intersection >= percent * union. Ids play no part: rows of a null or a
     repeated doc_id link by their texts. Sets are compared by 64-bit hashes of shingles.
 
-    Equal sets are one node. A linked pair shares a token in the prefixes of both sets under any order of all
+    Equal sets are one node; sets count as equal if 128 bits of them are. A linked pair shares a token in the prefixes of both sets under any order of all
     tokens: postings of the rarest-first prefixes give candidates, which must also meet under each of the other
     orders before they are verified.
 
@@ -353,8 +371,9 @@ class _Join:
     def run(self) -> DataFrame:
         tables = self.tables
         sketches = tables.cut(_sketches(self.docs, self.size, self.percent, self.counts))
-        postings, direct = self.first_postings(sketches), None
-        ends = tables.cut(sketches.select("doc_id", "text_key", "n_shingles", "node"))
+        labelled = told_apart(sketches, tables)
+        postings, direct = self.first_postings(labelled), None
+        ends = tables.cut(labelled.select("doc_id", "text_key", "n_shingles", "node"))
         tables.drop(sketches)
         opened, rounds = postings, 0
         while postings is not None:

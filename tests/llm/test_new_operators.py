@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from doctree.llm import chat, fim, fingerprint, langid, quality, repair, simhash, substrings
+from doctree.llm import chat, fim, fingerprint, jaccard, langid, quality, repair, simhash, substrings
 from doctree.sources.scratch import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -391,3 +391,19 @@ def test_very_long_texts(spark):
     got = chat.read_back(chat.format_conversations(turns, piece=1000)).collect()
     assert [(r["n_turns"], r["turns_sha256"]) for r in got] == [(20_000, digest)]
     assert chat.read_back(chat.format_conversations(turns.limit(0))).count() == 0
+
+
+# Operator 4: sets of equal hash
+
+
+def test_sets_of_one_hash_are_told_apart(spark):
+    rows = [(1, 5, 100, 7), (2, 5, 100, 7), (3, 5, 200, 8), (4, 6, 1, 7), (5, 0, 0, 0), (6, 0, 0, 0)]
+    sketches = spark.createDataFrame(rows, "doc_id long, node long, check long, n_shingles int")
+    with Tables(spark) as tables:
+        nodes = {r["doc_id"]: r["node"] for r in jaccard.told_apart(sketches, tables).collect()}
+        assert nodes[1] == nodes[2] != nodes[3] and nodes[4] == 6 and nodes[5] == nodes[6] == 0
+        plain = jaccard.told_apart(sketches.filter("doc_id <> 3"), tables)
+        assert {r["node"] for r in plain.collect()} == {5, 6, 0}
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 63, 20, dtype=np.uint64)) for _ in range(200)]
+    assert len({jaccard._set_check(s) for s in sets}) == 200 and jaccard._set_check(sets[0]) == jaccard._set_check(sets[0].copy())
