@@ -25,8 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = _temporary.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="doctree-")
-        _temporary[spark.sparkContext.applicationId] = path
+        app = spark.sparkContext.applicationId
+        if app not in _temporary:
+            _temporary[app] = "file://" + tempfile.mkdtemp(prefix="doctree-")
+        path = _temporary[app]
     return path.rstrip("/")
 
 
