@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -530,6 +531,35 @@ def test_licenses_in_longer_texts(spark):
             assert found == (best if best >= licenses.LEAST else 0), (i, name)
 
 
+def test_whole_licence_texts(spark, tmp_path, monkeypatch):
+    rng = random.Random(19)
+    long = {name: " ".join(f"{name}{rng.randrange(3000)}" for _ in range(5000)) for name in ("a", "b")}
+    for name, text in (("Long-1.0", long["a"]), ("Long", long["a"]), ("Other", long["b"]), ("Odd", "")):
+        (tmp_path / name).write_text(text)
+    (tmp_path / "folder").mkdir()
+    given = licenses.whole_texts(str(tmp_path))
+    assert given == {"Long-1.0-text": long["a"], "Other-text": long["b"], "Odd-text": ""}
+    changed = [w if rng.random() < 0.97 else "new" for w in long["a"].split()]
+    texts = ["intro\n\n" + long["a"] + "\n\nend", " ".join(changed), long["b"][: len(long["b"]) // 2], long["b"] + "\n\n" + long["a"], None, ""]
+    got = {r.doc_id: [(m.license, m.dice) for m in r.license_matches] for r in licenses.scan(docs_of(spark, texts), licenses.TEMPLATES | given).collect()}
+    assert [x for x, _ in got[0]] == ["Long-1.0-text"] * len(got[0]) and max(d for _, d in got[0]) == 1
+    assert {x for x, _ in got[1]} == {"Long-1.0-text"} and got[2] == got[4] == got[5] == [] and {x for x, _ in got[3]} == {"Long-1.0-text", "Other-text"}
+    assert licenses.whole_texts(str(tmp_path / "none")) == {}
+    monkeypatch.setattr(licenses, "MOST_BYTES", 100)
+    with pytest.raises(ValueError):
+        licenses.whole_texts(str(tmp_path))
+
+
+@pytest.mark.skipif(not os.path.isdir(licenses.FOLDER), reason="no licence texts on this machine")
+def test_licence_texts_of_this_machine(spark):
+    given = licenses.whole_texts()
+    names = sorted(given)
+    texts = ["Copyright 2020 someone\n\n" + given[x] for x in names]
+    got = {r.doc_id: r.license_matches for r in licenses.scan(docs_of(spark, texts), licenses.TEMPLATES | given).collect()}
+    for i, name in enumerate(names):
+        assert max(m.dice for m in got[i] if m.license == name) == 1, name
+
+
 # 10. Substrings
 
 
