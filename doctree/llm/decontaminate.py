@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .shared import WORD, Words, blocks, bounded, char_offsets, cut, fresh, mix, pieces_of, range_hashes, set_aside
+from ..operators.membership import parted_by_members
+from .shared import WORD, Tables, Words, blocks, bounded, char_offsets, cut, fresh, mix, pieces_of, range_hashes, set_aside
 
 SIZE = 10
 #: Benchmark text behind one broadcast set, about. A larger benchmark is dealt over several sets, and texts are scanned with each.
@@ -147,25 +148,31 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, part_bytes: in
 
     The hash set of a benchmark of at most `part_bytes` bytes of text is broadcast, about five times as large as that
     text. A larger benchmark makes several such sets: texts are scanned with one after the other, what they
-    hit is kept by the digest of the text, and joined back once.
+    hit is kept by the digest of the text, and joined back once. A bitmap of those digests, of a fixed size at most, keeps
+    texts without a hit out of that join: they are not shuffled.
     """
     spark = docs.sparkSession
     docs = bounded(docs).drop(*[f.name for f in _HITS])
     schema = T.StructType(docs.schema.fields + _HITS.fields)
     names = [*docs.columns, *_ARROW.names]
-    made = cut(_indexes(benchmark.select("item_id", "text"), size, part_bytes))
-    parts = sorted(r[0] for r in made.select("part").collect())  # a number for each part of the benchmark
-    load = lambda part: spark.sparkContext.broadcast(pickle.loads(made.filter(F.col("part") == part).first()["index"]))
-
-    if len(parts) < 2:
+    with Tables(spark) as tables:
+        made = tables.cut(_indexes(benchmark.select("item_id", "text"), size, part_bytes))
+        parts = sorted(r[0] for r in made.select("part").collect())  # a number for each part of the benchmark
+        load = lambda part: spark.sparkContext.broadcast(pickle.loads(made.filter(F.col("part") == part).first()["index"]))
+        if len(parts) > 1:
+            return _scan_parts(docs, parts, load, tables, names, schema)
         index = load(parts[0]) if parts else spark.sparkContext.broadcast(_Index(pa.array([], pa.string()), pa.array([], pa.string()), size))
 
-        def run(batches):
-            for rows, added in _with_hits(batches, lambda rows, words: index.value.hits_by_text(words)):
-                yield pa.RecordBatch.from_arrays([*rows.columns, *added], names=names)
+    def run(batches):
+        for rows, added in _with_hits(batches, lambda rows, words: index.value.hits_by_text(words)):
+            yield pa.RecordBatch.from_arrays([*rows.columns, *added], names=names)
+
+    return docs.mapInArrow(run, schema)
 
-        return docs.mapInArrow(run, schema)
 
+def _scan_parts(docs: DataFrame, parts: list[int], load, tables: Tables, names: list[str], schema: T.StructType) -> DataFrame:
+    """docs with what they hit in any part of the benchmark. load broadcasts the index of a part."""
+    own_columns = docs.columns
     key, windows, items = fresh(docs, "_key"), fresh(docs, "_windows"), fresh(docs, "_items")
     keyed = docs.withColumn(key, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("length", pa.int32())]))
@@ -182,9 +189,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, part_bytes: in
 
     hits = None
     for part in parts:
-        own = cut(keyed.select(key, "text").mapInArrow(hit_by(load(part)), f"{key} binary, {windows} array<struct<begin:int,length:int>>, {items} array<string>").dropDuplicates([key]))
+        index = load(part)
+        own = tables.cut(keyed.select(key, "text").mapInArrow(hit_by(index), f"{key} binary, {windows} array<struct<begin:int,length:int>>, {items} array<string>").dropDuplicates([key]))
+        index.unpersist()
         hits = own if hits is None else hits.unionByName(own)
-    hits = hits.groupBy(key).agg(F.flatten(F.collect_list(windows)).alias(windows), F.flatten(F.collect_list(items)).alias(items))
+    hits = cut(hits.groupBy(key).agg(F.flatten(F.collect_list(windows)).alias(windows), F.flatten(F.collect_list(items)).alias(items)))
+    # Rows go as one column, so that none of theirs is named like a column of the bitmap.
+    some, rest = parted_by_members(keyed.select(F.struct(*docs.columns).alias("row"), key), hits, [key], hits.count())
+    none = [F.lit(None).cast(hits.schema[c].dataType).alias(c) for c in (windows, items)]
+    found = some.join(hits, key, "left").select("row.*", windows, items).unionByName(rest.select("row.*", *none))
 
     def joined(rows, words):
         both = zip(rows.column(windows).to_pylist(), rows.column(items).to_pylist())
@@ -192,9 +205,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, part_bytes: in
 
     def run(batches):
         for rows, added in _with_hits(batches, joined):
-            yield pa.RecordBatch.from_arrays([*rows.select(docs.columns).columns, *added], names=names)
+            yield pa.RecordBatch.from_arrays([*rows.select(own_columns).columns, *added], names=names)
 
-    return keyed.join(hits, key, "left").mapInArrow(run, schema)
+    return found.mapInArrow(run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", **how) -> DataFrame:

@@ -87,6 +87,33 @@ def test_decontaminate_items_without_id(spark):
     assert [r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()] == [3]
 
 
+def test_decontaminate_by_parts_shuffles_hit_texts_only(spark):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(12))
+    bench = spark.createDataFrame([(i, words(f"item{i}x")) for i in range(20)], "item_id long, text string")
+    rows = [(i, f"clean text {i}" if i % 50 else "a " + words(f"item{i // 50}x"), "b", i, None) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bits string, bucket long, _likely boolean")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def written():
+        """Rows that all stages so far have shuffled."""
+        context = spark.sparkContext
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = decontaminate.scan(docs, bench, part_bytes=300)
+        before = written()
+        got = {r.doc_id: r for r in found.collect()}
+        moved = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert {i for i, r in got.items() if r.n_hit} == {i for i in range(1000) if i % 50 == 0} and len(got) == 1000
+    assert all((r.bits, r.bucket, r._likely) == ("b", i, None) for i, r in got.items()) and got[50].hit_items == ["1"]
+    # Hit texts, hits and marks of the bitmap.
+    assert 20 <= moved < 200
+
+
 # 2. Fingerprints
 
 

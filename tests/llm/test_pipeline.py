@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from doctree.llm import bpe, pii
+from doctree.sources import scratch
 
 
 def test_pipeline_equals_its_plain_form(spark, tmp_path):
@@ -75,3 +76,11 @@ def test_stages_on_odd_rows(spark):
     assert {str((None, None)), str((900001, None)), str((900002, "")), str((900004, " \n"))} <= set(near)
     last = corpus_pipeline.STAGES[-1][1](spark, odd, sf).collect()
     assert len(last) == len(rows) and {r.n_tokens for r in last if r.doc_id in (900001, 900002)} == {0}
+
+
+def test_pipeline_leaves_its_result_only(spark, tmp_path, monkeypatch):
+    for module in (corpus_pipeline, scratch):
+        monkeypatch.setattr(module, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count()
+    left = [p.name for p in (tmp_path / "shared").iterdir() if not p.name.startswith(".")]
+    assert len(left) == 1 and left[0].endswith("-" + corpus_pipeline.STAGES[-1][0])
