@@ -587,6 +587,14 @@ def test_licence_texts_of_this_machine(spark):
         assert max(m.dice for m in got[i] if m.license == name) == 1, name
 
 
+def test_missing_licence_texts_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "whole_texts", lambda: {})
+    with pytest.raises(FileNotFoundError, match="holds no licence texts"):
+        licenses.op9_licenses(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(licenses, "whole_texts", lambda: {"Long-text": "some words"})
+    assert licenses.all_templates() == licenses.TEMPLATES | {"Long-text": "some words"}
+
+
 # 10. Substrings
 
 
