@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import doc_name, doc_stem, safe_name
 from .books import with_tokens
-from .sink import FilesSink
+from .sink import FilesSink, listed, reached
 
 
 def load_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -15,9 +17,17 @@ def load_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 
 def list_sources(spark: SparkSession, path: str, glob: str = "*.pdf", out_dir: str = "", recursive: bool = False) -> DataFrame:
-    """S3: (path, name, stem, bytes, output) of the files that match, by path; file contents are not read."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path)
-    files = found.select("path", F.col("length").alias("bytes"))
+    """S3: (path, name, stem, bytes, output) of the files that match, by path; file contents are not read.
+
+    Executors list the folders in path, if pyarrow reaches it and the glob has no other signs than * and ?; else the driver lists
+    all files, by Spark's reader of binary files.
+    """
+    if reached(path) and not re.search(r"[\[\]{}\\]", glob):
+        like = "".join({"*": ".*", "?": "."}.get(x) or re.escape(x) for x in glob)
+        files = listed(spark, path, recursive).filter(doc_name("path").rlike(f"(?s)^{like}$"))
+    else:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path)
+        files = found.select("path", F.col("length").alias("bytes"))
     stem = F.regexp_replace(doc_name("path"), r"\.[^.]*$", "")
     return files.select("path", doc_name("path").alias("name"), stem.alias("stem"), "bytes", F.concat(F.lit(out_dir.rstrip("/") + "/" if out_dir else ""), stem, F.lit("_structure.json")).alias("output")).orderBy("path")
 

@@ -1,12 +1,15 @@
-"""A sink that writes a file for each row, all of them or none: tasks write aside, and the driver moves in what has succeeded."""
+"""Many small files. A sink that writes one for each row, all of them or none: tasks write aside, and the driver moves in what has
+succeeded. And a way to list and read them by tasks, without a list of all in the driver."""
 
 from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 NAME = "doctree_files"
@@ -85,3 +88,46 @@ class FilesSink(DataSource):
 
     def writer(self, schema, overwrite: bool) -> _Writer:
         return _Writer(self.options["path"], overwrite)
+
+
+def _hidden(name: str) -> bool:
+    """Whether Spark's readers pass a name over."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def reached(path: str) -> bool:
+    """Whether path is a folder on a file system that it names and that pyarrow reaches; without a scheme only Spark knows where it is."""
+    if not path.startswith("file:/") and "://" not in path:
+        return False
+    try:
+        fs, root = _store(path)
+        return path.rstrip("/").endswith(root.rstrip("/")) and fs.get_file_info(root).type == pyarrow.fs.FileType.Directory
+    except (OSError, pa.ArrowException):
+        return False
+
+
+def listed(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
+    """(path, bytes) of the files in a `reached` path, or below it, that Spark's readers would not pass over.
+
+    The driver lists the folders in path only; a task lists each of them with all below, and one the files of path itself.
+    """
+    path = path.rstrip("/")
+    fs, root = _store(path)
+    folders = [x.path for x in fs.get_file_info(pyarrow.fs.FileSelector(root)) if x.type == pyarrow.fs.FileType.Directory and not _hidden(x.base_name)] if recursive else []
+    before = "file:" if path.startswith("file:") else path.removesuffix(root)
+
+    def run(batches):
+        fs, _ = _store(path)
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                todo = [folder]
+                while todo:
+                    found = [x for x in fs.get_file_info(pyarrow.fs.FileSelector(todo.pop())) if not _hidden(x.base_name)]
+                    todo += [x.path for x in found if x.type == pyarrow.fs.FileType.Directory and folder != root]
+                    files = [x for x in found if x.type == pyarrow.fs.FileType.File]
+                    for low in range(0, len(files), 4096):
+                        part = files[low : low + 4096]
+                        yield pa.RecordBatch.from_arrays([pa.array([before + x.path for x in part]), pa.array([x.size for x in part], pa.int64())], names=["path", "bytes"])
+
+    parts = [(x,) for x in (root, *folders)]
+    return spark.createDataFrame(parts, "folder string").repartition(len(parts)).mapInArrow(run, "path string, bytes bigint")
