@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import doc_name, doc_stem, safe_name
 from .books import with_tokens
-from .sink import FilesSink, listed, reached
+from .scratch import cut
+from .sink import FilesSink, listed, reached, whole_files
 
 
 def load_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -89,7 +90,13 @@ def parse_index(values: DataFrame) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str, a_file_each: bool = False) -> DataFrame:
-    """The indexes below path, without what is broken: one a line, or with a_file_each one a file, pretty-printed or not."""
+    """The indexes below path, without what is broken: one a line, or with a_file_each one a file, pretty-printed or not.
+
+    Files of one index each are listed and read by executors, once: the result is written. Only where pyarrow does not reach
+    path the driver lists them, and Spark reads some tens a task.
+    """
+    if a_file_each and reached(path):
+        return cut(parse_index(whole_files(spark, path)))
     return parse_index(spark.read.option("recursiveFileLookup", "true").text(path, wholetext=a_file_each).select("value"))
 
 

@@ -1,6 +1,8 @@
 """Many small files: they are listed and read by tasks whose number does not grow with theirs."""
 
-from doctree.sources import files
+import pathlib
+
+from doctree.sources import files, scratch
 
 
 def some_files(tmp_path):
@@ -16,6 +18,18 @@ def some_files(tmp_path):
         (tmp_path / hidden).write_text('{"doc_name": "hidden", "structure": []}')
 
 
+def test_small_files_are_read_once_by_few_tasks(spark, tmp_path):
+    some_files(tmp_path)
+    path = f"file://{tmp_path}"
+    shared = pathlib.Path(scratch.shared_dir(spark).removeprefix("file://"))
+    before = set(shared.iterdir()) if shared.exists() else set()
+    index = files.read_index(spark, path, a_file_each=True)
+    assert {r.doc_id for r in index.collect()} == {*map(str, range(600)), "top"} and index.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert len(set(shared.iterdir()) - before) == 1
+    plain = files.parse_index(spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True))
+    assert sorted(index.collect()) == sorted(plain.collect())
+
+
 def test_files_are_listed_as_spark_lists_them(spark, tmp_path):
     some_files(tmp_path)
     for glob in ("*.json", "*", "? é_*", "{a,b}*"):
