@@ -230,3 +230,22 @@ def test_stored_pages_are_not_shuffled(spark):
     finally:
         for c, v in keep.items():
             spark.conf.set(c, v)
+
+
+def test_asked_text_is_put_together_once(spark):
+    docs = {d: [f"{i} Title {d}{i}\nbody" for i in range(1, 5)] for d in "abc"}
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return text
+
+    pages = pages_of(spark, docs).withColumn("text", F.udf(counted, "string")("text"))
+    answers = ask.Answers(spark.createDataFrame([("r", "{}")], "request_id string, response string"))
+    items = mapping.group_headings(pages, answers, 6)
+    # The text of questions, and the headings of the rule, which a filter may read once more.
+    assert items.count() == 12 and 24 <= seen.value <= 36, seen.value
+    items = scratch.cut(mapping.extract_headings(pages_of(spark, docs)))
+    seen.value = 0
+    assert verify.check_titles(items, pages, answers).filter("appears").count() == 12
+    assert seen.value == 12, seen.value
