@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.membership import likely_members
 from ..operators.requests import Answers
 from ..sources.scratch import cut, keep, scope
 from ..sources.store import Store, changed, digests
@@ -79,9 +80,12 @@ def update(store: Store, pages: DataFrame, names: DataFrame | None = None, knobs
     be built, with status built or failed; a document that failed keeps its old entry and is tried again next time.
     """
     with scope(pages.sparkSession):
-        new = cut(changed(digests(pages, told), store.read("catalog")))
-        # Pages of all others are not read any further.
-        some = pages.join(new.select("doc_id"), "doc_id", "left_semi")
+        found = cut(digests(pages, told))
+        new = cut(changed(found, store.read("catalog")))
+        # Pages of all others are not read any further; a bitmap drops most of them before text is shuffled. Where all are new, none is.
+        n, some = new.count(), pages.filter("doc_id is not null")
+        if n < found.count():
+            some = likely_members(some, new.select("doc_id"), ["doc_id"], n).join(new.select("doc_id"), "doc_id", "left_semi")
         index, nodes, failures = index_batch(some, names, knobs, answers, most)
         counts = some.groupBy("doc_id").agg(F.max("page").alias("page_count"))
         entries = index.join(new, "doc_id").join(counts, "doc_id", "left").withColumn("type", F.lit("pdf"))

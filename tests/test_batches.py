@@ -249,3 +249,15 @@ def test_asked_text_is_put_together_once(spark):
     seen.value = 0
     assert verify.check_titles(items, pages, answers).filter("appears").count() == 12
     assert seen.value == 12, seen.value
+
+
+def test_update_shuffles_no_text_of_documents_that_stay(spark, tmp_path, monkeypatch):
+    docs = {str(d): [f"1 One{d}\nbody", "2 Two\nbody"] for d in range(40)}
+    plans, index_batch = [], batch.index_batch
+    told = lambda some: plans.append(some._jdf.queryExecution().optimizedPlan().toString())
+    monkeypatch.setattr(batch, "index_batch", lambda some, *rest: (told(some), index_batch(some, *rest))[1])
+    kept, knobs = store.Store(spark, f"file://{tmp_path}/store", buckets=4), build.Knobs(summaries=False)
+    assert batch.update(kept, pages_of(spark, docs), knobs=knobs).count() == 40
+    docs["7"] = docs["7"] + ["3 Three\nbody"]
+    assert [r.doc_id for r in batch.update(kept, pages_of(spark, docs), knobs=knobs).collect()] == ["7"]
+    assert "Join" not in plans[0] and "bitmap_construct_agg" in plans[1] and "LeftSemi" in plans[1]
