@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.scalars import doc_name, doc_stem, safe_name
 from .books import with_tokens
 from .scratch import cut
-from .sink import FilesSink, listed, reached, whole_files
+from .sink import FilesSink, listed, qualified, reached, whole_files
 
 
 def load_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -71,7 +71,7 @@ def write_index(index_docs: DataFrame, path: str, mode: str = "overwrite", a_fil
     made = index_json(index_docs)
     if a_file_each:
         index_docs.sparkSession.dataSource.register(FilesSink)
-        file_names(made).select("name", "value").write.format(FilesSink.name()).mode(mode).save(path)
+        file_names(made).select("name", "value").write.format(FilesSink.name()).mode(mode).save(qualified(index_docs.sparkSession, path))
     else:
         made.select("value").write.mode(mode).text(path)
 
@@ -95,6 +95,7 @@ def read_index(spark: SparkSession, path: str, a_file_each: bool = False) -> Dat
     Files of one index each are listed and read by executors, once: the result is written. Only where pyarrow does not reach
     path the driver lists them, and Spark reads some tens a task.
     """
+    path = qualified(spark, path)
     if a_file_each and reached(path):
         return cut(parse_index(whole_files(spark, path)))
     return parse_index(spark.read.option("recursiveFileLookup", "true").text(path, wholetext=a_file_each).select("value"))

@@ -3,6 +3,7 @@ succeeded. And a way to list and read them by tasks, without a list of all in th
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -15,10 +16,18 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 NAME = "doctree_files"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme of the file system that Spark takes it to be on; one that names a scheme stays as it is."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+        return path
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def _store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system of a path and the path in it; a path without a scheme is a local one."""
-    if "://" not in path:
-        path = "file://" + (path.removeprefix("file:") if path.startswith("file:") else path)
+    """The file system of a path and the path in it, as it is spelled; a path without a scheme is a local one."""
+    if path.startswith("file:") or "://" not in path:
+        return pyarrow.fs.LocalFileSystem(), re.sub("^(file:)?/+", "/", path)
     return pyarrow.fs.FileSystem.from_uri(path)
 
 

@@ -42,3 +42,19 @@ def test_files_are_listed_as_spark_lists_them(spark, tmp_path):
             else:
                 assert {r.name for r in got.collect()} == {"*.json": {"top_structure.json", "broken.json"}, "*": {"top_structure.json", "broken.json", "odd.txt"}, "{a,b}*": {"broken.json"}}.get(glob, set())
     assert files.list_sources(spark, f"file://{tmp_path}", "*.json", recursive=True).rdd.getNumPartitions() < 60
+
+
+def test_paths_without_a_scheme_are_read_by_tasks_too(spark, tmp_path):
+    some_files(tmp_path)
+    index = files.read_index(spark, str(tmp_path), a_file_each=True)
+    assert {r.doc_id for r in index.collect()} == {*map(str, range(600)), "top"}
+    assert len(index.inputFiles()) <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_paths_without_a_scheme_and_with_signs_are_written_and_read(spark, tmp_path):
+    docs = spark.createDataFrame([("1", "one", "[]"), ("2", "two", "[]")], "doc_id string, doc_name string, structure_json string")
+    for name in ("a b%20c", "#d"):
+        for path in (f"{tmp_path}/{name}", f"file://{tmp_path}/{name}-2"):
+            files.write_index(docs, path, a_file_each=True)
+            assert sorted(r.doc_id for r in files.read_index(spark, path, a_file_each=True).collect()) == ["1", "2"]
+    assert {p.name for p in tmp_path.iterdir()} == {"a b%20c", "a b%20c-2", "#d", "#d-2"}
