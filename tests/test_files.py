@@ -51,6 +51,13 @@ def test_paths_without_a_scheme_are_read_by_tasks_too(spark, tmp_path):
     assert len(index.inputFiles()) <= 4 * spark.sparkContext.defaultParallelism
 
 
+def test_paths_without_a_scheme_are_listed_by_tasks_too(spark, tmp_path):
+    some_files(tmp_path)
+    found = files.list_sources(spark, str(tmp_path), "*.json", "out", recursive=True)
+    assert found.inputFiles() == [] and found.count() == 602
+    assert found.collect() == files.list_sources(spark, f"file:{tmp_path}", "*.json", "out", recursive=True).collect()
+
+
 def test_paths_without_a_scheme_and_with_signs_are_written_and_read(spark, tmp_path):
     docs = spark.createDataFrame([("1", "one", "[]"), ("2", "two", "[]")], "doc_id string, doc_name string, structure_json string")
     for name in ("a b%20c", "#d"):
